@@ -1,17 +1,44 @@
 """Encoding of whole texts with a public word-level BPE file, memoised by word.
 
 The file's pre-tokeniser drops white space and never joins across it, so the ids of a text are those of its blank-separated words in order.
-New words of a batch go to the tokenizers library in one call, joined by a special token that marks where each ends.
+Words of plain letters (ASCII, or U+00C0 to U+00FF) and plain marks are also cut between the two, as the pre-tokeniser does; their letters
+are lower-cased and need no normalisation, so a tokenizer with the file's model alone encodes them. All other words go to the full one.
 """
 
 from __future__ import annotations
 
+import re
 from itertools import repeat
 
 import numpy as np
 
 from .textscan import scan_words
 
+#: 1 letters, 2 marks that only join each other, 3 the rest: digits, apostrophes, angle brackets, controls, other characters.
+_CLASS = np.full(256, 3, np.uint8)
+_CLASS[[*range(65, 91), *range(97, 123)]] = 1
+_CLASS[[ord(c) for c in '!"#$%&()*+,-./:;=?@[]^_`{|}~' + chr(92)]] = 2
+#: Second bytes of U+00C0 to U+00FF, without the signs for times and divided by.
+_SECOND = np.zeros(256, bool)
+_SECOND[0x80:0xC0] = True
+_SECOND[[0x97, 0xB7]] = False
+_PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+|[" + re.escape('!"#$%&()*+,-./:;=?@[]^_`{|}~' + chr(92)) + "]+")
+
+
+def _cut_plain(b: np.ndarray, word: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For scan_words: plain words lower-cased, and cut between letters and marks."""
+    kind = _CLASS[b]
+    second = np.zeros(b.size, bool)
+    second[1:] = (b[:-1] == 0xC3) & _SECOND[b[1:]]
+    kind[second] = 1
+    kind[:-1][second[1:]] = 1
+    number = np.cumsum(begins)
+    plain = word & ~(np.bincount(number, word & (kind == 3)) > 0)[number]
+    begins = begins.copy()
+    begins[1:] |= plain[1:] & plain[:-1] & (kind[1:] != kind[:-1])
+    upper = plain & (((b >= 65) & (b <= 90)) | (second & (b <= 0x9E)))
+    return b + (upper.astype(np.uint8) << 5), begins
+
 
 def default_path() -> str:
     import public_tokenizers
@@ -22,13 +49,29 @@ def default_path() -> str:
 class WordEncoder:
     """``encode`` gives the ids of all rows of a text buffer and the bounds of each row. At most ``remember`` words stay in memory."""
 
-    def __init__(self, path: str, remember: int = 400_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, remember: int = 600_000):
+        import json
+        import os
 
-        self.model = Tokenizer.from_file(path)
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task on each core
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
+
+        self.full, self.model = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        kinds = [x["type"] for x in [file["normalizer"], *(file["normalizer"] or {}).get("normalizers", [])] + file["pre_tokenizer"]["pretokenizers"]]
+        suffix = file["model"]["end_of_word_suffix"]
+        if kinds != ["Sequence", "NFC", "Replace", "Lowercase", "Split", "ByteLevel"] or not suffix:
+            raise ValueError("the file isn't a word-level BPE of the expected kind")
+        self.model.normalizer, self.model.pre_tokenizer = None, WhitespaceSplit()
+        vocabulary = self.full.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        # the printable stand-ins of bytes: those of Latin-1 stand for themselves, the others follow from U+0100
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.shown = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
         self.remember = remember
-        marks = [(i, t.content) for i, t in self.model.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.normalized or t.single_word)]
-        self.mark = marks[0] if marks else None
         self._forget()
 
     def _forget(self) -> None:
@@ -38,25 +81,26 @@ class WordEncoder:
 
     def _of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words, one after the other, and how many each has."""
-        ids, sizes = [], []
-        for k in range(0, len(words), 50_000):
-            part = words[k : k + 50_000]
-            joined = None
-            if self.mark:
-                number, text = self.mark
-                joined = np.array(self.model.encode(text.join(part), add_special_tokens=False).ids, np.uint32)
-                ends = np.flatnonzero(joined == number)
-            if joined is None or ends.size != len(part) - 1:
-                each = [e.ids for e in self.model.encode_batch(part, add_special_tokens=False)]
-                ids.append(np.array([i for e in each for i in e], np.uint32))
-                sizes.append(np.array([len(e) for e in each], np.int64))
-            else:
-                sizes.append(np.diff(np.concatenate([[-1], ends, [joined.size]])) - 1)
-                ids.append(joined[joined != number])
-        return np.concatenate(ids), np.concatenate(sizes)
+        plain = np.fromiter((_PLAIN.fullmatch(w) is not None for w in words), bool, len(words))
+        easy = [w.lower() for w, ok in zip(words, plain.tolist(), strict=True) if ok]
+        runs = [" ".join(easy[k : k + 64]).encode().decode("latin-1").translate(self.shown).replace(self.shown[32], " ") for k in range(0, len(easy), 64)]
+        found = [np.array([i for e in self.model.encode_batch_fast(runs[k : k + 500], add_special_tokens=False) for i in e.ids], np.uint32) for k in range(0, len(runs), 500)]
+        ids = np.concatenate([np.zeros(0, np.uint32), *found])
+        sizes = np.zeros(len(words), np.int64)
+        stops = np.flatnonzero(self.ends[ids])
+        if stops.size != len(easy):
+            raise ValueError("a word has no end")
+        sizes[plain] = np.diff(np.append(-1, stops))
+        rest = [e.ids for e in self.full.encode_batch([w for w, ok in zip(words, plain.tolist(), strict=True) if not ok], add_special_tokens=False)]
+        sizes[~plain] = [len(r) for r in rest]
+        out = np.empty(int(sizes.sum()), np.uint32)
+        of = np.repeat(plain, sizes)
+        out[of] = ids
+        out[~of] = np.array([i for r in rest for i in r], np.uint32)
+        return out, sizes
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        starts, lengths, hashes, bounds = scan_words(data, offsets, fold=False)
+        starts, lengths, hashes, bounds = scan_words(data, offsets, fold=False, refine=_cut_plain)
         if not starts.size:
             return np.zeros(0, np.uint32), np.zeros(offsets.size, np.int64)
         distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
@@ -66,8 +110,9 @@ class WordEncoder:
             self._forget()
             new = np.arange(distinct.size)
         if new.size:
-            raw = data.tobytes() if data.size < 1 << 23 else data
-            words = [bytes(raw[s : s + n]).decode("utf-8", "replace") for s, n in zip(starts[first[new]].tolist(), lengths[first[new]].tolist(), strict=True)]
+            low, high = int(offsets[0]), int(offsets[-1])
+            raw = data[low:high].tobytes()
+            words = [raw[s - low : s - low + n].decode("utf-8", "replace") for s, n in zip(starts[first[new]].tolist(), lengths[first[new]].tolist(), strict=True)]
             ids, sizes = self._of(words)
             slot[new] = np.arange(len(self.slots), len(self.slots) + new.size)
             self.slots.update(zip(distinct[new].tolist(), slot[new].tolist(), strict=True))

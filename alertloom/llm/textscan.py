@@ -72,8 +72,11 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20
             at = to
 
 
-def scan_words(data: np.ndarray, offsets: np.ndarray, fold: bool = True, chunk: int = 1 << 19) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words are runs of bytes other than ASCII blanks. Returns their starts, lengths, hashes (A-Z folded to a-z if ``fold``), and the bounds of each row among them."""
+def scan_words(data: np.ndarray, offsets: np.ndarray, fold: bool = True, chunk: int = 1 << 19, refine=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words are runs of bytes other than ASCII blanks. Returns their starts, lengths, hashes (A-Z folded to a-z if ``fold``), and the bounds of each row among them.
+
+    ``refine(bytes, word, begins)`` may change the bytes that are hashed and add starts within words.
+    """
     table = _FOLDED if fold else _BYTE
     at, last = int(offsets[0]), int(offsets[-1])
     starts, lengths, hashes = [], [], []
@@ -93,6 +96,8 @@ def scan_words(data: np.ndarray, offsets: np.ndarray, fold: bool = True, chunk:
         begins[1:] &= ~word[:-1]
         rows = offsets[np.searchsorted(offsets, at, "right") : np.searchsorted(offsets, end, "left")] - at
         begins[rows] = word[rows]
+        if refine:
+            b, begins = refine(b, word, begins)
         index = np.flatnonzero(word)
         if index.size:
             flags = begins[index]
