@@ -52,19 +52,29 @@ def groups_of(signatures: DataFrame) -> DataFrame:
     return found.where("not common").select("sig", "key", "n").unionByName(common.select("sig", "key").join(sizes, "sig").select("sig", "key", "n"))
 
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """node, label (smallest node of its component), for all nodes of the edges (a, b): least labels of neighbours, with pointer jumping."""
-    both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
-    for _ in range(rounds):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("m")).withColumnRenamed("a", "node")
-        low = labels.join(near, "node").select("node", F.col("label").alias("before"), F.least("label", "m").alias("low"))
-        jump = labels.select(F.col("node").alias("low"), F.col("label").alias("far"))
-        moved = materialize(low.join(jump, "low", "left").select("node", F.least("low", F.coalesce("far", "low")).alias("label"), "before"), "labels")
-        labels = moved.select("node", "label")
-        if not moved.where("label < before").limit(1).count():
-            break
-    return labels
+def components(edges: DataFrame) -> DataFrame:
+    """node, label (smallest node of its component), for all nodes of the edges (a, b).
+
+    Each round moves every node to its least neighbour, and on to that one's, and contracts the edges; few are left after the first.
+    """
+    ordered = lambda x: x.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left, labels = materialize(ordered(edges), "edges"), None
+    while True:
+        ends = left.select("a", "b").unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        step = ends.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to"))
+        step = materialize(step, "steps")
+        onward = step.select(F.col("node").alias("to"), F.col("to").alias("far"))
+        step = materialize(step.join(onward, "to").select("node", "far"), "moves")
+        if labels is None:
+            labels = step.select("node", F.col("far").alias("label"))
+        else:
+            moved = labels.join(step.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("far", "label").alias("label"))
+            labels = materialize(moved, "labels")
+        for end in ("a", "b"):
+            left = left.join(step.withColumnsRenamed({"node": end, "far": "moved"}), end).drop(end).withColumnRenamed("moved", end)
+        left = materialize(ordered(left), "edges")
+        if not left.limit(1).count():
+            return labels
 
 
 def linked(groups: DataFrame, held: DataFrame, verify: Callable[[DataFrame], DataFrame], between: Callable[[pa.Table, pa.Table], list[tuple[int, int]]], small: int = 16, block: int = 2_000_000) -> DataFrame:
