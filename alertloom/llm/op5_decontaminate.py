@@ -16,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import materialize
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -69,7 +71,7 @@ def find_hits(docs: DataFrame, windows: DataFrame, doc_id: str = "doc_id", text:
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, text_key, n_words, n_hit, n_items, items_sha256, contaminated, hit (sorted positions of hit words), for each document."""
     windows = _windows(benchmark, n, item_id, item_text)
-    hits = find_hits(docs, windows, doc_id, text)
+    hits = materialize(find_hits(docs, windows, doc_id, text), "hits")
     places = hits.select("doc_id", "text_key", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("size") - 1)).alias("at")).distinct()
     places = places.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n_hit"), F.sort_array(F.collect_list("at")).alias("hit"))
     items = hits.select("doc_id", "text_key", "window").distinct().join(windows.where(F.col("item_id").isNotNull()), "window").select("doc_id", "text_key", "item_id").distinct()
