@@ -75,14 +75,22 @@ def line_signatures(points: np.ndarray, starts: np.ndarray, lengths: np.ndarray,
     _POWERS.upto(points.size + 1)
     sums = np.concatenate([np.zeros(1, _U), np.cumsum(mix(points.astype(_U)) * _POWERS.up[: points.size])])
     rows, sigs = [], []
-    for n in np.unique(lengths).tolist():
-        at = np.flatnonzero(lengths == n)
-        begin = starts[at]
-        for other, i, start, size in probes(n, tau):
-            a = begin + start
-            value = (sums[a + size] - sums[a]) * _POWERS.down[a]
-            rows.append(at)
-            sigs.append(mix(value + _U((((other * 64 + i) * 2 + 1) * 0xD1B54A32D192ED03) % (1 << 64))))
+    # as probes(), for all lines at once
+    for shift in range(tau + 1):
+        other = lengths - shift
+        short, longer = other // (tau + 1), other % (tau + 1)
+        for i in range(tau + 1):
+            start, size = i * short + np.maximum(0, i - (tau + 1 - longer)), short + (i > tau - longer)
+            low = np.maximum(np.maximum(start - i, start + shift - (tau - i)), 0)
+            high = np.minimum(np.minimum(start + i, start + shift + (tau - i)), lengths - size)
+            for step in range(2 * tau + 1):
+                at = np.flatnonzero((low + step <= high) & (other > tau))
+                if not at.size:
+                    break
+                a = starts[at] + low[at] + step
+                value = (sums[a + size[at]] - sums[a]) * _POWERS.down[a]
+                rows.append(at)
+                sigs.append(mix(value + ((other[at] * 64 + i) * 2 + 1).astype(_U) * _U(0xD1B54A32D192ED03)))
     if not rows:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(rows), np.concatenate(sigs).view(np.int64)
@@ -163,22 +171,22 @@ def duplicate_lines(docs: DataFrame, tau: int = 2, min_chars: int = 24, sample_d
     place = F.struct("doc_id", "text_key", "at")
     distinct = materialize(lines.where("key is not null").groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "distinct-lines")
 
-    def sign(sampled: int | None, often: np.ndarray | None):
+    def sign(often: np.ndarray | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen = np.zeros(0, np.int64)
+            seen: set[int] = set()
             for batch in by_bytes(batches, "text"):
                 points, starts, lengths, _ = _points(batch, 0)
-                fit = lengths >= max(min_chars, tau + 1)
                 names = batch.column(1).flatten().to_numpy(zero_copy_only=False)
                 if names.size != starts.size:
                     raise ValueError("lines and their keys differ in number")
-                at = np.flatnonzero(fit)
-                _, first = np.unique(names[at], return_index=True)
-                at = at[first]
-                at = at[~np.isin(names[at], seen)]
-                seen = np.union1d(seen, names[at]) if seen.size < 300_000 else names[at]
-                if sampled:
-                    at = at[(mix(names[at].view(_U)) % _U(sampled)) == 0]
+                new = {}
+                for k, name in zip((at := np.flatnonzero(lengths >= max(min_chars, tau + 1))).tolist(), names[at].tolist(), strict=True):
+                    if name not in seen:
+                        new.setdefault(name, k)
+                seen.update(new)
+                if len(seen) > 1_000_000:  # lines that come again are merged later
+                    seen.clear()
+                at = np.fromiter(new.values(), np.int64, len(new))
                 row, sig = line_signatures(points, starts[at], lengths[at], tau)
                 key = names[at][row]
                 common = np.isin(sig, often) if often is not None and often.size else np.zeros(sig.size, bool)
@@ -188,10 +196,11 @@ def duplicate_lines(docs: DataFrame, tau: int = 2, min_chars: int = 24, sample_d
         return run
 
     # the lines that are not empty, as _points finds them, by their hash in the same order
-    texts = docs.where("text <> ''").select("text", F.transform(F.split(F.regexp_replace("text", r"\n\z", ""), "\n", -1), lambda x: F.xxhash64(x)).alias("keys"))
-    share = max(1, -(-distinct.count() // sample_docs))
-    often = _common(texts, sign, share)
-    signatures = texts.mapInArrow(sign(None, often), SIGNATURES)
+    hashed = F.transform(F.split(F.regexp_replace("text", r"\n\z", ""), "\n", -1), lambda x: F.xxhash64(x))
+    texts = docs.where("text <> ''").select("text", hashed.alias("keys"))
+    share = max(1, -(-docs.count() // sample_docs))
+    often = _common(texts.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0), sign)
+    signatures = texts.mapInArrow(sign(often), SIGNATURES)
     groups = materialize(groups_of(signatures), "candidates")
     wanted = materialize(groups.select("key").distinct(), "wanted")
     few = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
@@ -236,9 +245,9 @@ def duplicate_lines(docs: DataFrame, tau: int = 2, min_chars: int = 24, sample_d
     return flagged.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
-def _common(texts: DataFrame, sign, share: int, least: int = 4, most: int = 1_000_000) -> np.ndarray:
-    """Signatures that ``least`` or more sampled lines hold. They are only dealt out in another way."""
-    counts = texts.mapInArrow(sign(share, None), SIGNATURES).select("sig", "key").distinct().groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+def _common(texts: DataFrame, sign, least: int = 4, most: int = 1_000_000) -> np.ndarray:
+    """Signatures that ``least`` or more lines of sampled texts hold. They are only dealt out in another way."""
+    counts = texts.mapInArrow(sign(None), SIGNATURES).select("sig", "key").distinct().groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     return np.sort(counts.orderBy(F.desc("n"), "sig").limit(most).select("sig").toArrow().column("sig").to_numpy())
 
 
