@@ -17,8 +17,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import arrow_rows, materialize
 
+#: Pairs that a task tests at once; each carries two payloads.
+PAIRS = 128
 SIGNATURES = "sig long, key long, common boolean"
 
 
@@ -91,7 +93,8 @@ def linked(groups: DataFrame, held: DataFrame, verify: Callable[[DataFrame], Dat
     groups = materialize(groups.join(centre, "sig"), "members")
     shared = groups.where("key <> pivot").groupBy("key", "pivot").agg(F.count(F.lit(1)).alias("n"))
     first = materialize(shared.groupBy("key").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("a")).select("a", F.col("key").alias("b")), "pairs")
-    links = materialize(verify(first), "links")
+    with arrow_rows(held.sparkSession, PAIRS):
+        links = materialize(verify(first), "links")
     labels = components(links)
     of = groups.join(labels.withColumnRenamed("node", "key"), "key", "left").select("sig", "key", "n", "pivot", F.coalesce("label", "key").alias("label"))
     of = materialize(of, "labelled")
@@ -106,7 +109,8 @@ def linked(groups: DataFrame, held: DataFrame, verify: Callable[[DataFrame], Dat
     if many.limit(1).count():
         found.append(_dense(many, held, between, block))
     for more in found:
-        links = links.unionByName(materialize(more, "links"))
+        with arrow_rows(held.sparkSession, PAIRS):
+            links = links.unionByName(materialize(more, "links"))
     return components(links) if found else labels
 
 
