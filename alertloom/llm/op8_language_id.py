@@ -234,6 +234,9 @@ def keep_identified(docs: DataFrame, least: float = 0.5, doc_id: str = "doc_id",
     """The documents whose language is found with at least that posterior, with all their columns; texts without a letter go."""
     columns = docs.columns
     languages, table = learn(docs.where(~held_out(doc_id)), text=text, lang=lang)
+    if not {"lang_pred", "lang_score"} & set(columns):
+        found = identify(docs, languages, table, text=text)
+        return found.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= least)).select(*(F.col(f"`{c}`") for c in columns))
     rows = docs.select(F.col(f"`{text}`").alias("__text"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("__row"))
     found = identify(rows, languages, table, text="__text")
     return found.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= least)).select(*(F.col(f"__row.`{c}`") for c in columns))
