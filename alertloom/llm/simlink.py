@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import arrow_rows, materialize
+from .textscan import give_back
 
 #: Pairs that a task tests at once; each carries two payloads.
 PAIRS = 128
@@ -45,6 +46,8 @@ def groups_of(signatures: DataFrame) -> DataFrame:
         for k in range(0, kept.size, 50_000):
             at = kept[k : k + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (sig, key, n, common)], ["sig", "key", "n", "common"])
+        del sig, key, common, order, new, first, sizes, n, kept
+        give_back()
 
     # a common signature is spread over tasks by key; its members are counted below
     dealt = signatures.repartition(F.col("sig"), F.when(F.col("common"), F.pmod("key", F.lit(64))).otherwise(0))

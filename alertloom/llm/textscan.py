@@ -5,6 +5,7 @@ Two different words share a 64-bit hash with probability 2**-64; n distinct word
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,8 +59,23 @@ def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Spark keeps Python workers for later tasks, and what one task freed the next one may not find."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut record batches into runs of rows with at most ``most`` bytes of text, one row at least."""
+    """Cut record batches into runs of rows with at most ``most`` bytes of text, one row at least. Gives memory back at the end."""
+    try:
+        yield from _cut_batches(batches, column, most)
+    finally:
+        give_back()
+
+
+def _cut_batches(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -117,6 +133,15 @@ def scan_words(data: np.ndarray, offsets: np.ndarray, fold: bool = True, chunk:
     return start, np.concatenate(lengths), np.concatenate(hashes), np.searchsorted(start, offsets, "left")
 
 
+def any_in_rows(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether a row has a byte with its flag set; ``offsets`` begin at 0."""
+    out = np.zeros(offsets.size - 1, bool)
+    filled = np.flatnonzero(np.diff(offsets))
+    if filled.size:
+        out[filled] = np.logical_or.reduceat(flags, offsets[filled])
+    return out
+
+
 def row_ids(bounds: np.ndarray) -> np.ndarray:
     """The row of each word."""
     return np.repeat(np.arange(bounds.size - 1), np.diff(bounds))
