@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textscan import by_bytes, mix, row_ids, scan_words, text_buffer
+from .textscan import any_in_rows, by_bytes, mix, row_ids, scan_words, text_buffer
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -216,13 +216,12 @@ def identify(docs: DataFrame, languages: list[str], table: np.ndarray, vocabular
             chance = np.exp(whole)
             chance /= chance.sum(1, keepdims=True)
             best = chance.argmax(1)
-            raw = data[offsets[0] : offsets[-1]]
-            sums = np.concatenate([[0], np.cumsum(((raw | 0x20) - 97 < 26) | (raw >= 0x80))])
-            maybe = np.diff(sums[offsets - offsets[0]]) > 0
-            ascii_letters = np.concatenate([[0], np.cumsum((raw | 0x20) - 97 < 26)])
-            letter = np.diff(ascii_letters[offsets - offsets[0]]) > 0
+            raw, local = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+            ascii_letters = (raw | 0x20) - 97 < 26
+            letter = any_in_rows(ascii_letters, local)
+            maybe = any_in_rows(raw >= 0x80, local)
             for i in np.flatnonzero(maybe & ~letter).tolist():
-                letter[i] = any(c.isalpha() for c in raw[offsets[i] - offsets[0] : offsets[i + 1] - offsets[0]].tobytes().decode("utf-8", "replace"))
+                letter[i] = any(c.isalpha() for c in raw[local[i] : local[i + 1]].tobytes().decode("utf-8", "replace"))
             names = [languages[b] if ok else "und" for b, ok in zip(best.tolist(), letter.tolist(), strict=True)]
             values = np.where(letter, chance[np.arange(best.size), best], 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names), pa.array(values)], [*batch.schema.names, "lang_pred", "lang_score"])
