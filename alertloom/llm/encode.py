@@ -49,7 +49,7 @@ def default_path() -> str:
 class WordEncoder:
     """``encode`` gives the ids of all rows of a text buffer and the bounds of each row. At most ``remember`` words stay in memory."""
 
-    def __init__(self, path: str, remember: int = 600_000):
+    def __init__(self, path: str, remember: int = 300_000):
         import json
         import os
 
