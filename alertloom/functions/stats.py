@@ -15,14 +15,43 @@ def melt(df: DataFrame, keys: list[str], features: list[str], name: str = "featu
     return df.unpivot(keys, [F.col(c).cast("double").alias(c) for c in features], name, value).where(F.col(value).isNotNull())
 
 
+def running(counts: DataFrame, by: list[str], x: str, sums: list[str]) -> DataFrame:
+    """Adds upto_c and whole_c for each c of ``sums``: over the rows of ``by`` with values up to this one, and over all. One row a value.
+
+    Values are dealt by the logarithm of their distance from the smallest, at 64 steps an octave, so no task sorts a whole column: windows
+    run within a step, and the sums of the steps, whose number is bounded, carry on. The steps depend on values alone, so tasks that run
+    again give the same. Nulls come first, NaN last, as in Spark's order; a group whose smallest value is minus infinity is one step.
+    """
+    v = F.col(x).cast("double")
+    lows = counts.groupBy(*by).agg(F.min(v).alias("_low"))
+    step = F.when(v.isNull(), -2e9).when(F.isnan(v), 2e9).when(v == F.col("_low"), -1e9).otherwise(F.greatest(F.lit(-1e9), F.least(F.lit(1e9), F.coalesce(F.floor(F.log2(v - F.col("_low")) * 64).cast("double"), F.lit(-1e9)))))
+    placed = (counts.join(lows, by) if by else counts.crossJoin(F.broadcast(lows))).withColumn("_step", step).drop("_low")  # without keys: one row
+    steps = placed.groupBy(*by, "_step").agg(*(F.sum(c).alias(f"_s_{c}") for c in sums))
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
+    before = group.orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
+    steps = steps.select(*by, "_step", *(F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in sums), *(F.sum(f"_s_{c}").over(group).alias(f"whole_{c}") for c in sums))
+    within = Window.partitionBy(*by, "_step").orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
+    out = placed.join(steps, [*by, "_step"]).withColumns({f"upto_{c}": F.sum(c).over(within) + F.col(f"_b_{c}") for c in sums})
+    return out.drop("_step", *(f"_b_{c}" for c in sums))
+
+
+def ranks(df: DataFrame, by: list[str], x: str, rank: str = "rank", n: str = "n") -> DataFrame:
+    """Adds the average rank of x among the rows of ``by``, and their number. Equal values are counted before anything is sorted."""
+    counts = df.groupBy(*by, x).agg(F.count(F.lit(1)).alias("_t"))
+    found = running(counts, by, x, ["_t"])
+    keys = [*by, x]
+    found = found.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), (F.col("upto__t") - (F.col("_t") - 1) / F.lit(2.0)).alias(rank), F.col("whole__t").alias(n))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return df.join(found, same).drop(*(f"_k{i}" for i in range(len(keys))))
+
+
 def rank_sums(long: DataFrame, label: str = "label", by: str = "feature", x: str = "x") -> DataFrame:
     """For each feature: n0, n1, the rank sum of positives, the sum of t**3 - t over ties.
 
     Ranks come from counts of distinct values, so equal values are added up before they are sorted.
     """
     counts = long.groupBy(by, x).agg(F.count(F.lit(1)).alias("t"), F.sum(F.col(label).cast("long")).alias("pos"))
-    below = F.sum("t").over(Window.partitionBy(by).orderBy(x).rowsBetween(Window.unboundedPreceding, 0)) - F.col("t")
-    ranked = counts.withColumn("rank", below + (F.col("t") + 1) / F.lit(2.0))
+    ranked = running(counts, [by], x, ["t"]).withColumn("rank", F.col("upto_t") - (F.col("t") - 1) / F.lit(2.0))
     return ranked.groupBy(by).agg((F.sum("t") - F.sum("pos")).alias("n0"), F.sum("pos").alias("n1"), F.sum(F.col("rank") * F.col("pos")).alias("rank_sum"), F.sum(F.col("t").cast("double") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
 
 
@@ -56,9 +85,8 @@ def univariate_strength(df: DataFrame, label: str, features: list[str], least: i
 def ks_two_sample(long: DataFrame, label: str = "label", by: str = "feature", x: str = "x") -> DataFrame:
     """Largest distance of the two distribution functions, taken after all rows of a value."""
     counts = long.groupBy(by, x).agg(F.sum(F.col(label).cast("long")).alias("c1"), F.sum(1 - F.col(label).cast("long")).alias("c0"))
-    upto, whole = Window.partitionBy(by).orderBy(x).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(by)
-    gap = F.abs(F.sum("c1").over(upto) / F.sum("c1").over(whole) - F.sum("c0").over(upto) / F.sum("c0").over(whole))
-    return counts.withColumn("gap", gap).groupBy(by).agg(F.max("gap").alias("ks"), F.sum("c0").alias("n0"), F.sum("c1").alias("n1"))
+    gap = F.abs(F.col("upto_c1") / F.col("whole_c1") - F.col("upto_c0") / F.col("whole_c0"))
+    return running(counts, [by], x, ["c0", "c1"]).withColumn("gap", gap).groupBy(by).agg(F.max("gap").alias("ks"), F.sum("c0").alias("n0"), F.sum("c1").alias("n1"))
 
 
 def ks_p(d: float, n0: int, n1: int) -> float:
@@ -81,8 +109,8 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
 def spearman(df: DataFrame, features: list[str], key: str) -> DataFrame:
     """a, b, rho for all pairs of features with a < b, over rows where all are known."""
     known = df.dropna(subset=features)
-    ranks = melt(known, [key], features).withColumn("rank", average_rank(["feature"], "x"))
-    wide = ranks.groupBy(key).pivot("feature", features).agg(F.max("rank"))
+    ranked = ranks(melt(known, [key], features), ["feature"], "x")
+    wide = ranked.groupBy(key).pivot("feature", features).agg(F.max("rank"))
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
     return wide.agg(*(F.corr(f"`{a}`", f"`{b}`").alias(f"{a}|{b}") for a, b in pairs)).unpivot([], [F.col(f"`{a}|{b}`") for a, b in pairs], "pair", "rho").select(F.split_part("pair", F.lit("|"), F.lit(1)).alias("a"), F.split_part("pair", F.lit("|"), F.lit(2)).alias("b"), "rho")
 

@@ -8,8 +8,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import auc, melt
-from ..operators.families import average_rank
+from ..functions.stats import auc, melt, ranks, running
 
 
 def stratified_folds(df: DataFrame, key: str, label: str, k: int, seed: int) -> DataFrame:
@@ -17,9 +16,9 @@ def stratified_folds(df: DataFrame, key: str, label: str, k: int, seed: int) ->
     return df.withColumn("fold", (F.row_number().over(Window.partitionBy(label).orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))), key)) - 1) % k)
 
 
-def rank01(df: DataFrame, by: list[str], x: str, plus: int = 1):
-    """Average rank over n + ``plus``."""
-    return average_rank(by, x) / (F.count(F.lit(1)).over(Window.partitionBy(*by)) + plus)
+def rank01(df: DataFrame, x: str, out: str, plus: int = 1) -> DataFrame:
+    """Adds ``out``: the average rank of x among all rows over n + ``plus``."""
+    return ranks(df, [], x, "_rank", "_n").withColumn(out, F.col("_rank") / (F.col("_n") + plus)).drop("_rank", "_n")
 
 
 def naive_bayes_bins(train: DataFrame, test: DataFrame, key: str, label: str, features: list[str], bins: int = 10, prior: float = 200.0) -> DataFrame:
@@ -37,11 +36,10 @@ def naive_bayes_bins(train: DataFrame, test: DataFrame, key: str, label: str, fe
 
 
 def roc_grid(df: DataFrame, score: str, label: str, points: int = 201) -> DataFrame:
-    """fpr, tpr: the largest true positive rate at or below each point of a grid of false positive rates."""
+    """fpr, tpr: the largest true positive rate at or below each point of a grid of false positive rates; rows without a score are left out."""
     counts = df.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("c1"), F.sum(1 - F.col(label).cast("long")).alias("c0"))
-    counts = counts.withColumn("all", F.lit(1))
-    upto, whole = Window.partitionBy("all").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("all")
-    curve = counts.select((F.sum("c0").over(upto) / F.sum("c0").over(whole)).alias("f"), (F.sum("c1").over(upto) / F.sum("c1").over(whole)).alias("t"))
+    counts = running(counts.where(F.col(score).isNotNull()).withColumn("_down", -F.col(score).cast("double")), [], "_down", ["c0", "c1"])
+    curve = counts.select((F.col("upto_c0") / F.col("whole_c0")).alias("f"), (F.col("upto_c1") / F.col("whole_c1")).alias("t"))
     steps = curve.groupBy(F.least(F.lit(points - 1), F.greatest(F.lit(0), F.ceil(F.round(F.col("f") * (points - 1), 9)))).cast("int").alias("g")).agg(F.max("t").alias("t"))
     grid = df.sparkSession.range(points).select(F.col("id").cast("int").alias("g"))
     best = F.max("t").over(Window.orderBy("g").rowsBetween(Window.unboundedPreceding, 0))
@@ -50,14 +48,18 @@ def roc_grid(df: DataFrame, score: str, label: str, points: int = 201) -> DataFr
 
 def rank_blend(oof: DataFrame, models: list[str], weights: list[float]) -> DataFrame:
     """The weighted mean of the models' rank positions."""
-    total = sum(weights)
-    return oof.withColumn("_all", F.lit(1)).withColumn("blend", sum((rank01(oof, ["_all"], m, 0) * F.lit(w / total) for m, w in zip(models, weights, strict=True)), F.lit(0.0))).drop("_all")
+    total, ranked = sum(weights), oof
+    for m in models:
+        ranked = rank01(ranked, m, f"_r_{m}", 0)
+    return ranked.withColumn("blend", sum((F.col(f"_r_{m}") * F.lit(w / total) for m, w in zip(models, weights, strict=True)), F.lit(0.0))).drop(*(f"_r_{m}" for m in models))
 
 
 def blend_weights(oof: DataFrame, models: list[str], label: str, rounds: int = 6) -> list[float]:
     """Weights on a simplex by pairwise moves of shrinking size, each tried by the AUC of the rank blend."""
-    ranked = oof.withColumn("_all", F.lit(1))
-    ranked = ranked.select(F.col(label).alias("label"), *(rank01(ranked, ["_all"], m, 0).alias(m) for m in models)).cache()
+    ranked = oof.select(F.col(label).alias("label"), *models)
+    for m in models:
+        ranked = rank01(ranked, m, f"_r_{m}", 0)
+    ranked = ranked.select("label", *(F.col(f"_r_{m}").alias(m) for m in models)).persist()
 
     def tried(options: list[list[float]]) -> list[float]:
         mixes = ranked.select("label", *(sum((F.col(m) * w for m, w in zip(models, o, strict=True)), F.lit(0.0)).alias(f"o{k}") for k, o in enumerate(options)))

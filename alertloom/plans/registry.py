@@ -584,8 +584,7 @@ def rank_blend(spark, sf_dir):
 
 @_query(f"WITH {LABELLED} SELECT doc_id, {_r(_RANKS['n_chars'] + ' / (count(*) OVER () + 1)', 'score')} FROM d")
 def rank01(spark, sf_dir):
-    rows = _labelled(spark, sf_dir).withColumn("all", F.lit(1))
-    return rounded(rows.select("doc_id", evaluation.rank01(rows, ["all"], "n_chars").alias("score")))
+    return rounded(evaluation.rank01(_labelled(spark, sf_dir), "n_chars", "score").select("doc_id", "score"))
 
 
 @_query(f"WITH {LABELLED}, s AS (SELECT doc_id AS alert_id, n_chars / 1000.0 AS score FROM d WHERE doc_id % 7 <> 0) SELECT 'no_missing_id' AS check, (SELECT count(*) FROM d WHERE doc_id NOT IN (SELECT alert_id FROM s)) = 0 AS passed UNION ALL SELECT 'no_unknown_id', (SELECT count(*) FROM s WHERE alert_id NOT IN (SELECT doc_id FROM d)) = 0 UNION ALL SELECT 'no_repeated_id', (SELECT count(*) = count(DISTINCT alert_id) FROM s) UNION ALL SELECT 'finite', (SELECT count(*) FROM s WHERE score IS NULL) = 0 UNION ALL SELECT 'in_range', (SELECT count(*) FROM s WHERE score < 0 OR score > 1) = 0 UNION ALL SELECT 'distinct', (SELECT count(DISTINCT score) >= 0.95 * count(*) FROM s)")
