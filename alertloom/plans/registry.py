@@ -15,7 +15,7 @@ from ..functions import stats
 from ..operators import families, reference
 from ..operators.prepare import prepare, split_burst, zero_fill
 from ..sources import tables
-from . import evaluation, features
+from . import evaluation, features, reports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -547,6 +547,84 @@ def audit_tx_per_alert(spark, sf_dir):
     return rounded(t.agg(F.count(F.lit(1)).alias("alerts"), F.min("n").alias("min_n"), F.median("n").alias("median_n"), F.max("n").alias("max_n"), F.median("span").alias("median_span")))
 
 
+# ---- reports
+
+_CODES = {"click": 0, "view": 1, "purchase": 2, "signup": 3, "error": 4}
+_PARTS = {"economy": "^ECON", "small": "^SMALL", "standard": "^STAND"}
+_GAIN = "SELECT p_partkey, p_type, CASE WHEN p_size > 25 THEN p_retailprice ELSE 0 END AS gain FROM part"
+
+
+def _gains(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "part").select("p_partkey", "p_type", F.when(F.col("p_size") > 25, F.col("p_retailprice")).otherwise(0.0).alias("gain"))
+
+
+@_query("SELECT event_id, CAST(CASE event_type " + " ".join(f"WHEN '{t}' THEN {i}" for t, i in _CODES.items()) + " END AS INT) AS code FROM events")
+def strict_recode(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", reports.recode("event_type", _CODES).alias("code"))
+
+
+def _period_sql(period: str) -> str:
+    return f"WITH o AS (SELECT CAST(date_trunc('{period}', o_orderdate) AS DATE) AS period, CAST(o_orderstatus = 'F' AS INT) AS label FROM orders) SELECT period, {_r('avg(label)', 'rate')}, {_n('count(*)', 'n')}, {_r('avg(label) - 1.96 * sqrt(avg(label) * (1 - avg(label)) / count(*))', 'low')}, {_r('avg(label) + 1.96 * sqrt(avg(label) * (1 - avg(label)) / count(*))', 'high')} FROM o GROUP BY period"
+
+
+def _period(spark, sf_dir, period: str) -> DataFrame:
+    orders = _table(spark, sf_dir, "orders").withColumn("label", (F.col("o_orderstatus") == "F").cast("int"))
+    return rounded(reports.period_rate(orders, "o_orderdate", "label", period))
+
+
+@_query(_period_sql("month"))
+def monthly_rate(spark, sf_dir):
+    return _period(spark, sf_dir, "month")
+
+
+@_query(_period_sql("quarter"))
+def quarterly_rate(spark, sf_dir):
+    return _period(spark, sf_dir, "quarter")
+
+
+@_query(_period_sql("week"))
+def weekly_rate(spark, sf_dir):
+    return _period(spark, sf_dir, "week")
+
+
+@_query(f"WITH g AS ({_GAIN}), f AS (SELECT CASE " + " ".join(f"WHEN regexp_matches(p_type, '{p}') THEN '{n}'" for n, p in _PARTS.items()) + f" ELSE 'other' END AS family, gain FROM g) SELECT family, {_n('count(*)', 'built')}, {_n('count(CASE WHEN gain > 0 THEN 1 END)', 'used')}, {_r('sum(gain) / (SELECT sum(gain) FROM g)', 'share')} FROM f GROUP BY family")
+def importance_rollup(spark, sf_dir):
+    return rounded(reports.importance_rollup(_gains(spark, sf_dir), "p_type", "gain", _PARTS))
+
+
+@_query(f"WITH g AS ({_GAIN}), r AS (SELECT gain, row_number() OVER (ORDER BY gain DESC, p_partkey) AS k FROM g) SELECT CAST(t AS INT) AS top, {_r('sum(gain) / (SELECT sum(gain) FROM g)', 'share')} FROM r JOIN (VALUES (20), (100)) v(t) ON k <= t GROUP BY t")
+def importance_top_share(spark, sf_dir):
+    return rounded(reports.top_share(_gains(spark, sf_dir), "p_partkey", "gain"))
+
+
+@_query(f"WITH l AS (SELECT event_type AS name, arg_max(value, event_id) AS value FROM events GROUP BY 1) SELECT name, {_r('value', 'value')}, {_r('value - (SELECT value FROM l WHERE name = ' + chr(39) + 'click' + chr(39) + ')', 'delta')} FROM l")
+def ledger_ablation(spark, sf_dir):
+    return rounded(reports.ablation(_table(spark, sf_dir, "events"), "click", "event_type", "value", "event_id"))
+
+
+@_query(f"SELECT 'mean' AS \"column\", {_r('max(abs(a.m - b.m))', 'difference')}, CAST(count(CASE WHEN a.k IS NOT NULL AND b.k IS NOT NULL AND (a.m IS NULL) <> (b.m IS NULL) THEN 1 END) AS BIGINT) AS one_null, CAST(count(CASE WHEN a.k IS NULL OR b.k IS NULL THEN 1 END) AS BIGINT) AS unmatched FROM (SELECT o_custkey AS k, avg(o_totalprice) AS m FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) a FULL JOIN (SELECT o_custkey AS k, avg(o_totalprice) AS m FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) b ON a.k = b.k")
+def table_difference(spark, sf_dir):
+    a, b = (_table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == s).groupBy("o_custkey").agg(F.avg("o_totalprice").alias("mean")) for s in "FO")
+    return rounded(reports.largest_difference(a, b, "o_custkey", ["mean"]))
+
+
+@_query("WITH o AS (SELECT user_id % 3 = 0 AS other, CAST(user_id AS VARCHAR) AS u, event_type AS t FROM events), p AS (SELECT other, 'user_id' AS c, u AS v FROM o UNION ALL SELECT other, 'event_type', t FROM o) SELECT c AS \"column\", v AS value, CAST(count(*) AS BIGINT) AS n FROM p WHERE other AND NOT EXISTS (SELECT 1 FROM p q WHERE NOT q.other AND q.c = p.c AND q.v = p.v) GROUP BY ALL")
+def unseen_categories(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events")
+    return reports.unseen_categories(rows.where("user_id % 3 <> 0"), rows.where("user_id % 3 = 0"), ["user_id", "event_type"])
+
+
+@_query("SELECT o_orderkey, o_totalprice FROM (SELECT o_orderkey, round(o_totalprice, 6) AS o_totalprice FROM orders ORDER BY orders.o_totalprice DESC, o_orderkey LIMIT 25)")
+def top_orders(spark, sf_dir):
+    return rounded(reports.top_n(_table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey", 25))
+
+
+@_query(f"WITH o AS (SELECT o_orderkey, o_custkey, o_totalprice, date_trunc('month', o_orderdate) AS m FROM orders) SELECT o_orderkey, round((rank() OVER (PARTITION BY m ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY m, o_totalprice) - 1) / 2.0) / count(*) OVER (PARTITION BY m), {DIGITS}) AS pct FROM o")
+def monthly_pct_rank(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders").withColumn("m", F.date_trunc("month", "o_orderdate"))
+    return rounded(stats.ranks(orders, ["m"], "o_totalprice").select("o_orderkey", (F.col("rank") / F.col("n")).alias("pct")))
+
+
 # ---- evaluation
 
 _FOLD = "f AS (SELECT d.*, (row_number() OVER (PARTITION BY label ORDER BY md5(CAST(doc_id AS VARCHAR) || '|42'), doc_id) - 1) % 5 AS fold FROM d)"
