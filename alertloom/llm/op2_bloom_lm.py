@@ -5,8 +5,9 @@ its own; a worker finds a count by probing one level after the other until a pro
 
     P(w|v) = x * c(vw)/c(v) + (1 - x) * P(w),   x by the level of c(v), fitted with each sampled text's own counts taken out,
 
-where P(w) shares out the mass of words seen once among unseen words. The filter has at most ``max_filter_bytes``: each of its segments is
-built by one task, pairs seen once aren't stored, and if the rest doesn't fit, the lowest stored level of pairs rises (then that of words).
+where P(w) shares out the mass of words seen once among unseen words. Pairs seen once are no part of the model, at any size. The filter grows
+with the counts, each of its segments built by one task. Up to ``max_filter_bytes`` it is broadcast; a larger one stays a table of segments:
+blocks of texts send their distinct n-grams to the segments and get the levels back, so scores are the same on either way.
 
 The unigram ``base_score`` needs exact counts. Words from a count that at most ``max_words`` words reach are broadcast with it; tokens that
 are rarer go to their counts through a join.
@@ -17,12 +18,16 @@ every word is unseen; rows with equal doc_id and text get equal scores, each its
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import copy
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .storage import materialize
 from .textscan import by_bytes, mix, row_ids, scan_words, text_buffer
@@ -33,6 +38,10 @@ END = mix(np.array([0xE0D], _U))[0]
 BEGIN = mix(np.array([0xBE61], _U))[0]
 SEGMENT_BITS = 1 << 22
 PROBES = 4
+#: Lowest level of words and of pairs in the filter.
+LOWEST = (1, 2)
+#: Bytes of text whose n-grams are looked up together where the filter is a table.
+BLOCK = 4 << 20
 #: Smallest count of each level, from level 1.
 STEPS = np.unique(np.ceil(1.5 ** np.arange(0, 100)).astype(np.float64))
 #: What a level stands for, from level 0.
@@ -132,27 +141,39 @@ class LogFrequencyFilter:
         return out
 
 
-def build_filter(counts: DataFrame, max_bytes: int = 64 << 20, bits_each: int = 10) -> LogFrequencyFilter:
-    steps = F.array(*(F.lit(float(s)) for s in STEPS))
-    level = F.size(F.filter(steps, lambda s: s <= F.col("n").cast("double")))
-    entries = counts.select("h", level.alias("level"))
-    seen = entries.groupBy((F.col("h").bitwiseAND(F.lit(1))).alias("kind"), "level").count().collect()
-    lowest = [1, 2]
+class StoredFilter:
+    """A filter as a table (segment, bits)."""
+
+    def __init__(self, table: DataFrame, segments: int):
+        self.table, self.segments = table, segments
+
+
+class FoundLevels:
+    """Levels that were looked up before, in place of the filter."""
 
-    def size() -> int:
-        return sum(r["count"] * max(0, r["level"] - lowest[r["kind"]] + 1) for r in seen) * bits_each
+    def __init__(self, h: np.ndarray, level: np.ndarray):
+        order = np.argsort(h)
+        self.h, self.level = h[order], level[order].astype(_I)
 
-    while size() > max_bytes * 8:
-        lowest[1 if lowest[1] <= lowest[0] + 12 else 0] += 1
-    segments = -(-size() // SEGMENT_BITS)
+    def levels(self, h: np.ndarray, kind: int) -> np.ndarray:
+        return self.level[np.searchsorted(self.h, h)]
+
+
+def build_filter(counts: DataFrame, max_bytes: int = 64 << 20, bits_each: int = 10) -> LogFrequencyFilter | StoredFilter:
+    """All levels of all counts; a table if that takes more than ``max_bytes``."""
+    steps = F.array(*(F.lit(float(s)) for s in STEPS))
+    level = F.size(F.filter(steps, lambda s: s <= F.col("n").cast("double")))
+    low = F.when(F.col("h").bitwiseAND(F.lit(1)) == 1, LOWEST[1]).otherwise(LOWEST[0])
+    stored = counts.select("h", level.alias("level")).where(F.col("level") >= low)
+    size = (stored.agg(F.sum(F.col("level") - low + 1)).first()[0] or 0) * bits_each
+    segments = -(-size // SEGMENT_BITS)
     if not segments:
-        return LogFrequencyFilter(np.zeros(0, np.uint8), tuple(lowest))
+        return LogFrequencyFilter(np.zeros(0, np.uint8), LOWEST)
 
     def build(key: tuple, table: pa.Table) -> pa.Table:
         bits = np.zeros(SEGMENT_BITS, bool)
         h, level = table.column("h").to_numpy().view(_U), table.column("level").to_numpy().astype(_I)
-        low = np.where(h & _U(1), lowest[1], lowest[0])
-        n = level - low + 1
+        n = level - np.where(h & _U(1), LOWEST[1], LOWEST[0]) + 1
         levels = np.repeat(level, n) - (np.repeat(np.cumsum(n), n) - 1 - np.arange(int(n.sum())))
         for k in range(PROBES):
             bits[LogFrequencyFilter.place(np.repeat(h, n), levels, k)] = True
@@ -160,20 +181,27 @@ def build_filter(counts: DataFrame, max_bytes: int = 64 << 20, bits_each: int =
 
     # bits 32 to 63 of h as an unsigned number, times the number of segments, divided by 2**32
     segment = F.shiftright(F.shiftrightunsigned("h", 32) * segments, 32)
-    stored = entries.where(F.col("level") >= F.when(F.col("h").bitwiseAND(F.lit(1)) == 1, lowest[1]).otherwise(lowest[0]))
-    built = stored.withColumn("segment", segment).groupBy("segment").applyInArrow(build, "segment long, bits binary").toArrow()
+    built = stored.withColumn("segment", segment).groupBy("segment").applyInArrow(build, "segment long, bits binary")
+    if segments * SEGMENT_BITS > max_bytes * 8:
+        return StoredFilter(materialize(built, "segments"), segments)
+    built = built.toArrow()
     bits = np.zeros((segments, SEGMENT_BITS // 8), np.uint8)
     for k, b in zip(built.column("segment").to_pylist(), built.column("bits"), strict=True):
         bits[k] = np.frombuffer(b.as_buffer(), np.uint8)
-    return LogFrequencyFilter(bits.ravel(), tuple(lowest))
+    return LogFrequencyFilter(bits.ravel(), LOWEST)
 
 
 class Model:
-    def __init__(self, filter: LogFrequencyFilter, train_tokens: int, words: int, once: int, texts: int):
+    def __init__(self, filter: LogFrequencyFilter | FoundLevels | None, train_tokens: int, words: int, once: int, texts: int):
         self.filter, self.n, self.v, self.texts = filter, train_tokens, words, texts
         self.unseen = min(0.5, max(once, 1) / max(train_tokens, 2))
         self.weights = np.zeros(STEPS.size + 2)
 
+    def with_filter(self, filter: FoundLevels) -> Model:
+        out = copy.copy(self)
+        out.filter = filter
+        return out
+
     def parts(self, tokens: np.ndarray, before: np.ndarray, own: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """P(w), c(vw)/c(v), and the level of c(v). ``own``: what the text itself adds to each count."""
         word, inverse = np.unique(tokens, return_inverse=True)
@@ -194,23 +222,95 @@ class Model:
         return np.log10(x * ratio + (1 - x) * alone)
 
 
+def _array_of(parts: list[np.ndarray]) -> pa.Array:
+    """Each part's bytes as one value."""
+    ends = np.cumsum([0, *(x.nbytes for x in parts)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer(ends), pa.py_buffer(np.concatenate(parts))])
+
+
+def _values_of(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    return np.concatenate([np.frombuffer(b.as_buffer(), kind) for b in column] or [np.zeros(0, kind)])
+
+
+def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    block, held = TaskContext.get().partitionId() << 32, 0
+    for batch in by_bytes(batches, "text", BLOCK):
+        size = (pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0) + 16 * batch.num_rows
+        if held and held + size > BLOCK:
+            block, held = block + 1, 0
+        held += size
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, block))], [*batch.schema.names, "block"])
+
+
+def with_levels(rows: DataFrame, model: Model, stored: StoredFilter, work: Callable, schema: str) -> DataFrame:
+    """What ``with_model`` gives, by a filter that is a table."""
+    spark, segments = rows.sparkSession, stored.segments
+    rows = materialize(rows.mapInArrow(_in_blocks, T.StructType([*rows.schema.fields, T.StructField("block", T.LongType())])), "blocks")
+    # a task's n-grams of one segment: those of so many blocks that they are about 2 million at most
+    salts = -(-max(rows.agg(F.count_distinct("block")).first()[0], 1) // (4 * segments))
+    shared = spark.sparkContext.broadcast(model)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text", BLOCK):
+            blocks = batch.column("block").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                tokens, before, _ = tokens_of(*text_buffer(batch.slice(a, b - a).column("text")))
+                h = np.unique(np.concatenate([tokens, pairs_of(before, tokens)]))
+                segment = LogFrequencyFilter.segment(h, segments)
+                first = np.flatnonzero(np.append(True, segment[1:] != segment[:-1]))
+                yield pa.RecordBatch.from_arrays([pa.array(segment[first]), pa.array(np.full(first.size, blocks[a])), _array_of(np.split(h, first[1:]))], ["segment", "block", "h"])
+
+    def answer(asked: pa.Table, built: pa.Table) -> pa.Table:
+        h, inverse = np.unique(_values_of(asked.column("h"), _U), return_inverse=True)
+        filter = LogFrequencyFilter(_values_of(built.column("bits"), np.uint8), LOWEST)
+        level = np.zeros(h.size, np.uint8)
+        for kind in (0, 1):
+            at = np.flatnonzero((h & _U(1)) == _U(kind))
+            level[at] = filter.levels(h[at], kind)
+        ends = np.cumsum([len(b.as_buffer()) // 8 for b in asked.column("h")])
+        levels = _array_of(np.split(level[inverse], ends[:-1])) if asked.num_rows else pa.array([], pa.binary())
+        return pa.table({"block": asked.column("block"), "h": asked.column("h"), "level": levels})
+
+    def finish(texts: pa.Table, found: pa.Table) -> pa.Table:
+        own = shared.value.with_filter(FoundLevels(_values_of(found.column("h"), _U), _values_of(found.column("level"), np.uint8)))
+        return pa.Table.from_batches([work(batch, own) for batch in by_bytes(iter(texts.to_batches()), "text")])
+
+    salt = F.pmod(F.xxhash64("block"), F.lit(salts))
+    asked = rows.select("block", "text").mapInArrow(ask, "segment long, block long, h binary").withColumn("salt", salt)
+    built = stored.table.crossJoin(spark.range(salts).withColumnRenamed("id", "salt"))
+    found = asked.groupBy("segment", "salt").cogroup(built.groupBy("segment", "salt")).applyInArrow(answer, "block long, h binary, level binary")
+    return rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(finish, schema)
+
+
+def with_model(rows: DataFrame, model: Model, stored: StoredFilter | None, work: Callable, schema: str) -> DataFrame:
+    """``work(rows with texts, model)`` for all ``rows``; ``work`` treats each row by itself, or its results are summed up."""
+    if stored:
+        return with_levels(rows, model, stored, work, schema)
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text"):
+            yield work(batch, shared.value)
+
+    return rows.mapInArrow(run, schema)
+
+
 _BINS = np.linspace(-4, 9, 131)
 
 
-def fit_weights(model: Model, texts: DataFrame, total: int, sample: int) -> None:
+def fit_weights(model: Model, stored: StoredFilter | None, texts: DataFrame, total: int, sample: int) -> None:
     """Maximum likelihood weights by the level of the context, from at most about ``sample`` training texts."""
-    shared = texts.sparkSession.sparkContext.broadcast(model)
     drawn = texts.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(max(1, -(-total // sample)))) == 0)
 
-    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text"):
-            tokens, before, _ = tokens_of(*text_buffer(batch.column(0)))
-            alone, ratio, context = shared.value.parts(tokens, before, 1.0)
-            at = np.where(ratio > 0, 1 + np.searchsorted(_BINS, np.log10(np.maximum(ratio, 1e-300) / alone)), 0)
-            key, n = np.unique(context * 1000 + at, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+    def bins(batch: pa.RecordBatch, model: Model) -> pa.RecordBatch:
+        tokens, before, _ = tokens_of(*text_buffer(batch.column(0)))
+        alone, ratio, context = model.parts(tokens, before, 1.0)
+        at = np.where(ratio > 0, 1 + np.searchsorted(_BINS, np.log10(np.maximum(ratio, 1e-300) / alone)), 0)
+        key, n = np.unique(context * 1000 + at, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
 
-    rows = drawn.mapInArrow(bins, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
+    rows = with_model(drawn, model, stored, bins, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
     middle = 10 ** np.concatenate([[-300], _BINS[:1], (_BINS[1:] + _BINS[:-1]) / 2, _BINS[-1:]])
     for context in {r["key"] // 1000 for r in rows} - {0}:
         ratio = np.array([middle[r["key"] % 1000] for r in rows if r["key"] // 1000 == context])
@@ -232,9 +332,11 @@ def score_texts(docs: DataFrame, max_filter_bytes: int = 64 << 20, max_words: in
     end = int((END & ~_U(1)).view(_I))
     facts = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("n") == 1).alias("once"), F.max(F.when(F.col("h") == end, F.col("n"))).alias("texts")).first()
     n, v, texts = facts["n"] or 0, facts["v"], facts["texts"] or 0
-    model = Model(build_filter(counts, max_filter_bytes), n, v, facts["once"], texts)
+    filter = build_filter(counts, max_filter_bytes)
+    stored = filter if isinstance(filter, StoredFilter) else None
+    model = Model(None if stored else filter, n, v, facts["once"], texts)
     if texts:
-        fit_weights(model, train, texts, tune_texts)
+        fit_weights(model, stored, train, texts, tune_texts)
     bands = sorted(((r["band"], r["count"]) for r in words.groupBy(F.floor(F.log2("n")).alias("band")).count().collect()), reverse=True)
     least, kept = 1, 0
     for band, count in bands:
@@ -244,13 +346,13 @@ def score_texts(docs: DataFrame, max_filter_bytes: int = 64 << 20, max_words: in
             break
     table = words.where(F.col("n") >= least).toArrow()
     order = np.argsort(h := table.column("h").to_numpy().view(_U))
-    shared = spark.sparkContext.broadcast((model, h[order], table.column("n").to_numpy()[order]))
+    shared = spark.sparkContext.broadcast((h[order], table.column("n").to_numpy()[order]))
     del table, h
     each = np.log10(n + v + 1)
 
     def known(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts of tokens that are frequent enough, and which those are."""
-        _, h, counts = shared.value
+        h, counts = shared.value
         if not h.size:
             return np.zeros(tokens.size, _I), np.zeros(tokens.size, bool)
         distinct, inverse = np.unique(tokens, return_inverse=True)
@@ -258,17 +360,16 @@ def score_texts(docs: DataFrame, max_filter_bytes: int = 64 << 20, max_words: in
         ok = h[at] == distinct
         return np.where(ok, counts[at], 0)[inverse], ok[inverse]
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text"):
-            tokens, before, bounds = tokens_of(*text_buffer(batch.column(2)))
-            rows, size = row_ids(bounds), batch.num_rows
-            count, ok = known(tokens)
-            base = np.bincount(rows, np.log10(count + 1.0), size) - np.diff(bounds) * each
-            whole = np.bincount(rows, shared.value[0].log10(tokens, before), size)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(np.diff(bounds)), pa.array(np.bincount(rows, ok, size).astype(_I)), pa.array(base), pa.array(whole)], ["doc_id", "text_key", "held_out", "n_tokens", "n_known", "base_score", "score"])
+    def score(batch: pa.RecordBatch, model: Model) -> pa.RecordBatch:
+        tokens, before, bounds = tokens_of(*text_buffer(batch.column(2)))
+        rows, size = row_ids(bounds), batch.num_rows
+        count, ok = known(tokens)
+        base = np.bincount(rows, np.log10(count + 1.0), size) - np.diff(bounds) * each
+        whole = np.bincount(rows, model.log10(tokens, before), size)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(np.diff(bounds)), pa.array(np.bincount(rows, ok, size).astype(_I)), pa.array(base), pa.array(whole)], ["doc_id", "text_key", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", "text_key", "text", held_out().alias("held_out")).mapInArrow(score, f"doc_id {kind}, text_key long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    scored = with_model(docs.select("doc_id", "text_key", "text", held_out().alias("held_out")), model, stored, score, f"doc_id {kind}, text_key long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     if least > 1:
         scored = _with_rare(scored, docs, words.where(F.col("n") < least), known, kind)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -1,6 +1,7 @@
 """The operators against brute force, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import base64
+import functools
 import hashlib
 import io
 import random
@@ -112,6 +113,14 @@ def test_op2(docs, none, most):
     assert op2_bloom_lm.score_texts(none).count() == 0
 
 
+def test_op2_scores_do_not_depend_on_the_bound_of_the_broadcast(docs, none, monkeypatch):
+    rows = docs.select("doc_id", "text").collect()
+    monkeypatch.setattr(op2_bloom_lm, "build_filter", functools.partial(op2_bloom_lm.build_filter, bits_each=10_000))  # many segments
+    whole, stored = ([tuple(r) for r in op2_bloom_lm.score_texts(docs, max_filter_bytes=most).collect()] for most in (1 << 30, 1 << 19))
+    assert len(stored) == len(rows) and sorted(stored, key=str) == sorted(whole, key=str)
+    assert op2_bloom_lm.score_texts(none, max_filter_bytes=0).count() == 0
+
+
 def test_filter_levels_are_never_low():
     h = textscan.mix(np.arange(3000, dtype=np.uint64))
     n = np.random.default_rng(1).integers(1, 500, 3000)
