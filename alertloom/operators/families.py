@@ -229,13 +229,17 @@ def simple_aggregates(prepared: DataFrame, config: EngineConfig) -> DataFrame:
     return grouped(prepared, out | {f"{t}_share": share_where(_type(t)) for t in config.types})
 
 
-def sequences(history: DataFrame, config: EngineConfig, length: int) -> DataFrame:
-    """The last ``length`` transactions in order as an array of (mask, channels): amount, log age, direction, one-hot type, hour on a circle."""
-    w = per_alert(True)
-    rows = history.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= length)
+def sequences(prepared: DataFrame, alerts: DataFrame, config: EngineConfig, length: int) -> DataFrame:
+    """The last ``length`` transactions before each alert, burst included, in order and padded in front with zeros; all zeros for an alert without any.
+
+    Channels: mask, one-hot type, direction, amount, log age / 5.2, log hours since the transaction before / 5, hour on a circle, weekend, burst.
+    """
+    gap = F.expr("timestampdiff(SECOND, before, tx_ts)") / F.lit(3600.0)
+    rows = prepared.withColumn("before", F.lag("tx_ts").over(per_alert())).withColumn("rk", F.row_number().over(per_alert(True))).where(F.col("rk") <= length)
     turn = F.lit(2 * 3.141592653589793 / 24)
-    step = F.array(F.lit(1.0), F.col("amount"), F.log1p("age"), F.col("is_in").cast("double"), *(_type(t).cast("double") for t in config.types), F.sin(F.col("hour") * turn), F.cos(F.col("hour") * turn))
+    step = F.array(F.lit(1.0), *(_type(t).cast("double") for t in config.types), F.col("is_in").cast("double"), F.col("amount"), F.log1p("age") / 5.2, F.log1p(F.coalesce(gap, F.lit(0.0))) / 5.0, F.sin(F.col("hour") * turn), F.cos(F.col("hour") * turn), (F.col("wday") >= 5).cast("double"), (F.col("seconds") <= config.burst_seconds).cast("double"))
     steps = rows.groupBy("alert_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("rk")).alias("o"), step.cast("array<float>").alias("s")))).alias("steps"))
-    width = 6 + len(config.types)
-    pad = F.array_repeat(F.array_repeat(F.lit(0.0).cast("float"), width), F.lit(length) - F.size("steps"))
-    return steps.select("alert_id", F.concat(pad, F.transform("steps", lambda x: x["s"])).alias("sequence"))
+    width = 9 + len(config.types)
+    all_steps = alerts.select("alert_id").join(steps, "alert_id", "left").withColumn("found", F.coalesce(F.transform("steps", lambda x: x["s"]), F.array().cast("array<array<float>>")))
+    pad = F.array_repeat(F.array_repeat(F.lit(0.0).cast("float"), width), F.lit(length) - F.size("found"))
+    return all_steps.select("alert_id", F.concat(pad, "found").alias("sequence"))

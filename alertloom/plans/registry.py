@@ -412,7 +412,8 @@ def feature_matrix_lineitem(spark, sf_dir):
 
 @_query()
 def sequence_arrays(spark, sf_dir):
-    return families.sequences(_history(spark, sf_dir), C, 32)
+    alerts, tx = tables.events(spark, sf_dir)
+    return families.sequences(prepare(tx, alerts), alerts, C, 32)
 
 
 # ---- statistics on labelled documents

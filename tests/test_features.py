@@ -135,3 +135,20 @@ def test_stream_of_velocity(spark, tmp_path):
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
     out = replay(spark, f"{tmp_path}/in", schema, f"{tmp_path}/check", f"{tmp_path}/out", "*.parquet")
     assert out.where("alert_id = 1").agg(F.max("n")).first()[0] == 2
+
+
+def test_sequences_hold_the_last_transactions_with_the_burst(spark):
+    length, rows = 4, ROWS + [("a", 100, "in", "card", 7), ("c", 200, "in", "cash", 4)]
+    got = {r["alert_id"]: r["sequence"] for r in families.sequences(prepare(table(spark, rows), alerts(spark, "a", "b", "c", "none")), alerts(spark, "a", "b", "c", "none"), C, length).collect()}
+    assert set(got) == {"a", "b", "c", "none"}
+    for alert, sequence in got.items():
+        mine = sorted((-s, d, t, x, s) for a, s, d, t, x in rows if a == alert)
+        steps = []
+        for k, (_, d, t, x, s) in enumerate(mine):
+            at, gap = DATE - timedelta(seconds=s), (mine[k - 1][4] - s) / 3600 if k else 0
+            turn = at.hour * 2 * math.pi / 24
+            steps.append((s, d, t, x, [1, *(t == y for y in C.types), d == "in", x, math.log1p(s / 86400) / 5.2, math.log1p(gap) / 5, math.sin(turn), math.cos(turn), at.weekday() >= 5, s <= C.burst_seconds]))
+        last = sorted(steps)[:length][::-1]
+        want = [[0] * 13] * (length - len(last)) + [y[4] for y in last]
+        assert len(sequence) == length and all(len(y) == 13 for y in sequence)
+        assert sequence == [pytest.approx([float(v) for v in y], abs=1e-6) for y in want]
