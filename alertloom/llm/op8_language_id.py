@@ -2,12 +2,14 @@
 
 Each language has a probability for every piece of a fixed public vocabulary (and for every single byte, so that any text has one). The
 score of a word is the sum over all its segmentations into pieces of the product of their probabilities, found by the forward algorithm; a
-text's is the product over its words. Probabilities are learned with expectation-maximisation from a sample of at most ``max_train_docs``
-labelled texts. The forward algorithm runs over the distinct words of a batch, grouped by length.
-
-Defined cases: a null text or one without a letter gets ``und`` and score 0; words of over 64 bytes are scored in runs of 64; rows without
-lang teach nothing, nor do null texts; without any labelled text all get ``und``; equal posteriors go to the language that sorts first;
-extra columns are ignored by the digest and carried by the filter.
+text's is the product over its words. Probabilities are learned with expectation-maximisation from a sample of about ``max_train_docs``
+distinct labelled texts. The forward algorithm runs over the distinct words of a batch, grouped by length; through words of over 64 bytes it
+runs one by one in blocks, carrying only the sums of the last positions, so a text without blanks is summed over all its segmentations too.
+Pieces with a mark of a word's start inside can't occur in a word and are left out.
+
+Defined cases: a null text or one without a letter gets ``und`` and score 0; rows without lang teach nothing, nor do null texts; copies of a
+text count once a language, and each language has one text at least; without any labelled text all get ``und``; equal posteriors go to the
+language that sorts first; extra columns are ignored by the digest and carried by the filter.
 """
 
 from __future__ import annotations
@@ -23,7 +25,9 @@ from .textscan import any_in_rows, by_bytes, mix, row_ids, scan_words, text_buff
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
+#: Words of more bytes are summed in blocks with sums that are scaled again and again.
 LONGEST = 64
+BLOCK = 1 << 15
 #: A factor for every byte, which keeps products of probabilities of 64 bytes within the range of floats.
 SCALE = 2.0**9
 
@@ -45,7 +49,7 @@ class Pieces:
         for i in range(model.get_piece_size()):
             if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
                 text = model.id_to_piece(i).replace("▁", "\x01").encode()
-                if len(text) <= 24 and b"\x01" not in text[1:]:
+                if b"\x01" not in text[1:]:
                     found.add(text)
         self.texts = sorted(found)
         self.longest = max(map(len, self.texts))
@@ -79,6 +83,24 @@ class Pieces:
                 out[start + size][size - 1] = (rows, self.order[at] if rows.size else rows)
         return out
 
+    def ending(self, word: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and number of the pieces in one word that end in (a, b], in the order of their ends."""
+        low, found = max(0, a - self.longest + 1), []
+        h = np.zeros(b - low, _U)
+        for size in range(1, self.longest + 1):
+            h = h[: max(0, b - low - size + 1)]
+            if not h.size:
+                break
+            h = h * _BASE + (word[low + size - 1 : b].astype(_U) + _U(1))
+            m = mix(h)
+            at = np.minimum(np.searchsorted(self.keys, m), self.keys.size - 1)
+            start = np.flatnonzero(self.keys[at] == m)
+            found.append((low + start, low + start + size, self.order[at[start]]))
+        start, end, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.flatnonzero(end > a)
+        order = order[np.argsort(end[order], kind="stable")]
+        return start[order], end[order], piece[order]
+
 
 def forward(words: np.ndarray, pieces: Pieces, table: np.ndarray, found=None) -> np.ndarray:
     """Sums over all segmentations of prefixes: [end, word, language]. ``table``: probability of each piece in each language, times SCALE to the power of its size."""
@@ -117,23 +139,80 @@ def expected(words: np.ndarray, weights: np.ndarray, pieces: Pieces, table: np.n
     return out
 
 
+def _scaled_window(sums: np.ndarray, logs: np.ndarray | None, low: int, high: int, scale: np.ndarray) -> np.ndarray:
+    """Bring rows low to high - 1 back to a size of about one, and return the logarithm of their factor."""
+    most = sums[low:high].max(0)
+    most[most <= 0] = 1
+    sums[low:high] /= most
+    scale = scale + np.log(most)
+    if logs is not None:
+        logs[low:high] = scale
+    return scale
+
+
+def _ahead(word: np.ndarray, a: int, b: int, carry: np.ndarray, scale: np.ndarray, pieces: Pieces, table: np.ndarray):
+    """Forward sums of the ends in (a, b]. ``carry``: those of the last ``longest`` ends up to a, in units of exp(``scale``).
+
+    Returns the sums from a - longest + 1 on, the logarithms of their units, the unit of the last ones, and the pieces: rows of their starts and ends, numbers, probabilities.
+    """
+    width = pieces.longest
+    start, end, piece = pieces.ending(word, a, b)
+    begins, ends, chance = start - a + width - 1, end - a + width - 1, table[piece]
+    first = np.searchsorted(end, np.arange(a + 1, b + 2)).tolist()
+    sums, logs = np.zeros((width + b - a, table.shape[1])), np.zeros((width + b - a, table.shape[1]))
+    sums[:width], logs[:width] = carry, scale
+    for k in range(b - a):
+        i, j, row = first[k], first[k + 1], width + k
+        sums[row], logs[row] = np.einsum("ij,ij->j", sums[begins[i:j]], chance[i:j]), scale
+        if k & 15 == 15:
+            scale = _scaled_window(sums, logs, row - width + 1, row + 1, scale)
+    return sums, logs, scale, (begins, ends, piece, chance)
+
+
+def long_word(word: np.ndarray, pieces: Pieces, table: np.ndarray, weight: np.ndarray | None = None, total: np.ndarray | None = None) -> np.ndarray:
+    """The logarithm of the sum over all segmentations of one word of any length, by language. With ``weight``, its expected counts are added to ``total``."""
+    width, n = pieces.longest, word.size
+    carry, scale, kept = np.zeros((width, table.shape[1])), np.zeros(table.shape[1]), []
+    carry[-1] = 1
+    for a in range(0, n, BLOCK):
+        kept.append((a, carry, scale))
+        sums, _, scale, _ = _ahead(word, a, min(a + BLOCK, n), carry, scale, pieces, table)
+        carry = sums[-width:].copy()
+    whole = np.log(carry[-1]) + scale
+    if weight is None:
+        return whole
+    behind, back_scale = np.zeros((width, table.shape[1])), np.zeros(table.shape[1])
+    behind[-1] = 1
+    for a, carry, scale in reversed(kept):
+        b = min(a + BLOCK, n)
+        sums, logs, _, (begins, ends, piece, chance) = _ahead(word, a, b, carry, scale, pieces, table)
+        first = np.searchsorted(ends, np.arange(width, width + b - a + 1)).tolist()
+        back, back_logs = np.zeros_like(sums), np.zeros_like(logs)
+        back[-width:] = behind
+        for k in range(b - a - 1, -1, -1):
+            i, j, row = first[k], first[k + 1], width + k
+            back_logs[row] = back_scale
+            back[begins[i:j]] += chance[i:j] * back[row]
+            if k & 15 == 0:
+                back_scale = _scaled_window(back, None, row - width, row, back_scale)
+        behind = back[:width].copy()
+        share = sums[begins] * chance * back[ends] * np.exp(logs[begins] + back_logs[ends] - whole)
+        np.add.at(total, piece, share * weight)
+    return whole
+
+
 def distinct_words(data: np.ndarray, offsets: np.ndarray):
-    """Matrices of the distinct words of a batch by length, each with the index of its words; the index of each word of the text; its row."""
+    """The distinct words of a batch: matrices of those of one length, each with the index of its words, and the long ones with their index; then the index of each word of the text, its row, and how many are distinct."""
     starts, lengths, hashes, bounds = scan_words(data, offsets, fold=False)
-    rows = row_ids(bounds)
-    if lengths.size and int(lengths.max()) > LONGEST:
-        runs = -(-lengths // LONGEST)
-        part = np.arange(int(runs.sum())) - np.repeat(np.cumsum(runs) - runs, runs)
-        starts, rows, hashes = np.repeat(starts, runs) + part * LONGEST, np.repeat(rows, runs), mix(np.repeat(hashes, runs) + part.astype(_U))
-        lengths = np.minimum(np.repeat(lengths, runs) - part * LONGEST, LONGEST)
     _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-    groups = []
-    for n in np.unique(lengths[first]).tolist():
-        at = np.flatnonzero(lengths[first] == n)
+    groups, size = [], lengths[first]
+    for n in np.unique(size[size <= LONGEST]).tolist():
+        at = np.flatnonzero(size == n)
         words = np.ones((at.size, n + 1), np.uint8)
         words[:, 1:] = data[starts[first[at]][:, None] + np.arange(n)]
         groups.append((at, words))
-    return groups, inverse, rows, first.size
+    long = [(k, np.append(np.uint8(1), data[starts[first[k]] : starts[first[k]] + size[k]])) for k in np.flatnonzero(size > LONGEST).tolist()]
+    return groups, long, inverse, row_ids(bounds), first.size
 
 
 _PIECES: dict[str, Pieces] = {}
@@ -155,18 +234,18 @@ def held_out(doc_id: str = "doc_id", modulus: int = 3, remainder: int = 1):
 
 
 def learn(docs: DataFrame, vocabulary: str | None = None, max_train_docs: int = 6000, rounds: int = 3, prior: float = 0.01, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
-    """The languages, sorted, and the scaled piece probabilities. Every labelled row may be drawn; the sample follows the hash of its text."""
+    """The languages, sorted, and the scaled piece probabilities. Every distinct labelled text may be drawn; the sample follows its hash."""
     vocabulary = vocabulary or default_vocabulary()
-    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(text), F.lit(8)).alias("h"))
+    counts = {r["lang"]: r for r in labelled.groupBy("lang").agg(F.count_distinct("h").alias("n"), F.min("h").alias("least")).collect()}  # a row a language
     languages = sorted(counts)
     pieces = _pieces(vocabulary)
     if not languages:
         return [], np.zeros((len(pieces.texts), 0))
     each = max(1, max_train_docs // len(languages))
-    share = F.create_map(*(x for name, n in counts.items() for x in (F.lit(name), F.lit(min(1.0, each / n)))))
-    drawn = F.pmod(F.xxhash64("text", F.lit(8)), F.lit(1_000_000)) < F.try_element_at(share, F.col("lang")) * 1_000_000
-    sample = labelled.where(drawn).select("text", (F.array_position(F.array(*map(F.lit, languages)), F.col("lang")) - 1).cast("int").alias("k"))
+    of = lambda value: F.try_element_at(F.create_map(*(x for name, r in counts.items() for x in (F.lit(name), F.lit(value(r))))), F.col("lang"))
+    drawn = (F.pmod("h", F.lit(1_000_000)) < of(lambda r: min(1.0, each / r["n"])) * 1_000_000) | (F.col("h") == of(lambda r: r["least"]))
+    sample = labelled.where(drawn).dropDuplicates(["lang", "h"]).select("text", (F.array_position(F.array(*map(F.lit, languages)), F.col("lang")) - 1).cast("int").alias("k"))
     sample = sample.repartition(16).cache()
     table = _scaled(np.ones((len(pieces.texts), len(languages))), pieces, prior)
     for _ in range(rounds):
@@ -175,11 +254,13 @@ def learn(docs: DataFrame, vocabulary: str | None = None, max_train_docs: int =
         def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             pieces, total = _pieces(vocabulary), np.zeros_like(shared.value)
             for batch in by_bytes(batches, "text"):
-                groups, inverse, rows, n = distinct_words(*text_buffer(batch.column(0)))
+                groups, long, inverse, rows, n = distinct_words(*text_buffer(batch.column(0)))
                 k = batch.column(1).to_numpy(zero_copy_only=False)
                 weights = np.bincount(inverse * total.shape[1] + k[rows], minlength=n * total.shape[1]).reshape(n, -1).astype(float)
                 for at, words in groups:
                     total += expected(words, weights[at], pieces, shared.value)
+                for i, word in long:
+                    long_word(word, pieces, shared.value, weights[i], total)
             at = np.flatnonzero(total.any(1))
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(list(total[at]), pa.list_(pa.float64()))], ["piece", "n"])
 
@@ -205,12 +286,14 @@ def identify(docs: DataFrame, languages: list[str], table: np.ndarray, vocabular
         pieces = _pieces(vocabulary)
         for batch in by_bytes(batches, text, 4 << 20):
             data, offsets = text_buffer(batch.column(place))
-            groups, inverse, rows, n = distinct_words(data, offsets)
+            groups, long, inverse, rows, n = distinct_words(data, offsets)
             score = np.zeros((n, len(languages)))
             for at, words in groups:
                 for k in range(0, at.size, 8192):
                     part = slice(k, k + 8192)
                     score[at[part]] = np.log(np.maximum(forward(words[part], pieces, shared.value)[-1], 1e-300))
+            for i, word in long:
+                score[i] = long_word(word, pieces, shared.value)
             whole = np.stack([np.bincount(rows, score[inverse, k], batch.num_rows) for k in range(len(languages))], 1)
             whole -= whole.max(1, keepdims=True)
             chance = np.exp(whole)

@@ -323,6 +323,24 @@ def test_forward_sums_all_segmentations():
         assert op8_language_id.forward(np.frombuffer(text, np.uint8)[None], pieces, table)[-1][0] == pytest.approx(brute(text))
 
 
+def test_long_words_are_summed_over_all_segmentations(monkeypatch):
+    pieces = op8_language_id._pieces(op8_language_id.default_vocabulary())
+    table = np.random.default_rng(3).random((len(pieces.texts), 2)) / 3
+    number = {t: k for k, t in enumerate(pieces.texts)}
+    monkeypatch.setattr(op8_language_id, "BLOCK", 48)
+    for text in (b"\x01" + b"theinternationalizationofwords" * 20, b"\x01" + "Становништво日本été".encode() * 11):
+        logs = [np.zeros(2)]
+        for end in range(1, len(text) + 1):
+            parts = [logs[end - k] + np.log(table[number[text[end - k : end]]]) for k in range(1, min(end, pieces.longest) + 1) if text[end - k : end] in number]
+            logs.append(np.logaddexp.reduce(parts))
+        assert op8_language_id.long_word(np.frombuffer(text, np.uint8), pieces, table) == pytest.approx(logs[-1], rel=1e-12)
+        word, weight, got = np.frombuffer(text[:130], np.uint8), np.array([2.0, 3.0]), np.zeros_like(table)
+        op8_language_id.long_word(word, pieces, table, weight, got)
+        assert got == pytest.approx(op8_language_id.expected(word[None], weight[None], pieces, table), abs=1e-9)
+    groups, long, inverse, rows, n = op8_language_id.distinct_words(*textscan.text_buffer(pa.array(["ab " + "é" * 40 + " ab", None, "é" * 40])))
+    assert n == 2 and rows.tolist() == [0, 0, 0, 2] and len(groups) == 1 and long[0][1].tobytes() == b"\x01" + "é".encode() * 40
+
+
 def test_op10(docs, none):
     rows = docs.collect()
     sets = []
