@@ -1,10 +1,11 @@
 """Token-ID output: flat unsigned integer files with 64-bit document offsets, written by partition and memory-mapped again.
 
-Rows are range-partitioned by doc_id, so that partition k holds smaller ids than partition k+1; each task streams its ids into one flat
+Rows are range-partitioned by doc_id and a hash of the text, so that partition k holds smaller ids than partition k+1 and one doc_id with
+very many rows is spread; the samples that set the ranges hold two integers a row, never a text. Each task streams its ids into one flat
 file and writes an index beside it. The first position of a partition is the prefix sum of the token counts before it (one row a partition).
 
-Defined cases: a null text counts as empty (only the end id); rows without doc_id come first; repeated doc_ids are kept, ordered by text; an
-empty table gives no files and no rows; columns other than the two named are ignored.
+Defined cases: a null text counts as empty (only the end id); rows without doc_id come first; repeated doc_ids are kept, in the order of the
+hash of their texts; an empty table gives no files and no rows; columns other than the two named are ignored.
 """
 
 from __future__ import annotations
@@ -61,8 +62,9 @@ def write_token_files(docs: DataFrame, folder: str | None = None, tokenizer: str
                 f.write(x.tobytes())
         yield pa.RecordBatch.from_pylist([{"part": part, "tokens_path": tokens, "index_path": index, "n_docs": n, "n_tokens": total, "width": width}], schema=pa.schema([("part", pa.int64()), ("tokens_path", pa.string()), ("index_path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32())]))
 
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    rows = rows.repartitionByRange(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), F.xxhash64(text_column).alias("tie"))
+    order = [F.asc_nulls_first("doc_id"), F.asc("tie")]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     manifest = materialize(rows.mapInArrow(write, _MANIFEST), "token-manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
