@@ -1,16 +1,20 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
 Counts of words and word pairs of the training texts are quantised on a log scale. The filter holds (n-gram, level) for every level up to
-its own; a worker finds a count by probing one level after the other until a probe fails. The probability of a word is the interpolation
+its own, pairs seen once included; a worker finds a count by probing one level after the other until a probe fails. The probability of a
+word is Bayesian with a Dirichlet prior along the single words,
 
-    P(w|v) = x * c(vw)/c(v) + (1 - x) * P(w),   x by the level of c(v), fitted with each sampled text's own counts taken out,
+    P(w|v) = (c(vw) + k P(w)) / (c(v) + k),
 
-where P(w) shares out the mass of words seen once among unseen words. Pairs seen once are no part of the model, at any size. The filter grows
-with the counts, each of its segments built by one task. Up to ``max_filter_bytes`` it is broadcast; a larger one stays a table of segments:
-blocks of texts send their distinct n-grams to the segments and get the levels back, so scores are the same on either way.
+with the fixed parameter k = ``prior``; P(w) shares out the mass of words seen once among unseen words. Nothing is fitted on a sample.
 
-The unigram ``base_score`` needs exact counts. Words from a count that at most ``max_words`` words reach are broadcast with it; tokens that
-are rarer go to their counts through a join.
+N-grams are dealt into shards by the first bits of their hashes, and each shard has its own part of the filter. Map tasks add up runs of
+about three million tokens and send a shard its hashes and counts as two packed columns, so a shard is one group of a size that follows from
+the text (``SHARD`` bytes of it), whatever the texts are. The filter grows with the counts. While filter and word counts are small
+(``max_filter_bytes``, ``max_words``) they are broadcast; beyond that they stay a table of shards: blocks of texts send their distinct
+n-grams to the shards and get levels and counts back. Scores are the same on either way.
+
+The unigram ``base_score`` has exact counts of words (64-bit hashes). Pairs are told apart by 48 bits and those that choose the shard.
 
 Defined cases: words are lower-cased (A-Z); a null text has the end token only; rows without doc_id are trained on; without training texts
 every word is unseen; rows with equal doc_id and text get equal scores, each its own row; extra columns are ignored.
@@ -18,34 +22,28 @@ every word is unseen; rows with equal doc_id and text get equal scores, each its
 
 from __future__ import annotations
 
-import copy
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .storage import materialize
 from .textscan import by_bytes, mix, row_ids, scan_words, text_buffer
 
 _U = np.uint64
 _I = np.int64
-END = mix(np.array([0xE0D], _U))[0]
-BEGIN = mix(np.array([0xBE61], _U))[0]
-SEGMENT_BITS = 1 << 22
+END = mix(np.array([0xE0D], _U))[0] & ~_U(1)
+BEGIN = mix(np.array([0xBE61], _U))[0] & ~_U(1)
 PROBES = 4
-#: Lowest level of words and of pairs in the filter.
-LOWEST = (1, 2)
-#: Bytes of text whose n-grams are looked up together where the filter is a table.
-BLOCK = 4 << 20
+#: Bytes of text for one shard of the filter and for one block of texts. Beyond ``SHARDS`` of them, shards get up to eight times as much.
+SHARD, SHARDS = 16 << 20, 4096
 #: Smallest count of each level, from level 1.
 STEPS = np.unique(np.ceil(1.5 ** np.arange(0, 100)).astype(np.float64))
 #: What a level stands for, from level 0.
 VALUES = np.concatenate([[0.0], (STEPS[:-1] + STEPS[1:] - 1) / 2, STEPS[-1:]])
+_LOW = _U((1 << 48) - 1)
 
 
 def level_of(n: np.ndarray) -> np.ndarray:
@@ -55,11 +53,11 @@ def level_of(n: np.ndarray) -> np.ndarray:
 def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Token hashes (words, then the end, of each row; even numbers), the token before each, and the bounds of the rows."""
     _, _, words, bounds = scan_words(data, offsets)
-    tokens = np.insert(words, bounds[1:], END) & ~_U(1)
+    tokens = np.insert(words & ~_U(1), bounds[1:], END)
     bounds = bounds + np.arange(bounds.size)
     before = np.empty_like(tokens)
     before[1:] = tokens[:-1]
-    before[bounds[:-1]] = BEGIN & ~_U(1)
+    before[bounds[:-1]] = BEGIN
     return tokens, before, bounds
 
 
@@ -72,324 +70,242 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def ngram_counts(texts: DataFrame) -> DataFrame:
-    """h, n: words (even h) with their counts, and pairs (odd h) seen twice or more. ``texts``: one column."""
+def shard_bits(text_bytes: int) -> int:
+    """The shards' number is 2 to this power."""
+    n = -(-text_bytes // SHARD)
+    return min(40, (n if n <= SHARDS else max(SHARDS, -(-n // 8))).bit_length())
 
-    def merged(h: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        h, n = np.concatenate(h), np.concatenate(n)
-        order = np.argsort(h, kind="stable")
-        h, n = h[order], n[order]
-        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        return h[first], np.add.reduceat(n, first)
 
-    def out(h: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for k in range(0, h.size, 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(h[k : k + 200_000].view(_I)), pa.array(n[k : k + 200_000].astype(_I))], ["h", "n"])
+def _shard(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> _U(64 - bits)).astype(_I) if bits else np.zeros(h.size, _I)
+
+
+def _cuts(h: np.ndarray, bits: int, shards: np.ndarray) -> np.ndarray:
+    """Where each of the shards begins among sorted hashes, and where the last one ends."""
+    of = _shard(h, bits)
+    return np.append(np.searchsorted(of, shards), np.searchsorted(of, shards[-1:], "right")) if shards.size else np.zeros(1, _I)
+
+
+def _pack_pairs(h: np.ndarray) -> bytes:
+    return h.astype(np.uint32).tobytes() + (h >> _U(32)).astype(np.uint16).tobytes()
+
+
+def _unpack_pairs(data: bytes) -> np.ndarray:
+    n = len(data) // 6
+    return np.frombuffer(data, np.uint32, n).astype(_U) | (np.frombuffer(data, np.uint16, n, 4 * n).astype(_U) << _U(32))
+
+
+def _places(key: np.ndarray, level: np.ndarray | int, size: np.ndarray | int) -> Iterator[np.ndarray]:
+    """The bits of (n-gram, level) in a shard of ``size`` bits."""
+    g = mix(key + np.asarray(level).astype(_U) * _U(0xA0761D6478BD642F))
+    high, low, size = g >> _U(32), (g & _U(0xFFFFFFFF)) | _U(1), np.asarray(size).astype(_U)
+    for k in range(PROBES):
+        yield ((((high + _U(k) * low) & _U(0xFFFFFFFF)) * size) >> _U(32)).astype(_I)
+
+
+def shard_table(texts: DataFrame, bits: int, bits_each: int = 10) -> DataFrame:
+    """A row a shard that has n-grams: shard, bits (of the filter), words (sorted hashes) and their counts, and sums. ``texts``: one column."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        def out() -> pa.RecordBatch:
+            word, times = np.unique(np.concatenate(words), return_counts=True)
+            pair, pair_times = np.unique(np.concatenate(pairs), return_counts=True)
+            more = -(-pair_times // 255)  # a count takes one byte; larger ones are several entries
+            if (more > 1).any():
+                last = np.cumsum(more) - 1
+                pair, one = np.repeat(pair, more), np.full(int(more.sum()), 255, _I)
+                one[last] = pair_times - 255 * (more - 1)
+                pair_times = one
+            shards = np.unique(np.concatenate([_shard(word, bits), _shard(pair, bits)]))
+            a, b = _cuts(word, bits, shards).tolist(), _cuts(pair, bits, shards).tolist()
+            times, pair_times = times.astype(np.uint32), pair_times.astype(np.uint8)
+            columns = ([word[i:j].tobytes() for i, j in zip(a[:-1], a[1:], strict=True)], [times[i:j].tobytes() for i, j in zip(a[:-1], a[1:], strict=True)], [_pack_pairs(pair[i:j]) for i, j in zip(b[:-1], b[1:], strict=True)], [pair_times[i:j].tobytes() for i, j in zip(b[:-1], b[1:], strict=True)])
+            return pa.RecordBatch.from_arrays([pa.array(shards), *(pa.array(c, pa.binary()) for c in columns)], ["shard", "words", "times", "pairs", "pair_times"])
+
+        words, pairs, size = [], [], 0
         for batch in by_bytes(batches, "text", 4 << 20):
             tokens, before, _ = tokens_of(*text_buffer(batch.column(0)))
-            held += [tokens, pairs_of(before, tokens)]
-            size += 2 * tokens.size
-            if size > 6_000_000:
-                yield from out(*np.unique(np.concatenate(held), return_counts=True))
-                held, size = [], 0
-        if held:
-            yield from out(*np.unique(np.concatenate(held), return_counts=True))
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column(0).to_numpy().view(_U), b.column(1).to_numpy()) for b in batches if b.num_rows]
-        if parts:
-            h, n = merged(*(list(x) for x in zip(*parts, strict=True)))
-            kept = (n > 1) | (h & _U(1) == 0)
-            yield from out(h[kept], n[kept])
-
-    return texts.mapInArrow(count, "h long, n long").repartition("h").mapInArrow(total, "h long, n long")
-
-
-class LogFrequencyFilter:
-    """Levels of n-grams in one bit array, in segments by the n-gram's hash. ``lowest``: the lowest stored level of words and of pairs."""
-
-    def __init__(self, bits: np.ndarray, lowest: tuple[int, int]):
-        self.bits, self.lowest = bits, lowest
-        self.segments = max(1, bits.size * 8 // SEGMENT_BITS)
-
-    @staticmethod
-    def segment(h: np.ndarray, segments: int) -> np.ndarray:
-        return ((h >> _U(32)) * _U(segments) >> _U(32)).astype(_I)
-
-    @staticmethod
-    def place(h: np.ndarray, level: np.ndarray | int, k: int) -> np.ndarray:
-        """The k-th bit of (n-gram, level) within its segment."""
-        g = mix(h + np.array([level]).ravel().astype(_U) * _U(0xA0761D6478BD642F))
-        return ((g + _U(k) * ((g >> _U(42)) | _U(1))) & _U(SEGMENT_BITS - 1)).astype(_I)
-
-    def levels(self, h: np.ndarray, kind: int) -> np.ndarray:
-        """The level of each n-gram, 0 if it isn't stored. ``kind``: 0 words, 1 pairs."""
-        out = np.zeros(h.size, _I)
-        if not self.bits.size:
-            return out
-        live, level = np.arange(h.size), self.lowest[kind]
-        start = self.segment(h, self.segments) * SEGMENT_BITS
-        while live.size and level <= STEPS.size:
-            for k in range(PROBES):
-                at = start[live] + self.place(h[live], level, k)
-                live = live[(self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
-            out[live] = level
-            level += 1
-        return out
-
-
-class StoredFilter:
-    """A filter as a table (segment, bits)."""
-
-    def __init__(self, table: DataFrame, segments: int):
-        self.table, self.segments = table, segments
-
-
-class FoundLevels:
-    """Levels that were looked up before, in place of the filter."""
-
-    def __init__(self, h: np.ndarray, level: np.ndarray):
-        order = np.argsort(h)
-        self.h, self.level = h[order], level[order].astype(_I)
-
-    def levels(self, h: np.ndarray, kind: int) -> np.ndarray:
-        return self.level[np.searchsorted(self.h, h)]
-
-
-def build_filter(counts: DataFrame, max_bytes: int = 64 << 20, bits_each: int = 10) -> LogFrequencyFilter | StoredFilter:
-    """All levels of all counts; a table if that takes more than ``max_bytes``."""
-    steps = F.array(*(F.lit(float(s)) for s in STEPS))
-    level = F.size(F.filter(steps, lambda s: s <= F.col("n").cast("double")))
-    low = F.when(F.col("h").bitwiseAND(F.lit(1)) == 1, LOWEST[1]).otherwise(LOWEST[0])
-    stored = counts.select("h", level.alias("level")).where(F.col("level") >= low)
-    size = (stored.agg(F.sum(F.col("level") - low + 1)).first()[0] or 0) * bits_each
-    segments = -(-size // SEGMENT_BITS)
-    if not segments:
-        return LogFrequencyFilter(np.zeros(0, np.uint8), LOWEST)
+            words.append(tokens)
+            pairs.append(pairs_of(before, tokens))
+            size += tokens.size
+            if size > 3_000_000:
+                yield out()
+                words, pairs, size = [], [], 0
+        if words:
+            yield out()
+
+    def summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(h, kind="stable")
+        h, n = h[order], n[order].astype(_I)
+        first = np.flatnonzero(np.append(h.size > 0, h[1:] != h[:-1]))
+        return h[first], np.add.reduceat(n, first) if first.size else n
 
     def build(key: tuple, table: pa.Table) -> pa.Table:
-        bits = np.zeros(SEGMENT_BITS, bool)
-        h, level = table.column("h").to_numpy().view(_U), table.column("level").to_numpy().astype(_I)
-        n = level - np.where(h & _U(1), LOWEST[1], LOWEST[0]) + 1
-        levels = np.repeat(level, n) - (np.repeat(np.cumsum(n), n) - 1 - np.arange(int(n.sum())))
-        for k in range(PROBES):
-            bits[LogFrequencyFilter.place(np.repeat(h, n), levels, k)] = True
-        return pa.table({"segment": [key[0].as_py() if hasattr(key[0], "as_py") else key[0]], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
-
-    # bits 32 to 63 of h as an unsigned number, times the number of segments, divided by 2**32
-    segment = F.shiftright(F.shiftrightunsigned("h", 32) * segments, 32)
-    built = stored.withColumn("segment", segment).groupBy("segment").applyInArrow(build, "segment long, bits binary")
-    if segments * SEGMENT_BITS > max_bytes * 8:
-        return StoredFilter(materialize(built, "segments"), segments)
-    built = built.toArrow()
-    bits = np.zeros((segments, SEGMENT_BITS // 8), np.uint8)
-    for k, b in zip(built.column("segment").to_pylist(), built.column("bits"), strict=True):
-        bits[k] = np.frombuffer(b.as_buffer(), np.uint8)
-    return LogFrequencyFilter(bits.ravel(), LOWEST)
+        join = lambda name, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(name)])
+        word, times = summed(join("words", _U), join("times", np.uint32))
+        pair, pair_times = summed(np.concatenate([_unpack_pairs(x.as_py()) for x in table.column("pairs")]), join("pair_times", np.uint8))
+        level = level_of(np.concatenate([times, pair_times]))
+        size = max(64, int(level.sum()) * bits_each)
+        filter = np.zeros(-(-size // 8) * 8, bool)
+        h = np.concatenate([word, pair])
+        for lowest in range(1, int(level.max()) + 1):  # the n-grams of each level and above
+            live = level >= lowest
+            h, level = h[live], level[live]
+            for at in _places(h, lowest, filter.size):
+                filter[at] = True
+        end = times[word == END]
+        return pa.table({"shard": [key[0].as_py()], "bits": pa.array([np.packbits(filter, bitorder="little").tobytes()], pa.binary()), "words": pa.array([word.tobytes()], pa.binary()), "times": pa.array([times.tobytes()], pa.binary()), "v": [word.size], "n": [int(times.sum())], "once": [int((times == 1).sum())], "texts": [int(end.sum())]})
+
+    return texts.mapInArrow(count, "shard long, words binary, times binary, pairs binary, pair_times binary").groupBy("shard").applyInArrow(build, "shard long, bits binary, words binary, times binary, v long, n long, once long, texts long")
+
+
+def _levels(key: np.ndarray, start: np.ndarray | int, size: np.ndarray | int, filter: np.ndarray) -> np.ndarray:
+    """The level of each n-gram, 0 if it isn't stored. ``start``, ``size``: the bits of its shard."""
+    out = np.zeros(key.size, np.uint8)
+    start, size = np.broadcast_to(start, key.shape), np.broadcast_to(size, key.shape)
+    live = np.flatnonzero(size > 0)
+    for level in range(1, STEPS.size + 1):
+        if not live.size:
+            break
+        ok = np.ones(live.size, bool)
+        for place in _places(key[live], level, size[live]):
+            at = start[live] + place
+            ok &= (filter[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        live = live[ok]
+        out[live] = level
+    return out
+
+
+class Found:
+    """Levels of words and pairs and exact counts of words, from the shards at hand: all of them, or those that a block asked for."""
+
+    def __init__(self, bits: int, shards: list, filters: list, words: list, times: list):
+        order = np.argsort(np.array(shards, _I))
+        self.bits, sizes = bits, np.zeros(1 << bits, _I)
+        filters, words, times = ([x[k] for k in order.tolist()] for x in (filters, words, times))
+        sizes[np.array(shards, _I)[order]] = [len(x) for x in filters]
+        self.start, self.size = (np.cumsum(sizes) - sizes) * 8, sizes * 8
+        self.filter = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(x, np.uint8) for x in filters)])
+        self.word = np.concatenate([np.zeros(0, _U), *(np.frombuffer(x, _U) for x in words)])
+        self.times = np.concatenate([np.zeros(0, _I), *(np.frombuffer(x, _I) for x in times)])
+
+    def counts(self, word: np.ndarray) -> np.ndarray:
+        if not self.word.size:
+            return np.zeros(word.size, _I)
+        at = np.minimum(np.searchsorted(self.word, word), self.word.size - 1)
+        return np.where(self.word[at] == word, self.times[at], 0)
+
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        shard = _shard(h, self.bits)
+        return _levels(np.where(h & _U(1), h & _LOW, h), self.start[shard], self.size[shard], self.filter)
+
+
+class Told:
+    """What the shards told about the sorted distinct words and pairs of a block."""
+
+    def __init__(self, word: np.ndarray, times: np.ndarray, level: np.ndarray, pair: np.ndarray, pair_level: np.ndarray):
+        self.word, self.times, self.of = word, times, {0: (word, level), 1: (pair, pair_level)}
+
+    def counts(self, word: np.ndarray) -> np.ndarray:
+        return self.times[np.searchsorted(self.word, word)]
+
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        known, level = self.of[int(h[0] & _U(1)) if h.size else 0]
+        return level[np.searchsorted(known, h)]
 
 
 class Model:
-    def __init__(self, filter: LogFrequencyFilter | FoundLevels | None, train_tokens: int, words: int, once: int, texts: int):
-        self.filter, self.n, self.v, self.texts = filter, train_tokens, words, texts
+    def __init__(self, train_tokens: int, words: int, once: int, texts: int, prior: float):
+        self.n, self.v, self.texts, self.prior = train_tokens, words, texts, prior
         self.unseen = min(0.5, max(once, 1) / max(train_tokens, 2))
-        self.weights = np.zeros(STEPS.size + 2)
 
-    def with_filter(self, filter: FoundLevels) -> Model:
-        out = copy.copy(self)
-        out.filter = filter
-        return out
-
-    def parts(self, tokens: np.ndarray, before: np.ndarray, own: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """P(w), c(vw)/c(v), and the level of c(v). ``own``: what the text itself adds to each count."""
+    def log10(self, found: Found | Told, tokens: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each token: the logarithm of its probability, and its exact count."""
         word, inverse = np.unique(tokens, return_inverse=True)
-        level = self.filter.levels(word, 0)
+        value = VALUES[found.levels(word)]
+        alone = np.where(value > 0, (1 - self.unseen) * value / max(self.n, 1), self.unseen / (self.v + 1))[inverse]
         pair, of = np.unique(pairs_of(before, tokens), return_inverse=True)
-        both = np.maximum(VALUES[self.filter.levels(pair, 1)][of] - own, 0)
         at = np.minimum(np.searchsorted(word, before), word.size - 1)
-        start = before == (BEGIN & ~_U(1))
-        context = np.where(start, level_of(np.array([max(self.texts, 1)]))[0], np.where(word[at] == before, level[at], 0))
-        counted = np.where(start, float(self.texts), VALUES[context]) - own
-        alone = np.where(level > 0, (1 - self.unseen) * VALUES[level] / max(self.n, 1), self.unseen / (self.v + 1))[inverse]
-        ratio = np.where((counted > 0) & (context > 0), np.minimum(both / np.maximum(counted, 1e-9), 1), 0)
-        return alone, ratio, context
-
-    def log10(self, tokens: np.ndarray, before: np.ndarray) -> np.ndarray:
-        alone, ratio, context = self.parts(tokens, before)
-        x = self.weights[context]
-        return np.log10(x * ratio + (1 - x) * alone)
-
-
-def _array_of(parts: list[np.ndarray]) -> pa.Array:
-    """Each part's bytes as one value."""
-    ends = np.cumsum([0, *(x.nbytes for x in parts)]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer(ends), pa.py_buffer(np.concatenate(parts))])
-
-
-def _values_of(column: pa.ChunkedArray, kind: type) -> np.ndarray:
-    return np.concatenate([np.frombuffer(b.as_buffer(), kind) for b in column] or [np.zeros(0, kind)])
-
-
-def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    block, held = TaskContext.get().partitionId() << 32, 0
-    for batch in by_bytes(batches, "text", BLOCK):
-        size = (pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0) + 16 * batch.num_rows
-        if held and held + size > BLOCK:
-            block, held = block + 1, 0
-        held += size
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, block))], [*batch.schema.names, "block"])
-
-
-def with_levels(rows: DataFrame, model: Model, stored: StoredFilter, work: Callable, schema: str) -> DataFrame:
-    """What ``with_model`` gives, by a filter that is a table."""
-    spark, segments = rows.sparkSession, stored.segments
-    rows = materialize(rows.mapInArrow(_in_blocks, T.StructType([*rows.schema.fields, T.StructField("block", T.LongType())])), "blocks")
-    # a task's n-grams of one segment: those of so many blocks that they are about 2 million at most
-    salts = -(-max(rows.agg(F.count_distinct("block")).first()[0], 1) // (4 * segments))
-    shared = spark.sparkContext.broadcast(model)
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text", BLOCK):
-            blocks = batch.column("block").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), batch.num_rows]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                tokens, before, _ = tokens_of(*text_buffer(batch.slice(a, b - a).column("text")))
-                h = np.unique(np.concatenate([tokens, pairs_of(before, tokens)]))
-                segment = LogFrequencyFilter.segment(h, segments)
-                first = np.flatnonzero(np.append(True, segment[1:] != segment[:-1]))
-                yield pa.RecordBatch.from_arrays([pa.array(segment[first]), pa.array(np.full(first.size, blocks[a])), _array_of(np.split(h, first[1:]))], ["segment", "block", "h"])
+        context = np.where(before == BEGIN, float(self.texts), np.where(word[at] == before, value[at], 0.0))
+        both = np.minimum(VALUES[found.levels(pair)][of], context)
+        return np.log10((both + self.prior * alone) / (context + self.prior)), found.counts(word)[inverse]
+
+
+def _blobs(parts: list[np.ndarray | bytes]) -> pa.Array:
+    return pa.array([x if isinstance(x, bytes) else x.tobytes() for x in parts], pa.binary())
+
+
+def _by_shards(rows: DataFrame, table: DataFrame, bits: int, blocks: int, work, schema: str) -> DataFrame:
+    """``work(rows with texts, what the shards tell)`` for all ``rows``. Rows form blocks by a hash of id and text, so that copies spread."""
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
+
+    def ngrams(texts: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        words, pairs = [np.zeros(0, _U)], [np.zeros(0, _U)]
+        for batch in by_bytes(iter(texts.to_batches()), "text", 4 << 20):
+            tokens, before, _ = tokens_of(*text_buffer(batch.column("text")))
+            words.append(np.unique(tokens))
+            pairs.append(np.unique(pairs_of(before, tokens)))
+        return np.unique(np.concatenate(words)), np.unique(np.concatenate(pairs))
+
+    def ask(key: tuple, texts: pa.Table) -> pa.Table:
+        word, pair = ngrams(texts.select(["text"]))
+        shards = np.unique(np.concatenate([_shard(word, bits), _shard(pair, bits)]))
+        a, b = _cuts(word, bits, shards).tolist(), _cuts(pair, bits, shards).tolist()
+        asked = [word[i:j] for i, j in zip(a[:-1], a[1:], strict=True)], [_pack_pairs(pair[i:j]) for i, j in zip(b[:-1], b[1:], strict=True)]
+        return pa.table({"shard": shards, "block": np.full(shards.size, key[0].as_py()), "words": _blobs(asked[0]), "pairs": _blobs(asked[1])})
 
     def answer(asked: pa.Table, built: pa.Table) -> pa.Table:
-        h, inverse = np.unique(_values_of(asked.column("h"), _U), return_inverse=True)
-        filter = LogFrequencyFilter(_values_of(built.column("bits"), np.uint8), LOWEST)
-        level = np.zeros(h.size, np.uint8)
-        for kind in (0, 1):
-            at = np.flatnonzero((h & _U(1)) == _U(kind))
-            level[at] = filter.levels(h[at], kind)
-        ends = np.cumsum([len(b.as_buffer()) // 8 for b in asked.column("h")])
-        levels = _array_of(np.split(level[inverse], ends[:-1])) if asked.num_rows else pa.array([], pa.binary())
-        return pa.table({"block": asked.column("block"), "h": asked.column("h"), "level": levels})
-
-    def finish(texts: pa.Table, found: pa.Table) -> pa.Table:
-        own = shared.value.with_filter(FoundLevels(_values_of(found.column("h"), _U), _values_of(found.column("level"), np.uint8)))
-        return pa.Table.from_batches([work(batch, own) for batch in by_bytes(iter(texts.to_batches()), "text")])
-
-    salt = F.pmod(F.xxhash64("block"), F.lit(salts))
-    asked = rows.select("block", "text").mapInArrow(ask, "segment long, block long, h binary").withColumn("salt", salt)
-    built = stored.table.crossJoin(spark.range(salts).withColumnRenamed("id", "salt"))
-    found = asked.groupBy("segment", "salt").cogroup(built.groupBy("segment", "salt")).applyInArrow(answer, "block long, h binary, level binary")
-    return rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(finish, schema)
-
-
-def with_model(rows: DataFrame, model: Model, stored: StoredFilter | None, work: Callable, schema: str) -> DataFrame:
-    """``work(rows with texts, model)`` for all ``rows``; ``work`` treats each row by itself, or its results are summed up."""
-    if stored:
-        return with_levels(rows, model, stored, work, schema)
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text"):
-            yield work(batch, shared.value)
-
-    return rows.mapInArrow(run, schema)
-
-
-_BINS = np.linspace(-4, 9, 131)
-
-
-def fit_weights(model: Model, stored: StoredFilter | None, texts: DataFrame, total: int, sample: int) -> None:
-    """Maximum likelihood weights by the level of the context, from at most about ``sample`` training texts."""
-    drawn = texts.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(max(1, -(-total // sample)))) == 0)
-
-    def bins(batch: pa.RecordBatch, model: Model) -> pa.RecordBatch:
-        tokens, before, _ = tokens_of(*text_buffer(batch.column(0)))
-        alone, ratio, context = model.parts(tokens, before, 1.0)
-        at = np.where(ratio > 0, 1 + np.searchsorted(_BINS, np.log10(np.maximum(ratio, 1e-300) / alone)), 0)
-        key, n = np.unique(context * 1000 + at, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
-
-    rows = with_model(drawn, model, stored, bins, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
-    middle = 10 ** np.concatenate([[-300], _BINS[:1], (_BINS[1:] + _BINS[:-1]) / 2, _BINS[-1:]])
-    for context in {r["key"] // 1000 for r in rows} - {0}:
-        ratio = np.array([middle[r["key"] % 1000] for r in rows if r["key"] // 1000 == context])
-        n = np.array([r["n"] for r in rows if r["key"] // 1000 == context], float)
-        low, high = 0.0, 0.999
-        for _ in range(50):
-            x = (low + high) / 2
-            low, high = (x, high) if (n * (ratio - 1) / (1 + x * (ratio - 1))).sum() > 0 else (low, x)
-        model.weights[context] = low
-
-
-def score_texts(docs: DataFrame, max_filter_bytes: int = 64 << 20, max_words: int = 2_000_000, tune_texts: int = 4000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+        columns = {"block": [], "shard": [], "times": [], "level": [], "pair_level": []}
+        own = [built.column(c)[0].as_py() for c in ("bits", "words", "times")] if built.num_rows else [b""] * 3
+        found = Found(0, [0], *([x] for x in own))
+        for block, shard, words, pairs in zip(*(asked.column(c).to_pylist() for c in ("block", "shard", "words", "pairs")), strict=True):
+            word = np.frombuffer(words, _U)
+            for name, value in (("block", block), ("shard", shard), ("times", found.counts(word).tobytes()), ("level", _levels(word, 0, found.size, found.filter).tobytes()), ("pair_level", _levels(_unpack_pairs(pairs), 0, found.size, found.filter).tobytes())):
+                columns[name].append(value)
+        return pa.table({c: pa.array(v, pa.int64() if c in ("block", "shard") else pa.binary()) for c, v in columns.items()})
+
+    def finish(texts: pa.Table, told: pa.Table) -> pa.Table:
+        texts, told = texts.drop_columns(["block"]), told.sort_by("shard")
+        times, level, pair_level = (np.frombuffer(b"".join(told.column(c).to_pylist()), kind) for c, kind in (("times", _I), ("level", np.uint8), ("pair_level", np.uint8)))
+        word, pair = ngrams(texts)
+        found = Told(word, times, level, pair, pair_level)
+        return pa.Table.from_batches([work(batch, found) for batch in by_bytes(iter(texts.to_batches()), "text")])
+
+    asked = rows.groupBy("block").applyInArrow(ask, "shard long, block long, words binary, pairs binary")
+    told = asked.groupBy("shard").cogroup(table.select("shard", "bits", "words", "times").groupBy("shard")).applyInArrow(answer, "block long, shard long, times binary, level binary, pair_level binary")
+    return rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(finish, schema)
+
+
+def score_texts(docs: DataFrame, prior: float = 40.0, max_filter_bytes: int = 64 << 20, max_words: int = 2_000_000, bits_each: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_key"))
-    train = docs.where(~held_out()).select("text")
-    counts = materialize(ngram_counts(train), "ngrams")
-    words = counts.where(F.col("h").bitwiseAND(F.lit(1)) == 0)
-    end = int((END & ~_U(1)).view(_I))
-    facts = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("n") == 1).alias("once"), F.max(F.when(F.col("h") == end, F.col("n"))).alias("texts")).first()
-    n, v, texts = facts["n"] or 0, facts["v"], facts["texts"] or 0
-    filter = build_filter(counts, max_filter_bytes)
-    stored = filter if isinstance(filter, StoredFilter) else None
-    model = Model(None if stored else filter, n, v, facts["once"], texts)
-    if texts:
-        fit_weights(model, stored, train, texts, tune_texts)
-    bands = sorted(((r["band"], r["count"]) for r in words.groupBy(F.floor(F.log2("n")).alias("band")).count().collect()), reverse=True)
-    least, kept = 1, 0
-    for band, count in bands:
-        kept += count
-        if kept > max_words:
-            least = 2 ** (band + 1)
-            break
-    table = words.where(F.col("n") >= least).toArrow()
-    order = np.argsort(h := table.column("h").to_numpy().view(_U))
-    shared = spark.sparkContext.broadcast((h[order], table.column("n").to_numpy()[order]))
-    del table, h
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), held_out(doc_id).alias("held_out"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = shard_bits(size)
+    table = materialize(shard_table(docs.where("not held_out").select("text"), bits, bits_each), "shards")
+    facts = table.agg(F.sum(F.octet_length("bits")).alias("bytes"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "once", "texts"))).first()
+    n, v = facts["n"], facts["v"]
+    model = spark.sparkContext.broadcast(Model(n, v, facts["once"], facts["texts"], prior))
     each = np.log10(n + v + 1)
 
-    def known(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of tokens that are frequent enough, and which those are."""
-        h, counts = shared.value
-        if not h.size:
-            return np.zeros(tokens.size, _I), np.zeros(tokens.size, bool)
-        distinct, inverse = np.unique(tokens, return_inverse=True)
-        at = np.minimum(np.searchsorted(h, distinct), h.size - 1)
-        ok = h[at] == distinct
-        return np.where(ok, counts[at], 0)[inverse], ok[inverse]
-
-    def score(batch: pa.RecordBatch, model: Model) -> pa.RecordBatch:
-        tokens, before, bounds = tokens_of(*text_buffer(batch.column(2)))
+    def score(batch: pa.RecordBatch, found: Found | Told) -> pa.RecordBatch:
+        tokens, before, bounds = tokens_of(*text_buffer(batch.column(1)))
         rows, size = row_ids(bounds), batch.num_rows
-        count, ok = known(tokens)
+        chance, count = model.value.log10(found, tokens, before)
         base = np.bincount(rows, np.log10(count + 1.0), size) - np.diff(bounds) * each
-        whole = np.bincount(rows, model.log10(tokens, before), size)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(np.diff(bounds)), pa.array(np.bincount(rows, ok, size).astype(_I)), pa.array(base), pa.array(whole)], ["doc_id", "text_key", "held_out", "n_tokens", "n_known", "base_score", "score"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(bounds)), pa.array(np.bincount(rows, count > 0, size).astype(_I)), pa.array(base), pa.array(np.bincount(rows, chance, size))], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = with_model(docs.select("doc_id", "text_key", "text", held_out().alias("held_out")), model, stored, score, f"doc_id {kind}, text_key long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    if least > 1:
-        scored = _with_rare(scored, docs, words.where(F.col("n") < least), known, kind)
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    if (facts["bytes"] or 0) <= max_filter_bytes and v <= max_words:
+        whole = table.select("shard", "bits", "words", "times").toArrow()
+        shared = spark.sparkContext.broadcast(Found(bits, *(whole.column(c).to_pylist() for c in whole.column_names)))
+        del whole
 
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in by_bytes(batches, "text"):
+                yield score(batch, shared.value)
 
-def _with_rare(scored: DataFrame, docs: DataFrame, words: DataFrame, known, kind: str) -> DataFrame:
-    """Adds what the rarer words contribute to n_known and base_score."""
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text"):
-            tokens, _, bounds = tokens_of(*text_buffer(batch.column(2)))
-            _, ok = known(tokens)
-            rows, tokens = row_ids(bounds)[~ok], tokens[~ok]
-            order = np.lexsort((tokens, rows))
-            rows, tokens = rows[order], tokens[order]
-            first = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]) | (tokens[1:] != tokens[:-1]))) if rows.size else np.zeros(0, _I)
-            of = pa.array(rows[first])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(tokens[first].view(_I)), pa.array(np.diff(np.append(first, rows.size)))], ["doc_id", "text_key", "h", "times"])
-
-    rows = docs.select("doc_id", "text_key", "text").mapInArrow(rare, f"doc_id {kind}, text_key long, h long, times long").join(words, "h").distinct()
-    more = rows.groupBy("doc_id", "text_key").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + F.lit(1.0))).alias("add")).withColumnsRenamed({"doc_id": "rare_id", "text_key": "rare_key"})
-    joined = scored.join(more, F.col("doc_id").eqNullSafe(F.col("rare_id")) & (F.col("text_key") == F.col("rare_key")), "left")
-    return joined.withColumns({"n_known": F.col("n_known") + F.coalesce("more", F.lit(0)), "base_score": F.col("base_score") + F.coalesce("add", F.lit(0.0))})
+        scored = docs.mapInArrow(run, schema)
+    else:
+        scored = _by_shards(docs, table, bits, max(1, -(-size // SHARD)), score, schema)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -1,7 +1,6 @@
 """The operators against brute force, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import base64
-import functools
 import hashlib
 import io
 import random
@@ -97,42 +96,61 @@ def test_op1(spark, tmp_path):
     assert op1_warc_zip.read_archives(empty).count() == 0
 
 
-@pytest.mark.parametrize("most", [2_000_000, 40])
-def test_op2(docs, none, most):
-    got = op2_bloom_lm.score_texts(docs, max_words=most).collect()
+@pytest.mark.parametrize(("most", "shard"), [(2_000_000, 16 << 20), (40, 1000)])
+def test_op2(docs, none, most, shard, monkeypatch):
+    """By broadcast with two shards, and by a table with many shards and blocks; the filter has room enough for exact levels."""
+    monkeypatch.setattr(op2_bloom_lm, "SHARD", shard)
+    got = op2_bloom_lm.score_texts(docs, max_words=most, bits_each=400, prior=10.0).collect()
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     outside = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    counts = Counter(w for i, t in rows if not outside(i) for w in [*words(t), None])
+    begin, end = ("begin",), ("end",)
+    train = [[begin, *words(t), end] for i, t in rows if not outside(i)]
+    counts, pairs = Counter(w for t in train for w in t[1:]), Counter(x for t in train for x in zip(t[:-1], t[1:], strict=True))
     n, v = sum(counts.values()), len(counts)
+    steps = sorted({int(np.ceil(1.5**k)) for k in range(60)})
+
+    def rough(c):
+        low = max((x for x in steps if x <= c), default=0)
+        return low and (low + next(x for x in steps if x > c) - 1) / 2
+
+    unseen = min(0.5, max(1, sum(c == 1 for c in counts.values())) / n)
+
+    def chance(a, b):
+        alone = (1 - unseen) * rough(counts[b]) / n if counts[b] else unseen / (v + 1)
+        context = len(train) if a == begin else rough(counts[a])
+        return (min(rough(pairs[a, b]), context) + 10 * alone) / (context + 10)
+
     assert len(got) == len(rows) and {r["train_tokens"] for r in got} == {n}
-    base = {i: (len(words(t)) + 1, sum(counts[w] > 0 for w in [*words(t), None]), sum(np.log10((counts[w] + 1) / (n + v + 1)) for w in [*words(t), None])) for i, t in rows}
-    for r in got:
-        assert (r["n_tokens"], r["n_known"]) == base[r["doc_id"]][:2] and r["base_score"] == pytest.approx(base[r["doc_id"]][2]) and r["held_out"] == outside(r["doc_id"])
-        assert r["score"] < 0
-    assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
-    assert op2_bloom_lm.score_texts(none).count() == 0
+    want = Counter()
+    for i, t in rows:
+        whole = [begin, *words(t), end]
+        base = sum(np.log10((counts[w] + 1) / (n + v + 1)) for w in whole[1:])
+        want[i, outside(i), len(whole) - 1, sum(counts[w] > 0 for w in whole[1:]), round(base, 6), round(sum(np.log10(chance(*x)) for x in zip(whole[:-1], whole[1:], strict=True)), 6)] += 1
+    assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in got) == want
+    assert op2_bloom_lm.score_texts(none, max_words=most).count() == 0
+    assert {r["n_known"] for r in op2_bloom_lm.score_texts(docs.where(op2_bloom_lm.held_out()), max_words=most).collect()} == {0}
 
 
 def test_op2_scores_do_not_depend_on_the_bound_of_the_broadcast(docs, none, monkeypatch):
-    rows = docs.select("doc_id", "text").collect()
-    monkeypatch.setattr(op2_bloom_lm, "build_filter", functools.partial(op2_bloom_lm.build_filter, bits_each=10_000))  # many segments
-    whole, stored = ([tuple(r) for r in op2_bloom_lm.score_texts(docs, max_filter_bytes=most).collect()] for most in (1 << 30, 1 << 19))
-    assert len(stored) == len(rows) and sorted(stored, key=str) == sorted(whole, key=str)
+    rows = docs.count()
+    monkeypatch.setattr(op2_bloom_lm, "SHARD", 2000)
+    whole, stored = ([tuple(r) for r in op2_bloom_lm.score_texts(docs, max_filter_bytes=most).collect()] for most in (1 << 30, 0))
+    assert len(stored) == rows and sorted(stored, key=str) == sorted(whole, key=str)
     assert op2_bloom_lm.score_texts(none, max_filter_bytes=0).count() == 0
 
 
 def test_filter_levels_are_never_low():
     h = textscan.mix(np.arange(3000, dtype=np.uint64))
-    n = np.random.default_rng(1).integers(1, 500, 3000)
+    level = op2_bloom_lm.level_of(np.random.default_rng(1).integers(1, 500, 3000))
     assert (np.diff(op2_bloom_lm.VALUES) > 0).all() and (op2_bloom_lm.level_of(op2_bloom_lm.STEPS) == np.arange(1, op2_bloom_lm.STEPS.size + 1)).all()
-    bits = np.zeros(op2_bloom_lm.SEGMENT_BITS, bool)
-    for x, level in zip(h, op2_bloom_lm.level_of(n), strict=True):
-        for q in range(1, level + 1):
-            for k in range(op2_bloom_lm.PROBES):
-                bits[op2_bloom_lm.LogFrequencyFilter.place(np.array([x]), q, k)] = True
-    f = op2_bloom_lm.LogFrequencyFilter(np.packbits(bits, bitorder="little"), (1, 1))
-    found = f.levels(h, 0)
-    assert (found >= op2_bloom_lm.level_of(n)).all() and (found == op2_bloom_lm.level_of(n)).mean() > 0.99
+    bits = np.zeros(10 * int(level.sum()) // 8 * 8, bool)
+    for q in range(1, int(level.max()) + 1):
+        for at in op2_bloom_lm._places(h[level >= q], q, bits.size):
+            bits[at] = True
+    found = op2_bloom_lm._levels(h, 0, bits.size, np.packbits(bits, bitorder="little"))
+    assert (found >= level).all() and (found == level).mean() > 0.97
+    pairs = h | np.uint64(1)
+    assert (op2_bloom_lm._unpack_pairs(op2_bloom_lm._pack_pairs(pairs)) == pairs & np.uint64((1 << 48) - 1)).all()
 
 
 def test_op3(spark):
