@@ -10,9 +10,9 @@ with the fixed parameter k = ``prior``; P(w) shares out the mass of words seen o
 
 N-grams are dealt into shards by the first bits of their hashes, and each shard has its own part of the filter. Map tasks add up runs of
 about three million tokens and send a shard its hashes and counts as two packed columns, so a shard is one group of a size that follows from
-the text (``SHARD`` bytes of it), whatever the texts are. The filter grows with the counts. While filter and word counts are small
-(``max_filter_bytes``, ``max_words``) they are broadcast; beyond that they stay a table of shards: blocks of texts send their distinct
-n-grams to the shards and get levels and counts back. Scores are the same on either way.
+the text (``SHARD`` bytes of it), whatever the texts are. The filter grows with the counts. Up to ``broadcast_bytes`` (if not given, the
+bound that the session has for joins) filter and word counts are broadcast; beyond that they stay a table of shards: blocks of texts send
+their distinct n-grams to the shards and get levels and counts back. Scores are the same on either way.
 
 The unigram ``base_score`` has exact counts of words (64-bit hashes). Pairs are told apart by 48 bits and those that choose the shard.
 
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import materialize
-from .textscan import by_bytes, mix, row_ids, scan_words, text_buffer
+from .textscan import by_bytes, distinct, mix, row_ids, scan_words, text_buffer
 
 _U = np.uint64
 _I = np.int64
@@ -116,7 +116,7 @@ def shard_table(texts: DataFrame, bits: int, bits_each: int = 10) -> DataFrame:
                 pair, one = np.repeat(pair, more), np.full(int(more.sum()), 255, _I)
                 one[last] = pair_times - 255 * (more - 1)
                 pair_times = one
-            shards = np.unique(np.concatenate([_shard(word, bits), _shard(pair, bits)]))
+            shards = distinct(np.concatenate([_shard(word, bits), _shard(pair, bits)]))
             a, b = _cuts(word, bits, shards).tolist(), _cuts(pair, bits, shards).tolist()
             times, pair_times = times.astype(np.uint32), pair_times.astype(np.uint8)
             columns = ([word[i:j].tobytes() for i, j in zip(a[:-1], a[1:], strict=True)], [times[i:j].tobytes() for i, j in zip(a[:-1], a[1:], strict=True)], [_pack_pairs(pair[i:j]) for i, j in zip(b[:-1], b[1:], strict=True)], [pair_times[i:j].tobytes() for i, j in zip(b[:-1], b[1:], strict=True)])
@@ -243,13 +243,13 @@ def _by_shards(rows: DataFrame, table: DataFrame, bits: int, blocks: int, work,
         words, pairs = [np.zeros(0, _U)], [np.zeros(0, _U)]
         for batch in by_bytes(iter(texts.to_batches()), "text", 4 << 20):
             tokens, before, _ = tokens_of(*text_buffer(batch.column("text")))
-            words.append(np.unique(tokens))
-            pairs.append(np.unique(pairs_of(before, tokens)))
-        return np.unique(np.concatenate(words)), np.unique(np.concatenate(pairs))
+            words.append(distinct(tokens))
+            pairs.append(distinct(pairs_of(before, tokens)))
+        return distinct(np.concatenate(words)), distinct(np.concatenate(pairs))
 
     def ask(key: tuple, texts: pa.Table) -> pa.Table:
         word, pair = ngrams(texts.select(["text"]))
-        shards = np.unique(np.concatenate([_shard(word, bits), _shard(pair, bits)]))
+        shards = distinct(np.concatenate([_shard(word, bits), _shard(pair, bits)]))
         a, b = _cuts(word, bits, shards).tolist(), _cuts(pair, bits, shards).tolist()
         asked = [word[i:j] for i, j in zip(a[:-1], a[1:], strict=True)], [_pack_pairs(pair[i:j]) for i, j in zip(b[:-1], b[1:], strict=True)]
         return pa.table({"shard": shards, "block": np.full(shards.size, key[0].as_py()), "words": _blobs(asked[0]), "pairs": _blobs(asked[1])})
@@ -276,7 +276,7 @@ def _by_shards(rows: DataFrame, table: DataFrame, bits: int, blocks: int, work,
     return rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(finish, schema)
 
 
-def score_texts(docs: DataFrame, prior: float = 40.0, max_filter_bytes: int = 64 << 20, max_words: int = 2_000_000, bits_each: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, prior: float = 40.0, broadcast_bytes: int | None = None, bits_each: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``."""
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), held_out(doc_id).alias("held_out"))
@@ -296,7 +296,8 @@ def score_texts(docs: DataFrame, prior: float = 40.0, max_filter_bytes: int = 64
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(bounds)), pa.array(np.bincount(rows, count > 0, size).astype(_I)), pa.array(base), pa.array(np.bincount(rows, chance, size))], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    if (facts["bytes"] or 0) <= max_filter_bytes and v <= max_words:
+    most = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold() if broadcast_bytes is None else broadcast_bytes
+    if (facts["bytes"] or 0) + 16 * v <= most:
         whole = table.select("shard", "bits", "words", "times").toArrow()
         shared = spark.sparkContext.broadcast(Found(bits, *(whole.column(c).to_pylist() for c in whole.column_names)))
         del whole

@@ -133,6 +133,12 @@ def scan_words(data: np.ndarray, offsets: np.ndarray, fold: bool = True, chunk:
     return start, np.concatenate(lengths), np.concatenate(hashes), np.searchsorted(start, offsets, "left")
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted distinct values. Sorting is many times faster here than the hash table of np.unique."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if x.size else x
+
+
 def any_in_rows(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Whether a row has a byte with its flag set; ``offsets`` begin at 0."""
     out = np.zeros(offsets.size - 1, bool)
