@@ -9,8 +9,8 @@ few such parts (small ones) also sign their first k + 1 elements alone. Elements
 which keeps passages that many documents share out of the signatures; it never changes the result. Every candidate is verified exactly.
 
 Defined cases: a text with fewer than five words has its whole word sequence as one shingle; a null text or one without words has an empty
-set and no links; repeated rows fall in one class; rows without doc_id take part, and a class of only such rows has a null component;
-extra columns are ignored by the digest and carried by the filter. Hashes have 64 bits: n distinct shingles or sets collide at all with
+set and no links; repeated rows fall in one class; rows without doc_id take part, and a class of only such rows has a null component; an
+empty table gives no rows; extra columns are ignored by the digest and carried by the filter, whatever their names. Hashes have 64 bits: n distinct shingles or sets collide at all with
 probability n*n/2**65.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .simlink import SIGNATURES, groups_of, linked
 from .storage import materialize
-from .textscan import by_bytes, mix, scan_words, text_buffer
+from .textscan import by_bytes, distinct, mix, scan_words, text_buffer
 
 _U = np.uint64
 _STEPS = mix(np.arange(1, 65, dtype=_U)) | _U(1)
@@ -46,7 +46,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int = 5) -> list[np.ndarr
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if b - a >= n:
-            out.append(np.unique(grams[a : b - n + 1]))
+            out.append(distinct(grams[a : b - n + 1]))
         elif b > a:
             out.append(mix(np.array([(words[a:b] * _STEPS[: b - a]).sum() + _U(b - a)], _U)))
         else:
@@ -150,17 +150,17 @@ def _common_elements(docs: DataFrame, total: int, sample_docs: int, least: int =
 
 
 def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, sample_docs: int = 20_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, key (of its set; null if empty), n_shingles, component_id: one row for each row of ``docs``."""
+    """doc_id, text_key (hash of the text), key (of its set; null if empty), n_shingles, class (a key; null if empty), component_id: one row for each row of ``docs``."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_key"))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text"):
             sets = shingles(*text_buffer(batch.column(1)), n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_key(x) if x.size else None for x in sets], pa.int64()), pa.array([x.size for x in sets], pa.int64())], ["doc_id", "key", "n_shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([set_key(x) if x.size else None for x in sets], pa.int64()), pa.array([x.size for x in sets], pa.int64())], ["doc_id", "text_key", "key", "n_shingles"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    table = materialize(docs.mapInArrow(keys, f"doc_id {kind}, key long, n_shingles long"), "sets")
+    table = materialize(docs.mapInArrow(keys, f"doc_id {kind}, text_key long, key long, n_shingles long"), "sets")
     common = spark.sparkContext.broadcast(_common_elements(docs, table.count(), sample_docs))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,9 +233,9 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, sample_docs:
     least = table.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
     named = least.join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("label", "key").alias("label"), "least")
     classes = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    of = named.join(classes, "label").select("key", "component_id")
-    joined = table.where("key is not null").join(of, "key").select("doc_id", "key", "n_shingles", "component_id")
-    return joined.unionByName(table.where("key is null").select("doc_id", "key", "n_shingles", F.col("doc_id").alias("component_id")))
+    of = named.join(classes, "label").select("key", F.col("label").alias("class"), "component_id")
+    joined = table.where("key is not null").join(of, "key").select("doc_id", "text_key", "key", "n_shingles", "class", "component_id")
+    return joined.unionByName(table.where("key is null").select("doc_id", "text_key", "key", "n_shingles", F.col("key").alias("class"), F.col("doc_id").alias("component_id")))
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -243,7 +243,17 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents with the smallest doc_id of their class, with all their columns; documents without words stay."""
-    kept = jaccard_classes(docs, doc_id=doc_id, text=text, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))
-    return rows.join(kept, F.col(f"__row.`{doc_id}`").eqNullSafe(F.col("__kept")), "left_semi").select("__row.*")
+    """One document of each class, with all its columns: that with the smallest doc_id, or the smallest hash of its text among equal doc_ids.
+
+    Rows without doc_id come last. Of rows that repeat both the doc_id and the text one stays, any of them. Documents without words all stay.
+    """
+    found = materialize(jaccard_classes(docs, doc_id=doc_id, text=text, **options).select("doc_id", "text_key", "class"), "classes")
+    rows = found.groupBy("class", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    best = F.min_by(F.struct("doc_id", "text_key", "n"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_key"))
+    chosen = rows.where("class is not null").groupBy("class").agg(best.alias("x")).select("x.*", (F.col("x.n") > 1).alias("repeated"))
+    kept = chosen.drop("n").unionByName(rows.where("class is null").select("doc_id", "text_key", F.lit(False).alias("repeated")))
+    kept = materialize(kept.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "repeated"), "kept")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))
+    both = whole.join(kept, F.col(f"__row.`{doc_id}`").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(f"__row.`{text}`")) == F.col("__key")))
+    single = both.where(~F.col("repeated")).unionByName(both.where("repeated").dropDuplicates(["__id", "__key"]))
+    return single.select(*(F.col(f"__row.`{c}`") for c in docs.columns))

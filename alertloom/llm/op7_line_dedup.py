@@ -5,7 +5,9 @@ segment, at nearly the same place, with every line within distance tau: it probe
 can be the i-th segment of a line of that length. Candidates are verified with a bit-parallel edit distance on a band of 2 tau + 1
 diagonals. Lines that links connect form a class, and of a class the first occurrence (smallest doc_id, then position) stays.
 
-Defined cases: lines shorter than ``min_chars`` match equal lines only; lines without a word character (blank ones) always stay and open no
+Two lines link when their edit distance is at most the bound of the shorter one: 0 below ``min_chars`` characters, ``tau`` from there on.
+
+Defined cases: lines without a word character (blank ones) always stay and open no
 class; a null text has no lines and stays null; rows with equal doc_id and text are treated alike; rows without doc_id come first in the
 order; an empty table gives no rows; extra columns are carried by the filter. Lines are known by 64-bit hashes.
 """
@@ -251,20 +253,40 @@ def _common(texts: DataFrame, sign, least: int = 4, most: int = 1_000_000) -> np
     return np.sort(counts.orderBy(F.desc("n"), "sig").limit(most).select("sig").toArrow().column("sig").to_numpy())
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", drop_emptied: bool = False, **options) -> DataFrame:
-    """The documents with all their columns, their text without the lines that go, and n_lines, n_removed, n_near after them.
-
-    ``drop_emptied``: leave out documents that lost lines and have none with a word left.
-    """
+def _deduped(docs: DataFrame, doc_id: str, text: str, drop_emptied: bool, **options) -> DataFrame:
+    """__row (a struct of all columns), __text (without the lines that go), __n_lines, __n_removed, __n_near."""
     flags = duplicate_lines(docs, doc_id=doc_id, text=text, **options).withColumnsRenamed({"doc_id": "__id", "text_key": "__key", "lines": "__lines"})
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))
     column = F.col(f"__row.`{text}`")
     joined = rows.join(flags, F.col(f"__row.`{doc_id}`").eqNullSafe(F.col("__id")) & (F.xxhash64(column) == F.col("__key")), "left")
     removed = F.size(F.filter("__lines", lambda x: ~x["keep"])).cast("long")
     kept = F.array_join(F.filter(F.split(column, "\n", -1), lambda x, i: F.get(F.col("__lines"), i)["keep"]), "\n")
-    counts = (F.size("__lines").cast("long"), removed, F.size(F.filter("__lines", lambda x: x["near"])).cast("long"))
-    new = F.when(column.isNotNull() & (removed > 0), kept).otherwise(column)
-    out = joined.select(*(new.alias(c) if c == text else F.col(f"__row.`{c}`") for c in docs.columns), *(F.when(F.col("__lines").isNull(), F.lit(0)).otherwise(n).alias(name) for n, name in zip(counts, ("n_lines", "n_removed", "n_near"), strict=True)))
+    counts = {"__n_lines": F.size("__lines").cast("long"), "__n_removed": removed, "__n_near": F.size(F.filter("__lines", lambda x: x["near"])).cast("long")}
+    out = joined.select("__row", F.when(column.isNotNull() & (removed > 0), kept).otherwise(column).alias("__text"), *(F.when(F.col("__lines").isNull(), F.lit(0)).otherwise(n).alias(name) for name, n in counts.items()))
     if drop_emptied:
-        out = out.where((F.col("n_removed") == 0) | F.col(f"`{text}`").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"))
+        out = out.where((F.col("__n_removed") == 0) | F.col("__text").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"))
     return out
+
+
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", drop_emptied: bool = False, **options) -> DataFrame:
+    """The documents with all their columns, their text without the lines that go, and n_lines, n_removed, n_near after them.
+
+    A column of ``docs`` that has one of these three names gives way to the count. ``drop_emptied``: leave out documents that lost lines and
+    have none with a word left.
+    """
+    counts = ("n_lines", "n_removed", "n_near")
+    found = _deduped(docs, doc_id, text, drop_emptied, **options)
+    return found.select(*(F.col("__text").alias(c) if c == text else F.col(f"__row.`{c}`") for c in docs.columns if c not in counts), *(F.col(f"__{c}").alias(c) for c in counts))
+
+
+def remove_duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars", **options) -> DataFrame:
+    """The documents with exactly their columns, without the lines that go; documents of which nothing stays go. ``n_chars``, if there is one, follows a text that changed."""
+    found = _deduped(docs, doc_id, text, True, **options)
+
+    def column(c: str):
+        own = F.col(f"__row.`{c}`")
+        if c == text:
+            return F.col("__text").alias(c)
+        return F.when(F.col("__n_removed") > 0, F.length("__text").cast(docs.schema[c].dataType)).otherwise(own).alias(c) if c == n_chars else own
+
+    return found.select(*map(column, docs.columns))

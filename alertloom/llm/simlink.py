@@ -1,9 +1,11 @@
 """Shared steps of the similarity joins: from signatures to verified links to connected components.
 
 Keys that share a signature are candidates. Only links decide the components, so pairs whose keys are already connected are not tested.
-Round one tests each key against the most central member of its groups. Round two tests all pairs that are still apart: in small groups pair
-by pair; large groups that overlap are taken together, and what is outside their largest component is held against all of it in blocks of
-bounded size. A group's rows are never gathered: signatures that may be very common are counted with partial sums and joined.
+Round one tests each key against the most central member of its groups. What is still apart in large groups is then tested against further
+members of the group's largest component, a few times. The last round tests all pairs that are still apart: in small groups pair by pair;
+large groups that overlap are taken together, and what is outside their largest component is held against all of it in blocks of bounded
+size. Rows are sorted by Spark and stream by; a task holds the keys of one signature. Signatures that may be very common are spread over
+tasks, counted with partial sums and joined.
 """
 
 from __future__ import annotations
@@ -29,28 +31,32 @@ def groups_of(signatures: DataFrame) -> DataFrame:
     """sig, key, n: distinct members of the signatures that n keys share, two or more."""
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [tuple(c.to_numpy(zero_copy_only=False) for c in b.columns[:3]) for b in batches if b.num_rows]
-        if not parts:
-            return
-        sig, key, common = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts
-        order = np.lexsort((key, sig))
-        sig, key, common = sig[order], key[order], common[order]
-        new = np.ones(sig.size, bool)
-        new[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
-        sig, key, common = sig[new], key[new], common[new]
-        first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-        sizes = np.diff(np.append(first, sig.size))
-        n = np.repeat(sizes, sizes)
-        kept = np.flatnonzero((n > 1) | common)
-        for k in range(0, kept.size, 50_000):
-            at = kept[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (sig, key, n, common)], ["sig", "key", "n", "common"])
-        del sig, key, common, order, new, first, sizes, n, kept
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
+
+        def out(sig: np.ndarray, key: np.ndarray, common: np.ndarray) -> Iterator[pa.RecordBatch]:
+            first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+            sizes = np.diff(np.append(first, sig.size))
+            n = np.repeat(sizes, sizes)
+            at = np.flatnonzero((n > 1) | common)
+            if at.size:
+                yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (sig, key, n, common)], ["sig", "key", "n", "common"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sig, key, common = (np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns[:3], strict=True))
+            new = np.ones(sig.size, bool)
+            new[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
+            sig, key, common = sig[new], key[new], common[new]
+            last = int(np.searchsorted(sig, sig[-1]))  # its group may go on in the next batch
+            yield from out(sig[:last], key[:last], common[:last])
+            held = [sig[last:], key[last:], common[last:]]
+        if held[0].size:
+            yield from out(*held)
         give_back()
 
     # a common signature is spread over tasks by key; its members are counted below
-    dealt = signatures.repartition(F.col("sig"), F.when(F.col("common"), F.pmod("key", F.lit(64))).otherwise(0))
+    dealt = signatures.repartition(F.col("sig"), F.when(F.col("common"), F.pmod("key", F.lit(64))).otherwise(0)).sortWithinPartitions("sig", "key")
     found = materialize(dealt.mapInArrow(group, "sig long, key long, n long, common boolean"), "groups")
     common = found.where("common")
     sizes = common.groupBy("sig").agg(F.sum(F.lit(1)).alias("n")).where("n > 1")
@@ -82,50 +88,74 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def linked(groups: DataFrame, held: DataFrame, verify: Callable[[DataFrame], DataFrame], between: Callable[[pa.Table, pa.Table], list[tuple[int, int]]], small: int = 16, block: int = 2_000_000) -> DataFrame:
+def _apart(members: DataFrame) -> DataFrame:
+    """The members of groups that hold more than one component."""
+    several = members.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sig")
+    return materialize(members.join(several, "sig"), "apart")
+
+
+def _most_shared(pairs: DataFrame) -> DataFrame:
+    """Of each key, the pivot with which it shares most groups, as a pair (a, b)."""
+    shared = pairs.groupBy("key", "pivot").agg(F.count(F.lit(1)).alias("n"))
+    return materialize(shared.groupBy("key").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("a")).select("a", F.col("key").alias("b")), "pairs")
+
+
+def linked(groups: DataFrame, held: DataFrame, verify: Callable[[DataFrame], DataFrame], between: Callable[[pa.Table, pa.Table], list[tuple[int, int]]], small: int = 16, turns: int = 3, block_rows: int = 400, block_weight: int = 500_000) -> DataFrame:
     """(node, label) of all linked keys.
 
     ``held``: key, payload, weight. ``verify`` takes pairs (a, b) and returns those that hold. ``between`` takes two tables (key, label,
     payload) and returns, for each row of the first and each other label of the second, one link that holds, if there is any.
-    ``block``: weight of the payloads in one task's table.
+    ``turns``: how often keys outside the largest component of a large group try another member of it. ``block_rows``, ``block_weight``:
+    rows and weight of the payloads in one side of a task's block, about.
     """
     groups = materialize(groups, "members")
     # the member that shares most with the others comes first in its groups: most of a dense group links to it
     score = groups.groupBy("key").agg(F.sum("n").alias("score"))
     centre = groups.join(score, "key").groupBy("sig").agg(F.max_by("key", F.struct("score", "key")).alias("pivot"))
     groups = materialize(groups.join(centre, "sig"), "members")
-    shared = groups.where("key <> pivot").groupBy("key", "pivot").agg(F.count(F.lit(1)).alias("n"))
-    first = materialize(shared.groupBy("key").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("a")).select("a", F.col("key").alias("b")), "pairs")
-    with arrow_rows(held.sparkSession, PAIRS):
-        links = materialize(verify(first), "links")
+    first = _most_shared(groups.where("key <> pivot"))
+    tested = lambda pairs: _tested(pairs, held, verify)
+    links, more = tested(first), False
     labels = components(links)
-    of = groups.join(labels.withColumnRenamed("node", "key"), "key", "left").select("sig", "key", "n", "pivot", F.coalesce("label", "key").alias("label"))
-    of = materialize(of, "labelled")
-    apart = of.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sig")
-    of = materialize(of.join(apart, "sig"), "apart")
-    few = of.where(F.col("n") <= small)
+    of = _apart(groups.join(labels.withColumnRenamed("node", "key"), "key", "left").select("sig", "key", "n", "pivot", F.coalesce("label", "key").alias("label")))
+    for turn in range(turns):
+        many = of.where(F.col("n") > small)
+        main = many.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("m"), F.max_by("key", F.xxhash64("key", F.lit(turn))).alias("other")).groupBy("sig").agg(F.max_by(F.struct("label", "other"), F.struct("m", "label")).alias("main"))
+        again = _most_shared(many.join(main, "sig").where("label <> main.label").select("key", F.col("main.other").alias("pivot")))
+        found = tested(again) if again.limit(1).count() else None
+        if found is None or not found.limit(1).count():
+            break
+        links, more = links.unionByName(found), True
+        name = of.select("key", "label").distinct()
+        edges = found.join(name.select(F.col("key").alias("a"), F.col("label").alias("x")), "a").join(name.select(F.col("key").alias("b"), F.col("label").alias("y")), "b")
+        moved = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("to"))
+        of = _apart(of.join(moved, "label", "left").select("sig", "key", "n", "pivot", F.coalesce("to", "label").alias("label")))
+    few, many = of.where(F.col("n") <= small), of.where(F.col("n") > small)
     left, right = few.select("sig", F.col("key").alias("a"), F.col("label").alias("x")), few.select("sig", F.col("key").alias("b"), F.col("label").alias("y"))
     rest = left.join(right, "sig").where("a < b and x <> y").select("a", "b").distinct()
     rest = materialize(rest.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
-    found = [verify(rest)] if rest.limit(1).count() else []
-    many = of.where(F.col("n") > small)
+    if rest.limit(1).count():
+        links, more = links.unionByName(tested(rest)), True
     if many.limit(1).count():
-        found.append(_dense(many, held, between, block))
-    for more in found:
-        with arrow_rows(held.sparkSession, PAIRS):
-            links = links.unionByName(materialize(more, "links"))
-    return components(links) if found else labels
+        links, more = links.unionByName(_dense(many, held, between, block_rows, block_weight)), True
+    return components(links) if more else labels
 
 
-def _dense(members: DataFrame, held: DataFrame, between, block: int) -> DataFrame:
+def _tested(pairs: DataFrame, held: DataFrame, verify) -> DataFrame:
+    with arrow_rows(held.sparkSession, PAIRS):
+        return materialize(verify(pairs), "links")
+
+
+def _dense(members: DataFrame, held: DataFrame, between, block_rows: int, block_weight: int) -> DataFrame:
     """Links between the components of large groups, in blocks: what is outside the largest component of a cluster of such groups against all of the cluster."""
     clusters = components(members.where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct())
     rows = members.select("key", "label").distinct().join(clusters.select(F.col("node").alias("key"), F.col("label").alias("cluster")), "key")
     rows = materialize(rows.join(held, "key").select("cluster", "key", "label", "payload", "weight"), "clusters")
     sizes = rows.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
-    sizes = sizes.groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max_by("weight", F.struct("n", "label")).alias("inside"), F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("labels"))
-    blocks = lambda w: F.ceil(w / F.lit(block)).cast("int")
-    sizes = sizes.where("labels > 1").select("cluster", "main", F.greatest(F.lit(1), blocks(F.col("weight"))).alias("n_all"), F.greatest(F.lit(1), blocks(F.col("weight") - F.col("inside"))).alias("n_out"))
+    sizes = sizes.groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("inside_n"), F.max_by("weight", F.struct("n", "label")).alias("inside"), F.sum("n").alias("n"), F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("labels"))
+    blocks = lambda n, w: F.greatest(F.lit(1), F.ceil(n / F.lit(block_rows)), F.ceil(w / F.lit(block_weight))).cast("int")
+    c = F.col
+    sizes = sizes.where("labels > 1").select("cluster", "main", blocks(c("n"), c("weight")).alias("n_all"), blocks(c("n") - c("inside_n"), c("weight") - c("inside")).alias("n_out"))
     rows = rows.join(sizes, "cluster")
     part = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
     out = rows.where(F.col("label") != F.col("main")).withColumn("o", part(F.col("n_out"))).withColumn("m", F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)))
@@ -138,4 +168,5 @@ def _dense(members: DataFrame, held: DataFrame, between, block: int) -> DataFram
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     both = reduce(DataFrame.unionByName, (x.select("cluster", "m", "o", "key", "label", "payload", F.lit(side).alias("outside")) for x, side in ((out, True), (everyone, False))))
-    return both.groupBy("cluster", "m", "o").applyInArrow(pairs, "a long, b long")
+    with arrow_rows(held.sparkSession, PAIRS):
+        return materialize(both.groupBy("cluster", "m", "o").applyInArrow(pairs, "a long, b long"), "links")

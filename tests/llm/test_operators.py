@@ -1,6 +1,7 @@
 """The operators against brute force, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import base64
+import functools
 import hashlib
 import io
 import random
@@ -307,6 +308,11 @@ def test_op7(docs, none):
     for r in got.collect():
         assert r["text"] == want.get(r["doc_id"])
     assert op7_line_dedup.dedup_lines(none).count() == 0
+    clash = docs.withColumns({"n_removed": docs.n_chars, "__lines": docs.lang})
+    assert sorted(op7_line_dedup.dedup_lines(clash).columns) == sorted([*docs.columns, "__lines", "n_lines", "n_removed", "n_near"])
+    stage = op7_line_dedup.remove_duplicate_lines(clash)
+    assert stage.columns == clash.columns and {r["n_removed"] for r in stage.collect()} == {0}
+    assert all(r["n_chars"] in (0, len(r["text"] or "")) and (r["text"] or "") == (want.get(r["doc_id"]) or "") for r in stage.collect())
 
 
 def test_op8(spark, none):
@@ -359,7 +365,9 @@ def test_long_words_are_summed_over_all_segmentations(monkeypatch):
     assert n == 2 and rows.tolist() == [0, 0, 0, 2] and len(groups) == 1 and long[0][1].tobytes() == b"\x01" + "é".encode() * 40
 
 
-def test_op10(docs, none):
+@pytest.mark.parametrize("options", [{}, {"small": 2, "block_rows": 5, "turns": 1}])
+def test_op10(docs, none, options, monkeypatch):
+    monkeypatch.setattr(op10_jaccard, "linked", functools.partial(op10_jaccard.linked, **options))
     rows = docs.collect()
     sets = []
     for r in rows:
@@ -384,5 +392,21 @@ def test_op10(docs, none):
     want = Counter((r["doc_id"], len(sets[k]), least.get(top(k)) if sets[k] else r["doc_id"]) for k, r in enumerate(rows))
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
     kept = op10_jaccard.keep_one_of_each(docs)
-    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} >= {least[k] for k in least}
+    first = {}
+    for k, r in enumerate(rows):
+        if sets[k]:
+            order = (r["doc_id"] is None, r["doc_id"] or 0)
+            first[top(k)] = min(first.get(top(k), order), order)
+    assert kept.columns == docs.columns
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter([i for missing, i in first.values() if not missing]) + Counter([None for missing, _ in first.values() if missing]) + Counter(r["doc_id"] for k, r in enumerate(rows) if not sets[k])
     assert op10_jaccard.jaccard_classes(none).count() == 0
+
+
+def test_one_of_each_with_repeated_and_missing_ids(spark):
+    text, other = "a b c d e f g h", "q w e r t z u i"
+    rows = [(None, text, 1), (None, text, 2), (None, other, 3), (5, other, 4), (5, other, 5), (5, text + " x y", 6), (7, None, 7), (7, None, 8), (None, " ", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, class long")
+    kept = op10_jaccard.keep_one_of_each(docs)
+    found = sorted((r["class"] for r in kept.collect()))
+    assert kept.columns == docs.columns and len(found) == 6
+    assert found[0] in (1, 2) and found[1] in (4, 5) and found[2:] == [6, 7, 8, 9]
