@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .simlink import SIGNATURES, groups_of, linked
+from .simlink import DEALT, Parts, as_dealt, groups_of, linked, shard_bits
 from .storage import materialize
 from .textscan import by_bytes, distinct, mix, scan_words, text_buffer
 
@@ -161,9 +161,11 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, sample_docs:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     table = materialize(docs.mapInArrow(keys, f"doc_id {kind}, text_key long, key long, n_shingles long"), "sets")
-    common = spark.sparkContext.broadcast(_common_elements(docs, table.count(), sample_docs))
+    facts = table.agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("elements")).first()
+    common = spark.sparkContext.broadcast(_common_elements(docs, facts["n"], sample_docs))
+    bits = shard_bits(facts["elements"] or 0)
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Parts:
         seen: set[int] = set()
         for batch in by_bytes(batches, "text"):
             sets = [x for x in shingles(*text_buffer(batch.column(0)), n) if x.size]
@@ -176,11 +178,9 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, sample_docs:
             if len(seen) > 1_000_000:  # copies that pass are removed later
                 seen.clear()
             row, sig, often = signatures([sets[k] for k in new.values()], percent, common.value)
-            names = np.array(list(new), np.int64)[row]
-            for k in range(0, row.size, 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000]) for x in (sig, names, often)], ["sig", "key", "common"])
+            yield sig, np.array(list(new), np.int64)[row], often
 
-    groups = materialize(groups_of(docs.select("text").mapInArrow(sign, SIGNATURES)), "candidates")
+    groups = materialize(groups_of(docs.select("text").mapInArrow(lambda batches: as_dealt(sign(batches), bits), DEALT)), "candidates")
     wanted = groups.select("key").distinct()
     holders = table.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     holders = materialize(holders.join(wanted, "key").select("doc_id", "key"), "holders")

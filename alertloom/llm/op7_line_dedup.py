@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .simlink import SIGNATURES, groups_of, linked
+from .simlink import DEALT, SIGNATURES, Parts, as_dealt, as_rows, groups_of, linked, shard_bits
 from .storage import materialize
-from .textscan import by_bytes, mix, text_buffer
+from .textscan import by_bytes, distinct, mix, text_buffer
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
@@ -154,7 +154,7 @@ def _points(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray,
     place = np.concatenate([[0], np.cumsum(head)])[offsets - offsets[0]]
     points = np.frombuffer(text.tobytes().decode("utf-8", "replace").encode("utf-32-le"), "<u4")
     breaks = np.flatnonzero(points == 10)
-    begins = np.unique(np.concatenate([place[:-1], breaks + 1]))
+    begins = distinct(np.concatenate([place[:-1], breaks + 1]))
     begins = begins[begins < points.size] if points.size else begins[:0]
     ends = np.concatenate([begins[1:], [points.size]])[: begins.size]
     stop = np.zeros(points.size + 1, bool)
@@ -174,7 +174,7 @@ def duplicate_lines(docs: DataFrame, tau: int = 2, min_chars: int = 24, sample_d
     distinct = materialize(lines.where("key is not null").groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "distinct-lines")
 
     def sign(often: np.ndarray | None):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Parts:
             seen: set[int] = set()
             for batch in by_bytes(batches, "text"):
                 points, starts, lengths, _ = _points(batch, 0)
@@ -191,19 +191,19 @@ def duplicate_lines(docs: DataFrame, tau: int = 2, min_chars: int = 24, sample_d
                 at = np.fromiter(new.values(), np.int64, len(new))
                 row, sig = line_signatures(points, starts[at], lengths[at], tau)
                 key = names[at][row]
-                common = np.isin(sig, often) if often is not None and often.size else np.zeros(sig.size, bool)
-                for k in range(0, sig.size, 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000]) for x in (sig, key, common)], ["sig", "key", "common"])
+                yield sig, key, np.isin(sig, often) if often is not None and often.size else np.zeros(sig.size, bool)
 
         return run
 
     # the lines that are not empty, as _points finds them, by their hash in the same order
     hashed = F.transform(F.split(F.regexp_replace("text", r"\n\z", ""), "\n", -1), lambda x: F.xxhash64(x))
     texts = docs.where("text <> ''").select("text", hashed.alias("keys"))
-    share = max(1, -(-docs.count() // sample_docs))
-    often = _common(texts.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0), sign)
-    signatures = texts.mapInArrow(sign(often), SIGNATURES)
-    groups = materialize(groups_of(signatures), "candidates")
+    facts = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    share = max(1, -(-facts["n"] // sample_docs))
+    often = _common(texts.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0), sign(None))
+    # a line gives up to 21 signatures
+    bits, signed = shard_bits((facts["bytes"] or 0) // 32), sign(often)
+    groups = materialize(groups_of(texts.mapInArrow(lambda batches: as_dealt(signed(batches), bits), DEALT)), "candidates")
     wanted = materialize(groups.select("key").distinct(), "wanted")
     few = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
     held = docs.select(F.explode(F.split("text", "\n", -1)).alias("line")).withColumn("key", F.xxhash64("line")).join(few, "key").dropDuplicates(["key"])
@@ -249,7 +249,7 @@ def duplicate_lines(docs: DataFrame, tau: int = 2, min_chars: int = 24, sample_d
 
 def _common(texts: DataFrame, sign, least: int = 4, most: int = 1_000_000) -> np.ndarray:
     """Signatures that ``least`` or more lines of sampled texts hold. They are only dealt out in another way."""
-    counts = texts.mapInArrow(sign(None), SIGNATURES).select("sig", "key").distinct().groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    counts = texts.mapInArrow(lambda batches: as_rows(sign(batches)), SIGNATURES).select("sig", "key").distinct().groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     return np.sort(counts.orderBy(F.desc("n"), "sig").limit(most).select("sig").toArrow().column("sig").to_numpy())
 
 

@@ -4,8 +4,8 @@ Keys that share a signature are candidates. Only links decide the components, so
 Round one tests each key against the most central member of its groups. What is still apart in large groups is then tested against further
 members of the group's largest component, a few times. The last round tests all pairs that are still apart: in small groups pair by pair;
 large groups that overlap are taken together, and what is outside their largest component is held against all of it in blocks of bounded
-size. Rows are sorted by Spark and stream by; a task holds the keys of one signature. Signatures that may be very common are spread over
-tasks, counted with partial sums and joined.
+size. Signatures are dealt into shards by their first bits, as packed columns; the shards' number follows from how many are expected, so a
+task holds a bounded part of them. Signatures that may be very common are spread over shards by key, counted with partial sums and joined.
 """
 
 from __future__ import annotations
@@ -20,44 +20,87 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import arrow_rows, materialize
-from .textscan import give_back
+from .textscan import give_back, mix
 
+_U = np.uint64
 #: Pairs that a task tests at once; each carries two payloads.
 PAIRS = 128
 SIGNATURES = "sig long, key long, common boolean"
+DEALT = "shard long, common boolean, sigs binary, keys binary"
+#: Signatures expected in a shard; beyond ``SHARDS`` shards they get up to eight times as many.
+SHARD, SHARDS = 1_000_000, 4096
+Parts = Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def groups_of(signatures: DataFrame) -> DataFrame:
-    """sig, key, n: distinct members of the signatures that n keys share, two or more."""
+def shard_bits(signatures: int) -> int:
+    """The shards' number is 2 to this power."""
+    n = -(-signatures // SHARD)
+    return min(30, (n if n <= SHARDS else max(SHARDS, -(-n // 8))).bit_length())
 
-    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
 
-        def out(sig: np.ndarray, key: np.ndarray, common: np.ndarray) -> Iterator[pa.RecordBatch]:
-            first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-            sizes = np.diff(np.append(first, sig.size))
-            n = np.repeat(sizes, sizes)
-            at = np.flatnonzero((n > 1) | common)
-            if at.size:
-                yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (sig, key, n, common)], ["sig", "key", "n", "common"])
+def as_rows(parts: Parts) -> Iterator[pa.RecordBatch]:
+    """Signatures, keys and whether a signature is common, one row each."""
+    for columns in parts:
+        for k in range(0, columns[0].size, 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000]) for x in columns], ["sig", "key", "common"])
+
+
+def as_dealt(parts: Parts, bits: int) -> Iterator[pa.RecordBatch]:
+    """The same, a row for each shard and run of about a million signatures."""
 
-        for batch in batches:
-            if not batch.num_rows:
+    def out() -> Iterator[pa.RecordBatch]:
+        whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+        for flag in (False, True):
+            sig, key = (x[whole[2] == flag] for x in whole[:2])
+            if not sig.size:
                 continue
-            sig, key, common = (np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns[:3], strict=True))
-            new = np.ones(sig.size, bool)
-            new[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
-            sig, key, common = sig[new], key[new], common[new]
-            last = int(np.searchsorted(sig, sig[-1]))  # its group may go on in the next batch
-            yield from out(sig[:last], key[:last], common[:last])
-            held = [sig[last:], key[last:], common[last:]]
-        if held[0].size:
-            yield from out(*held)
+            place = mix(sig.view(_U) + (key.view(_U) % _U(64)) * _U(0x9E3779B97F4A7C15)) if flag else sig.view(_U)
+            shard = (place >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(sig.size, np.int64)
+            order = np.argsort(shard, kind="stable")
+            sig, key, shard = sig[order], key[order], shard[order]
+            first = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
+            ends = [*first[1:].tolist(), sig.size]
+            blobs = [pa.array([x[a:b].tobytes() for a, b in zip(first.tolist(), ends, strict=True)], pa.binary()) for x in (sig, key)]
+            yield pa.RecordBatch.from_arrays([pa.array(shard[first]), pa.array(np.full(first.size, flag)), *blobs], ["shard", "common", "sigs", "keys"])
+
+    held, size = [], 0
+    for columns in parts:
+        held.append(columns)
+        size += columns[0].size
+        if size > 1_000_000:
+            yield from out()
+            held, size = [], 0
+    if size:
+        yield from out()
+
+
+def groups_of(dealt: DataFrame) -> DataFrame:
+    """sig, key, n: distinct members of the signatures that n keys share, two or more."""
+
+    def group(table: pa.Table) -> pa.Table:
+        parts = []
+        for flag in (False, True):
+            rows = table.filter(pc.equal(table.column("common"), flag))
+            sig, key = (np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x.as_buffer(), np.int64) for x in rows.column(c))]) for c in ("sigs", "keys"))
+            if not flag:  # most signatures are alone: they go before the sort of the others
+                order = np.argsort(sig)
+                sig, key = sig[order], key[order]
+                same = np.append(sig[1:] == sig[:-1], False)
+                same[1:] |= same[:-1]
+                sig, key = sig[same], key[same]
+            order = np.lexsort((key, sig))
+            sig, key = sig[order], key[order]
+            new = np.append(True, (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])) if sig.size else np.zeros(0, bool)
+            sig, key = sig[new], key[new]
+            first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if sig.size else np.zeros(0, np.int64)
+            sizes = np.diff(np.append(first, sig.size))
+            n = np.repeat(sizes, sizes)
+            at = np.flatnonzero((n > 1) | flag)
+            parts.append(pa.table({"sig": sig[at], "key": key[at], "n": n[at], "common": np.full(at.size, flag)}))
         give_back()
+        return pa.concat_tables(parts)
 
-    # a common signature is spread over tasks by key; its members are counted below
-    dealt = signatures.repartition(F.col("sig"), F.when(F.col("common"), F.pmod("key", F.lit(64))).otherwise(0)).sortWithinPartitions("sig", "key")
-    found = materialize(dealt.mapInArrow(group, "sig long, key long, n long, common boolean"), "groups")
+    found = materialize(dealt.groupBy("shard").applyInArrow(group, "sig long, key long, n long, common boolean"), "groups")
     common = found.where("common")
     sizes = common.groupBy("sig").agg(F.sum(F.lit(1)).alias("n")).where("n > 1")
     return found.where("not common").select("sig", "key", "n").unionByName(common.select("sig", "key").join(sizes, "sig").select("sig", "key", "n"))
@@ -122,7 +165,8 @@ def linked(groups: DataFrame, held: DataFrame, verify: Callable[[DataFrame], Dat
         many = of.where(F.col("n") > small)
         main = many.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("m"), F.max_by("key", F.xxhash64("key", F.lit(turn))).alias("other")).groupBy("sig").agg(F.max_by(F.struct("label", "other"), F.struct("m", "label")).alias("main"))
         again = _most_shared(many.join(main, "sig").where("label <> main.label").select("key", F.col("main.other").alias("pivot")))
-        found = tested(again) if again.limit(1).count() else None
+        # few that are outside make no more than one row of blocks
+        found = tested(again) if again.count() > block_rows else None
         if found is None or not found.limit(1).count():
             break
         links, more = links.unionByName(found), True
@@ -169,4 +213,5 @@ def _dense(members: DataFrame, held: DataFrame, between, block_rows: int, block_
 
     both = reduce(DataFrame.unionByName, (x.select("cluster", "m", "o", "key", "label", "payload", F.lit(side).alias("outside")) for x, side in ((out, True), (everyone, False))))
     with arrow_rows(held.sparkSession, PAIRS):
-        return materialize(both.groupBy("cluster", "m", "o").applyInArrow(pairs, "a long, b long"), "links")
+        # without this a cluster's blocks would stay together where its rows were joined
+        return materialize(both.repartition("cluster", "m", "o").groupBy("cluster", "m", "o").applyInArrow(pairs, "a long, b long"), "links")
