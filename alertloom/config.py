@@ -9,6 +9,7 @@ from dataclasses import dataclass
 class EngineConfig:
     """``cash`` and ``intl`` name the two types whose shares are tracked together; ``shift_types`` those whose shifts are measured."""
 
+    # fixed values, up to the last line: windows, hour bins, half-lives, trends, velocities and limits must be these for equal features
     types: tuple[str, ...] = ("card", "transfer", "cash", "intl")
     directions: tuple[str, ...] = ("in", "out")
     cash: str = "cash"

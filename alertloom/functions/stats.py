@@ -7,7 +7,6 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.families import average_rank
 from ..operators.prepare import ratio
 
 
@@ -15,23 +14,31 @@ def melt(df: DataFrame, keys: list[str], features: list[str], name: str = "featu
     return df.unpivot(keys, [F.col(c).cast("double").alias(c) for c in features], name, value).where(F.col(value).isNotNull())
 
 
-def running(counts: DataFrame, by: list[str], x: str, sums: list[str]) -> DataFrame:
+def beside(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``df`` with the columns of ``other``, which has a row for each value of ``keys`` (null is a value), or one row if there are none."""
+    if not keys:
+        return df.crossJoin(F.broadcast(other))  # one row
+    other = other.withColumnsRenamed({k: f"_j{i}" for i, k in enumerate(keys)})
+    return df.join(other, [F.col(k).eqNullSafe(F.col(f"_j{i}")) for i, k in enumerate(keys)], how).drop(*(f"_j{i}" for i in range(len(keys))))
+
+
+def running(counts: DataFrame, by: list[str], x: str, sums: list[str], steps: int = 256) -> DataFrame:
     """Adds upto_c and whole_c for each c of ``sums``: over the rows of ``by`` with values up to this one, and over all. One row a value.
 
-    Values are dealt by the logarithm of their distance from the smallest, at 64 steps an octave, so no task sorts a whole column: windows
-    run within a step, and the sums of the steps, whose number is bounded, carry on. The steps depend on values alone, so tasks that run
-    again give the same. Nulls come first, NaN last, as in Spark's order; a group whose smallest value is minus infinity is one step.
+    No task sorts a whole column: values are dealt into steps between sampled bounds, windows run within a step, and the sums of the steps
+    carry on. The sample is the value with the smallest hash of each of ``steps`` classes of hashes, so it depends on the values alone, is
+    found with partial aggregation, and is the same when a task runs again. Nulls come first, NaN last, as in Spark's order.
     """
     v = F.col(x).cast("double")
-    lows = counts.groupBy(*by).agg(F.min(v).alias("_low"))
-    step = F.when(v.isNull(), -2e9).when(F.isnan(v), 2e9).when(v == F.col("_low"), -1e9).otherwise(F.greatest(F.lit(-1e9), F.least(F.lit(1e9), F.coalesce(F.floor(F.log2(v - F.col("_low")) * 64).cast("double"), F.lit(-1e9)))))
-    placed = (counts.join(lows, by) if by else counts.crossJoin(F.broadcast(lows))).withColumn("_step", step).drop("_low")  # without keys: one row
-    steps = placed.groupBy(*by, "_step").agg(*(F.sum(c).alias(f"_s_{c}") for c in sums))
+    drawn = counts.select(*by, v.alias("_v"), F.xxhash64(v).alias("_h")).groupBy(*by, F.pmod("_h", F.lit(steps)).alias("_k")).agg(F.min_by("_v", "_h").alias("_v"))
+    bounds = drawn.groupBy(*by).agg(F.array_sort(F.collect_set("_v")).alias("_bounds"))
+    placed = beside(counts, bounds, by).withColumn("_step", F.when(v.isNull(), -1).otherwise(F.size(F.filter("_bounds", lambda b: b < v)))).drop("_bounds")
+    totals = placed.groupBy(*by, "_step").agg(*(F.sum(c).alias(f"_s_{c}") for c in sums))
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
     before = group.orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
-    steps = steps.select(*by, "_step", *(F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in sums), *(F.sum(f"_s_{c}").over(group).alias(f"whole_{c}") for c in sums))
+    totals = totals.select(*by, "_step", *(F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in sums), *(F.sum(f"_s_{c}").over(group).alias(f"whole_{c}") for c in sums))
     within = Window.partitionBy(*by, "_step").orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
-    out = placed.join(steps, [*by, "_step"]).withColumns({f"upto_{c}": F.sum(c).over(within) + F.col(f"_b_{c}") for c in sums})
+    out = beside(placed, totals, [*by, "_step"]).withColumns({f"upto_{c}": F.sum(c).over(within) + F.col(f"_b_{c}") for c in sums})
     return out.drop("_step", *(f"_b_{c}" for c in sums))
 
 
@@ -39,10 +46,18 @@ def ranks(df: DataFrame, by: list[str], x: str, rank: str = "rank", n: str = "n"
     """Adds the average rank of x among the rows of ``by``, and their number. Equal values are counted before anything is sorted."""
     counts = df.groupBy(*by, x).agg(F.count(F.lit(1)).alias("_t"))
     found = running(counts, by, x, ["_t"])
-    keys = [*by, x]
-    found = found.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), (F.col("upto__t") - (F.col("_t") - 1) / F.lit(2.0)).alias(rank), F.col("whole__t").alias(n))
-    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    return df.join(found, same).drop(*(f"_k{i}" for i in range(len(keys))))
+    found = found.select(*by, x, (F.col("upto__t") - (F.col("_t") - 1) / F.lit(2.0)).alias(rank), F.col("whole__t").alias(n))
+    return beside(df, found, [*by, x])
+
+
+def quantiles(df: DataFrame, by: list[str], x: str, qs: list[float], out: str = "q") -> DataFrame:
+    """by, n, ``out``: exact quantiles with linear interpolation, as an array; nulls don't count. Read off running counts of distinct values, so no task holds a column."""
+    counts = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count(F.lit(1)).alias("_t"))
+    place = {q: F.lit(float(q)) * (F.col("whole__t") - 1) for q in qs}
+    ends = [f(F.when(F.col("upto__t") > side(place[q]), F.col(x).cast("double"))).alias(f"_{name}{k}") for k, q in enumerate(qs) for name, side, f in (("a", F.floor, F.min), ("b", F.ceil, F.min))]
+    found = running(counts, by, x, ["_t"]).groupBy(*by).agg(F.max("whole__t").alias("whole__t"), *ends)
+    values = [F.col(f"_a{k}") + (F.col(f"_b{k}") - F.col(f"_a{k}")) * (place[q] - F.floor(place[q])) for k, q in enumerate(qs)]
+    return found.select(*by, F.col("whole__t").alias("n"), F.array(*values).alias(out))
 
 
 def rank_sums(long: DataFrame, label: str = "label", by: str = "feature", x: str = "x") -> DataFrame:
@@ -75,6 +90,17 @@ def two_sided_p(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
+def chi_square_p(x: float, dof: int) -> float:
+    """The upper tail, by the recurrence of the incomplete gamma function from one half or one."""
+    half, a = x / 2, 0.5 if dof % 2 else 1.0
+    tail, term = (math.erfc(math.sqrt(half)), math.sqrt(half / math.pi) * 2 * math.exp(-half)) if dof % 2 else (math.exp(-half), half * math.exp(-half))
+    while a < dof / 2:
+        tail += term
+        a += 1
+        term *= half / a
+    return min(1.0, tail)
+
+
 def univariate_strength(df: DataFrame, label: str, features: list[str], least: int = 1000) -> DataFrame:
     """AUC of each feature with more than ``least`` values that differ, by distance from one half."""
     long = melt(df.withColumn("label", F.col(label)), ["label"], features)
@@ -89,10 +115,11 @@ def ks_two_sample(long: DataFrame, label: str = "label", by: str = "feature", x:
     return running(counts, [by], x, ["c0", "c1"]).withColumn("gap", gap).groupBy(by).agg(F.max("gap").alias("ks"), F.sum("c0").alias("n0"), F.sum("c1").alias("n1"))
 
 
-def ks_p(d: float, n0: int, n1: int) -> float:
+def ks_p(d: Column, n0: Column, n1: Column) -> Column:
     """Asymptotic p-value of the two-sample statistic."""
-    x = d * math.sqrt(n0 * n1 / (n0 + n1))
-    return 1.0 if x < 0.2 else max(0.0, min(1.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 101))))
+    xx = d * d * n0 * n1 / (n0 + n1)
+    terms = F.transform(F.sequence(F.lit(1), F.lit(100)), lambda k: F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * xx))
+    return F.when(xx < 0.04, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.aggregate(terms, F.lit(0.0), lambda a, b: a + b))))
 
 
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -152,7 +179,7 @@ def histogram(df: DataFrame, x: str, edges: list[float]) -> DataFrame:
 
 def density_ratio(df: DataFrame, x: str, label: str, bins: int = 20) -> DataFrame:
     """In quantile bins of all rows: share of positives over share of negatives. Bins are right-closed."""
-    edges = df.agg(F.percentile(x, F.array(*(F.lit(i / bins) for i in range(1, bins)))).alias("edges"))
+    edges = quantiles(df, [], x, [i / bins for i in range(1, bins)], "edges").drop("n")
     found = F.array_position(F.transform(F.array_distinct("edges"), lambda e: F.col(x) <= e), F.lit(True))
     rows = df.where(F.col(x).isNotNull()).crossJoin(F.broadcast(edges)).withColumn("bin", F.when(found > 0, found - 1).otherwise(F.size(F.array_distinct("edges"))).cast("int"))  # edges: one row
     counts = rows.groupBy("bin").agg(F.count_if(F.col(label) == 1).alias("n1"), F.count_if(F.col(label) == 0).alias("n0"))
@@ -162,7 +189,7 @@ def density_ratio(df: DataFrame, x: str, label: str, bins: int = 20) -> DataFram
 
 def quantile_box(df: DataFrame, by: str, x: str) -> DataFrame:
     qs = (0.05, 0.25, 0.5, 0.75, 0.95)
-    out = df.groupBy(by).agg(F.percentile(x, F.array(*map(F.lit, qs))).alias("q"), F.count(x).alias("n"))
+    out = quantiles(df, [by], x, list(qs))
     return out.select(by, "n", *(F.get("q", i).alias(f"q{round(q * 100):02d}") for i, q in enumerate(qs)))
 
 
@@ -173,9 +200,16 @@ def lift(df: DataFrame, keys: list[str], label: str) -> DataFrame:
     return counts.crossJoin(total).select(*keys, "n1", "n0", ratio(F.col("n1") * F.col("t0"), F.col("n0") * F.col("t1")).alias("lift"))
 
 
-def cohort_rank(df: DataFrame, cohort: list[str], x: str) -> Column:
-    """Average rank within the cohort over its size."""
-    return average_rank(cohort, x) / F.count(F.lit(1)).over(Window.partitionBy(*cohort))
+def cohort_rank(df: DataFrame, cohort: list[str], x: str, out: str = "pct") -> DataFrame:
+    """Adds ``out``: the average rank within the cohort over its size."""
+    return ranks(df, cohort, x, "_rank", "_n").withColumn(out, F.col("_rank") / F.col("_n")).drop("_rank", "_n")
+
+
+def describe(df: DataFrame, x: str, qs: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """n, mean, std, min, the quantiles, max of one column."""
+    facts = df.agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    found = quantiles(df, [], x, list(qs)).select("n", *(F.get("q", k).alias(f"q{round(q * 100):02d}") for k, q in enumerate(qs)))
+    return found.crossJoin(facts)  # one row each
 
 
 def corrected_moments(df: DataFrame, x: str) -> DataFrame:

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig
 from .prepare import ORDER, amount_block, count_where, grouped, order_key, per_alert, ratio, share_where, sum_where
 
-_ALL = F.lit
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 
 
@@ -21,6 +20,10 @@ def _days(cond: Column) -> Column:
     return F.size(F.collect_set(F.when(cond, F.col("day")))).cast("long")
 
 
+def _whole_seconds(us: Column) -> Column:
+    return F.floor(us / F.lit(1e6))
+
+
 def _type(t: str) -> Column:
     return F.col("tx_type") == t
 
@@ -84,10 +87,9 @@ def burst(rows: DataFrame, config: EngineConfig) -> DataFrame:
     return grouped(rows, out)
 
 
-def burst_relative(joined: DataFrame, config: EngineConfig) -> dict[str, Column]:
-    """Columns over a join of aggregates and burst; they are taken before counts are filled."""
-    c = F.col
-    out = {"br_amt_mean_diff": c("b_amt_mean") - c("amt_mean"), "br_amt_max_diff": c("b_amt_max") - c("amt_max"), "br_amt_mean_z": ratio(c("b_amt_mean") - c("amt_mean"), c("amt_std") + 1e-3), "br_n_vs_daily_rate": ratio(c("b_n"), ratio(c("n_tx"), F.ceil("first_age")) + 1e-3), "br_n_vs_hist_n": ratio(c("b_n"), c("n_tx") + 1), "br_in_share_diff": c("b_in_share") - c("in_share")}
+def burst_relative(config: EngineConfig, c=F.col) -> dict[str, Column]:
+    """Columns over a join of aggregates and burst, whose columns ``c`` gives; they are taken before counts are filled."""
+    out = {"br_amt_mean_diff": c("b_amt_mean") - c("amt_mean"), "br_amt_max_diff": c("b_amt_max") - c("amt_max"), "br_amt_mean_z": ratio(c("b_amt_mean") - c("amt_mean"), c("amt_std") + 1e-3), "br_n_vs_daily_rate": ratio(c("b_n"), ratio(c("n_tx"), F.ceil(c("first_age"))) + 1e-3), "br_n_vs_hist_n": ratio(c("b_n"), c("n_tx") + 1), "br_in_share_diff": c("b_in_share") - c("in_share")}
     for t in config.types:
         out |= {f"br_{t}_share_diff": ratio(c(f"b_{t}_n"), c("b_n") + 1e-9) - c(f"{t}_share"), f"br_{t}_mean_diff": c(f"b_{t}_mean") - c(f"{t}_mean")}
     return out
@@ -140,16 +142,15 @@ def activity(history: DataFrame, config: EngineConfig) -> DataFrame:
 
 
 def gaps(history: DataFrame) -> DataFrame:
-    """Hours between consecutive transactions, and what follows the longest wait."""
+    """Hours between consecutive transactions in whole seconds, and what follows the longest wait."""
     w = per_alert()
-    previous = F.lag("tx_ts").over(w)
-    rows = history.select("alert_id", "tx_ts", (F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', tx_ts)")).alias("us"), *ORDER[1:]).withColumn("gap", (F.col("us") - F.lag("us").over(w)) / F.lit(3.6e9))
+    us = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', tx_ts)")
+    rows = history.select("alert_id", "tx_ts", us.alias("us"), *ORDER[1:]).withColumn("gap", _whole_seconds(F.col("us") - F.lag("us").over(w)) / F.lit(3600.0))
     g = F.col("gap")
-    del previous
     log_gap = F.log1p(g)
     out = {"gap_mean": F.avg(g), "gap_std": F.stddev_samp(g), "gap_med": F.median(g), "gap_min": F.min(g), "gap_max": F.max(g), "gap_q10": F.percentile(g, F.lit(0.1)), "gap_q90": F.percentile(g, F.lit(0.9)), "gap_lt1h_share": share_where(g < 1), "gap_lt5m_share": share_where(g < 1 / 12), "gap_gt7d_n": count_where(g > 168), "gap_logmean": F.avg(log_gap), "gap_logstd": F.stddev_samp(log_gap)}
     longest = F.max_by("us", F.struct(F.coalesce(g, F.lit(0.0)), F.col("us")))
-    out |= {"days_active_after_max_gap": (F.max("us") - longest) / F.lit(8.64e10), "dormant_reactivated_30d": (F.max(F.coalesce(g, F.lit(0.0))) > 720).cast("long")}
+    out |= {"days_active_after_max_gap": _whole_seconds(F.max("us") - longest) / F.lit(86400.0), "dormant_reactivated_30d": (F.max(F.coalesce(g, F.lit(0.0))) > 720).cast("long")}
     return grouped(rows, out).withColumn("gap_cv", ratio(F.col("gap_std"), F.col("gap_mean")))
 
 
@@ -173,9 +174,9 @@ def asof_backward(left: DataFrame, right: DataFrame, by: str, on: str, carried:
 
 
 def passthrough(history: DataFrame, config: EngineConfig) -> DataFrame:
-    """Outgoing transactions against the latest incoming one at or before them."""
+    """Outgoing transactions against the latest incoming one at or before them; lags in whole seconds."""
     moved = asof_backward(history.where(_dir("out")).select("alert_id", "tx_ts", "amount", "e", "tx_type"), history.where(_dir("in")).select("alert_id", "tx_ts", "amount", "tx_type"), "alert_id", "tx_ts", ["amount", "tx_type"])
-    rows = moved.withColumn("lag", F.expr("timestampdiff(MICROSECOND, in_tx_ts, tx_ts)") / F.lit(3.6e9)).withColumn("delta", F.abs(F.col("amount") - F.col("in_amount")))
+    rows = moved.withColumn("lag", F.expr("timestampdiff(SECOND, in_tx_ts, tx_ts)") / F.lit(3600.0)).withColumn("delta", F.abs(F.col("amount") - F.col("in_amount")))
     lag, near = F.col("lag"), F.col("lag") < 24
     alike = F.col("delta") < 0.25
     out = {"pt_out_n": F.count(F.lit(1)), "pt_lag_med": F.median(lag), "pt_lag_mean": F.avg(lag), "pt_lag_min": F.min(lag), "pt_1h_n": count_where(lag < 1), "pt_24h_n": count_where(near), "pt_24h_similar_n": count_where(near & alike), "pt_72h_similar_n": count_where((lag < 72) & alike), "pt_24h_large_n": count_where(near & (F.col("amount") > 1)), "pt_24h_amtdiff_mean": F.avg(F.when(near, F.col("delta"))), "pt_24h_out_amtx": sum_where(near, "e"), "pt_24h_from_intl_n": count_where(near & (F.col("in_tx_type") == config.intl)), "pt_24h_to_cash_intl_n": count_where(near & F.col("tx_type").isin(config.cash, config.intl))}

@@ -64,6 +64,10 @@ def grouped(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.groupBy("alert_id").agg(*(c.alias(n) for n, c in columns.items()))
 
 
+def is_count(name: str) -> bool:
+    """Counts are 0 where nothing was counted."""
+    return name.endswith("_n") or name in ("n_tx", "active_days")
+
+
 def zero_fill(features: DataFrame) -> DataFrame:
-    """Counts are 0 where nothing was counted: names that end in _n, n_tx and active_days."""
-    return features.fillna(0, [c for c in features.columns if c.endswith("_n") or c in ("n_tx", "active_days")])
+    return features.fillna(0, [c for c in features.columns if is_count(c)])

@@ -8,12 +8,19 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import auc, melt, ranks, running
+from ..functions.stats import auc, beside, melt, quantiles, ranks, running
 
 
 def stratified_folds(df: DataFrame, key: str, label: str, k: int, seed: int) -> DataFrame:
-    """Adds fold: each label's rows, in the order of a hash of key and seed, are dealt in turn."""
-    return df.withColumn("fold", (F.row_number().over(Window.partitionBy(label).orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))), key)) - 1) % k)
+    """Adds fold: each label's rows, in the order of a hash of key and seed, are dealt in turn.
+
+    Rows are numbered within 4096 ranges of the hash a label; sums of the ranges carry on.
+    """
+    rows = df.withColumn("_h", F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))).withColumn("_range", F.substring("_h", 1, 3))
+    before = Window.partitionBy(label).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(label, "_range").agg(F.count(F.lit(1)).alias("_c")).select(label, "_range", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))
+    number = F.row_number().over(Window.partitionBy(label, "_range").orderBy("_h", key))
+    return beside(rows, starts, [label, "_range"]).withColumn("fold", ((F.col("_start") + number - 1) % k).cast("int")).drop("_h", "_range", "_start")
 
 
 def rank01(df: DataFrame, x: str, out: str, plus: int = 1) -> DataFrame:
@@ -24,7 +31,7 @@ def rank01(df: DataFrame, x: str, out: str, plus: int = 1) -> DataFrame:
 def naive_bayes_bins(train: DataFrame, test: DataFrame, key: str, label: str, features: list[str], bins: int = 10, prior: float = 200.0) -> DataFrame:
     """key, score: sum over features of the log odds of the row's quantile bin, smoothed towards the base rate; missing values have their own bin."""
     long = train.unpivot([key, label], [F.col(c).cast("double").alias(c) for c in features], "feature", "x")
-    edges = long.groupBy("feature").agg(F.percentile("x", F.array(*(F.lit(i / bins) for i in range(1, bins)))).alias("edges"))
+    edges = quantiles(long, ["feature"], "x", [i / bins for i in range(1, bins)], "edges").drop("n")
     position = F.array_position(F.transform("edges", lambda e: F.col("x") <= e), F.lit(True))
     bin_of = F.when(F.col("x").isNull(), -1).when(position > 0, position - 1).otherwise(bins - 1).cast("int")
     rate = train.agg(F.avg(label).alias("rate"))
@@ -93,7 +100,7 @@ def cross_validated(df: DataFrame, key: str, label: str, features: list[str], k:
     rows = df.select(key, F.col(label).cast("double").alias(label), *(F.col(c).cast("double").alias(c) for c in features))
     parts = []
     for repeat in range(repeats):
-        dealt = stratified_folds(rows, key, label, k, seed + repeat).cache()
+        dealt = stratified_folds(rows, key, label, k, seed + repeat)
         for fold in range(k):
             fitted = Pipeline(stages=stages).fit(dealt.where(F.col("fold") != fold))
             parts.append(fitted.transform(dealt.where(F.col("fold") == fold)).select(key, F.lit(repeat).alias("repeat"), "fold", label, vector_to_array("probability")[1].alias("oof")))

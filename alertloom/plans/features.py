@@ -2,31 +2,39 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..operators import families as f
-from ..operators.prepare import prepare, split_burst, zero_fill
+from ..operators.prepare import is_count, prepare, split_burst
 from ..operators.reference import global_thresholds, type_edges
 
 DEFAULT = ("agg", "win", "lastk", "hist", "burst")
 OPTIONAL = ("time", "pt", "trans", "shift", "calendar")
 
 
-def fit_reference(tx: DataFrame, alerts: DataFrame, config: EngineConfig) -> tuple[DataFrame, DataFrame]:
-    """(thresholds, edges) from the history of these alerts, for use on any split."""
-    history, _ = split_burst(prepare(tx, alerts), config)
+def dealt(tx: DataFrame, alerts: DataFrame) -> DataFrame:
+    """The prepared rows, dealt by alert and persisted: every family and the reference statistics read them from there, and none shuffles them again.
+
+    They stay until ``unpersist``, in memory or on the executors' disks; lost ones are made again.
+    """
+    n = int(tx.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return prepare(tx, alerts).repartition(n, "alert_id").persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def fit_reference(prepared: DataFrame, config: EngineConfig) -> tuple[DataFrame, DataFrame]:
+    """(thresholds, edges) from the prepared rows of one split, for use on any split."""
+    history, _ = split_burst(prepared, config)
     return global_thresholds(history), type_edges(history)
 
 
-def build_features(tx: DataFrame, alerts: DataFrame, config: EngineConfig, reference: tuple[DataFrame, DataFrame], families: tuple[str, ...] = DEFAULT) -> DataFrame:
-    """One row for each alert, with or without transactions; all measures are doubles.
+def build_features(prepared: DataFrame, alerts: DataFrame, config: EngineConfig, reference: tuple[DataFrame, DataFrame], families: tuple[str, ...] = DEFAULT, digits: int | None = None) -> DataFrame:
+    """One row for each alert, with or without transactions; all measures are doubles, rounded to ``digits`` if given.
 
-    Rows are dealt by alert once; every family then groups and sorts within those partitions, and the joins find them in place.
+    ``prepared``: see ``dealt``. Families are joined as one struct each, so that no join copies hundreds of columns, and taken apart once.
     """
-    prepared = prepare(tx, alerts).repartition("alert_id")
     history, last = split_burst(prepared, config)
     thresholds, edges = reference
     made = {
@@ -42,7 +50,19 @@ def build_features(tx: DataFrame, alerts: DataFrame, config: EngineConfig, refer
         "calendar": lambda: [f.calendar(alerts)],
     }
     frames = [frame for name in families for frame in made[name]()]
-    joined = reduce(lambda a, b: a.join(b, "alert_id", "left"), frames, alerts.select("alert_id"))
+    joined, place = alerts.select("alert_id"), {}
+    for k, frame in enumerate(frames):
+        names = [c for c in frame.columns if c != "alert_id"]
+        place |= {c: f"f{k}.{c}" for c in names}
+        joined = joined.join(frame.selectExpr("alert_id", f"struct({', '.join(f'`{c}`' for c in names)}) AS f{k}"), "alert_id", "left")
     if {"agg", "burst"} <= set(families):
-        joined = joined.withColumns(f.burst_relative(joined, config))
-    return zero_fill(joined.select("alert_id", *(joined[c].cast("double") for c in joined.columns if c != "alert_id")))
+        relative = f.burst_relative(config, lambda c: F.col(place[c]))
+        joined = joined.withColumn("relative", F.struct(*(x.alias(c) for c, x in relative.items())))
+        place |= {c: f"relative.{c}" for c in relative}
+
+    def measure(c: str) -> str:
+        x = f"CAST({place[c]} AS DOUBLE)"
+        x = f"coalesce({x}, 0D)" if is_count(c) else x
+        return f"{x if digits is None else f'round({x}, {digits})'} AS `{c}`"
+
+    return joined.selectExpr("alert_id", *map(measure, place))

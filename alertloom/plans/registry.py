@@ -15,7 +15,7 @@ from ..functions import stats
 from ..operators import families, reference
 from ..operators.prepare import prepare, split_burst, zero_fill
 from ..sources import tables
-from . import evaluation, features, reports
+from . import evaluation, features, reports, training
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -34,7 +34,7 @@ def _query(sql: str | None = None):
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*(F.round(F.col(f"`{f.name}`"), DIGITS).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`") for f in df.schema))
+    return df.selectExpr(*(f"round(`{f.name}`, {DIGITS}) AS `{f.name}`" if isinstance(f.dataType, T.DoubleType) else f"`{f.name}`" for f in df.schema))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -291,7 +291,7 @@ def burst_relative(spark, sf_dir):
     alerts, tx = tables.events(spark, sf_dir)
     h, b = split_burst(prepare(tx, alerts), C)
     joined = alerts.select("alert_id").join(families.aggregates(h, reference.global_thresholds(h), C), "alert_id", "left").join(families.burst(b, C), "alert_id", "left")
-    columns = families.burst_relative(joined, C)
+    columns = families.burst_relative(C)
     return rounded(zero_fill(joined.withColumns(columns).select("alert_id", *columns)))
 
 
@@ -326,7 +326,7 @@ def lastk_summary(spark, sf_dir):
     return rounded(families.last_k(_history(spark, sf_dir), C).select("alert_id", *(f"last5_{m}" for m in ("amt_mean", "amt_max", "in_share", "span_days", "cash_intl_share"))))
 
 
-_GAPS = f", g AS (SELECT *, (epoch_us(tx_ts) - lag(epoch_us(tx_ts)) OVER (PARTITION BY alert_id ORDER BY {ASC})) / 3.6e9 AS gap FROM h)"
+_GAPS = f", g AS (SELECT *, ((epoch_us(tx_ts) - lag(epoch_us(tx_ts)) OVER (PARTITION BY alert_id ORDER BY {ASC})) // 1000000) / 3600.0 AS gap FROM h)"
 
 
 @_query(_of([_r("avg(gap)", "gap_mean"), _r("stddev_samp(gap)", "gap_std"), _r("median(gap)", "gap_med"), _r("min(gap)", "gap_min"), _r("max(gap)", "gap_max"), _r("quantile_cont(gap, 0.1)", "gap_q10"), _r("quantile_cont(gap, 0.9)", "gap_q90"), _r(_share("gap < 1"), "gap_lt1h_share"), _r(_share("gap < 1.0 / 12"), "gap_lt5m_share"), _n("count(CASE WHEN gap > 168 THEN 1 END)", "gap_gt7d_n"), _r("avg(ln(1 + gap))", "gap_logmean"), _r("stddev_samp(ln(1 + gap))", "gap_logstd"), _r("stddev_samp(gap) / nullif(avg(gap), 0)", "gap_cv")], "g", _GAPS))
@@ -334,7 +334,7 @@ def gaps(spark, sf_dir):
     return rounded(families.gaps(_history(spark, sf_dir)).drop("days_active_after_max_gap", "dormant_reactivated_30d"))
 
 
-@_query(_of([_r("(max(epoch_us(tx_ts)) - arg_max(epoch_us(tx_ts), (coalesce(gap, 0), epoch_us(tx_ts)))) / 8.64e10", "days_active_after_max_gap"), _n("coalesce(max(gap), 0) > 720", "dormant_reactivated_30d")], "g", _GAPS))
+@_query(_of([_r("((max(epoch_us(tx_ts)) - arg_max(epoch_us(tx_ts), (coalesce(gap, 0), epoch_us(tx_ts)))) // 1000000) / 86400.0", "days_active_after_max_gap"), _n("coalesce(max(gap), 0) > 720", "dormant_reactivated_30d")], "g", _GAPS))
 def dormancy(spark, sf_dir):
     return rounded(families.gaps(_history(spark, sf_dir)).select("alert_id", "days_active_after_max_gap", "dormant_reactivated_30d"))
 
@@ -361,7 +361,7 @@ def velocity_max(spark, sf_dir):
     return families.transitions(_history(spark, sf_dir), C).select("alert_id", *(f"vel_max_{n}" for n, _ in C.velocities))
 
 
-_ASOF = ", o AS (SELECT * FROM h WHERE direction = 'out'), i AS (SELECT alert_id, tx_ts, amount AS in_amount, tx_type AS in_type FROM h WHERE direction = 'in'), m AS (SELECT o.*, i.in_amount, i.in_type, date_diff('microsecond', i.tx_ts, o.tx_ts) / 3.6e9 AS lag, abs(o.amount - i.in_amount) AS delta FROM o ASOF LEFT JOIN i ON o.alert_id = i.alert_id AND o.tx_ts >= i.tx_ts)"
+_ASOF = ", o AS (SELECT * FROM h WHERE direction = 'out'), i AS (SELECT alert_id, tx_ts, amount AS in_amount, tx_type AS in_type FROM h WHERE direction = 'in'), m AS (SELECT o.*, i.in_amount, i.in_type, date_sub('second', i.tx_ts, o.tx_ts) / 3600.0 AS lag, abs(o.amount - i.in_amount) AS delta FROM o ASOF LEFT JOIN i ON o.alert_id = i.alert_id AND o.tx_ts >= i.tx_ts)"
 
 
 @_query(_of([_n("count(*)", "pt_out_n"), _r("median(lag)", "pt_lag_med"), _r("avg(lag)", "pt_lag_mean"), _r("min(lag)", "pt_lag_min"), _n("count(CASE WHEN lag < 1 THEN 1 END)", "pt_1h_n"), _n("count(CASE WHEN lag < 24 THEN 1 END)", "pt_24h_n"), _n("count(CASE WHEN lag < 24 AND delta < 0.25 THEN 1 END)", "pt_24h_similar_n"), _n("count(CASE WHEN lag < 72 AND delta < 0.25 THEN 1 END)", "pt_72h_similar_n"), _n("count(CASE WHEN lag < 24 AND amount > 1 THEN 1 END)", "pt_24h_large_n"), _r("avg(CASE WHEN lag < 24 THEN delta END)", "pt_24h_amtdiff_mean"), _r(_sum("lag < 24", "e"), "pt_24h_out_amtx"), _n(f"count(CASE WHEN lag < 24 AND in_type = '{C.intl}' THEN 1 END)", "pt_24h_from_intl_n"), _n(f"count(CASE WHEN lag < 24 AND tx_type IN ('{C.cash}', '{C.intl}') THEN 1 END)", "pt_24h_to_cash_intl_n"), _r("count(CASE WHEN lag < 24 THEN 1 END) / count(*)", "pt_24h_frac"), _r("count(CASE WHEN lag < 24 AND delta < 0.25 THEN 1 END) / count(*)", "pt_24h_similar_frac")], "m", _ASOF))
@@ -398,16 +398,28 @@ def simple_aggregates(spark, sf_dir):
     return rounded(families.simple_aggregates(_prepared(spark, sf_dir), C))
 
 
-@_query()
+_PARTS_OF = ("agg_basic", "agg_quantiles", "agg_moments", "agg_by_direction", "agg_by_type", "agg_type_x_dir", "agg_derived", "agg_entropy", "win_base", "win_ratios", "win_accel", "lastk_pivot", "lastk_summary", "hist_counts", "hist_fracs", "burst_agg", "burst_relative", "hour_wday_shares", "decayed_activity", "daily_trend", "gaps", "dormancy", "daily_distribution", "asof_passthrough", "transitions", "last_vs_history", "velocity_max", "shift", "calendar_parts")
+
+
+def _whole_sql(parts: tuple[str, ...]) -> str:
+    """The SQL of the families, joined to all alerts."""
+    joins = " ".join(f"LEFT JOIN ({ORACLE_SQL[name]}) q{k} USING (alert_id)" for k, name in enumerate(parts))
+    count = "(c LIKE '%\\_n' ESCAPE '\\' OR c IN ('n_tx', 'active_days'))"
+    return f"WITH {TX}, j AS (SELECT * EXCLUDE (alert_date) FROM alerts {joins}) SELECT alert_id, CAST(coalesce(COLUMNS(lambda c: {count}), 0) AS DOUBLE), CAST(COLUMNS(lambda c: NOT {count} AND c <> 'alert_id') AS DOUBLE) FROM j"
+
+
+@_query(_whole_sql(_PARTS_OF))
 def feature_matrix(spark, sf_dir):
     alerts, tx = tables.events(spark, sf_dir)
-    return rounded(features.build_features(tx, alerts, C, features.fit_reference(tx, alerts, C), features.DEFAULT + features.OPTIONAL))
+    rows = features.dealt(tx, alerts)
+    return features.build_features(rows, alerts, C, features.fit_reference(rows, C), features.DEFAULT + features.OPTIONAL, DIGITS)
 
 
 @_query()
 def feature_matrix_lineitem(spark, sf_dir):
     alerts, tx = tables.lineitem(spark, sf_dir)
-    return rounded(features.build_features(tx, alerts, LINEITEM, features.fit_reference(tx, alerts, LINEITEM)))
+    rows = features.dealt(tx, alerts)
+    return features.build_features(rows, alerts, LINEITEM, features.fit_reference(rows, LINEITEM), digits=DIGITS)
 
 
 @_query()
@@ -441,6 +453,24 @@ def ks_two_sample(spark, sf_dir):
     return rounded(stats.ks_two_sample(_long(spark, sf_dir)))
 
 
+@_query(f"{_LONG}, f AS (SELECT a.feature, a.x, avg(CASE WHEN b.label = 1 THEN CAST(b.x <= a.x AS INT) END) - avg(CASE WHEN b.label = 0 THEN CAST(b.x <= a.x AS INT) END) AS gap FROM (SELECT DISTINCT feature, x FROM l) a JOIN l b ON a.feature = b.feature GROUP BY ALL), k AS (SELECT f.feature, max(abs(gap)) AS ks, any_value(n0) AS n0, any_value(n1) AS n1 FROM f JOIN s ON f.feature = s.feature GROUP BY f.feature), y AS (SELECT *, ks * ks * n0 * n1 / (n0 + n1) AS xx FROM k) SELECT feature, {_r('ks', 'ks')}, round(CASE WHEN xx < 0.04 THEN 1.0 ELSE greatest(0.0, least(1.0, list_sum(list_transform(range(1, 101), lambda i: (CASE WHEN i % 2 = 1 THEN 2.0 ELSE -2.0 END) * exp(-2.0 * i * i * xx))))) END, {DIGITS}) AS p FROM y")
+def ks_p_values(spark, sf_dir):
+    found = stats.ks_two_sample(_long(spark, sf_dir))
+    return rounded(found.select("feature", "ks", stats.ks_p(F.col("ks"), F.col("n0"), F.col("n1")).alias("p")))
+
+
+@_query("WITH o AS (SELECT CAST(o_orderstatus = 'F' AS INT) AS label, o_orderkey, epoch(o_orderdate) AS d FROM orders), l AS (SELECT label, 'id' AS feature, CAST(o_orderkey AS DOUBLE) AS x FROM o UNION ALL SELECT label, 'date', d FROM o), r AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0 AS ar FROM l), s AS (SELECT feature, count(*) - sum(label) AS n0, sum(label) AS n1, sum(ar * label) AS rs FROM r GROUP BY feature) SELECT feature, " + _n("n0", "n0") + ", " + _n("n1", "n1") + ", " + _r("(rs - n1 * (n1 + 1) / 2) / (n0 * n1)", "auc") + " FROM s")
+def audit_order_auc(spark, sf_dir):
+    """Do ids or dates tell the label?"""
+    orders = _table(spark, sf_dir, "orders").select((F.col("o_orderstatus") == "F").cast("int").alias("label"), F.col("o_orderkey").alias("id"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("date"))
+    return rounded(stats.auc(stats.melt(orders, ["label"], ["id", "date"])).select("feature", "n0", "n1", "auc"))
+
+
+@_query(f"SELECT {_n('count(value)', 'n')}, {_r('avg(value)', 'mean')}, {_r('stddev_samp(value)', 'std')}, {_r('min(value)', 'min')}, {_r('quantile_cont(value, 0.25)', 'q25')}, {_r('quantile_cont(value, 0.5)', 'q50')}, {_r('quantile_cont(value, 0.75)', 'q75')}, {_r('max(value)', 'max')} FROM events")
+def describe_values(spark, sf_dir):
+    return rounded(stats.describe(_table(spark, sf_dir, "events"), "value"))
+
+
 _CHI = "t AS (SELECT lang, label, count(*) AS o FROM d GROUP BY ALL), full_t AS (SELECT a.lang, b.label, coalesce(o, 0) AS o, r * c / n AS e, n FROM (SELECT lang, sum(o) AS r FROM t GROUP BY 1) a CROSS JOIN (SELECT label, sum(o) AS c FROM t GROUP BY 1) b CROSS JOIN (SELECT sum(o) AS n FROM t) LEFT JOIN t ON t.lang = a.lang AND t.label = b.label)"
 
 
@@ -449,6 +479,17 @@ def chi2_cramers_v(spark, sf_dir):
     return rounded(stats.chi_square(_labelled(spark, sf_dir), "lang", "label"))
 
 
+@_query()
+def chi2_p_values(spark, sf_dir):
+    """Language, and length above its median, against the label, with p-values."""
+    rows = _labelled(spark, sf_dir)
+    middle = stats.quantiles(rows, [], "n_chars", [0.5]).select(F.get("q", 0).alias("middle"))
+    rows = rows.crossJoin(middle).withColumn("long", F.col("n_chars") > F.col("middle"))  # one row
+    both = stats.chi_square(rows, "lang", "label").withColumn("feature", F.lit("lang")).unionByName(stats.chi_square(rows, "long", "label").withColumn("feature", F.lit("long")))
+    p = F.udf(lambda x, dof: None if x is None or not dof else stats.chi_square_p(x, dof), "double")  # a row a test
+    return rounded(both.withColumn("p", p("chi2", "dof")).select("feature", "chi2", "dof", "n", "p"))
+
+
 @_query(f"WITH {LABELLED}, r AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {f}) + (count(*) OVER (PARTITION BY {f}) - 1) / 2.0 AS {f}" for f in _FEATURES) + " FROM d) " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {_r(f'corr({a}, {b})', 'rho')} FROM r" for i, a in enumerate(_FEATURES) for b in _FEATURES[i + 1 :]))
 def spearman(spark, sf_dir):
     return rounded(stats.spearman(_labelled(spark, sf_dir), list(_FEATURES), "doc_id"))
@@ -498,7 +539,7 @@ def type_lift(spark, sf_dir):
 
 @_query(f"WITH {LABELLED} SELECT doc_id, round((rank() OVER (PARTITION BY source ORDER BY n_chars) + (count(*) OVER (PARTITION BY source, n_chars) - 1) / 2.0) / count(*) OVER (PARTITION BY source), {DIGITS}) AS pct FROM d")
 def cohort_pct_rank(spark, sf_dir):
-    return rounded(_labelled(spark, sf_dir).select("doc_id", stats.cohort_rank(None, ["source"], "n_chars").alias("pct")))
+    return rounded(stats.cohort_rank(_labelled(spark, sf_dir), ["source"], "n_chars").select("doc_id", "pct"))
 
 
 @_query(f"WITH m AS (SELECT n_chars AS x, avg(n_chars) OVER () AS mu FROM documents), s AS (SELECT count(*) AS n, avg((x - mu) ** 3) / pow(var_pop(x), 1.5) AS g, avg((x - mu) ** 4) / pow(var_pop(x), 2) - 3 AS k FROM m) SELECT {_n('n', 'n')}, {_r('g * sqrt(n * (n - 1.0)) / (n - 2)', 'skew')}, {_r('(n - 1.0) / ((n - 2.0) * (n - 3)) * ((n + 1) * k + 6)', 'kurt')} FROM s")
@@ -545,7 +586,8 @@ def audit_hour_counts(spark, sf_dir):
 @_query(f"WITH {TX}, t AS (SELECT alert_id, count(*) AS n, max(age) - min(age) AS span FROM p GROUP BY alert_id) SELECT {_n('count(*)', 'alerts')}, {_n('min(n)', 'min_n')}, {_r('median(n)', 'median_n')}, {_n('max(n)', 'max_n')}, {_r('median(span)', 'median_span')} FROM t")
 def audit_tx_per_alert(spark, sf_dir):
     t = _prepared(spark, sf_dir).groupBy("alert_id").agg(F.count(F.lit(1)).alias("n"), (F.max("age") - F.min("age")).alias("span"))
-    return rounded(t.agg(F.count(F.lit(1)).alias("alerts"), F.min("n").alias("min_n"), F.median("n").alias("median_n"), F.max("n").alias("max_n"), F.median("span").alias("median_span")))
+    medians = stats.quantiles(t, [], "n", [0.5]).select(F.get("q", 0).alias("median_n")).crossJoin(stats.quantiles(t, [], "span", [0.5]).select(F.get("q", 0).alias("median_span")))
+    return rounded(t.agg(F.count(F.lit(1)).alias("alerts"), F.min("n").alias("min_n"), F.max("n").alias("max_n")).crossJoin(medians))  # one row each
 
 
 # ---- reports
@@ -681,3 +723,25 @@ def logistic_cv(spark, sf_dir):
 @_query()
 def gbt_cv(spark, sf_dir):
     return evaluation.fold_report(evaluation.cross_validated(_labelled(spark, sf_dir), "doc_id", "label", list(_FEATURES), 3))
+
+
+@_query()
+def adversarial_drift(spark, sf_dir):
+    """Can a model tell even from odd documents by their lengths? It shouldn't."""
+    rows = _labelled(spark, sf_dir)
+    return training.adversarial(rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1"), "doc_id", list(_FEATURES), k=3)
+
+
+@_query()
+def logistic_search(spark, sf_dir):
+    """The best of four strengths, by out-of-fold AUC."""
+    best, value = training.search(_labelled(spark, sf_dir), "doc_id", "label", list(_FEATURES), {"c": [0.005, 0.05, 0.5, 5.0]}, tries=4, folds=2)
+    return spark.createDataFrame([(float(best["c"]), float(value))], "c double, auc double")
+
+
+@_query()
+def blend_overfit(spark, sf_dir):
+    """Fitted weights of a blend against equal ones and each model alone, on folds that didn't see them."""
+    rows = evaluation.stratified_folds(_labelled(spark, sf_dir), "doc_id", "label", 3, 42)
+    found = training.blend_overfit(rows.select("label", "fold", *_FEATURES), list(_FEATURES), "label", k=3)
+    return spark.createDataFrame(sorted(found.items()), "weights string, auc double")

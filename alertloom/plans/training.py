@@ -56,15 +56,18 @@ def boosted(train: DataFrame, test: DataFrame, key: str, label: str, features: l
     return model.transform(_doubles(test, key, None, features)).select(key, vector_to_array("probability")[1].alias("score"))
 
 
-def logistic(train: DataFrame, test: DataFrame, key: str, label: str, features: list[str], reg: float = 0.05) -> DataFrame:
-    """key, score: L2 logistic regression on quantile-normal features; those without a training value are left out."""
+def logistic(train: DataFrame, test: DataFrame, key: str, label: str, features: list[str], c: float = 0.05) -> DataFrame:
+    """key, score: L2 logistic regression on quantile-normal features; those without a training value are left out.
+
+    ``c`` weighs the summed loss against half the squared weights; Spark's strength belongs to the mean loss, so it is 1 / (c n).
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    edges = quantile_edges(train, features)
-    model = Pipeline(stages=[VectorAssembler(inputCols=list(edges), outputCol="raw"), LogisticRegression(featuresCol="raw", labelCol=label, regParam=reg)]).fit(quantile_normal(_doubles(train, key, label, features), edges))
+    edges, n = quantile_edges(train, features), train.count()
+    model = Pipeline(stages=[VectorAssembler(inputCols=list(edges), outputCol="raw"), LogisticRegression(featuresCol="raw", labelCol=label, regParam=1 / (c * max(n, 1)), standardization=False)]).fit(quantile_normal(_doubles(train, key, label, features), edges))
     return model.transform(quantile_normal(_doubles(test, key, None, features), edges)).select(key, vector_to_array("probability")[1].alias("score"))
 
 

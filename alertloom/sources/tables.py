@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import pathlib
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,18 +35,70 @@ def append_ledger(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
+def _one_file(lines: DataFrame, path: str) -> None:
+    """Write a table of one text column, in its order, as a single file of that name with line feeds and no mark; it replaces one that is there."""
+    folder = f"{path}.{uuid.uuid4().hex}"
+    lines.coalesce(1).write.text(folder, lineSep="\n")
+    hadoop = lines.sparkSession._jvm.org.apache.hadoop.fs
+    place = hadoop.Path(folder)
+    fs = place.getFileSystem(lines.sparkSession._jsparkSession.sessionState().newHadoopConf())
+    part = next(f.getPath() for f in fs.listStatus(place) if f.getPath().getName().startswith("part-"))
+    fs.delete(hadoop.Path(path), True)
+    fs.rename(part, hadoop.Path(path))
+    fs.delete(place, True)
+
+
 def write_scores_csv(scores: DataFrame, path: str, order: str, id_column: str = "alert_id", score_column: str = "score") -> None:
-    """One CSV part: header, eight decimals, rows in ``order``. Submissions have a row an alert, so one part is bounded by them."""
-    scores.orderBy(order).select(F.col(id_column), F.format_string("%.8f", score_column).alias(score_column)).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """One CSV file: header, eight decimals, rows in ``order``. Submissions have a row an alert, so one file is bounded by them."""
+    lines = scores.select(F.lit(1).alias("k"), F.col(order).alias("o"), F.concat_ws(",", F.col(id_column).cast("string"), F.format_string("%.8f", score_column)).alias("line"))
+    head = scores.sparkSession.createDataFrame([(0, f"{id_column},{score_column}")], "k int, line string").select("k", F.lit(None).cast(scores.schema[order].dataType).alias("o"), "line")
+    _one_file(head.unionByName(lines).orderBy("k", "o").select("line"), path)
+
+
+def read_scores_csv(spark: SparkSession, path: str, id_column: str = "alert_id", score_column: str = "score") -> DataFrame:
+    return spark.read.schema(f"`{id_column}` string, `{score_column}` double").option("header", True).csv(path)
+
+
+def read_importance_csv(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("feature string, gain double").option("header", True).csv(path)
+
+
+def read_config(spark: SparkSession, path: str) -> dict:
+    """A JSON file, or a YAML file where that library is installed."""
+    text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+    if path.endswith((".yaml", ".yml")):
+        import yaml
+
+        return yaml.safe_load(text)
+    return json.loads(text)
+
+
+def write_json(spark: SparkSession, facts: dict, path: str) -> None:
+    _one_file(spark.createDataFrame([(json.dumps(facts, sort_keys=True),)], "line string"), path)
+
+
+def misaligned(a: DataFrame, b: DataFrame, key: str, order: str) -> DataFrame:
+    """The values of ``order`` at which two tables don't hold the same key; each has a position once."""
+    left, right = (x.select(F.col(order).alias(order), F.col(key).alias(name)) for x, name in ((a, "_a"), (b, "_b")))
+    return left.join(right, order, "full").where(~F.col("_a").eqNullSafe(F.col("_b"))).select(order)
+
+
+def fingerprint(df: DataFrame) -> str:
+    """The schema, the number of rows and the sum of their hashes: the same for the same rows in any order."""
+    facts = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("h")).first()
+    return f"{df.schema.simpleString()} {facts['n']} {facts['h']}"
 
 
-def cached_features(spark: SparkSession, folder: str, config: object, build) -> DataFrame:
-    """The features of ``build()``, kept as Parquet under a hash of the configuration."""
-    path = f"{folder}/features-{hashlib.md5(repr(config).encode()).hexdigest()}"
+def cached_features(spark: SparkSession, folder: str, config: object, inputs: list[DataFrame], build) -> DataFrame:
+    """The features of ``build()``, kept as Parquet under a hash of ``config`` (with the families), of all rows of ``inputs`` (with the reference statistics), and of the package's code."""
+    root = pathlib.Path(__file__).parents[1]
+    code = [p.read_bytes() for part in ("operators", "plans", "functions") for p in sorted((root / part).glob("*.py"))] if root.is_dir() else []
+    key = hashlib.md5(repr((config, [fingerprint(df) for df in inputs], [hashlib.md5(c).hexdigest() for c in code])).encode()).hexdigest()
+    path = f"{folder}/features-{key}"
     try:
         return spark.read.parquet(path)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
     build().write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)

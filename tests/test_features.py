@@ -11,7 +11,7 @@ from alertloom.functions import stats
 from alertloom.operators import families
 from alertloom.operators.prepare import prepare, split_burst
 from alertloom.plans import evaluation
-from alertloom.plans.features import DEFAULT, OPTIONAL, build_features, fit_reference
+from alertloom.plans.features import DEFAULT, OPTIONAL, build_features, dealt, fit_reference
 
 C = EngineConfig(types=("card", "transfer", "cash", "intl"), windows=(1, 3), shift_windows=(1,), last_k=3, burst_seconds=300, trends=(30,))
 DATE = datetime(2024, 1, 20)
@@ -31,8 +31,8 @@ ROWS = [("a", 100, "out", "cash", 0.5), ("a", 3700, "in", "card", 1), ("a", 7300
 
 def features(spark, rows, ids=("a", "b", "none")):
     tx, al = table(spark, rows), alerts(spark, *ids)
-    reference = fit_reference(table(spark, ROWS), alerts(spark, "a", "b", "none"), C)
-    return {r["alert_id"]: r.asDict() for r in build_features(tx, al, C, reference, DEFAULT + OPTIONAL).collect()}
+    reference = fit_reference(dealt(table(spark, ROWS), alerts(spark, "a", "b", "none")), C)
+    return {r["alert_id"]: r.asDict() for r in build_features(dealt(tx, al), al, C, reference, DEFAULT + OPTIONAL).collect()}
 
 
 def same(x, y):
