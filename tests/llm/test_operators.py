@@ -251,6 +251,42 @@ def test_op6(spark, none):
     assert op6_quality.quality_scores(none.select("doc_id", "text"), labels).count() == 0
 
 
+def test_op6_equals_numpy(spark):
+    random = np.random.default_rng(3)
+    x = random.normal(size=(400, len(op6_quality.STATISTICS))) * np.arange(1, 21) + 5
+    y = (x[:, 0] + random.normal(size=400) > 5).astype(int)
+    calibrates = np.arange(400) % 4 == 0
+    rows = spark.createDataFrame([(v.tolist(), int(label), bool(c)) for v, label, c in zip(x, y, calibrates, strict=True)], "statistics array<double>, label int, calibrates boolean").repartition(3)
+    model = op6_quality.fit(rows, features=64, bins=20)
+    z = np.clip((x - x.mean(0)) / x.std(0), -5, 5)
+    design = np.hstack([np.cos(z @ model.frequencies + model.phases) * np.sqrt(2 / 64), z, np.ones((400, 1))])
+    fitted = design[~calibrates]
+    normal = fitted.T @ fitted
+    weights = np.linalg.solve(normal + 1e-3 * max(1, np.trace(normal) / len(normal)) * np.eye(len(normal)), fitted.T @ y[~calibrates])
+    assert model.weights == pytest.approx(weights, rel=1e-6, abs=1e-9)
+    raw, label = design[calibrates] @ weights, y[calibrates]
+    step = (raw.max() - raw.min()) / 20
+    bins = np.floor((raw - raw.min()) / step)
+    total, weight = (np.array([f(bins == b) for b in np.unique(bins)]) for f in (lambda m: label[m].sum() + 0.5 * y.mean(), lambda m: m.sum() + 0.5))
+    n = total.size
+    smooth = [max(min(total[a : b + 1].sum() / weight[a : b + 1].sum() for b in range(i, n)) for a in range(i + 1)) for i in range(n)]
+    assert op6_quality.isotonic(total, weight) == pytest.approx(smooth)
+    assert model.values == pytest.approx(np.array(smooth) * 0.998 + 0.002 * (model.edges - raw.min()) / (raw.max() - raw.min()))
+    assert model.score(x) == pytest.approx(np.clip(np.interp(design @ weights, model.edges, model.values), 0, 1))
+    wide = op6_quality.Model(np.zeros(20), np.ones(20), 20_000, 4.0, 7)
+    u, v = random.normal(size=(2, 20))
+    cosines = np.stack([np.cos(t @ wide.frequencies + wide.phases) * np.sqrt(2 / 20_000) for t in (u, v)])
+    assert cosines[0] @ cosines[1] == pytest.approx(np.exp(-((u - v) ** 2).sum() / 2 / 4.0**2), abs=0.03)
+
+
+def test_op6_long_repeated_and_clashing(spark):
+    texts = ["the river walks. " * 20000, "the river walks", "the river walks", "X!! Y!!", None]
+    docs = spark.createDataFrame([(1, texts[0], 9, "a"), (2, texts[1], 9, "a"), (2, texts[2], 9, "a"), (3, texts[3], 9, "b"), (4, None, 9, "b")], "doc_id long, text string, score long, statistics string")
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (3, 0)], "doc_id long, quality int")
+    got = op6_quality.quality_scores(docs, labels).collect()
+    assert Counter(r["doc_id"] for r in got) == {1: 1, 2: 2, 3: 1, 4: 1} and len({r["score"] for r in got if r["doc_id"] == 2}) == 1
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
