@@ -481,11 +481,9 @@ def chi2_cramers_v(spark, sf_dir):
 
 @_query()
 def chi2_p_values(spark, sf_dir):
-    """Language, and length above its median, against the label, with p-values."""
+    """Language and source against the label, with p-values."""
     rows = _labelled(spark, sf_dir)
-    middle = stats.quantiles(rows, [], "n_chars", [0.5]).select(F.get("q", 0).alias("middle"))
-    rows = rows.crossJoin(middle).withColumn("long", F.col("n_chars") > F.col("middle"))  # one row
-    both = stats.chi_square(rows, "lang", "label").withColumn("feature", F.lit("lang")).unionByName(stats.chi_square(rows, "long", "label").withColumn("feature", F.lit("long")))
+    both = stats.chi_square(rows, "lang", "label").withColumn("feature", F.lit("lang")).unionByName(stats.chi_square(rows, "source", "label").withColumn("feature", F.lit("source")))
     p = F.udf(lambda x, dof: None if x is None or not dof else stats.chi_square_p(x, dof), "double")  # a row a test
     return rounded(both.withColumn("p", p("chi2", "dof")).select("feature", "chi2", "dof", "n", "p"))
 
@@ -734,14 +732,6 @@ def adversarial_drift(spark, sf_dir):
 
 @_query()
 def logistic_search(spark, sf_dir):
-    """The best of four strengths, by out-of-fold AUC."""
-    best, value = training.search(_labelled(spark, sf_dir), "doc_id", "label", list(_FEATURES), {"c": [0.005, 0.05, 0.5, 5.0]}, tries=4, folds=2)
+    """The better of two strengths, by out-of-fold AUC."""
+    best, value = training.search(_labelled(spark, sf_dir), "doc_id", "label", list(_FEATURES), {"c": [0.005, 0.5]}, tries=2, folds=2)
     return spark.createDataFrame([(float(best["c"]), float(value))], "c double, auc double")
-
-
-@_query()
-def blend_overfit(spark, sf_dir):
-    """Fitted weights of a blend against equal ones and each model alone, on folds that didn't see them."""
-    rows = evaluation.stratified_folds(_labelled(spark, sf_dir), "doc_id", "label", 3, 42)
-    found = training.blend_overfit(rows.select("label", "fold", *_FEATURES), list(_FEATURES), "label", k=3)
-    return spark.createDataFrame(sorted(found.items()), "weights string, auc double")

@@ -79,11 +79,12 @@ def out_of_fold(df: DataFrame, key: str, label: str, features: list[str], fit=lo
     """key, repeat, fold, label, oof. With ``top``, each fold's model has the features strongest by AUC in its own training rows."""
     out = None
     for repeat in range(repeats):
-        dealt = evaluation.stratified_folds(df, key, label, k, seed + repeat)
+        dealt = evaluation.kept(evaluation.stratified_folds(df, key, label, k, seed + repeat))
         for fold in range(k):
             train, test = dealt.where(F.col("fold") != fold), dealt.where(F.col("fold") == fold)
             scored = fit(train, test, key, label, strongest(train, label, features, top) if top else features, **options)
             part = test.select(key, F.lit(repeat).alias("repeat"), "fold", F.col(label).cast("double").alias("label")).join(scored, key).withColumnRenamed("score", "oof")
+            part = evaluation.kept(part)
             out = part if out is None else out.unionByName(part)
     return out
 
@@ -121,12 +122,14 @@ def adversarial(train: DataFrame, test: DataFrame, key: str, features: list[str]
 def blend_overfit(oof: DataFrame, models: list[str], label: str, fold: str = "fold", k: int = 5) -> dict[str, float]:
     """Mean AUC on each fold of weights fitted on the others, of equal weights, and of each model alone."""
     found: dict[str, list[float]] = {}
+    oof = evaluation.kept(oof)
     for f in range(k):
         rest, held = oof.where(F.col(fold) != f), oof.where(F.col(fold) == f)
         weights = {"fitted": evaluation.blend_weights(rest, models, label), "equal": [1 / len(models)] * len(models)} | {m: [float(n == m) for n in models] for m in models}
         ranked = held.select(F.col(label).alias("label"), *models)
         for m in models:
             ranked = evaluation.rank01(ranked, m, f"_r_{m}", 0)
+        ranked = evaluation.kept(ranked)
         mixes = ranked.select("label", *(sum((F.col(f"_r_{m}") * w for m, w in zip(models, ws, strict=True)), F.lit(0.0)).alias(f"{name}") for name, ws in weights.items()))
         for r in auc(melt(mixes, ["label"], list(weights))).collect():  # a row a blend
             found.setdefault(r["feature"], []).append(r["auc"])
@@ -137,7 +140,7 @@ def search(df: DataFrame, key: str, label: str, features: list[str], grid: dict[
     """The options with the best out-of-fold AUC among ``tries`` drawn from the grid. After its first fold, an attempt below the median of the others' first folds ends."""
     options = [dict(zip(grid, values, strict=True)) for values in itertools.product(*grid.values())]
     drawn = random.Random(seed).sample(options, min(tries, len(options)))
-    dealt = evaluation.stratified_folds(df, key, label, folds, seed)
+    dealt = evaluation.kept(evaluation.stratified_folds(df, key, label, folds, seed))
     firsts: list[float] = []
     best: tuple[dict, float] = ({}, -1.0)
     for option in drawn:
@@ -145,6 +148,7 @@ def search(df: DataFrame, key: str, label: str, features: list[str], grid: dict[
         for f in range(folds):
             test = dealt.where(F.col("fold") == f)
             scored = fit(dealt.where(F.col("fold") != f), test, key, label, features, **option).join(test.select(key, F.col(label).alias("label")), key)
+            scored = evaluation.kept(scored)
             values.append(auc(scored.select(F.lit("all").alias("feature"), "label", F.col("score").alias("x"))).first()["auc"] or 0.0)
             if f == 0:
                 below = len(firsts) >= 3 and values[0] < statistics.median(firsts)

@@ -58,3 +58,11 @@ def test_boosted_seeds_and_drift(spark, rows):
     assert stats.auc(long).first()["auc"] > 0.9
     same = training.adversarial(rows.where("id % 3 > 0"), rows.where("id % 3 = 0"), "id", ["noise", "b"], k=2).first()
     assert 0.3 < same["auc"] < 0.7
+
+
+def test_blend_overfit_and_search(spark, rows):
+    oof = rows.withColumn("fold", F.col("id") % 2)
+    found = training.blend_overfit(oof, ["b", "noise"], "y", k=2)
+    assert set(found) == {"fitted", "equal", "b", "noise"} and found["fitted"] >= found["noise"]
+    best, value = training.search(rows, "id", "y", ["a", "b"], {"c": [0.05, 0.5]}, tries=2, folds=2)
+    assert best["c"] in (0.05, 0.5) and value > 0.5
