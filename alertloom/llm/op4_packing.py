@@ -119,8 +119,11 @@ class Packer:
             self._fill(ends=True)
 
 
-def pack_documents(docs: DataFrame, max_tokens: int = 2048, max_segments: int = 256, max_loss_tokens: int = 2048, tokenizer: str | None = None, end_id: int = 1, pool: int = 512, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row a piece. Every id after the first of its document bears loss."""
+def pack_documents(docs: DataFrame, max_tokens: int = 2048, max_segments: int = 8, max_loss_tokens: int = 2048, tokenizer: str | None = None, end_id: int = 1, pool: int = 512, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row a piece. Every id after the first of its document bears loss.
+
+    So a limit on loss below that on tokens would force padding; by default it equals that, and the limits on tokens and segments bind.
+    """
     tokenizer = tokenizer or default_path()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
