@@ -98,13 +98,23 @@ def line_signatures(points: np.ndarray, starts: np.ndarray, lengths: np.ndarray,
     return np.concatenate(rows), np.concatenate(sigs).view(np.int64)
 
 
+def _letters(texts: list[np.ndarray]) -> np.ndarray:
+    """How often each text has each of 64 classes of characters."""
+    rows = np.repeat(np.arange(len(texts)), [t.size for t in texts])
+    return np.bincount(rows * 64 + (np.concatenate(texts) & 63), minlength=64 * len(texts)).reshape(-1, 64).astype(np.int32)
+
+
 def within(pairs: list[tuple[np.ndarray, np.ndarray]], tau: int) -> np.ndarray:
     """Whether the edit distance of each pair of code point arrays is at most tau: a band of 2 tau + 1 diagonals in the bits of one integer a pair, all pairs at once."""
     pairs = [(a, b) if a.size >= b.size else (b, a) for a, b in pairs]
     out = np.zeros(len(pairs), bool)
+    if not pairs:
+        return out
     long, short = (np.array([p[k].size for p in pairs], np.int64) for k in (0, 1))
+    # an edit changes two of the counts of characters by one at most: most pairs end here
+    one, two = (_letters([p[k] for p in pairs]) for k in (0, 1))
     order = np.argsort(short, kind="stable")
-    order = order[(long - short)[order] <= tau]
+    order = order[((long - short <= tau) & (np.abs(one - two).sum(1) <= 2 * tau))[order]]
     at = 0
     while at < order.size:
         to = at + 1
