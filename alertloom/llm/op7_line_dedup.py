@@ -185,20 +185,18 @@ def duplicate_lines(docs: DataFrame, tau: int = 2, min_chars: int = 24, sample_d
 
     def sign(often: np.ndarray | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Parts:
-            seen: set[int] = set()
-            for batch in by_bytes(batches, "text"):
+            seen = np.zeros(0, np.int64)  # sorted
+            for batch in by_bytes(batches, "text", 1 << 20):
                 points, starts, lengths, _ = _points(batch, 0)
                 names = batch.column(1).flatten().to_numpy(zero_copy_only=False)
                 if names.size != starts.size:
                     raise ValueError("lines and their keys differ in number")
-                new = {}
-                for k, name in zip((at := np.flatnonzero(lengths >= max(min_chars, tau + 1))).tolist(), names[at].tolist(), strict=True):
-                    if name not in seen:
-                        new.setdefault(name, k)
-                seen.update(new)
-                if len(seen) > 1_000_000:  # lines that come again are merged later
-                    seen.clear()
-                at = np.fromiter(new.values(), np.int64, len(new))
+                at = np.flatnonzero(lengths >= max(min_chars, tau + 1))
+                keys, first = np.unique(names[at], return_index=True)
+                new = seen[np.minimum(np.searchsorted(seen, keys), seen.size - 1)] != keys if seen.size else np.ones(keys.size, bool)
+                at = at[first[new]]
+                # lines that come again later are merged with the groups
+                seen = keys[new] if seen.size > 1_000_000 else np.sort(np.concatenate([seen, keys[new]]), kind="stable")
                 row, sig = line_signatures(points, starts[at], lengths[at], tau)
                 key = names[at][row]
                 yield sig, key, np.isin(sig, often) if often is not None and often.size else np.zeros(sig.size, bool)
