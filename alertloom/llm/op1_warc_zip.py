@@ -144,17 +144,23 @@ def parse(data: bytes) -> dict:
 
 
 def write_archives(pages: DataFrame, folder: str | None = None, least: int = 0, archive_bytes: int = 256 << 20, zip64_from: int = 0xFFFFFFFF, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Write ``pages`` and return the manifest: path, n_records, bytes. Payloads stay in their partition; only digests are shuffled."""
+    """Write ``pages`` and return the manifest: path, n_records, bytes. Payloads stay in their partition and only digests are shuffled; beyond ``BROADCAST_ROWS`` groups, payloads outside the large groups are shuffled once."""
     spark = pages.sparkSession
     folder = folder or new_path(spark, "warc")
     make_dir(folder)
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("size"))
-    groups = rows.where(F.col("size") >= least).groupBy("digest", "size").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "keeper")
+    groups = rows.where(F.col("size") >= least).groupBy("digest", "size").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "keeper", "n")
     groups = materialize(groups, "same-payload")
-    groups = F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups
+    facts = groups.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    # at most BROADCAST_ROWS groups hold this share of the rows or more; only the others, none of them large, are joined by a shuffle
+    large = F.lit(facts["groups"] <= BROADCAST_ROWS) | (F.col("n") * BROADCAST_ROWS >= facts["rows"])
+    rows = rows.join(F.broadcast(groups.where(large).select("digest", "keeper", F.lit(True).alias("placed"))), "digest", "left")
+    if facts["groups"] > BROADCAST_ROWS:
+        others = rows.where("placed is null").drop("keeper", "placed").join(groups.where(~large).select("digest", "keeper"), "digest", "left")
+        rows = rows.where("placed").drop("placed").unionByName(others)
     refers = F.when(F.col("keeper").isNotNull() & ~F.col("keeper").eqNullSafe(F.col("page_id")), F.col("keeper"))
-    rows = rows.join(groups, "digest", "left").select("page_id", "url", "payload", refers.alias("refers_to"))
+    rows = rows.select("page_id", "url", "payload", refers.alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         archive, lines, path, at = None, [], "", 0
