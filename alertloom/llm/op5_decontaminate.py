@@ -57,10 +57,16 @@ def find_hits(docs: DataFrame, windows: DataFrame, doc_id: str = "doc_id", text:
     for size in sorted(sizes["sizes"]):
         distinct = windows.where(F.col("size") == size).select("window").distinct()
         keyed = distinct.select("window", _hash(F.split("window", " "), size).alias("key"))
-        if sizes["bytes"] <= BROADCAST_BYTES:
-            keyed = F.broadcast(keyed)
         places = rows.where(F.size("words") >= size).select("doc_id", "text_key", "words", F.explode(F.sequence(F.lit(0), F.size("words") - size)).alias("at"))
-        hits = places.withColumn("key", _hash(F.col("words"), size, F.col("at"))).join(keyed, "key")
+        places = places.withColumn("key", _hash(F.col("words"), size, F.col("at")))
+        if sizes["bytes"] <= BROADCAST_BYTES:
+            hits = places.join(F.broadcast(keyed), "key")
+        else:
+            # places travel without words; a document's hits come back to its words together, once for rows that are repeated
+            found = places.select("doc_id", "text_key", "at", "key").join(keyed, "key").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("at", "window")).alias("found"))
+            found = found.withColumnsRenamed({"doc_id": "found_id", "text_key": "found_key"})
+            back = rows.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("text_key") == F.col("found_key")))
+            hits = back.select("doc_id", "text_key", "words", F.explode("found").alias("hit")).select("doc_id", "text_key", "words", "hit.*")
         hits = hits.where(F.array_join(F.slice("words", F.col("at") + 1, size), " ") == F.col("window"))
         parts.append(hits.select("doc_id", "text_key", "at", F.lit(size).alias("size"), "window"))
     if not parts:

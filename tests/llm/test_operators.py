@@ -77,7 +77,7 @@ def test_encoder_equals_the_library():
             assert ids[bounds[i] : bounds[i + 1]].tolist() == e.full.encode(t, add_special_tokens=False).ids
 
 
-def test_op1(spark, tmp_path):
+def test_op1(spark, tmp_path, monkeypatch):
     rows = [(1, "http://a/\r\nX: y", "same"), (5, "http://b", "same"), (5, None, "same"), (2, "u", None), (3, "u", ""), (None, "u", "same"), (None, "u", "alone"), (7, "u", "é" * 100000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     manifest = op1_warc_zip.write_archives(pages, f"{tmp_path}/w", archive_bytes=300, zip64_from=200)
@@ -93,6 +93,10 @@ def test_op1(spark, tmp_path):
     assert {bytes(r["payload"]).decode() for r in found if r["page_id"] == 7} == {"é" * 100000}
     with open(manifest.first()["path"].removeprefix("file:"), "rb") as f:
         assert zipfile.ZipFile(io.BytesIO(f.read())).testzip() is None
+    usual = sorted(map(str, found))
+    monkeypatch.setattr(op1_warc_zip, "BROADCAST_ROWS", 1)
+    shuffled = op1_warc_zip.read_archives(op1_warc_zip.write_archives(pages, archive_bytes=300, zip64_from=200))
+    assert sorted(map(str, shuffled.collect())) == usual
     empty = op1_warc_zip.write_archives(pages.where("page_id = 99"))
     assert op1_warc_zip.read_archives(empty).count() == 0
 
@@ -206,7 +210,7 @@ def test_whole_examples_keep_every_limit(spark):
         assert len(s) == 1 or (s.n_tokens.sum() <= 128 and len(s) <= 4 and s.n_loss.sum() <= 40)
 
 
-def test_op5(spark, docs, none):
+def test_op5(spark, docs, none, monkeypatch):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     bench = [(1, texts[0]), (2, texts[5]), (10, "one two"), (3, None), (4, "..."), (None, texts[7]), (5, texts[5])]
     benchmark = spark.createDataFrame(bench, "item_id long, text string")
@@ -228,6 +232,9 @@ def test_op5(spark, docs, none):
         names = sorted(str(i) for i in items if i is not None)
         assert (r["n_words"], r["n_hit"], r["n_items"], r["hit"]) == (len(w), len(hit), len(names), sorted(hit))
         assert r["items_sha256"] == hashlib.sha256(",".join(names).encode()).hexdigest() and r["contaminated"] == (len(hit) > 0 and 20 * len(hit) >= len(w))
+    with monkeypatch.context() as tight:
+        tight.setattr(op5_decontaminate, "BROADCAST_BYTES", 0)
+        assert Counter(map(str, op5_decontaminate.contamination(docs, benchmark).collect())) == Counter(map(str, got))
     bad = {r["doc_id"] for r in got if r["contaminated"]}
     kept = op5_decontaminate.remove_contaminated(docs, benchmark)
     assert kept.columns == docs.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter(r["doc_id"] for r in docs.collect() if r["doc_id"] not in bad)
