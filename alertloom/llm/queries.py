@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_warc_zip, op2_bloom_lm, op3_hilbert_ann, op4_packing, op5_decontaminate, op6_quality, op7_line_dedup, op8_language_id, op9_token_files, op10_jaccard
+from . import op1_warc_zip, op2_bloom_lm, op3_hilbert_ann, op4_packing, op5_decontaminate, op6_quality, op7_line_dedup, op8_language_id, op9_token_files, op10_jaccard, op11_whitening, op12_vector_codes, op13_quality_rules
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -61,11 +61,38 @@ def op10_ngram_jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_jaccard.jaccard_classes(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_whitening.whitened_components(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_segment_bound_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_vector_codes.vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_likelihood_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_quality_rules.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_warc_zip_records, op2_bloom_lm_scores, op3_hilbert_neighbours, op4_vector_packing, op5_benchmark_decontamination, op6_quality_scores, op7_line_edit_join, op8_language_scores, op9_token_files_digest, op10_ngram_jaccard_classes)
+    for f in (op1_warc_zip_records, op2_bloom_lm_scores, op3_hilbert_neighbours, op4_vector_packing, op5_benchmark_decontamination, op6_quality_scores, op7_line_edit_join, op8_language_scores, op9_token_files_digest, op10_ngram_jaccard_classes, op11_whitened_embeddings, op12_segment_bound_codes, op13_likelihood_rules)
 }
 
+def _code_rounds(rounds: int = 6) -> str:
+    """Rounds of assigning parts (to the smallest of 16 * distance + index) and moving entries, one after the other."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+near{k} AS MATERIALIZED (SELECT vec_id, part.p, min(list_sum(list_transform(list_zip(y, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 16 + e) AS v, any_value(y) AS y
+  FROM part JOIN book{k} ON part.p = book{k}.p GROUP BY vec_id, part.p)""")
+        if k < rounds:
+            steps.append(f"""
+sum{k} AS (SELECT p, CAST(v % 16 AS BIGINT) AS e, i, CAST(sum(y[i]) AS BIGINT) AS s, count(*) AS n FROM (SELECT *, unnest(range(1, len(y) + 1)) AS i FROM near{k}) GROUP BY ALL),
+moved{k} AS (SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM sum{k} GROUP BY p, e),
+book{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.c, b.c) AS c FROM book{k} b LEFT JOIN moved{k} m USING (p, e))""")
+    return ",".join(steps)
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_zip_records": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
@@ -99,5 +126,14 @@ shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh
 link AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM doc UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b)
 SELECT doc.doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, min(reach.b) AS component_id FROM doc JOIN reach ON reach.a = doc.doc_id LEFT JOIN n ON n.doc_id = doc.doc_id GROUP BY doc.doc_id
+""",
+    "op12_segment_bound_codes": f"""
+WITH kept AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS x, row_number() OVER (ORDER BY vec_id) - 1 AS pos, len(embedding) // 8 AS m
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+part AS MATERIALIZED (SELECT vec_id, pos, p, x[p * m + 1:p * m + m] AS y FROM (SELECT *, unnest(range(0, 8)) AS p FROM kept)),
+book0 AS (SELECT p, pos AS e, y AS c FROM part WHERE pos < 16),{_code_rounds()},
+code AS (SELECT vec_id, string_agg(printf('%02x', CAST(v % 16 AS INT)), '' ORDER BY p) AS code, CAST(sum(v // 16) AS BIGINT) AS error FROM near6 GROUP BY vec_id),
+word AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book6)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM code JOIN kept USING (vec_id), word
 """,
 }
