@@ -276,6 +276,13 @@ def _by_shards(rows: DataFrame, table: DataFrame, bits: int, blocks: int, work,
     return rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(finish, schema)
 
 
+def _bytes(size: str) -> int:
+    """A size as sessions give it: 10485760b, 256k, 64MB, -1."""
+    number = size.strip().lower().removesuffix("b")
+    unit = "kmgtp".find(number[-1]) + 1
+    return int(number[:-1] if unit else number) << 10 * unit
+
+
 def score_texts(docs: DataFrame, prior: float = 40.0, broadcast_bytes: int | None = None, bits_each: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``."""
     spark = docs.sparkSession
@@ -296,7 +303,7 @@ def score_texts(docs: DataFrame, prior: float = 40.0, broadcast_bytes: int | Non
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(bounds)), pa.array(np.bincount(rows, count > 0, size).astype(_I)), pa.array(base), pa.array(np.bincount(rows, chance, size))], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    most = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold() if broadcast_bytes is None else broadcast_bytes
+    most = _bytes(spark.conf.get("spark.sql.autoBroadcastJoinThreshold")) if broadcast_bytes is None else broadcast_bytes
     if (facts["bytes"] or 0) + 16 * v <= most:
         whole = table.select("shard", "bits", "words", "times").toArrow()
         shared = spark.sparkContext.broadcast(Found(bits, *(whole.column(c).to_pylist() for c in whole.column_names)))

@@ -1,9 +1,11 @@
 """Vector bin packing of token sequences under limits on tokens, segments and loss-bearing tokens.
 
 A sequence is filled by the dot-product heuristic: of the waiting pieces that fit, take the one whose demand vector has the largest dot
-product with the remaining capacity, both as shares of the limits. If none fits, a piece may be cut to fill the rest. Each task packs the
-documents of its own partition as they stream by, with a pool of bounded size, so there is no shuffle and no global state; a partition
-ends with at most ``log2`` sequences of power-of-two lengths.
+product with the remaining capacity, both as shares of the limits. If none fits, a piece may be cut to fill the rest; the last segment that a
+sequence may have is cut from a piece that fills it, if one waits. A sequence that the other limits end before it is full gives back what is beyond a
+power of two, the length at which it needs no padding. Each task packs the documents of its own partition as they stream by, with a pool of
+bounded size, so there is no shuffle and no global state; a partition ends with at most ``log2`` sequences of power-of-two lengths. Whole examples
+(``pack_examples``) are never cut, so there the limits may leave room.
 
 Defined cases: a null text counts as empty (only the end id); repeated rows and rows without doc_id are packed like any others; an empty
 table gives no rows; other columns are ignored.
@@ -50,7 +52,7 @@ class Packer:
             self.emit(self.number, 0, payload, tokens)  # too large for any sequence: alone
             self.number += 1
             return
-        if not self.free:
+        while not self.free:
             self._fill()
         self._put(payload, tokens)
 
@@ -72,21 +74,25 @@ class Packer:
         while self.n and left[0] >= 1 and left[1] >= 1 and left[2] >= 0:
             share = left / self.limits
             fits = (self.tokens > 0) & (self.tokens <= left[0]) & (self.losses <= left[2])
+            if self.cut and left[1] == 1 and (self.tokens > left[0]).any():
+                fits[:] = False  # the last segment: a longer piece is cut to fill it
             score = np.where(fits, share[0] * self.tokens / self.limits[0] + share[1] / self.limits[1] + share[2] * self.losses / self.limits[2], -1)
             k = int(score.argmax())
             if score[k] >= 0:
                 payload, tokens = self._take(k)
             elif self.cut:
-                k = int(self.tokens.argmax())
+                longer = np.where(self.tokens >= left[0], self.tokens, np.inf)
+                k = int(longer.argmin()) if np.isfinite(longer).any() else int(self.tokens.argmax())
                 payload, tokens = self._take(k)
-                take = int(left[0])
+                take = min(int(left[0]), tokens)
                 while take > 1 and self.loss(payload, take) > left[2]:
                     take -= 1
                 if self.loss(payload, take) > left[2]:
                     self._put(payload, tokens)
                     break
-                payload, rest = self.cut(payload, take)
-                self._put(rest, tokens - take)
+                if take < tokens:
+                    payload, rest = self.cut(payload, take)
+                    self._put(rest, tokens - take)
                 tokens = take
             else:
                 break
@@ -95,10 +101,26 @@ class Packer:
             at += tokens
         if self.cut and ends and not self.n and at & (at - 1) and at < self.limits[0]:
             return self._powers(placed, at)
+        if self.cut and at < self.limits[0] and at & (at - 1):
+            placed = self._shorten(placed, 1 << (at.bit_length() - 1))
         for offset, payload, tokens in placed:
             self.emit(self.number, offset, payload, tokens)
         self.number += 1
 
+    def _shorten(self, placed: list, most: int) -> list:
+        """What lies before ``most``; the rest waits again."""
+        kept = []
+        for offset, payload, tokens in placed:
+            if offset + tokens <= most:
+                kept.append((offset, payload, tokens))
+            elif offset >= most:
+                self._put(payload, tokens)
+            else:
+                payload, rest = self.cut(payload, most - offset)
+                kept.append((offset, payload, most - offset))
+                self._put(rest, offset + tokens - most)
+        return kept
+
     def _powers(self, placed: list, total: int) -> None:
         """The last tokens, in sequences of power-of-two lengths, which need no padding."""
         waiting = [(payload, tokens) for _, payload, tokens in placed][::-1]
@@ -119,11 +141,14 @@ class Packer:
             self._fill(ends=True)
 
 
-def pack_documents(docs: DataFrame, max_tokens: int = 2048, max_segments: int = 8, max_loss_tokens: int = 2048, tokenizer: str | None = None, end_id: int = 1, pool: int = 512, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, max_tokens: int = 2048, max_segments: int = 256, max_loss_tokens: int = 2048, tokenizer: str | None = None, end_id: int = 1, pool: int = 512, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row a piece. Every id after the first of its document bears loss.
 
-    So a limit on loss below that on tokens would force padding; by default it equals that, and the limits on tokens and segments bind.
+    So a limit on loss below that on tokens would force short sequences; by default it equals that. A sequence of 256 segments is shorter than
+    ``max_tokens`` only where the texts that wait have 8 tokens on average or fewer.
     """
+    if min(max_tokens, max_segments, max_loss_tokens) < 1:
+        raise ValueError("limits must be 1 or more")
     tokenizer = tokenizer or default_path()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -179,14 +179,24 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def drawn(labelled: DataFrame, most: int) -> DataFrame:
+    """Of the rows with distinct ``draw`` (a hash of text and label) the ``most`` with the smallest ones; copies of a text count once.
+
+    What is sorted for that is about twice as many rows, whatever the table: those whose hash lies in the share that twice as many distinct ones need.
+    """
+    n = labelled.select("draw").distinct().count()
+    share = min(1.0, 2 * most / max(n, 1))
+    few = labelled.where(F.shiftrightunsigned("draw", 32) <= int(share * (1 << 32)))
+    return few.dropDuplicates(["draw"]).orderBy(F.shiftrightunsigned("draw", 32), "draw").limit(most)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3, max_train_rows: int = 40_000, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of ``docs``."""
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(text)), F.lit(1_000_000)).alias("draw"))
+    """doc_id, held_out, score, predicted for every row of ``docs``. At most ``max_train_rows`` distinct labelled texts serve the fit, a fourth of them its calibration."""
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("draw"))
     stats = materialize(with_statistics(base), "statistics")
     known = labels.select(F.col("doc_id").alias("label_id"), F.col(label).cast("int").alias("label")).where("label in (0, 1)")
-    n = known.count()
-    rows = stats.join(known, F.col("doc_id") == F.col("label_id")).where(~held_out()).where(F.col("draw") < 1_000_000 * min(1.0, max_train_rows / max(n, 1)))
-    rows = materialize(rows.select("statistics", "label", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1).alias("calibrates")), "labelled")
+    labelled = stats.join(known, F.col("doc_id") == F.col("label_id")).where(~held_out()).select("statistics", "label", F.xxhash64("draw", "label").alias("draw"))
+    rows = materialize(drawn(labelled, max_train_rows).select("statistics", "label", (F.pmod(F.xxhash64("draw"), F.lit(4)) == 0).alias("calibrates")), "labelled")
     shared = docs.sparkSession.sparkContext.broadcast(fit(rows, **options))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

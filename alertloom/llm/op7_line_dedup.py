@@ -246,10 +246,16 @@ def duplicate_lines(docs: DataFrame, tau: int = 2, min_chars: int = 24, sample_d
 
     labels = linked(groups, held, verify, between)
     # only lines that occur again, or are linked, can go
-    repeated = distinct.join(labels.withColumnRenamed("node", "key"), "key", "left").where("n > 1 or label is not null").select("key", F.coalesce("label", "key").alias("label"), "first")
+    repeated = distinct.join(labels.withColumnRenamed("node", "key"), "key", "left").where("n > 1 or label is not null").select("key", F.coalesce("label", "key").alias("label"), "first", "n")
     leaders = repeated.groupBy("label").agg(F.min("first").alias("leader"), F.min_by("key", "first").alias("leading"))
-    repeated = materialize(repeated.join(leaders, "label").select("key", "leader", "leading"), "repeated-lines")
-    flagged = lines.join(repeated, "key", "left")
+    repeated = materialize(repeated.join(leaders, "label").select("key", "leader", "leading", "n"), "repeated-lines")
+    # keys with more than a thousandth of the lines (fewer than 1000) are broadcast; their lines, and those without a word, are spread for the other join
+    common = F.col("n") * 1000 > (distinct.agg(F.sum("n")).first()[0] or 0)
+    hot = repeated.where(common).select("key", F.col("leader").alias("hot_leader"), F.col("leading").alias("hot_leading"))
+    met = lines.join(F.broadcast(hot), "key", "left").withColumn("rare", F.when(F.col("hot_leader").isNull(), F.col("key")))
+    met = met.withColumn("spread", F.when(F.col("rare").isNull(), F.pmod(F.xxhash64(place), F.lit(1024))).otherwise(0))
+    rest = repeated.where(~common).select(F.col("key").alias("rare"), F.lit(0).cast("long").alias("spread"), "leader", "leading")
+    flagged = met.join(rest, ["rare", "spread"], "left").withColumns({"leader": F.coalesce("hot_leader", "leader"), "leading": F.coalesce("hot_leading", "leading")})
     keep = F.col("leader").isNull() | F.col("leader").eqNullSafe(place)
     flagged = flagged.select("doc_id", "text_key", F.struct("at", keep.alias("keep"), (~keep & (F.col("key") != F.col("leading"))).alias("near")).alias("line"))
     return flagged.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("line")).alias("lines"))

@@ -233,19 +233,27 @@ def held_out(doc_id: str = "doc_id", modulus: int = 3, remainder: int = 1):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def learn(docs: DataFrame, vocabulary: str | None = None, max_train_docs: int = 6000, rounds: int = 3, prior: float = 0.01, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
-    """The languages, sorted, and the scaled piece probabilities. Every distinct labelled text may be drawn; the sample follows its hash."""
-    vocabulary = vocabulary or default_vocabulary()
+def training_texts(docs: DataFrame, max_train_docs: int = 6000, text: str = "text", lang: str = "lang") -> tuple[list[str], DataFrame | None]:
+    """The languages, sorted, and text and k (the language's number) of the texts to learn from. Every distinct labelled text may be drawn; the sample follows its hash."""
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(text), F.lit(8)).alias("h"))
     counts = {r["lang"]: r for r in labelled.groupBy("lang").agg(F.count_distinct("h").alias("n"), F.min("h").alias("least")).collect()}  # a row a language
     languages = sorted(counts)
-    pieces = _pieces(vocabulary)
     if not languages:
-        return [], np.zeros((len(pieces.texts), 0))
+        return [], None
     each = max(1, max_train_docs // len(languages))
     of = lambda value: F.try_element_at(F.create_map(*(x for name, r in counts.items() for x in (F.lit(name), F.lit(value(r))))), F.col("lang"))
     drawn = (F.pmod("h", F.lit(1_000_000)) < of(lambda r: min(1.0, each / r["n"])) * 1_000_000) | (F.col("h") == of(lambda r: r["least"]))
     sample = labelled.where(drawn).dropDuplicates(["lang", "h"]).select("text", (F.array_position(F.array(*map(F.lit, languages)), F.col("lang")) - 1).cast("int").alias("k"))
+    return languages, sample
+
+
+def learn(docs: DataFrame, vocabulary: str | None = None, max_train_docs: int = 6000, rounds: int = 3, prior: float = 0.01, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
+    """The languages, sorted, and the scaled piece probabilities."""
+    vocabulary = vocabulary or default_vocabulary()
+    pieces = _pieces(vocabulary)
+    languages, sample = training_texts(docs, max_train_docs, text, lang)
+    if sample is None:
+        return [], np.zeros((len(pieces.texts), 0))
     sample = sample.repartition(16).cache()
     table = _scaled(np.ones((len(pieces.texts), len(languages))), pieces, prior)
     for _ in range(rounds):
@@ -274,12 +282,12 @@ def learn(docs: DataFrame, vocabulary: str | None = None, max_train_docs: int =
 
 
 def identify(docs: DataFrame, languages: list[str], table: np.ndarray, vocabulary: str | None = None, text: str = "text") -> DataFrame:
-    """All rows and columns of ``docs``, and lang_pred and lang_score after them."""
+    """All rows and columns of ``docs``, and after them lang_pred, lang_score and lang_fit: the log-likelihood a character of the text's words in that language (null without words)."""
     vocabulary = vocabulary or default_vocabulary()
     if not languages:
-        return docs.withColumns({"lang_pred": F.lit("und"), "lang_score": F.lit(0.0)})
+        return docs.withColumns({"lang_pred": F.lit("und"), "lang_score": F.lit(0.0), "lang_fit": F.lit(None).cast("double")})
     shared = docs.sparkSession.sparkContext.broadcast(table)
-    schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("lang_score")).schema
+    schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("lang_score"), F.lit(None).cast("double").alias("lang_fit")).schema
     place = docs.columns.index(text)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,14 +295,17 @@ def identify(docs: DataFrame, languages: list[str], table: np.ndarray, vocabular
         for batch in by_bytes(batches, text, 4 << 20):
             data, offsets = text_buffer(batch.column(place))
             groups, long, inverse, rows, n = distinct_words(data, offsets)
-            score = np.zeros((n, len(languages)))
+            score, size, chars = np.zeros((n, len(languages))), np.zeros(n), np.zeros(n)
             for at, words in groups:
+                size[at], chars[at] = words.shape[1], ((words & 0xC0) != 0x80).sum(1)
                 for k in range(0, at.size, 8192):
                     part = slice(k, k + 8192)
                     score[at[part]] = np.log(np.maximum(forward(words[part], pieces, shared.value)[-1], 1e-300))
             for i, word in long:
-                score[i] = long_word(word, pieces, shared.value)
+                score[i], size[i], chars[i] = long_word(word, pieces, shared.value), word.size, ((word & 0xC0) != 0x80).sum()
             whole = np.stack([np.bincount(rows, score[inverse, k], batch.num_rows) for k in range(len(languages))], 1)
+            sizes = np.bincount(rows, size[inverse], batch.num_rows)
+            fit = (whole.max(1) - sizes * np.log(SCALE)) / np.maximum(np.bincount(rows, chars[inverse], batch.num_rows), 1)
             whole -= whole.max(1, keepdims=True)
             chance = np.exp(whole)
             chance /= chance.sum(1, keepdims=True)
@@ -307,18 +318,29 @@ def identify(docs: DataFrame, languages: list[str], table: np.ndarray, vocabular
                 letter[i] = any(c.isalpha() for c in raw[local[i] : local[i + 1]].tobytes().decode("utf-8", "replace"))
             names = [languages[b] if ok else "und" for b, ok in zip(best.tolist(), letter.tolist(), strict=True)]
             values = np.where(letter, chance[np.arange(best.size), best], 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names), pa.array(values)], [*batch.schema.names, "lang_pred", "lang_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names), pa.array(values), pa.array(fit, mask=sizes == 0)], [*batch.schema.names, "lang_pred", "lang_score", "lang_fit"])
 
     return docs.mapInArrow(predict, schema)
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The documents whose language is found with at least that posterior, with all their columns; texts without a letter go."""
-    columns = docs.columns
-    languages, table = learn(docs.where(~held_out(doc_id)), text=text, lang=lang)
-    if not {"lang_pred", "lang_score"} & set(columns):
-        found = identify(docs, languages, table, text=text)
-        return found.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= least)).select(*(F.col(f"`{c}`") for c in columns))
-    rows = docs.select(F.col(f"`{text}`").alias("__text"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("__row"))
+def least_fits(sample: DataFrame, languages: list[str], table: np.ndarray, share: float = 0.01, vocabulary: str | None = None) -> dict[str, float]:
+    """For each language the fit below which a text isn't taken to be in it: as far below the ``share`` quantile of its training texts as that is below their median."""
+    found = identify(sample.select("text"), languages, table, vocabulary).where(F.col("lang_pred") != "und")
+    fits = found.groupBy("lang_pred").agg(F.percentile("lang_fit", F.array(F.lit(share), F.lit(0.5))).alias("q")).collect()  # a row a language
+    return {r["lang_pred"]: 2 * r["q"][0] - r["q"][1] for r in fits}
+
+
+def keep_identified(docs: DataFrame, least: float = 0.5, share: float = 0.01, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", **options) -> DataFrame:
+    """The documents whose language is found, with all their columns: with at least that posterior, and a fit that texts of the language have.
+
+    The posterior compares languages that were learned; the fit (see ``least_fits``) tells texts in none of them. Texts without a letter go.
+    """
+    learned = docs.where(~held_out(doc_id))
+    languages, table = learn(learned, text=text, lang=lang, **options)
+    _, sample = training_texts(learned, text=text, lang=lang)
+    fits = least_fits(sample, languages, table, share) if sample is not None else {}
+    rows = docs.select(F.col(f"`{text}`").alias("__text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))
     found = identify(rows, languages, table, text="__text")
-    return found.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= least)).select(*(F.col(f"__row.`{c}`") for c in columns))
+    fit = F.try_element_at(F.create_map(*(x for name, low in fits.items() for x in (F.lit(name), F.lit(low)))), F.col("lang_pred")) if fits else F.lit(None)
+    good = (F.col("lang_pred") != "und") & (F.col("lang_score") >= least) & (F.coalesce(F.col("lang_fit"), F.lit(0.0)) >= F.coalesce(fit, F.lit(float("-inf"))))
+    return found.where(good).select(*(F.col(f"__row.`{c}`") for c in docs.columns))
