@@ -28,6 +28,8 @@ from .textscan import by_bytes, distinct, mix, text_buffer
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
 BROADCAST_KEYS = 4_000_000
+#: A line is common if more than one line in so many equals it.
+COMMON = 1000
 
 
 def segments(n: int, tau: int) -> list[tuple[int, int]]:
@@ -249,8 +251,8 @@ def duplicate_lines(docs: DataFrame, tau: int = 2, min_chars: int = 24, sample_d
     repeated = distinct.join(labels.withColumnRenamed("node", "key"), "key", "left").where("n > 1 or label is not null").select("key", F.coalesce("label", "key").alias("label"), "first", "n")
     leaders = repeated.groupBy("label").agg(F.min("first").alias("leader"), F.min_by("key", "first").alias("leading"))
     repeated = materialize(repeated.join(leaders, "label").select("key", "leader", "leading", "n"), "repeated-lines")
-    # keys with more than a thousandth of the lines (fewer than 1000) are broadcast; their lines, and those without a word, are spread for the other join
-    common = F.col("n") * 1000 > (distinct.agg(F.sum("n")).first()[0] or 0)
+    # keys with more than one in COMMON of the lines (fewer keys than that) are broadcast; their lines, and those without a word, are spread for the other join
+    common = F.col("n") * COMMON > (distinct.agg(F.sum("n")).first()[0] or 0)
     hot = repeated.where(common).select("key", F.col("leader").alias("hot_leader"), F.col("leading").alias("hot_leading"))
     met = lines.join(F.broadcast(hot), "key", "left").withColumn("rare", F.when(F.col("hot_leader").isNull(), F.col("key")))
     met = met.withColumn("spread", F.when(F.col("rare").isNull(), F.pmod(F.xxhash64(place), F.lit(1024))).otherwise(0))

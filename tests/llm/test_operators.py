@@ -13,6 +13,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from alertloom.llm import encode, op1_warc_zip, op2_bloom_lm, op3_hilbert_ann, op4_packing, op5_decontaminate, op6_quality, op7_line_dedup, op8_language_id, op9_token_files, op10_jaccard, textscan
 
@@ -201,6 +202,19 @@ def test_op4_and_op9(docs, none):
     assert op4_packing.pack_documents(none).count() == op9_token_files.token_table(none).count() == 0
 
 
+@pytest.mark.parametrize(("tokens", "segments", "loss"), [(256, 256, 256), (256, 3, 256), (256, 40, 100), (128, 1, 1), (64, 5, 7)])
+def test_op4_needs_no_padding_under_any_limits(spark, tokens, segments, loss):
+    random.seed(tokens + segments)
+    lines = [(i, " ".join(random.choice(["and", "this", "unfathomable"]) for _ in range(random.choice([0, 1, 3, 8, 90])))) for i in range(900)] + [(None, "long " * 3000)]
+    pieces = op4_packing.pack_documents(spark.createDataFrame(lines, "doc_id long, text string").repartition(3), tokens, segments, loss, pool=64).toPandas()
+    for _, s in pieces.sort_values("offset").groupby("sequence_id"):
+        n = s.length.sum()
+        assert n <= tokens and len(s) <= segments and s.loss_tokens.sum() <= loss and (s.length.cumsum() - s.length == s.offset).all() and (n == tokens or n & (n - 1) == 0)
+    for _, d in pieces.sort_values("start").groupby("doc_id", dropna=False):
+        assert d.length.sum() == d.doc_tokens.iloc[0] and (d.length.cumsum() - d.length == d.start).all()
+    assert pieces.doc_id.nunique(dropna=False) == 901
+
+
 def test_whole_examples_keep_every_limit(spark):
     random.seed(5)
     rows = [(i, random.randint(1, 90), random.randint(0, 30)) for i in range(400)] + [(400, None, None), (401, 500, 10)]
@@ -258,6 +272,28 @@ def test_op6(spark, none):
     assert op6_quality.quality_scores(none.select("doc_id", "text"), labels).count() == 0
 
 
+def test_op6_draws_at_most_so_many_distinct_texts(spark):
+    rows = spark.range(9000).selectExpr("array(1D) AS statistics", "CAST(id % 2 AS INT) AS label", "CASE WHEN id % 3 = 0 THEN 7L WHEN id % 3 = 1 THEN xxhash64(id) ELSE xxhash64(id % 900) END AS draw")
+    draws = sorted({r["draw"] for r in rows.collect()}, key=lambda v: (v % (1 << 64) >> 32, v))
+    for most in (5, 1000, 50_000):
+        assert sorted(r["draw"] for r in op6_quality.drawn(rows, most).collect()) == sorted(draws[:most])
+
+
+def test_op6_statistics_equal_plain_python():
+    random.seed(66)
+    texts = ["", "One two TWO two\nthree,", "a1!? |#x <b> é日 _(;", "x" * 20 + " Abc.\t\x0b abc", " \n ", *("".join(random.choice("aAbB zé .,!\n1|#(") for _ in range(random.randint(1, 60))) for _ in range(60))]
+    got = op6_quality.statistics(*textscan.text_buffer(pa.array([*texts, None])))
+    for text, row in zip([*texts, ""], got, strict=True):
+        raw, w = text.encode(), words(text)
+        sizes, share = [len(x.encode()) for x in w], lambda chars, raw=raw: sum(chr(b) in chars for b in raw if b < 128) / max(len(raw), 1)
+        symbols, mean = "#$%&*@^~<>{}[]=+\\_/", sum(sizes) / max(len(sizes), 1)
+        other = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in symbols + "!?|,.")
+        many, found = max(len(w), 1), re.findall(f"[^{BLANKS[1:-2]}]+", text)
+        want = [np.log1p(len(raw)), np.log1p(len(w)), share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), share("0123456789"), share("!?"), share("|"), share(symbols), share(",."), share(other), sum(b > 127 for b in raw) / max(len(raw), 1), share(" \t\x0b\x0c\r"), share("\n")]
+        want += [mean, np.sqrt(sum((v - mean) ** 2 for v in sizes) / many), len(set(w)) / many, sum(a == b for a, b in zip(w, w[1:], strict=False)) / many, max(Counter(w).values(), default=0) / many, sum("A" <= x[0] <= "Z" for x in found) / many, np.log1p(len(raw) / (text.count("\n") + 1)), sum(v > 15 for v in sizes) / many]
+        assert row == pytest.approx(want, abs=1e-7), text
+
+
 def test_op6_equals_numpy(spark):
     random = np.random.default_rng(3)
     x = random.normal(size=(400, len(op6_quality.STATISTICS))) * np.arange(1, 21) + 5
@@ -323,7 +359,9 @@ def test_edit_distance_and_signatures(tau):
             assert one & two
 
 
-def test_op7(docs, none):
+@pytest.mark.parametrize("common", [1, 1000])
+def test_op7(docs, none, common, monkeypatch):
+    monkeypatch.setattr(op7_line_dedup, "COMMON", common)
     rows = sorted({(r["doc_id"] is not None, r["doc_id"] or 0, r["text"]) for r in docs.collect() if r["text"] is not None})
     word = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
     lines = sorted({x for *_, t in rows for x in t.split("\n") if word.search(x)})
@@ -377,6 +415,23 @@ def test_op8(spark, none):
     assert op8_language_id.keep_identified(none).count() == 0
 
 
+def test_op8_rejects_languages_that_were_not_learned(spark):
+    random.seed(88)
+    pools = {"en": "the of and river stone walks garden evening".split(), "de": "der und über fluss straße geht garten abend".split()}
+    rows = [(i, " ".join(random.choice(pools[lang]) for _ in range(random.randint(3, 60))), lang) for i, lang in enumerate(["en", "de"] * 150)]
+    foreign = [(900, "吾輩は猫である。名前はまだ無い。どこで生れたかとんと見当がつかぬ。", None), (901, "Все счастливые семьи похожи друг на друга", None), (902, None, None), (903, "12 !!", None), (904, rows[0][1], None)]
+    docs = spark.createDataFrame(rows + foreign, "doc_id long, text string, lang string").withColumn("lang_fit", F.lit("x"))
+    kept = op8_language_id.keep_identified(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [*range(300), 904]
+
+
+def test_op8_learns_copies_of_a_text_once(spark):
+    rows = [(i, "the river and the stone", "en") for i in range(50)] + [(99, "der fluss und der stein", "de"), (100, "the evening walks", "en")]
+    once = [rows[0], *rows[-2:]]
+    learn = lambda r: op8_language_id.learn(spark.createDataFrame(r, "doc_id long, text string, lang string"))
+    assert learn(rows)[1] == pytest.approx(learn(once)[1], rel=1e-12)
+
+
 def test_forward_sums_all_segmentations():
     pieces = op8_language_id._pieces(op8_language_id.default_vocabulary())
     random.seed(2)
