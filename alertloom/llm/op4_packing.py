@@ -36,8 +36,9 @@ class Packer:
 
     def __init__(self, limits: tuple[int, int, int], emit, cut=None, loss=None, pool: int = 512):
         self.limits, self.emit, self.cut, self.loss, self.most = np.array(limits, float), emit, cut, loss or (lambda payload, tokens: tokens), pool
-        self.tokens, self.losses, self.items = np.zeros(pool), np.zeros(pool), [None] * pool
-        self.free, self.n, self.number = list(range(pool))[::-1], 0, 0
+        slots = pool + 2  # a sequence cuts one piece as it is filled and one as it is shortened
+        self.tokens, self.losses, self.items = np.zeros(slots), np.zeros(slots), [None] * slots
+        self.free, self.n, self.number = list(range(slots))[::-1], 0, 0
 
     def add(self, payload, tokens: int) -> None:
         most = int(self.limits[0])
@@ -52,7 +53,7 @@ class Packer:
             self.emit(self.number, 0, payload, tokens)  # too large for any sequence: alone
             self.number += 1
             return
-        while not self.free:
+        while self.n >= self.most:
             self._fill()
         self._put(payload, tokens)
 
@@ -80,7 +81,7 @@ class Packer:
             k = int(score.argmax())
             if score[k] >= 0:
                 payload, tokens = self._take(k)
-            elif self.cut:
+            elif self.cut and left[2] >= 1:
                 longer = np.where(self.tokens >= left[0], self.tokens, np.inf)
                 k = int(longer.argmin()) if np.isfinite(longer).any() else int(self.tokens.argmax())
                 payload, tokens = self._take(k)

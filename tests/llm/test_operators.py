@@ -409,7 +409,8 @@ def test_op8(spark, none):
     assert [r["lang_pred"] for r in got if r["doc_id"] in (900, 901, 902)] == ["und"] * 3
     assert "und" not in [r["lang_pred"] for r in got if r["doc_id"] in (903, 904)]
     kept = op8_language_id.keep_identified(docs.withColumn("lang_pred", docs.lang))
-    assert kept.columns[-1] == "lang_pred" and kept.count() == len(rows) - 3
+    # without a letter, or in no learned language
+    assert kept.columns[-1] == "lang_pred" and Counter(r["doc_id"] for r in kept.collect()) == Counter(i for i, *_ in rows if i not in (900, 901, 902, 903, 904))
     empty = op8_language_id.learn(docs.where("lang is null"))
     assert {r["lang_pred"] for r in op8_language_id.identify(docs, *empty).collect()} == {"und"}
     assert op8_language_id.keep_identified(none).count() == 0

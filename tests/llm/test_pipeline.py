@@ -45,15 +45,28 @@ def language_id(docs, spark, rows, items):
     languages, table = op8_language_id.learn(docs.where(~op8_language_id.held_out()))
     pieces = op8_language_id._pieces(op8_language_id.default_vocabulary())
     number = {t: k for k, t in enumerate(pieces.texts)}
-    out = []
-    for r in rows:
-        logs = np.zeros(len(languages))
-        for w in re.findall(rb"[^\x20\x09-\x0D]+", (r["text"] or "").encode()):
+
+    def logs_of(text):
+        logs, found = np.zeros(len(languages)), re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+        for w in found:
             w, sums = b"\x01" + w, [np.zeros(len(languages))]
             for end in range(1, len(w) + 1):
                 sums.append(np.logaddexp.reduce([sums[end - k] + np.log(table[number[w[end - k : end]]]) for k in range(1, min(end, pieces.longest) + 1) if w[end - k : end] in number]))
             logs += sums[-1]
-        if any(c.isalpha() for c in r["text"] or "") and 1 / np.exp(logs - logs.max()).sum() >= 0.5:
+        chars = sum(len(w.decode()) + 1 for w in found)
+        fit = (logs.max() - sum(len(w) + 1 for w in found) * np.log(op8_language_id.SCALE)) / max(chars, 1)
+        return logs, fit
+
+    fits = {}
+    for text in {(r["text"], r["lang"]) for r in docs.where(~op8_language_id.held_out()).where("text is not null and lang is not null").collect()}:
+        logs, fit = logs_of(text[0])
+        if any(c.isalpha() for c in text[0]):
+            fits.setdefault(int(logs.argmax()), []).append(fit)
+    least = {k: 2 * np.quantile(x, 0.01) - np.median(x) for k, x in fits.items()}
+    out = []
+    for r in rows:
+        logs, fit = logs_of(r["text"])
+        if any(c.isalpha() for c in r["text"] or "") and 1 / np.exp(logs - logs.max()).sum() >= 0.5 and fit >= least.get(int(logs.argmax()), -np.inf):
             out.append(tuple(r))
     return out
 
