@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.prepare import ratio
+from .kept import kept
+
+#: So many counted values may be put in order by one task; there are never more in it, as they are counted first.
+ONE_STEP = 100_000
 
 
 def melt(df: DataFrame, keys: list[str], features: list[str], name: str = "feature", value: str = "x") -> DataFrame:
@@ -25,10 +29,15 @@ def beside(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner")
 def running(counts: DataFrame, by: list[str], x: str, sums: list[str], steps: int = 256) -> DataFrame:
     """Adds upto_c and whole_c for each c of ``sums``: over the rows of ``by`` with values up to this one, and over all. One row a value.
 
-    No task sorts a whole column: values are dealt into steps between sampled bounds, windows run within a step, and the sums of the steps
+    ``counts`` is computed once and kept. If it has up to ``ONE_STEP`` rows, one window orders them. Beyond that no task sorts a whole column: values are dealt into steps between sampled bounds, windows run within a step, and the sums of the steps
     carry on. The sample is the value with the smallest hash of each of ``steps`` classes of hashes, so it depends on the values alone, is
     found with partial aggregation, and is the same when a task runs again. Nulls come first, NaN last, as in Spark's order.
     """
+    counts = kept(counts)
+    if counts.count() <= ONE_STEP:
+        every = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
+        upto = every.orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
+        return counts.withColumns({f"{name}_{c}": F.sum(c).over(w) for name, w in (("upto", upto), ("whole", every)) for c in sums})
     v = F.col(x).cast("double")
     drawn = counts.select(*by, v.alias("_v"), F.xxhash64(v).alias("_h")).groupBy(*by, F.pmod("_h", F.lit(steps)).alias("_k")).agg(F.min_by("_v", "_h").alias("_v"))
     bounds = drawn.groupBy(*by).agg(F.array_sort(F.collect_set("_v")).alias("_bounds"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
-from .prepare import ORDER, amount_block, count_where, grouped, order_key, per_alert, ratio, share_where, sum_where
+from .prepare import ORDER, amount_block, count_where, grouped, order_key, per_alert, ratio, ratio_sql, share_where, sum_where
 
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 
@@ -32,6 +32,10 @@ def _dir(d: str) -> Column:
     return F.col("direction") == d
 
 
+def with_sql(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    return df.selectExpr("*", *(f"{x} AS `{n}`" for n, x in columns.items()))
+
+
 def aggregates(history: DataFrame, thresholds: DataFrame, config: EngineConfig) -> DataFrame:
     """Counts, moments, quantiles, by direction, by type and by both, and what follows from them."""
     h = history.crossJoin(F.broadcast(thresholds))  # thresholds: one row
@@ -45,35 +49,45 @@ def aggregates(history: DataFrame, thresholds: DataFrame, config: EngineConfig)
             both = _type(t) & _dir(d)
             base |= {f"{t}_{d}_n": count_where(both), f"{t}_{d}_amtx_sum": sum_where(both, "e"), f"{t}_{d}_mean": F.avg(F.when(both, x)), f"{t}_{d}_max": F.max(F.when(both, x))}
     out = grouped(h, base).withColumns({f"amt_q{round(q * 100):02d}": F.get("_q", k) for k, q in enumerate(QUANTILES)}).drop("_q")
-    shares, c = [F.col(f"{t}_share") for t in config.types], F.col
-    return out.withColumns({
-        "span_days": c("first_age") - c("last_age"),
-        "tx_per_active_day": ratio(c("n_tx"), c("active_days")),
-        "active_day_ratio": ratio(c("active_days"), F.ceil("first_age")),
-        "amt_max_minus_med": c("amt_max") - c("amt_q50"),
-        "in_out_n_ratio": ratio(c("in_n"), c("out_n") + 1),
-        "in_out_amtx_ratio": ratio(c("in_amtx_sum"), c("out_amtx_sum") + 1e-3),
-        "out_in_amtx_ratio": ratio(c("out_amtx_sum"), c("in_amtx_sum") + 1e-3),
-        "max_in_minus_max_out": c("in_max") - c("out_max"),
-        "net_flow_norm": ratio(c("net_flow"), c("amtx_sum") + 1e-3),
-        "cash_intl_share": c(f"{config.cash}_share") + c(f"{config.intl}_share"),
-        "type_entropy": reduce(add, (F.when(s > 0, -s * F.ln(s)).otherwise(0.0) for s in shares)),
-        "type_nunique": reduce(add, ((s > 0).cast("long") for s in shares)),
-    })
+    return with_sql(out, aggregates_derived(config))
+
+
+def aggregates_derived(config: EngineConfig) -> dict[str, str]:
+    """What follows from the columns of ``aggregates``, as SQL."""
+    shares = [f"`{t}_share`" for t in config.types]
+    return {
+        "span_days": "first_age - last_age",
+        "tx_per_active_day": ratio_sql("n_tx", "active_days"),
+        "active_day_ratio": ratio_sql("active_days", "ceil(first_age)"),
+        "amt_max_minus_med": "amt_max - amt_q50",
+        "in_out_n_ratio": ratio_sql("in_n", "out_n + 1"),
+        "in_out_amtx_ratio": ratio_sql("in_amtx_sum", "out_amtx_sum + 1e-3D"),
+        "out_in_amtx_ratio": ratio_sql("out_amtx_sum", "in_amtx_sum + 1e-3D"),
+        "max_in_minus_max_out": "in_max - out_max",
+        "net_flow_norm": ratio_sql("net_flow", "amtx_sum + 1e-3D"),
+        "cash_intl_share": f"`{config.cash}_share` + `{config.intl}_share`",
+        "type_entropy": " + ".join(f"if({s} > 0, -{s} * ln({s}), 0D)" for s in shares),
+        "type_nunique": " + ".join(f"CAST({s} > 0 AS BIGINT)" for s in shares),
+    }
 
 
 def amount_histogram(history: DataFrame, edges: DataFrame, config: EngineConfig) -> DataFrame:
     """Counts in right-closed bins of each type's octiles, for all and by direction, and their shares of the type's total."""
     rows = history.join(F.broadcast(edges), "tx_type")  # edges: one row a type
     found = F.array_position(F.transform("edges", lambda edge: F.col("amount") <= edge), F.lit(True))
-    narrow = rows.withColumn("bin", F.when(found > 0, found - 1).otherwise(7)).groupBy("alert_id", "tx_type", "direction", "bin").agg(F.count(F.lit(1)).alias("n"))
-    columns = {f"_{t}_total": sum_where(_type(t), "n") for t in config.types}
-    for t in config.types:
-        for d in (None, *config.directions):
-            for i in range(8):
-                columns[f"{t}_{f'{d}_' if d else ''}bin{i}_n"] = F.coalesce(F.sum(F.when(_type(t) & (F.col("bin") == i) & (_dir(d) if d else F.lit(True)), F.col("n"))), F.lit(0))
-    out = grouped(narrow, columns)
-    return out.withColumns({n.removesuffix("_n") + "_frac": ratio(F.col(n), F.col(f"_{next(t for t in config.types if n.startswith(f'{t}_'))}_total")) for n in columns if n[0] != "_"}).drop(*(f"_{t}_total" for t in config.types))
+    counted = rows.withColumn("bin", F.when(found > 0, found - 1).otherwise(7)).groupBy("alert_id", "tx_type", "direction", "bin").agg(F.count(F.lit(1)).alias("n"))
+    # a slot for each type, each of all and the directions, and each bin
+    ways = len(config.directions) + 1
+    kind, way = (F.array_position(F.array(*map(F.lit, names)), F.col(c)) for names, c in ((config.types, "tx_type"), (config.directions, "direction")))
+    both = F.filter(F.array(F.lit(0).cast("long"), way), lambda d, i: (i == 0) | (d > 0))
+    slots = counted.select("alert_id", "n", (kind - 1).alias("t"), "bin", F.explode(both).alias("d")).where("d is not null")
+    slots = slots.groupBy("alert_id", F.when(F.col("t") >= 0, ((F.col("t") * ways + F.col("d")) * 8 + F.col("bin")).cast("int")).alias("slot")).agg(F.sum("n").alias("n"))
+    by = slots.groupBy("alert_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("slot").isNotNull(), F.struct("slot", "n")))).alias("by"))
+    last = len(config.types) * ways * 8 - 1
+    dense = by.select("alert_id", F.transform(F.sequence(F.lit(0), F.lit(last)), lambda k: F.coalesce(F.try_element_at("by", k), F.lit(0))).alias("h"))
+    totals = [f"aggregate(slice(h, {k * ways * 8 + 1}, 8), 0L, (a, b) -> a + b) AS _{k}" for k in range(len(config.types))]
+    place = {f"{t}_{f'{d}_' if d else ''}bin{i}": (k, (k * ways + j) * 8 + i) for k, t in enumerate(config.types) for j, d in enumerate((None, *config.directions)) for i in range(8)}
+    return dense.selectExpr("alert_id", "h", *totals).selectExpr("alert_id", *(f"h[{at}] AS `{n}_n`" for n, (_, at) in place.items()), *(f"{ratio_sql(f'h[{at}]', f'_{k}')} AS `{n}_frac`" for n, (k, at) in place.items()))
 
 
 def burst(rows: DataFrame, config: EngineConfig) -> DataFrame:
@@ -97,20 +111,24 @@ def burst_relative(config: EngineConfig, c=F.col) -> dict[str, Column]:
 
 def windows(history: DataFrame, config: EngineConfig) -> DataFrame:
     """Recent windows, each with the one before it, their ratios and the acceleration between windows."""
-    age, c, base = F.col("age"), F.col, {"_n": F.count(F.lit(1)), "_e": F.sum("e"), "_age": F.max("age")}
+    age, base = F.col("age"), {"_n": F.count(F.lit(1)), "_e": F.sum("e"), "_age": F.max("age")}
     for w in config.windows:
         now, before, p = age <= w, (age > w) & (age <= 2 * w), f"w{w}"
         x = F.when(now, F.col("amount"))
         base |= {f"{p}_n": count_where(now), f"{p}_prev_n": count_where(before), f"{p}_amtx_sum": sum_where(now, "e"), f"{p}_prev_amtx_sum": sum_where(before, "e"), f"{p}_amt_mean": F.avg(x), f"{p}_amt_max": F.max(x), f"{p}_net_flow": sum_where(now, "flow"), f"{p}_in_share": F.avg(F.when(now, F.col("is_in"))), f"{p}_out_n": count_where(now & _dir("out")), f"{p}_out_amtx_sum": sum_where(now & _dir("out"), "e"), f"{p}_active_days": _days(now)}
         base |= {f"{p}_{t}_n": count_where(now & _type(t)) for t in config.types}
-    out, more = grouped(history, base), {}
+    return with_sql(grouped(history, base), windows_derived(config)).drop("_n", "_e", "_age")
+
+
+def windows_derived(config: EngineConfig) -> dict[str, str]:
+    """What follows from the columns of ``windows``, as SQL; _n, _e and _age are those of the whole history."""
+    more = {}
     for w in config.windows:
-        p = f"w{w}"
-        n, days = c(f"{p}_n"), F.ceil("_age")
-        more |= {f"{p}_vs_prev_n": ratio(n, c(f"{p}_prev_n") + 1), f"{p}_vs_prev_amtx": ratio(c(f"{p}_amtx_sum"), c(f"{p}_prev_amtx_sum") + 1), f"{p}_rate_vs_hist": ratio(n / F.lit(float(w)), ratio(c("_n"), days)), f"{p}_amtx_rate_vs_hist": ratio(c(f"{p}_amtx_sum") / F.lit(float(w)), ratio(c("_e"), days)), f"{p}_share_n": ratio(n, c("_n")), f"{p}_out_frac": ratio(c(f"{p}_out_n"), n + 1), f"{p}_cash_frac": ratio(c(f"{p}_{config.cash}_n"), n + 1), f"{p}_intl_frac": ratio(c(f"{p}_{config.intl}_n"), n + 1)}
+        p, whole = f"w{w}", "ceil(_age)"
+        more |= {f"{p}_vs_prev_n": ratio_sql(f"{p}_n", f"{p}_prev_n + 1"), f"{p}_vs_prev_amtx": ratio_sql(f"{p}_amtx_sum", f"{p}_prev_amtx_sum + 1"), f"{p}_rate_vs_hist": ratio_sql(f"{p}_n / {w}D", ratio_sql("_n", whole)), f"{p}_amtx_rate_vs_hist": ratio_sql(f"{p}_amtx_sum / {w}D", ratio_sql("_e", whole)), f"{p}_share_n": ratio_sql(f"{p}_n", "_n"), f"{p}_out_frac": ratio_sql(f"{p}_out_n", f"{p}_n + 1"), f"{p}_cash_frac": ratio_sql(f"`{p}_{config.cash}_n`", f"{p}_n + 1"), f"{p}_intl_frac": ratio_sql(f"`{p}_{config.intl}_n`", f"{p}_n + 1")}
     for a, b in pairwise(config.windows):
-        more[f"accel_{a}_{b}"] = ratio(c(f"w{a}_n") / F.lit(float(a)), c(f"w{b}_n") / F.lit(float(b)) + 1e-3)
-    return out.withColumns(more).drop("_n", "_e", "_age")
+        more[f"accel_{a}_{b}"] = ratio_sql(f"w{a}_n / {a}D", f"w{b}_n / {b}D + 1e-3D")
+    return more
 
 
 def shift(history: DataFrame, config: EngineConfig) -> DataFrame:

@@ -40,6 +40,10 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+def ratio_sql(a: str, b: str) -> str:
+    return f"try_divide(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))"
+
+
 def count_where(cond: Column) -> Column:
     return F.count_if(cond)
 

@@ -4,27 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import math
-import tempfile
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.kept import kept
 from ..functions.stats import auc, beside, melt, quantiles, ranks, running
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """The rows, written to the checkpoint folder: what follows starts from them. Plans that grow with folds and models would else take minutes to optimise.
-
-    The session's folder is used; a temporary one only in local mode and when none is set.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="alertloom-"))
-    return df.checkpoint()
-
-
 def stratified_folds(df: DataFrame, key: str, label: str, k: int, seed: int) -> DataFrame:
     """Adds fold: each label's rows, in the order of a hash of key and seed, are dealt in turn.
 

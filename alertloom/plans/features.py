@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..operators import families as f
+from ..operators import moments
 from ..operators.prepare import is_count, prepare, split_burst
 from ..operators.reference import global_thresholds, type_edges
 
@@ -33,24 +34,26 @@ def fit_reference(prepared: DataFrame, config: EngineConfig) -> tuple[DataFrame,
 def build_features(prepared: DataFrame, alerts: DataFrame, config: EngineConfig, reference: tuple[DataFrame, DataFrame], families: tuple[str, ...] = DEFAULT, digits: int | None = None) -> DataFrame:
     """One row for each alert, with or without transactions; all measures are doubles, rounded to ``digits`` if given.
 
-    ``prepared``: see ``dealt``. Families are joined as one struct each, so that no join copies hundreds of columns, and taken apart once.
+    ``prepared``: see ``dealt``. Families of counts, sums and moments come from one aggregation (see ``moments``), the others
+    from one or two each. They are joined as one struct each, so that no join copies hundreds of columns, and taken apart once.
     """
-    history, last = split_burst(prepared, config)
+    history, _ = split_burst(prepared, config)
     thresholds, edges = reference
     made = {
-        "agg": lambda: [f.aggregates(history, thresholds, config)],
-        "win": lambda: [f.windows(history, config)],
         "lastk": lambda: [f.last_k(history, config)],
         "hist": lambda: [f.amount_histogram(history, edges, config)],
-        "burst": lambda: [f.burst(last, config)],
         "time": lambda: [f.activity(history, config), f.gaps(history), f.daily(history)],
         "pt": lambda: [f.passthrough(history, config)],
         "trans": lambda: [f.transitions(history, config)],
-        "shift": lambda: [f.shift(history, config)],
         "calendar": lambda: [f.calendar(alerts)],
     }
-    frames = [frame for name in families for frame in made[name]()]
+    frames = [frame for name in families if name in made for frame in made[name]()]
+    summed = tuple(name for name in families if name in moments.FAMILIES)
     joined, place = alerts.select("alert_id"), {}
+    if summed:
+        found, columns = moments.features(prepared, thresholds, config, summed, {"agg": f.aggregates_derived, "win": f.windows_derived})
+        joined = joined.join(found, "alert_id", "left")
+        place |= {c: f"m_{name}.{c}" for name in summed for c in columns[name]}
     for k, frame in enumerate(frames):
         names = [c for c in frame.columns if c != "alert_id"]
         place |= {c: f"f{k}.{c}" for c in names}
