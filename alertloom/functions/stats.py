@@ -59,9 +59,9 @@ def ranks(df: DataFrame, by: list[str], x: str, rank: str = "rank", n: str = "n"
     return beside(df, found, [*by, x])
 
 
-def quantiles(df: DataFrame, by: list[str], x: str, qs: list[float], out: str = "q") -> DataFrame:
-    """by, n, ``out``: exact quantiles with linear interpolation, as an array; nulls don't count. Read off running counts of distinct values, so no task holds a column."""
-    counts = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count(F.lit(1)).alias("_t"))
+def quantiles(df: DataFrame, by: list[str], x: str, qs: list[float], out: str = "q", weight: str | None = None) -> DataFrame:
+    """by, n, ``out``: exact quantiles with linear interpolation, as an array; nulls don't count. With ``weight``, a row stands for so many. Read off running counts of distinct values, so no task holds a column."""
+    counts = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_t"))
     place = {q: F.lit(float(q)) * (F.col("whole__t") - 1) for q in qs}
     ends = [f(F.when(F.col("upto__t") > side(place[q]), F.col(x).cast("double"))).alias(f"_{name}{k}") for k, q in enumerate(qs) for name, side, f in (("a", F.floor, F.min), ("b", F.ceil, F.min))]
     found = running(counts, by, x, ["_t"]).groupBy(*by).agg(F.max("whole__t").alias("whole__t"), *ends)
@@ -95,19 +95,35 @@ def mann_whitney(long: DataFrame, **names: str) -> DataFrame:
     return rows.withColumns({"u": F.col("auc") * n0 * n1, "cliffs_delta": 2 * F.col("auc") - 1}).withColumn("z", ratio(F.col("u") - n0 * n1 / 2, sd)).drop("rank_sum", "ties")
 
 
-def two_sided_p(z: float) -> float:
-    return math.erfc(abs(z) / math.sqrt(2))
+def two_sided_p(z: Column) -> Column:
+    """The chance that a standard normal is as far from 0 as z: its square is chi-square with one degree of freedom."""
+    return chi_square_p(z * z, F.lit(1))
 
 
-def chi_square_p(x: float, dof: int) -> float:
-    """The upper tail, by the recurrence of the incomplete gamma function from one half or one."""
-    half, a = x / 2, 0.5 if dof % 2 else 1.0
-    tail, term = (math.erfc(math.sqrt(half)), math.sqrt(half / math.pi) * 2 * math.exp(-half)) if dof % 2 else (math.exp(-half), half * math.exp(-half))
-    while a < dof / 2:
-        tail += term
-        a += 1
-        term *= half / a
-    return min(1.0, tail)
+def chi_square_p(x: Column, dof: Column, terms: int = 400) -> Column:
+    """The upper tail of chi-square, as 1 less the series of the lower incomplete gamma function; 0 where it is under about 1e-15.
+
+    The series is sum over k of exp(-h + (a + k) ln h - lngamma(a + k + 1)) with h = x / 2, a = dof / 2; each term is the one before times h / (a + k).
+    """
+    h, a = x / 2, dof / F.lit(2.0)
+    # ln gamma(a + 1) of a whole or half a: a sum of logs down to gamma(1) = 1 or gamma(1/2)
+    logs = F.aggregate(F.filter(F.transform(F.sequence(F.lit(0), F.lit(terms)), lambda i: a - i), lambda v: v > 0), F.lit(0.0), lambda s, v: s + F.ln(v)) + F.when(dof % 2 == 1, F.lit(math.log(math.pi) / 2)).otherwise(0.0)
+    first = F.exp(-h + a * F.ln(h) - logs)
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.struct(first.alias("t"), first.alias("s")), lambda s, k: F.struct((s["t"] * h / (a + k)).alias("t"), (s["s"] + s["t"] * h / (a + k)).alias("s")), lambda s: s["s"])
+    far = h > a + 40 + 9 * F.sqrt(a)
+    return F.when(x.isNull() | dof.isNull() | (dof < 1), F.lit(None).cast("double")).when(h <= 0, F.lit(1.0)).when(far, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), 1 - series))
+
+
+def class_medians(long: DataFrame, label: str = "label", by: str = "feature", x: str = "x") -> DataFrame:
+    """feature, median_0, median_1."""
+    found = quantiles(long, [by, label], x, [0.5])
+    return found.groupBy(by).agg(*(F.max(F.when(F.col(label) == k, F.get("q", 0))).alias(f"median_{k}") for k in (0, 1)))
+
+
+def mann_whitney_report(long: DataFrame) -> DataFrame:
+    """feature, n0, n1, u, cliffs_delta, z, p and the medians of both classes."""
+    found = mann_whitney(long).withColumn("p", two_sided_p(F.col("z")))
+    return beside(found, class_medians(long), ["feature"]).select("feature", "n0", "n1", "u", "cliffs_delta", "z", "p", "median_0", "median_1")
 
 
 def univariate_strength(df: DataFrame, label: str, features: list[str], least: int = 1000) -> DataFrame:

@@ -163,7 +163,13 @@ def gaps(history: DataFrame) -> DataFrame:
     """Hours between consecutive transactions in whole seconds, and what follows the longest wait."""
     w = per_alert()
     us = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', tx_ts)")
-    rows = history.select("alert_id", "tx_ts", us.alias("us"), *ORDER[1:]).withColumn("gap", _whole_seconds(F.col("us") - F.lag("us").over(w)) / F.lit(3600.0))
+    rows = history.select("alert_id", "tx_ts", us.alias("us"), *ORDER[1:])
+    return gaps_of(rows.withColumn("before", F.lag("us").over(w)))
+
+
+def gaps_of(rows: DataFrame) -> DataFrame:
+    """``rows``: alert_id, us (microseconds) and before (those of the transaction before)."""
+    rows = rows.withColumn("gap", _whole_seconds(F.col("us") - F.col("before")) / F.lit(3600.0))
     g = F.col("gap")
     log_gap = F.log1p(g)
     out = {"gap_mean": F.avg(g), "gap_std": F.stddev_samp(g), "gap_med": F.median(g), "gap_min": F.min(g), "gap_max": F.max(g), "gap_q10": F.percentile(g, F.lit(0.1)), "gap_q90": F.percentile(g, F.lit(0.9)), "gap_lt1h_share": share_where(g < 1), "gap_lt5m_share": share_where(g < 1 / 12), "gap_gt7d_n": count_where(g > 168), "gap_logmean": F.avg(log_gap), "gap_logstd": F.stddev_samp(log_gap)}
@@ -194,6 +200,11 @@ def asof_backward(left: DataFrame, right: DataFrame, by: str, on: str, carried:
 def passthrough(history: DataFrame, config: EngineConfig) -> DataFrame:
     """Outgoing transactions against the latest incoming one at or before them; lags in whole seconds."""
     moved = asof_backward(history.where(_dir("out")).select("alert_id", "tx_ts", "amount", "e", "tx_type"), history.where(_dir("in")).select("alert_id", "tx_ts", "amount", "tx_type"), "alert_id", "tx_ts", ["amount", "tx_type"])
+    return passthrough_of(moved, config)
+
+
+def passthrough_of(moved: DataFrame, config: EngineConfig) -> DataFrame:
+    """``moved``: outgoing transactions with in_tx_ts, in_amount and in_tx_type of the incoming one."""
     rows = moved.withColumn("lag", F.expr("timestampdiff(SECOND, in_tx_ts, tx_ts)") / F.lit(3600.0)).withColumn("delta", F.abs(F.col("amount") - F.col("in_amount")))
     lag, near = F.col("lag"), F.col("lag") < 24
     alike = F.col("delta") < 0.25
@@ -229,6 +240,11 @@ def transitions(history: DataFrame, config: EngineConfig) -> DataFrame:
     rows = rows.withColumns({"p_in": F.lag("is_in").over(w), "p_type": F.lag("tx_type").over(w), "delta": F.col("amount") - F.lag("amount").over(w), "late": F.row_number().over(per_alert(True)), "avg_rank": average_rank(["alert_id"], "amount")})
     for name, seconds in config.velocities:
         rows = rows.withColumn(f"v_{name}", F.count(F.lit(1)).over(Window.partitionBy("alert_id").orderBy("us").rangeBetween(-(seconds * 1_000_000 - 1), 0)))
+    return transitions_of(rows, config)
+
+
+def transitions_of(rows: DataFrame, config: EngineConfig) -> DataFrame:
+    """``rows``: transactions with p_in and p_type of the one before, the change of amount, places from the end, ranks of amounts and rolling counts."""
     c, key = F.col, order_key()
     d = F.abs("delta")
     out = {"tr_dir_switch_rate": share_where(c("p_in") != c("is_in")), "tr_type_switch_rate": share_where(c("p_type") != c("tx_type")), "tr_in_to_out_rate": share_where((c("p_in") == 1) & (c("is_in") == 0)), "tr_out_to_in_rate": share_where((c("p_in") == 0) & (c("is_in") == 1)), "tr_damt_abs_mean": F.avg(d), "tr_damt_std": F.stddev_samp("delta"), "tr_damt_similar_share": share_where(d < 0.05), "tr_last_amt": F.max(F.when(c("late") == 1, c("amount"))), "_mean": F.avg("amount"), "_std": F.stddev_samp("amount"), "_last5": F.avg(F.when(c("late") <= 5, c("amount"))), "_last20": F.avg(F.when(c("late") <= 20, c("amount"))), "_rank": F.max(F.when(c("late") == 1, c("avg_rank"))), "_n": F.count(F.lit(1)), "_first": F.min_by("amount", key)}

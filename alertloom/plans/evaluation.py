@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kept import kept
-from ..functions.stats import auc, beside, melt, quantiles, ranks, running
+from ..functions.stats import auc, beside, ks_two_sample, melt, quantiles, ranks, running
 
 
 def stratified_folds(df: DataFrame, key: str, label: str, k: int, seed: int) -> DataFrame:
@@ -62,32 +62,54 @@ def rank_blend(oof: DataFrame, models: list[str], weights: list[float]) -> DataF
     return ranked.withColumn("blend", sum((F.col(f"_r_{m}") * F.lit(w / total) for m, w in zip(models, weights, strict=True)), F.lit(0.0))).drop(*(f"_r_{m}" for m in models))
 
 
-def blend_weights(oof: DataFrame, models: list[str], label: str, rounds: int = 6) -> list[float]:
-    """Weights on a simplex by pairwise moves of shrinking size, each tried by the AUC of the rank blend."""
-    ranked = oof.select(F.col(label).alias("label"), *models)
-    for m in models:
-        ranked = rank01(ranked, m, f"_r_{m}", 0)
-    ranked = ranked.select("label", *(F.col(f"_r_{m}").alias(m) for m in models)).persist()
-
-    def tried(options: list[list[float]]) -> list[float]:
-        mixes = ranked.select("label", *(sum((F.col(m) * w for m, w in zip(models, o, strict=True)), F.lit(0.0)).alias(f"o{k}") for k, o in enumerate(options)))
-        found = {r["feature"]: r["auc"] for r in auc(melt(mixes, ["label"], [f"o{k}" for k in range(len(options))])).collect()}
-        return [found[f"o{k}"] for k in range(len(options))]
+def blend_fits(oof: DataFrame, models: list[str], label: str, part: str, pull: float = 0.1, rounds: int = 14, step: float = 0.6) -> dict:
+    """For each value of ``part`` the weights on the simplex that maximise AUC of the rank blend less ``pull`` times the squared distance from equal weights.
 
-    best = [1 / len(models)] * len(models)
-    value, step = tried([best])[0], 0.25
+    Multiplicative steps: from its best weights, each part tries every model's weight times and over exp(step), and every pair of these, brought back to
+    a sum of 1; where none is better, its step is halved. All points of all parts are scored by one job over one long table a round.
+    """
+    m = len(models)
+    long = oof.select(part, F.col(label).alias("label"), F.monotonically_increasing_id().alias("_id"), *(F.col(c).cast("double").alias(c) for c in models))
+    long = kept(long).unpivot([part, "label", "_id"], models, "model", "x")
+    ranked = kept(ranks(long, [part, "model"], "x", "r", "n").withColumn("r", F.col("r") / F.col("n")).groupBy(part, "label", "_id").pivot("model", models).agg(F.max("r")))
+    parts = [r[0] for r in ranked.select(part).distinct().orderBy(part).collect()]
+    best = {p: [1 / m] * m for p in parts}
+    value, steps = {}, dict.fromkeys(parts, step)
+
+    def tried(options: dict) -> dict:
+        table = ranked.sparkSession.createDataFrame([(p, k, ws) for p, tries in options.items() for k, ws in enumerate(tries)], f"`{part}` {ranked.schema[part].dataType.simpleString()}, k int, ws array<double>")
+        blend = sum((F.get("ws", i) * F.col(f"`{c}`") for i, c in enumerate(models)), F.lit(0.0))
+        points = ranked.join(F.broadcast(table), part).select(F.concat_ws("/", part, "k").alias("feature"), "label", F.round(blend, 12).alias("x"))
+        found = {r["feature"]: r["auc"] for r in auc(points).collect()}  # a row a point
+        return {p: [(found[f"{p}/{k}"] or 0.0) - pull * sum((w - 1 / m) ** 2 for w in ws) for k, ws in enumerate(tries)] for p, tries in options.items()}
+
+    def moves(ws: list[float], size: float) -> list[list[float]]:
+        out = []
+        for i in range(m):
+            for j in range(i, m):
+                for a in (size, -size):
+                    moved = [w * math.exp(a * (k == i) - a * (k == j) * (i != j)) for k, w in enumerate(ws)]
+                    out.append([w / sum(moved) for w in moved])
+        return out
+
+    for p, v in tried({p: [ws] for p, ws in best.items()}).items():
+        value[p] = v[0]
     for _ in range(rounds):
-        options = [[w + step * (i == a) - step * (i == b) for i, w in enumerate(best)] for a in range(len(models)) for b in range(len(models)) if a != b and best[b] >= step]
-        values = tried(options) if options else []
-        if values and max(values) > value:
-            value = max(values)
-            best = options[values.index(value)]
-        else:
-            step /= 2
-    ranked.unpersist()
+        options = {p: moves(best[p], steps[p]) for p in parts}
+        for p, values in tried(options).items():
+            if max(values) > value[p]:
+                value[p] = max(values)
+                best[p] = options[p][values.index(value[p])]
+            else:
+                steps[p] /= 2
     return best
 
 
+def blend_weights(oof: DataFrame, models: list[str], label: str, **options) -> list[float]:
+    """See ``blend_fits``, for all rows."""
+    return blend_fits(oof.withColumn("_all", F.lit(0)), models, label, "_all", **options)[0]
+
+
 def cross_validated(df: DataFrame, key: str, label: str, features: list[str], k: int = 5, repeats: int = 1, seed: int = 42, model: str = "gbt") -> DataFrame:
     """key, repeat, fold, label, oof: out-of-fold probabilities of gradient-boosted trees or logistic regression, medians in place of nulls."""
     from pyspark.ml import Pipeline
@@ -134,14 +156,32 @@ def check_submission(scores: DataFrame, expected: DataFrame, id_column: str = "a
     return row.select(F.explode(F.array(*(F.struct(F.lit(name).alias("check"), passed.alias("passed")) for name, passed in checks.items()))).alias("c")).select("c.*")
 
 
-def check_submission_file(data: bytes, name: str, header: str = "alert_id,score", pattern: str = r"[A-Za-z0-9_]+\.csv") -> list[str]:
-    """What is wrong with the bytes of a submission: mark, name, header, quotes, fields, numbers."""
+def check_against_oof(scores: DataFrame, oof: DataFrame, score_column: str = "score", oof_column: str = "oof", most: float = 0.05) -> DataFrame:
+    """ks, passed: do submitted scores have the distribution of out-of-fold scores, once these are rank-normalised (average rank over n + 1)?
+
+    Scores that were meant to be ranks and are raw probabilities, or the other way round, are far from that.
+    """
+    ranked = rank01(oof.select(F.col(oof_column).cast("double").alias("o")).where("o is not null"), "o", "x")
+    both = ranked.select(F.lit("all").alias("feature"), F.lit(0).alias("label"), "x").unionByName(scores.select(F.lit("all").alias("feature"), F.lit(1).alias("label"), F.col(score_column).cast("double").alias("x")).where("x is not null"))
+    return ks_two_sample(both).select("ks", (F.col("ks") < most).alias("passed"))
+
+
+def rank_round_trip(scores: DataFrame, written: DataFrame, id_column: str = "alert_id", score_column: str = "score") -> DataFrame:
+    """n, moved, missing: scores against what was read back of a written file; how many have another average rank, and how many are in one table only."""
+    a = ranks(scores.select(F.col(id_column).cast("string").alias("id"), F.col(score_column).cast("double").alias("a")), [], "a", "ra", "na")
+    b = ranks(written.select(F.col(id_column).cast("string").alias("id2"), F.col(score_column).cast("double").alias("b")), [], "b", "rb", "nb")
+    both = a.join(b, a["id"] == b["id2"], "full")
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ra") != F.col("rb")).alias("moved"), F.count_if(F.col("id").isNull() | F.col("id2").isNull()).alias("missing"))
+
+
+def check_submission_file(data: bytes, name: str, header: str = "alert_id,score", pattern: str = r"[A-Za-z0-9_]+\.csv", exact: str | None = None) -> list[str]:
+    """What is wrong with the bytes of a submission: mark, name (``exact``, if given, else ``pattern``), header, quotes, fields, numbers."""
     import re
 
     wrong = []
     if data.startswith(b"\xef\xbb\xbf"):
         wrong.append("byte order mark")
-    if not re.fullmatch(pattern, name):
+    if name != exact if exact else not re.fullmatch(pattern, name):
         wrong.append("file name")
     lines = data.decode("utf-8-sig", "replace").split("\n")
     if lines[0].rstrip("\r") != header:

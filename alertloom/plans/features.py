@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
+from ..functions.kept import kept
 from ..operators import families as f
-from ..operators import moments
+from ..operators import moments, slices
 from ..operators.prepare import is_count, prepare, split_burst
 from ..operators.reference import global_thresholds, type_edges
 
@@ -17,12 +17,8 @@ OPTIONAL = ("time", "pt", "trans", "shift", "calendar")
 
 
 def dealt(tx: DataFrame, alerts: DataFrame) -> DataFrame:
-    """The prepared rows, dealt by alert and persisted: every family and the reference statistics read them from there, and none shuffles them again.
-
-    They stay until ``unpersist``, in memory or on the executors' disks; lost ones are made again.
-    """
-    n = int(tx.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return prepare(tx, alerts).repartition(n, "alert_id").persist(StorageLevel.MEMORY_AND_DISK)
+    """The prepared rows, written once: every family and the reference statistics read from there the columns they need."""
+    return kept(prepare(tx, alerts))
 
 
 def fit_reference(prepared: DataFrame, config: EngineConfig) -> tuple[DataFrame, DataFrame]:
@@ -31,20 +27,21 @@ def fit_reference(prepared: DataFrame, config: EngineConfig) -> tuple[DataFrame,
     return global_thresholds(history), type_edges(history)
 
 
-def build_features(prepared: DataFrame, alerts: DataFrame, config: EngineConfig, reference: tuple[DataFrame, DataFrame], families: tuple[str, ...] = DEFAULT, digits: int | None = None) -> DataFrame:
+def build_features(prepared: DataFrame, alerts: DataFrame, config: EngineConfig, reference: tuple[DataFrame, DataFrame], families: tuple[str, ...] = DEFAULT, digits: int | None = None, slice_rows: int | None = None) -> DataFrame:
     """One row for each alert, with or without transactions; all measures are doubles, rounded to ``digits`` if given.
 
     ``prepared``: see ``dealt``. Families of counts, sums and moments come from one aggregation (see ``moments``), the others
-    from one or two each. They are joined as one struct each, so that no join copies hundreds of columns, and taken apart once.
+    from one or two each. They are joined as one struct each, so that no join copies hundreds of columns, and taken apart once. With ``slice_rows``,
+    what looks along timelines does so in slices of so many rows (see ``slices``): for data with alerts too large for one task.
     """
     history, _ = split_burst(prepared, config)
     thresholds, edges = reference
     made = {
         "lastk": lambda: [f.last_k(history, config)],
         "hist": lambda: [f.amount_histogram(history, edges, config)],
-        "time": lambda: [f.activity(history, config), f.gaps(history), f.daily(history)],
-        "pt": lambda: [f.passthrough(history, config)],
-        "trans": lambda: [f.transitions(history, config)],
+        "time": lambda: [f.activity(history, config), slices.gaps(history, slice_rows) if slice_rows else f.gaps(history), f.daily(history)],
+        "pt": lambda: [slices.passthrough(history, config, slice_rows) if slice_rows else f.passthrough(history, config)],
+        "trans": lambda: [slices.transitions(history, config, slice_rows) if slice_rows else f.transitions(history, config)],
         "calendar": lambda: [f.calendar(alerts)],
     }
     frames = [frame for name in families if name in made for frame in made[name]()]

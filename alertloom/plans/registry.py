@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from itertools import pairwise, permutations
 from math import log
 
@@ -11,11 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import EVENTS, LINEITEM
-from ..functions import stats
-from ..operators import families, reference
+from ..functions import profile, stats
+from ..operators import families, reference, slices
 from ..operators.prepare import prepare, split_burst, zero_fill
 from ..sources import tables
-from . import evaluation, features, reports, training
+from . import evaluation, features, reports, training, tuning
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -479,13 +480,40 @@ def chi2_cramers_v(spark, sf_dir):
     return rounded(stats.chi_square(_labelled(spark, sf_dir), "lang", "label"))
 
 
-@_query()
+def _tail_sql(x: str, dof: str) -> str:
+    """The upper tail of chi-square by the series of the incomplete gamma function."""
+    h, a = f"({x} / 2.0)", f"({dof} / 2.0)"
+    return f"CASE WHEN {h} <= 0 THEN 1.0 WHEN {h} > {a} + 40 + 9 * sqrt({a}) THEN 0.0 ELSE greatest(0.0, 1 - list_sum(list_transform(range(0, 401), lambda k: exp(-{h} + ({a} + k) * ln({h}) - lgamma({a} + k + 1))))) END"
+
+
+def _chi2_sql(rows: str, features: list[str]) -> str:
+    parts = " UNION ALL ".join(f"SELECT '{f}' AS feature, CAST({f} AS VARCHAR) AS v, label FROM d WHERE {f} IS NOT NULL" for f in features)
+    return f"WITH {rows}, u AS ({parts}), c AS (SELECT feature, v, label, count(*) AS o FROM u GROUP BY ALL), r AS (SELECT feature, v, sum(o) AS r FROM c GROUP BY ALL), k AS (SELECT feature, label, sum(o) AS k FROM c GROUP BY ALL), n AS (SELECT feature, sum(o) AS n FROM c GROUP BY ALL), e AS (SELECT r.feature, r.v, k.label, r.r * k.k / n.n AS e, coalesce(c.o, 0) AS o, n.n FROM r JOIN k USING (feature) JOIN n USING (feature) LEFT JOIN c ON c.feature = r.feature AND c.v = r.v AND c.label = k.label), t AS (SELECT feature, sum((o - e) ** 2 / e) AS chi2, (count(DISTINCT v) - 1) * (count(DISTINCT label) - 1) AS dof, max(n) AS n FROM e GROUP BY feature) SELECT feature, {_r('chi2', 'chi2')}, CAST(dof AS BIGINT) AS dof, CAST(n AS BIGINT) AS n, round({_tail_sql('chi2', 'dof')}, {DIGITS}) AS p FROM t"
+
+
+def _chi2(rows: DataFrame, features: list[str]) -> DataFrame:
+    tests = [stats.chi_square(rows, f, "label").withColumn("feature", F.lit(f)) for f in features]
+    both = reduce(DataFrame.unionByName, tests).withColumn("p", stats.chi_square_p(F.col("chi2"), F.col("dof")))
+    return rounded(both.select("feature", "chi2", "dof", "n", "p"))
+
+
+@_query(_chi2_sql(LABELLED, ["lang", "source"]))
 def chi2_p_values(spark, sf_dir):
     """Language and source against the label, with p-values."""
-    rows = _labelled(spark, sf_dir)
-    both = stats.chi_square(rows, "lang", "label").withColumn("feature", F.lit("lang")).unionByName(stats.chi_square(rows, "source", "label").withColumn("feature", F.lit("source")))
-    p = F.udf(lambda x, dof: None if x is None or not dof else stats.chi_square_p(x, dof), "double")  # a row a test
-    return rounded(both.withColumn("p", p("chi2", "dof")).select("feature", "chi2", "dof", "n", "p"))
+    return _chi2(_labelled(spark, sf_dir), ["lang", "source"])
+
+
+@_query(_chi2_sql("d AS (SELECT month(o_orderdate) AS month, isodow(o_orderdate) AS weekday, CAST(o_orderstatus = 'F' AS INT) AS label FROM orders)", ["month", "weekday"]))
+def audit_calendar_chi2(spark, sf_dir):
+    """Does the month or the weekday of an order tell the label?"""
+    date = F.col("o_orderdate")
+    rows = _table(spark, sf_dir, "orders").select(F.month(date).alias("month"), (F.weekday(date) + 1).alias("weekday"), (F.col("o_orderstatus") == "F").cast("int").alias("label"))
+    return _chi2(rows, ["month", "weekday"])
+
+
+@_query(f"{_LONG}, m AS (SELECT feature, median(x) FILTER (label = 0) AS median_0, median(x) FILTER (label = 1) AS median_1 FROM l GROUP BY feature), z AS (SELECT *, rs - n1 * (n1 + 1) / 2 AS u, (rs - n1 * (n1 + 1) / 2 - n0 * n1 / 2) / sqrt(n0 * n1 / 12.0 * (n0 + n1 + 1 - ties / ((n0 + n1) * (n0 + n1 - 1)))) AS z FROM s) SELECT feature, {_n('n0', 'n0')}, {_n('n1', 'n1')}, {_r('u', 'u')}, {_r('2 * u / (n0 * n1) - 1', 'cliffs_delta')}, {_r('z', 'z')}, round({_tail_sql('(z * z)', '1')}, {DIGITS}) AS p, {_r('median_0', 'median_0')}, {_r('median_1', 'median_1')} FROM z JOIN m USING (feature)")
+def mann_whitney_report(spark, sf_dir):
+    return rounded(stats.mann_whitney_report(_long(spark, sf_dir)))
 
 
 @_query(f"WITH {LABELLED}, r AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {f}) + (count(*) OVER (PARTITION BY {f}) - 1) / 2.0 AS {f}" for f in _FEATURES) + " FROM d) " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {_r(f'corr({a}, {b})', 'rho')} FROM r" for i, a in enumerate(_FEATURES) for b in _FEATURES[i + 1 :]))
@@ -735,3 +763,111 @@ def logistic_search(spark, sf_dir):
     """The better of two strengths, by out-of-fold AUC."""
     best, value = training.search(_labelled(spark, sf_dir), "doc_id", "label", list(_FEATURES), {"c": [0.005, 0.5]}, tries=2, folds=2)
     return spark.createDataFrame([(float(best["c"]), float(value))], "c double, auc double")
+
+
+# ---- timelines in slices
+
+_SLICE = 20
+
+
+@_query(ORACLE_SQL["gaps"])
+def sliced_gaps(spark, sf_dir):
+    names = QUERIES["gaps"](spark, sf_dir).columns
+    return rounded(slices.gaps(_history(spark, sf_dir), _SLICE).select(*names))
+
+
+@_query(ORACLE_SQL["asof_passthrough"])
+def sliced_passthrough(spark, sf_dir):
+    return rounded(slices.passthrough(_history(spark, sf_dir), C, _SLICE))
+
+
+@_query(ORACLE_SQL["last_vs_history"])
+def sliced_last_vs_history(spark, sf_dir):
+    names = ["tr_last_amt", "tr_last_minus_mean", "tr_last_z", "tr_last5_minus_mean", "tr_last20_minus_mean", "tr_last_amt_pct_rank", "tr_first_minus_last"]
+    return rounded(slices.transitions(_history(spark, sf_dir), C, _SLICE).select("alert_id", *names))
+
+
+@_query(ORACLE_SQL["velocity_max"])
+def sliced_velocity_max(spark, sf_dir):
+    return slices.transitions(_history(spark, sf_dir), C, _SLICE).select("alert_id", *(f"vel_max_{n}" for n, _ in C.velocities))
+
+
+# ---- profiles and samples
+
+_KINDS = {"orders": {"o_orderkey": "n", "o_custkey": "n", "o_orderstatus": "t", "o_totalprice": "n", "o_orderdate": "d", "o_orderpriority": "t"}, "customer": {"c_custkey": "n", "c_name": "t", "c_nationkey": "n", "c_acctbal": "n", "c_mktsegment": "t"}}
+
+
+def _profile_sql(table: str) -> str:
+    number = {"n": "CAST({c} AS DOUBLE)", "t": "CAST(NULL AS DOUBLE)", "d": "epoch_us(CAST({c} AS TIMESTAMP)) / 1e6"}
+    rows = " UNION ALL ".join(f"SELECT '{c}' AS col, {c if kind == 't' else 'CAST(NULL AS VARCHAR)'} AS text, {number[kind].format(c=c)} AS number FROM {table}" for c, kind in _KINDS[table].items())
+    quantiles = ", ".join(f"round(quantile_cont(number, {q}), {DIGITS}) AS q{round(q * 100):02d}" for q in (0.25, 0.5, 0.75))
+    return f"WITH c AS ({rows}), t AS (SELECT col, text, number, count(*) AS t FROM c WHERE text IS NOT NULL OR number IS NOT NULL GROUP BY ALL), m AS (SELECT *, row_number() OVER (PARTITION BY col ORDER BY t DESC, text, number) AS k, count(*) OVER (PARTITION BY col) AS distinct_n FROM t), q AS (SELECT col, count(*) AS n, count(CASE WHEN text IS NULL AND number IS NULL THEN 1 END) AS nulls, round(min(number), {DIGITS}) AS min, {quantiles}, round(max(number), {DIGITS}) AS max FROM c GROUP BY col) SELECT q.col AS \"column\", CAST(n AS BIGINT) AS n, CAST(nulls AS BIGINT) AS nulls, CAST(coalesce(distinct_n, 0) AS BIGINT) AS \"distinct\", text AS top_text, round(number, {DIGITS}) AS top_number, CAST(t AS BIGINT) AS top_n, min, q25, q50, q75, max FROM q LEFT JOIN m ON m.col = q.col AND k = 1"
+
+
+@_query(_profile_sql("orders"))
+def profile_orders(spark, sf_dir):
+    return rounded(profile.profile(_table(spark, sf_dir, "orders").select(*_KINDS["orders"])))
+
+
+@_query(_profile_sql("customer"))
+def profile_customer(spark, sf_dir):
+    return rounded(profile.profile(_table(spark, sf_dir, "customer").select(*_KINDS["customer"])))
+
+
+@_query("SELECT o_orderkey, o_orderstatus FROM (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5(o_orderkey || '|7')) AS k FROM orders) WHERE k <= 50")
+def seeded_sample(spark, sf_dir):
+    """Fifty orders of each status, the same ones whatever the partitioning."""
+    return profile.bottom_k(_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), 50, "o_orderkey", 7, ["o_orderstatus"])
+
+
+@_query("WITH o AS (SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS a, row_number() OVER (ORDER BY o_orderkey) - 1 AS b FROM orders) SELECT CAST(x.a AS BIGINT) AS row_idx FROM o x JOIN o y ON x.a = y.b WHERE x.o_orderkey <> y.o_orderkey")
+def audit_sample_order(spark, sf_dir):
+    """The positions at which orders by date and orders by key don't hold the same order."""
+    orders = _table(spark, sf_dir, "orders")
+    one = F.lit(1).alias("one")
+    by_key = stats.running(orders.select("o_orderkey", one), [], "o_orderkey", ["one"]).select("o_orderkey", (F.col("upto_one") - 1).alias("row_idx"))
+    date = F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))
+    dated = stats.running(orders.select("o_orderkey", (date * 1_000_000_000 + F.col("o_orderkey")).alias("at"), one), [], "at", ["one"]).select("o_orderkey", (F.col("upto_one") - 1).alias("row_idx"))
+    return tables.misaligned(by_key, dated, "o_orderkey", "row_idx")
+
+
+# ---- shuffles, blends and searches
+
+
+@_query(f"WITH {LABELLED}, l AS (" + " UNION ALL ".join(f"SELECT label, '{f}' AS feature, CAST({f} AS DOUBLE) AS x FROM d" for f in _FEATURES) + f") SELECT label, feature, CAST(count(*) AS BIGINT) AS n, CAST(count(x) AS BIGINT) AS known, CAST(count(DISTINCT x) AS BIGINT) AS \"distinct\", {_r('sum(x)', 'total')}, {_r('min(x)', 'least')}, {_r('max(x)', 'most')} FROM l GROUP BY label, feature")
+def class_shuffle(spark, sf_dir):
+    """Every column dealt anew within each class has the same values a class."""
+    moved = training.shuffle_within(_labelled(spark, sf_dir).select("doc_id", "label", *_FEATURES), "doc_id", "label", list(_FEATURES))
+    long = moved.unpivot(["label"], [F.col(f).cast("double").alias(f) for f in _FEATURES], "feature", "x")
+    return rounded(long.groupBy("label", "feature").agg(F.count(F.lit(1)).alias("n"), F.count("x").alias("known"), F.count_distinct("x").alias("distinct"), F.sum("x").alias("total"), F.min("x").alias("least"), F.max("x").alias("most")))
+
+
+@_query()
+def blend_overfit(spark, sf_dir):
+    """AUC on held-out folds of fitted weights, of equal ones, and of each input alone."""
+    rows = evaluation.stratified_folds(_labelled(spark, sf_dir), "doc_id", "label", 5, 42)
+    found = training.blend_overfit(rows, list(_FEATURES), "label", rounds=8)
+    return spark.createDataFrame(sorted(found.items()), "blend string, auc double")
+
+
+@_query()
+def adversarial_gains(spark, sf_dir):
+    """Can boosted trees tell long documents' halves apart, and by which columns?"""
+    rows = _labelled(spark, sf_dir).withColumn("late", F.col("doc_id").cast("double"))
+    report, gains = training.adversarial_trees(rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1"), "doc_id", [*_FEATURES, "late"], k=2)
+    return training.top_gains(gains).crossJoin(report.select("auc"))  # one row
+
+
+@_query()
+def guided_search(spark, sf_dir):
+    """The best trial of a search for the strength of a regression and the number of its folds' features."""
+    rows = evaluation.kept(evaluation.stratified_folds(_labelled(spark, sf_dir), "doc_id", "label", 2, 42))
+
+    def value(options: dict, fold: int) -> float:
+        features = list(_FEATURES)[: options["features"]]
+        test = rows.where(F.col("fold") == fold)
+        scored = training.logistic(rows.where(F.col("fold") != fold), test, "doc_id", "label", features, options["c"]).join(test.select("doc_id", "label"), "doc_id")
+        return stats.auc(scored.select(F.lit("all").alias("feature"), "label", F.col("score").alias("x"))).first()["auc"] or 0.0
+
+    found = tuning.guided_search(spark, {"c": ("log", 1e-3, 10.0), "features": ("int", 1, 3)}, value, 2, 6, starts=3)
+    return tuning.best_trial(found)

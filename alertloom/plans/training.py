@@ -10,7 +10,7 @@ import statistics
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import auc, melt
+from ..functions.stats import auc, beside, melt, ranks, running
 from . import evaluation
 
 
@@ -119,21 +119,69 @@ def adversarial(train: DataFrame, test: DataFrame, key: str, features: list[str]
     return repeat_report(out_of_fold(rows, key, "is_test", features, k=k, **options))
 
 
-def blend_overfit(oof: DataFrame, models: list[str], label: str, fold: str = "fold", k: int = 5) -> dict[str, float]:
-    """Mean AUC on each fold of weights fitted on the others, of equal weights, and of each model alone."""
-    found: dict[str, list[float]] = {}
+def blend_overfit(oof: DataFrame, models: list[str], label: str, fold: str = "fold", k: int = 5, **options) -> dict[str, float]:
+    """Mean AUC on each fold of weights fitted on the others, of equal weights, and of each model alone. Weights of all folds are fitted together."""
     oof = evaluation.kept(oof)
-    for f in range(k):
-        rest, held = oof.where(F.col(fold) != f), oof.where(F.col(fold) == f)
-        weights = {"fitted": evaluation.blend_weights(rest, models, label), "equal": [1 / len(models)] * len(models)} | {m: [float(n == m) for n in models] for m in models}
-        ranked = held.select(F.col(label).alias("label"), *models)
-        for m in models:
-            ranked = evaluation.rank01(ranked, m, f"_r_{m}", 0)
-        ranked = evaluation.kept(ranked)
-        mixes = ranked.select("label", *(sum((F.col(f"_r_{m}") * w for m, w in zip(models, ws, strict=True)), F.lit(0.0)).alias(f"{name}") for name, ws in weights.items()))
-        for r in auc(melt(mixes, ["label"], list(weights))).collect():  # a row a blend
-            found.setdefault(r["feature"], []).append(r["auc"])
-    return {name: statistics.fmean(values) for name, values in found.items()}
+    rest = oof.withColumn("_out", F.explode(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: f != F.col(fold))))
+    fitted = evaluation.blend_fits(rest, models, label, "_out", **options)
+    m = len(models)
+    named = {"equal": [1 / m] * m} | {c: [float(c == d) for d in models] for c in models}
+    table = oof.sparkSession.createDataFrame([(f, name, [float(w) for w in ws]) for f in range(k) for name, ws in ({"fitted": fitted.get(f, [1 / m] * m)} | named).items()], "_out int, name string, ws array<double>")
+    long = oof.select(F.col(fold).alias("_out"), F.col(label).alias("label"), F.monotonically_increasing_id().alias("_id"), *(F.col(c).cast("double").alias(c) for c in models)).unpivot(["_out", "label", "_id"], models, "model", "x")
+    ranked = ranks(long, ["_out", "model"], "x", "r", "n").withColumn("r", F.col("r") / F.col("n")).groupBy("_out", "label", "_id").pivot("model", models).agg(F.max("r"))
+    blend = sum((F.get("ws", i) * F.col(f"`{c}`") for i, c in enumerate(models)), F.lit(0.0))
+    points = ranked.join(F.broadcast(table), "_out").select(F.concat_ws("/", "_out", "name").alias("feature"), "label", F.round(blend, 12).alias("x"))
+    rows = auc(points).withColumn("name", F.split_part("feature", F.lit("/"), F.lit(2))).groupBy("name").agg(F.avg("auc").alias("auc")).collect()  # a row a blend
+    return {r["name"]: r["auc"] for r in rows}
+
+
+def tree_gains(model, columns: list[str]) -> list[tuple[str, float]]:
+    """The share of a fitted tree ensemble's split gains that each column has."""
+    return [(c, float(g)) for c, g in zip(columns, model.featureImportances.toArray(), strict=True)]
+
+
+def adversarial_trees(train: DataFrame, test: DataFrame, key: str, features: list[str], k: int = 3, seed: int = 42, rounds: int = 10, depth: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Can boosted trees tell the two tables apart, and by which columns? (repeat, auc, fold_mean, fold_std) and (fold, column, gain); keys must differ between the tables."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import Imputer, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    rows = train.select(key, *features, F.lit(0).alias("is_test")).unionByName(test.select(key, *features, F.lit(1).alias("is_test")))
+    dealt = evaluation.kept(evaluation.stratified_folds(_doubles(rows, key, "is_test", features), key, "is_test", k, seed))
+    names = [f"{c}__x" for c in features]
+    stages = [Imputer(strategy="median", inputCols=features, outputCols=names), VectorAssembler(inputCols=names, outputCol="raw"), GBTClassifier(featuresCol="raw", labelCol="is_test", maxIter=rounds, maxDepth=depth, seed=seed)]
+    parts, gains = [], []
+    for fold in range(k):
+        fitted = Pipeline(stages=stages).fit(dealt.where(F.col("fold") != fold))
+        scored = fitted.transform(dealt.where(F.col("fold") == fold))
+        parts.append(evaluation.kept(scored.select(F.lit(0).alias("repeat"), "fold", F.col("is_test").alias("label"), vector_to_array("probability")[1].alias("oof"))))
+        gains += [(fold, c, g) for c, g in tree_gains(fitted.stages[-1], features)]
+    oof = parts[0]
+    for p in parts[1:]:
+        oof = oof.unionByName(p)
+    return repeat_report(oof), train.sparkSession.createDataFrame(gains, "fold int, column string, gain double")
+
+
+def top_gains(gains: DataFrame, most: int = 5) -> DataFrame:
+    """column, gain: the mean over folds of each column's share of the gains, the largest first."""
+    return gains.groupBy("column").agg(F.avg("gain").alias("gain")).orderBy(F.desc("gain"), "column").limit(most)
+
+
+def shuffle_within(df: DataFrame, key: str, label: str, columns: list[str], seed: int = 42) -> DataFrame:
+    """The rows with every column's values dealt anew within each class, each column by itself; nulls move like values. ``key`` is unique.
+
+    Values and rows are put in the order of hashes, and value k of a column and class goes to row k of the class. Places come from running counts over steps
+    of the hashes, so no task sorts a class.
+    """
+    rows = evaluation.kept(df.select(key, label, *(F.col(c).cast("double").alias(c) for c in columns)))
+    one = F.lit(1).alias("one")
+    values = rows.unpivot([key, label], columns, "column", "x").select(label, "column", "x", F.xxhash64(key, "column", F.lit(seed)).alias("h"), one)
+    places = running(rows.select(key, label, F.xxhash64(key, F.lit(seed)).alias("h"), one), [label], "h", ["one"]).select(F.col(key).alias("_key"), F.col(label).alias("_label"), F.col("upto_one").alias("_at"))
+    dealt = running(values, [label, "column"], "h", ["one"])
+    moved = dealt.join(places, F.col(label).eqNullSafe(F.col("_label")) & (F.col("upto_one") == F.col("_at"))).groupBy(F.col("_key").alias(key), F.col("_label").alias(label)).pivot("column", columns).agg(F.max("x"))
+    others = [c for c in df.columns if c not in (key, label, *columns)]
+    return beside(df.select(key, label, *others), moved.drop(label), [key]).select(*df.columns)
 
 
 def search(df: DataFrame, key: str, label: str, features: list[str], grid: dict[str, list], fit=logistic, tries: int = 8, folds: int = 3, seed: int = 42) -> tuple[dict, float]:

@@ -41,10 +41,17 @@ def _one_file(lines: DataFrame, path: str) -> None:
     lines.coalesce(1).write.text(folder, lineSep="\n")
     hadoop = lines.sparkSession._jvm.org.apache.hadoop.fs
     place = hadoop.Path(folder)
-    fs = place.getFileSystem(lines.sparkSession._jsparkSession.sessionState().newHadoopConf())
+    fs = place.getFileSystem(lines.sparkSession._jsc.hadoopConfiguration())
     part = next(f.getPath() for f in fs.listStatus(place) if f.getPath().getName().startswith("part-"))
-    fs.delete(hadoop.Path(path), True)
-    fs.rename(part, hadoop.Path(path))
+    target, old = hadoop.Path(path), hadoop.Path(f"{folder}/old")
+    if fs.exists(target) and fs.getFileStatus(target).isDirectory():
+        fs.delete(place, True)
+        raise IsADirectoryError(path)
+    if fs.exists(target):
+        fs.rename(target, old)
+    if not fs.rename(part, target):
+        fs.rename(old, target)
+        raise OSError(f"could not write {path}")
     fs.delete(place, True)
 
 
