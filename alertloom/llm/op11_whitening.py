@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import matrices, tree_merge, usable, usual_dimension
+from .vectors import add_moments, matrices, moments_of, tree_merge, usable, usual_dimension
 
 SCALE, OFFSET, LARGEST = 64, 1_000_000, 1 << 53
 _LOW = 27
@@ -78,12 +78,6 @@ def _add_sums(a: tuple, b: tuple) -> tuple:
     return a[0] + b[0], [x + y for x, y in zip(a[1], b[1], strict=True)], max(a[2], b[2])
 
 
-def _add_moments(a: tuple, b: tuple) -> tuple:
-    """Rows, mean and centred outer products of both parts together."""
-    n, apart = a[0] + b[0], b[1] - a[1]
-    return n, a[1] + apart * (b[0] / n), a[2] + b[2] + np.outer(apart, apart) * (a[0] * b[0] / n)
-
-
 def fit(rows: DataFrame, components: int) -> Whitening | None:
     """``rows``: a column of vectors of one dimension. None without rows."""
     found = tree_merge(rows, _sums, _add_sums)
@@ -110,12 +104,10 @@ def fit(rows: DataFrame, components: int) -> Whitening | None:
         total = None
         for _, x in matrices(batches, 0):
             w = fitted.value.project(fitted.value.centred(integers(x)), components)[:, fitted.value.varies[:components]]
-            mean = w.mean(0)
-            part = (w.shape[0], mean, (w - mean).T @ (w - mean))
-            total = part if total is None else _add_moments(total, part)
+            total = moments_of(w) if total is None else add_moments(total, moments_of(w))
         return total
 
-    n, _, outer = tree_merge(rows, moments, _add_moments)
+    n, _, outer = tree_merge(rows, moments, add_moments)
     model.identity_error = float(np.abs(outer / n - np.eye(outer.shape[0])).max(initial=0.0))
     return model
 

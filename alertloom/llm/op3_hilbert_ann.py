@@ -1,6 +1,8 @@
 """Approximate nearest neighbours on shifted space-filling curves.
 
-Every vector is projected at random to a few dimensions, shifted, and placed on a Hilbert curve; several such curves order all vectors.
+Every vector is projected to a few dimensions, shifted, and placed on a Hilbert curve; several such curves order all vectors. The directions are drawn
+at random, but weighed by the covariance of the vectors (summed by task, merged over a tree of tasks), so that they lie where vectors differ; each
+is scaled by its own deviation. Vectors with structure so get curves that follow it; without structure, any direction is as good.
 The curves are range-partitioned and sorted by Spark, which gives each vector a position on each. The candidates of a query are the vectors
 within ``window`` positions of it on any curve; blocks of neighbouring positions are reranked by exact distance and merged.
 
@@ -24,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import materialize
+from .vectors import covariance_of
 
 _FOUND = "qid long, cid long, score double"
 
@@ -74,6 +77,13 @@ def _nearest(queries: np.ndarray, rows: np.ndarray, wanted: int) -> list[tuple[n
     return out
 
 
+def directions(covariance: np.ndarray, curves: int, dimensions: int, random: np.random.Generator) -> list[np.ndarray]:
+    """For each curve, orthogonal directions drawn from a normal distribution with that covariance: axes of large variance are drawn more."""
+    values, axes = np.linalg.eigh((covariance + covariance.T) / 2)
+    weighed = axes * np.sqrt(np.maximum(values, values.max(initial=0) * 1e-6 + 1e-12))
+    return [np.linalg.qr(weighed @ random.normal(size=(values.size, dimensions)))[0] for _ in range(curves)]
+
+
 def nearest_neighbours(vectors: DataFrame, k: int = 10, every: int = 100, curves: int = 24, dimensions: int = 9, bits: int = 6, recall: float = 0.95, sample_queries: int = 64, block: int = 2048, seed: int = 5, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score. Queries: the ids that ``every`` divides."""
     spark = vectors.sparkSession
@@ -91,19 +101,19 @@ def nearest_neighbours(vectors: DataFrame, k: int = 10, every: int = 100, curves
     asked = materialize(asked, "asked")
     total = classes.count()
     random = np.random.default_rng(seed)
-    turns = [np.linalg.qr(random.normal(size=(d, min(d, dimensions))))[0] for _ in range(curves)]
+    _, middle, covariance = covariance_of(classes.select("embedding")) or (0, np.zeros(d), np.eye(d))
+    turns = directions(covariance, curves, min(d, dimensions), random)
+    scales = [3 * np.sqrt(np.maximum(np.einsum("ij,ik,kj->j", turn, covariance, turn), 1e-24)) for turn in turns]
     shifts = random.uniform(0, 1, (curves, min(d, dimensions)))
-    reach = classes.agg(F.max(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v)))).first()[0]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _stack(batch.column(1)) / reach
-            for c, (turn, shift) in enumerate(zip(turns, shifts, strict=True)):
-                y = x @ turn
-                spread = min(1.0, 3.0 / np.sqrt(d))  # where most projections of unit vectors lie
-                cell = np.clip(((y / spread + 1) / 2 + shift) / 2 * (1 << bits), 0, (1 << bits) - 1).astype(np.int64)
+            x = _stack(batch.column(1)) - middle
+            for c, (turn, scale, shift) in enumerate(zip(turns, scales, shifts, strict=True)):
+                y = x @ turn / scale  # most are between -1 and 1
+                cell = np.clip(((y + 1) / 2 + shift) / 2 * (1 << bits), 0, (1 << bits) - 1).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, c, np.int32)), pa.array(hilbert(cell, bits)), batch.column(0)], ["curve", "key", "cid"])
 
     placed = classes.select("cid", "embedding").mapInArrow(place, "curve int, key long, cid long")

@@ -5,7 +5,7 @@ very many rows is spread; the samples that set the ranges hold two integers a ro
 file and writes an index beside it. The first position of a partition is the prefix sum of the token counts before it (one row a partition).
 
 Defined cases: a null text counts as empty (only the end id); rows without doc_id come first; repeated doc_ids are kept, in the order of the
-hash of their texts; an empty table gives no files and no rows; columns other than the two named are ignored.
+hash of their texts, and rows that repeat both id and text are in one file, however many they are (one task writes them as they stream by); an empty table gives no files and no rows; columns other than the two named are ignored.
 """
 
 from __future__ import annotations

@@ -56,3 +56,28 @@ def tree_merge(rows: DataFrame, summarise: Callable[[Iterator[pa.RecordBatch]],
 
     states = rows.mapInArrow(run, "state binary").rdd.map(lambda r: pickle.loads(bytes(r[0])))
     return states.treeAggregate(None, both, both, 2)
+
+
+def moments_of(x: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows, mean and centred outer products."""
+    mean = x.mean(0)
+    return x.shape[0], mean, (x - mean).T @ (x - mean)
+
+
+def add_moments(a: tuple, b: tuple) -> tuple:
+    """Rows, mean and centred outer products of both parts together."""
+    n, apart = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + apart * (b[0] / n), a[2] + b[2] + np.outer(apart, apart) * (a[0] * b[0] / n)
+
+
+def covariance_of(rows: DataFrame) -> tuple[int, np.ndarray, np.ndarray] | None:
+    """n, mean and covariance of a column of vectors of one dimension: a matrix a task, merged over a tree of tasks; None without rows."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> tuple | None:
+        total = None
+        for _, x in matrices(batches, 0):
+            total = moments_of(x) if total is None else add_moments(total, moments_of(x))
+        return total
+
+    found = tree_merge(rows, sums, add_moments)
+    return found and (found[0], found[1], found[2] / found[0])
