@@ -110,29 +110,6 @@ def blend_weights(oof: DataFrame, models: list[str], label: str, **options) -> l
     return blend_fits(oof.withColumn("_all", F.lit(0)), models, label, "_all", **options)[0]
 
 
-def cross_validated(df: DataFrame, key: str, label: str, features: list[str], k: int = 5, repeats: int = 1, seed: int = 42, model: str = "gbt") -> DataFrame:
-    """key, repeat, fold, label, oof: out-of-fold probabilities of gradient-boosted trees or logistic regression, medians in place of nulls."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier, LogisticRegression
-    from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    names = [f"{c}__x" for c in features]
-    stages = [Imputer(strategy="median", inputCols=features, outputCols=names), VectorAssembler(inputCols=names, outputCol="raw")]
-    stages += [GBTClassifier(featuresCol="raw", labelCol=label, maxIter=20, maxDepth=4, seed=seed)] if model == "gbt" else [StandardScaler(withMean=True, inputCol="raw", outputCol="scaled"), LogisticRegression(featuresCol="scaled", labelCol=label, regParam=0.01)]
-    rows = df.select(key, F.col(label).cast("double").alias(label), *(F.col(c).cast("double").alias(c) for c in features))
-    parts = []
-    for repeat in range(repeats):
-        dealt = kept(stratified_folds(rows, key, label, k, seed + repeat))
-        for fold in range(k):
-            fitted = Pipeline(stages=stages).fit(dealt.where(F.col("fold") != fold))
-            parts.append(kept(fitted.transform(dealt.where(F.col("fold") == fold)).select(key, F.lit(repeat).alias("repeat"), "fold", label, vector_to_array("probability")[1].alias("oof"))))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def fold_report(oof: DataFrame, label: str = "label") -> DataFrame:
     """AUC of each repeat and fold."""
     long = oof.select(F.concat_ws("/", "repeat", "fold").alias("feature"), F.col(label).alias("label"), F.col("oof").alias("x"))
@@ -204,4 +181,12 @@ def check_submission_file(data: bytes, name: str, header: str = "alert_id,score"
 
 
 def manifest(data: bytes, **facts: object) -> dict[str, object]:
+    """The hash and size of a written file, with the facts of its run."""
     return {"sha256": hashlib.sha256(data).hexdigest(), "bytes": len(data)} | facts
+
+
+def submission_manifest(data: bytes, name: str, scores: DataFrame, written: DataFrame, **facts: object) -> dict[str, object]:
+    """The manifest of a written submission, with what is wrong with the file and what its ranks have lost: a run should end if ``wrong`` isn't empty."""
+    trip = rank_round_trip(scores, written).first()
+    wrong = check_submission_file(data, name) + [f"{trip[c]} rows {what}" for c, what in (("moved", "with another rank"), ("missing", "in one table only")) if trip[c]]
+    return manifest(data, rows=trip["n"], wrong=wrong, **facts)

@@ -743,12 +743,12 @@ def validator_checks(spark, sf_dir):
 
 @_query()
 def logistic_cv(spark, sf_dir):
-    return evaluation.fold_report(evaluation.cross_validated(_labelled(spark, sf_dir), "doc_id", "label", list(_FEATURES), 3, model="lr"))
+    return evaluation.fold_report(training.out_of_fold(_labelled(spark, sf_dir), "doc_id", "label", list(_FEATURES), k=3))
 
 
 @_query()
 def gbt_cv(spark, sf_dir):
-    return evaluation.fold_report(evaluation.cross_validated(_labelled(spark, sf_dir), "doc_id", "label", list(_FEATURES), 3))
+    return evaluation.fold_report(training.out_of_fold(_labelled(spark, sf_dir), "doc_id", "label", list(_FEATURES), fit=training.boosted, k=3))
 
 
 @_query()
@@ -871,3 +871,17 @@ def guided_search(spark, sf_dir):
 
     found = tuning.guided_search(spark, {"c": ("log", 1e-3, 10.0), "features": ("int", 1, 3)}, value, 2, 6, starts=3)
     return tuning.best_trial(found)
+
+
+@_query("SELECT c_custkey, CAST(substr(c_name, 10) AS INT) AS code, CAST(substr(c_name, 10) AS INT) = c_custkey AS agrees FROM customer")
+def name_codes(spark, sf_dir):
+    """The number that a customer's name ends with, and whether it is the key."""
+    code = F.substring("c_name", 10, 2**31 - 1).cast("int")
+    return _table(spark, sf_dir, "customer").select("c_custkey", code.alias("code"), (code == F.col("c_custkey")).alias("agrees"))
+
+
+@_query("SELECT " + ", ".join(f"CAST(count({c}) AS BIGINT) AS {c}" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")) + " FROM lineitem")
+def matching_columns(spark, sf_dir):
+    """Known values of the columns that a pattern takes and another leaves out."""
+    rows = _table(spark, sf_dir, "lineitem")
+    return rows.agg(*(F.count(c).alias(c) for c in reports.matching_columns(rows, "^l_(quantity|extended|discount|tax|ship)", "ship")))

@@ -160,6 +160,8 @@ def test_scores_against_out_of_fold_ranks_and_round_trip(spark, tmp_path):
     with open(path, "rb") as f:
         data = f.read()
     assert evaluation.check_submission_file(data, "scores.csv", exact="scores.csv") == [] and evaluation.check_submission_file(data, "scores.csv", exact="final.csv") == ["file name"]
+    facts = evaluation.submission_manifest(data, "scores.csv", ranks_, back, model="m")
+    assert facts["wrong"] == [] and facts["rows"] == 400 and facts["model"] == "m" and evaluation.submission_manifest(data, "s.txt", ranks_, back.limit(399))["wrong"] == ["file name", "1 rows in one table only"]
     (tmp_path / "folder").mkdir()
     with pytest.raises(IsADirectoryError):
         tables.write_scores_csv(ranks_, f"{tmp_path}/folder", "o")
