@@ -5,6 +5,9 @@ can be merged: counts, sums of powers about a common centre, sums, extremes, and
 groups (all, a type, a window, a type in a window, ...) a cell is part of is a table of a few thousand rows whose size the configuration fixes; joined
 with it, states are merged by alert and group. So however many features there are, both aggregations have one expression for each part of a
 state, and no row is looked at once a feature. Medians and quantiles can't be merged; they are taken of the few groups that need them.
+
+A state is wider than a row, and where alerts have few rows there are nearly as many states as rows, each part of several groups. So narrow rows are shuffled
+by alert once (``by_alert``), and all that follows stays where it is. Only for alerts too large for one task states are made before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -79,12 +82,25 @@ class Groups:
         return spark.createDataFrame(rows, "cell int, grp int")
 
 
+def by_alert(prepared: DataFrame, groups: Groups) -> DataFrame:
+    """The rows by alert, with their cell in place of what it is made of: e, flow, age and day follow from the amount and the seconds."""
+    return prepared.select("alert_id", groups.cell().alias("cell"), "amount", "seconds", F.col("is_in").cast("byte").alias("is_in"), F.col("tx_type").isNotNull().alias("typed")).repartition("alert_id")
+
+
+def with_derived(rows: DataFrame) -> DataFrame:
+    """Rows of ``by_alert`` with the columns of prepared rows that states are made of."""
+    rows = rows.withColumns({"age": F.col("seconds") / F.lit(86400.0), "e": F.exp("amount"), "is_in": F.col("is_in").cast("int"), "tx_type": F.when(F.col("typed"), F.lit(""))})
+    return rows.withColumns({"day": F.floor("age").cast("int"), "flow": F.col("e") * (2 * F.col("is_in") - 1)})
+
+
 def states(prepared: DataFrame, thresholds: DataFrame, groups: Groups) -> DataFrame:
-    """alert_id, cell, block and a state: one aggregation over the rows."""
+    """alert_id, cell, block and a state: one aggregation over the rows, which may have their cell already."""
+    if "cell" not in prepared.columns:
+        prepared = prepared.withColumn("cell", groups.cell())
     rows = prepared.crossJoin(F.broadcast(thresholds))  # thresholds: one row
     x, day = F.col("amount"), F.col("day")
     centre = F.coalesce((F.col("p10") + F.col("p90")) / 2, F.lit(0.0))
-    rows = rows.select("alert_id", groups.cell().alias("cell"), (day / 64).cast("int").alias("block"), F.expr("shiftleft(1L, day % 64)").alias("bit"), "amount", (x - centre).alias("v"), "e", "flow", "is_in", "tx_type", "age", centre.alias("centre"), *(c.cast("int").alias(n) for n, c in (("a90", x > F.col("p90")), ("a99", x > F.col("p99")), ("b10", x < F.col("p10")))))
+    rows = rows.select("alert_id", "cell", (day / 64).cast("int").alias("block"), F.expr("shiftleft(1L, day % 64)").alias("bit"), "amount", (x - centre).alias("v"), "e", "flow", "is_in", "tx_type", "age", centre.alias("centre"), *(c.cast("int").alias(n) for n, c in (("a90", x > F.col("p90")), ("a99", x > F.col("p99")), ("b10", x < F.col("p10")))))
     v = F.col("v")
     parts = {"n": F.count(F.lit(1)), "nx": F.count("amount"), "nd": F.count("is_in"), "nt": F.count("tx_type"), "ni": F.sum("is_in"), "s1": F.sum(v), "s2": F.sum(v * v), "s3": F.sum(v * v * v), "s4": F.sum(v * v * v * v), "se": F.sum("e"), "sf": F.sum("flow"), "g90": F.sum("a90"), "g99": F.sum("a99"), "l10": F.sum("b10"), "lo": F.min("amount"), "hi": F.max("amount"), "he": F.max("e"), "oldest": F.max("age"), "newest": F.min("age"), "centre": F.max("centre"), "days": F.bit_or("bit")}
     return rows.groupBy("alert_id", "cell", "block").agg(*(p.alias(n) for n, p in parts.items()))
@@ -110,7 +126,7 @@ def quantiles_of(prepared: DataFrame, groups: Groups) -> DataFrame:
     """alert_id and ``q``: exact quantiles of the groups that need medians."""
     c = groups.config
     wanted = {groups.number[n] for n in ("all", *c.directions, *c.types, "b") if n in groups.number}
-    rows = prepared.select("alert_id", groups.cell().alias("cell"), "amount").join(F.broadcast(groups.table(prepared.sparkSession, wanted)), "cell")
+    rows = prepared.select("alert_id", groups.cell().alias("cell"), "amount").repartition("alert_id").join(F.broadcast(groups.table(prepared.sparkSession, wanted)), "cell")
     found = rows.groupBy("alert_id", "grp").agg(F.percentile("amount", F.array(*map(F.lit, QUANTILES))).alias("v"))
     return _dense(found, F.col("v"), len(groups.number), "q")
 
@@ -194,10 +210,11 @@ def _shift(groups: Groups) -> dict[str, str]:
 FAMILIES = {"agg": (_aggregates, "all"), "win": (_windows, "all"), "burst": (_burst, "b"), "shift": (_shift, "all")}
 
 
-def features(prepared: DataFrame, thresholds: DataFrame, config: EngineConfig, families: tuple[str, ...], derived: dict) -> tuple[DataFrame, dict[str, list[str]]]:
-    """alert_id and a struct for each of ``families``, and the structs' columns. ``derived``: what follows from a family's columns."""
+def features(prepared: DataFrame, thresholds: DataFrame, config: EngineConfig, families: tuple[str, ...], derived: dict, large: bool = False) -> tuple[DataFrame, dict[str, list[str]]]:
+    """alert_id and a struct for each of ``families``, and the structs' columns. ``derived``: what follows from a family's columns. ``large``: alerts may be too large for one task."""
     groups = Groups(config, families)
-    g = _dense(merged(states(prepared, thresholds, groups), groups), F.struct(*MEASURES), len(groups.number), "g")
+    rows = prepared if large else with_derived(by_alert(prepared, groups))
+    g = _dense(merged(states(rows, thresholds, groups), groups), F.struct(*MEASURES), len(groups.number), "g")
     rows = g.join(quantiles_of(prepared, groups), "alert_id", "left")
     base = {f: FAMILIES[f][0](groups) for f in families}
     more = {f: derived[f](config) if f in derived else {} for f in families}

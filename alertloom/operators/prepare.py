@@ -17,6 +17,11 @@ def prepare(tx: DataFrame, alerts: DataFrame, baseline: DataFrame | None = None)
     rows = tx.join(alerts.select("alert_id", "alert_date"), "alert_id").where(F.col("tx_ts") < F.col("alert_date")).withColumn("seconds", seconds).where("seconds > 0")
     if baseline is not None:
         rows = rows.withColumn("wk", F.date_trunc("WEEK", "tx_ts")).join(baseline, ["wk", "tx_type"], "left").withColumn("amount", F.col("amount") - F.coalesce("base", F.lit(0.0))).drop("wk", "base")
+    return derived(rows)
+
+
+def derived(rows: DataFrame) -> DataFrame:
+    """The columns that follow from seconds, direction, amount and tx_ts."""
     is_in = (F.col("direction") == "in").cast("int")
     return rows.withColumns({"age": F.col("seconds") / F.lit(86400.0), "e": F.exp("amount"), "is_in": is_in, "hour": F.hour("tx_ts"), "wday": F.weekday("tx_ts")}).withColumns({"day": F.floor("age").cast("int"), "flow": F.col("e") * (2 * F.col("is_in") - 1)})
 

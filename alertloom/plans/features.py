@@ -9,7 +9,7 @@ from ..config import EngineConfig
 from ..functions.kept import kept
 from ..operators import families as f
 from ..operators import moments, slices
-from ..operators.prepare import is_count, prepare, split_burst
+from ..operators.prepare import derived, is_count, prepare, split_burst
 from ..operators.reference import global_thresholds, type_edges
 
 DEFAULT = ("agg", "win", "lastk", "hist", "burst")
@@ -17,8 +17,10 @@ OPTIONAL = ("time", "pt", "trans", "shift", "calendar")
 
 
 def dealt(tx: DataFrame, alerts: DataFrame) -> DataFrame:
-    """The prepared rows, written once: every family and the reference statistics read from there the columns they need."""
-    return kept(prepare(tx, alerts))
+    """The prepared rows, written once without what follows from them: every family and the reference statistics read from there the columns they need."""
+    rows = prepare(tx, alerts)
+    made = {"alert_id", "tx_id", "tx_ts", "direction", "tx_type", "amount", "alert_date", "seconds"}
+    return derived(kept(rows.select(*(c for c in rows.columns if c in made)))).select(*rows.columns)
 
 
 def fit_reference(prepared: DataFrame, config: EngineConfig) -> tuple[DataFrame, DataFrame]:
@@ -31,7 +33,7 @@ def build_features(prepared: DataFrame, alerts: DataFrame, config: EngineConfig,
     """One row for each alert, with or without transactions; all measures are doubles, rounded to ``digits`` if given.
 
     ``prepared``: see ``dealt``. Families of counts, sums and moments come from one aggregation (see ``moments``), the others
-    from one or two each. They are joined as one struct each, so that no join copies hundreds of columns, and taken apart once. With ``slice_rows``,
+    from one or two each, over rows shuffled by alert once. They are joined as one struct each, so that no join copies hundreds of columns, and taken apart once. With ``slice_rows``,
     what looks along timelines does so in slices of so many rows (see ``slices``): for data with alerts too large for one task.
     """
     history, _ = split_burst(prepared, config)
@@ -48,7 +50,7 @@ def build_features(prepared: DataFrame, alerts: DataFrame, config: EngineConfig,
     summed = tuple(name for name in families if name in moments.FAMILIES)
     joined, place = alerts.select("alert_id"), {}
     if summed:
-        found, columns = moments.features(prepared, thresholds, config, summed, {"agg": f.aggregates_derived, "win": f.windows_derived})
+        found, columns = moments.features(prepared, thresholds, config, summed, {"agg": f.aggregates_derived, "win": f.windows_derived}, bool(slice_rows))
         joined = joined.join(found, "alert_id", "left")
         place |= {c: f"m_{name}.{c}" for name in summed for c in columns[name]}
     for k, frame in enumerate(frames):

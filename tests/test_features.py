@@ -152,3 +152,19 @@ def test_sequences_hold_the_last_transactions_with_the_burst(spark):
         want = [[0] * 13] * (length - len(last)) + [y[4] for y in last]
         assert len(sequence) == length and all(len(y) == 13 for y in sequence)
         assert sequence == [pytest.approx([float(v) for v in y], abs=1e-6) for y in want]
+
+
+def test_states_are_not_shuffled(spark):
+    """States outnumber rows once each is part of several groups: only narrow rows are dealt, by alert."""
+    import re
+
+    rows = dealt(table(spark, ROWS), alerts(spark, "a", "b", "none"))
+    plan = build_features(rows, alerts(spark, "a", "b", "none"), C, fit_reference(rows, C))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(alert_id#\d+, (grp|cell|slot|tx_type)", plan)
+
+
+def test_alerts_in_slices_have_the_same_states(spark):
+    tx, al = table(spark, ROWS), alerts(spark, "a", "b", "none")
+    rows = dealt(tx, al)
+    x, y = ({r["alert_id"]: r.asDict() for r in build_features(rows, al, C, fit_reference(rows, C), slice_rows=n).collect()} for n in (None, 2))
+    assert all(same(x[k][c], y[k][c]) for k in x for c in x[k])
