@@ -26,29 +26,45 @@ def beside(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner")
     return df.join(other, [F.col(k).eqNullSafe(F.col(f"_j{i}")) for i, k in enumerate(keys)], how).drop(*(f"_j{i}" for i in range(len(keys))))
 
 
+def count_below(bounds: Column, x: Column, most: int, equal: bool = False) -> Column:
+    """How many of the (up to ``most``) sorted values of an array are less than x, or with ``equal`` at most x; 0 for null. A search by halves: its steps are a logarithm of the array's length."""
+    sizes = [1 << k for k in range(most.bit_length() - 1, -1, -1)]
+    step = lambda at, size: at + F.when((F.get(bounds, at + size - 1) <= x) if equal else (F.get(bounds, at + size - 1) < x), size).otherwise(0)
+    return F.aggregate(F.array(*map(F.lit, sizes)), F.lit(0), step)
+
+
 def running(counts: DataFrame, by: list[str], x: str, sums: list[str], steps: int = 256) -> DataFrame:
     """Adds upto_c and whole_c for each c of ``sums``: over the rows of ``by`` with values up to this one, and over all. One row a value.
 
-    ``counts`` is computed once and kept. If it has up to ``ONE_STEP`` rows, one window orders them. Beyond that no task sorts a whole column: values are dealt into steps between sampled bounds, windows run within a step, and the sums of the steps
-    carry on. The sample is the value with the smallest hash of each of ``steps`` classes of hashes, so it depends on the values alone, is
-    found with partial aggregation, and is the same when a task runs again. Nulls come first, NaN last, as in Spark's order.
+    ``counts`` is computed once and kept. If it has up to ``ONE_STEP`` rows, one window orders them. Beyond that no task sorts a whole column: the values of a group of ``by`` with more than ``ONE_STEP`` of them are dealt into steps
+    between sampled bounds, windows run within a step, and the sums of the steps carry on. There are ``steps`` of them, and more (up to 8192) where one would have more than ``ONE_STEP`` values on average. The sample is the value
+    with the smallest hash of each of so many classes of hashes, so it depends on the values alone, is found with partial aggregation, and is the same when a task runs again. Only groups so large have bounds and
+    sums of steps, so these are broadcast: a join by group would bring a whole column to one task. Nulls come first, NaN last, as in Spark's order.
     """
     counts = kept(counts)
-    if counts.count() <= ONE_STEP:
+    n = counts.count()
+    if n <= ONE_STEP:
         every = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
         upto = every.orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
         return counts.withColumns({f"{name}_{c}": F.sum(c).over(w) for name, w in (("upto", upto), ("whole", every)) for c in sums})
+    while steps < 8192 and n > steps * ONE_STEP:
+        steps *= 2
     v = F.col(x).cast("double")
-    drawn = counts.select(*by, v.alias("_v"), F.xxhash64(v).alias("_h")).groupBy(*by, F.pmod("_h", F.lit(steps)).alias("_k")).agg(F.min_by("_v", "_h").alias("_v"))
-    bounds = drawn.groupBy(*by).agg(F.array_sort(F.collect_set("_v")).alias("_bounds"))
-    placed = beside(counts, bounds, by).withColumn("_step", F.when(v.isNull(), -1).otherwise(F.size(F.filter("_bounds", lambda b: b < v)))).drop("_bounds")
-    totals = placed.groupBy(*by, "_step").agg(*(F.sum(c).alias(f"_s_{c}") for c in sums))
+    large = F.broadcast(counts.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > ONE_STEP))  # a row for each ONE_STEP values at most
+    drawn = beside(counts, large, by).select(*by, v.alias("_v"), F.xxhash64(v).alias("_h")).groupBy(*by, F.pmod("_h", F.lit(steps)).alias("_k")).agg(F.min_by("_v", "_h").alias("_v"))
+    bounds = F.broadcast(drawn.groupBy(*by).agg(F.array_sort(F.collect_set("_v")).alias("_bounds")))
+    placed = beside(counts, bounds, by, "left").withColumn("_step", count_below(F.col("_bounds"), v, steps)).drop("_bounds")  # nulls come first in step 0
+    totals = beside(placed, large, by).groupBy(*by, "_step").agg(*(F.sum(c).alias(f"_s_{c}") for c in sums))
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
     before = group.orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*by, "_step", *(F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in sums), *(F.sum(f"_s_{c}").over(group).alias(f"whole_{c}") for c in sums))
-    within = Window.partitionBy(*by, "_step").orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
-    out = beside(placed, totals, [*by, "_step"]).withColumns({f"upto_{c}": F.sum(c).over(within) + F.col(f"_b_{c}") for c in sums})
-    return out.drop("_step", *(f"_b_{c}" for c in sums))
+    totals = totals.select(*by, "_step", *(F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in sums), *(F.sum(f"_s_{c}").over(group).alias(f"_w_{c}") for c in sums))
+    # a group without bounds is all in step 0
+    step = Window.partitionBy(*by, "_step")
+    within = step.orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
+    out = placed.withColumns({f"{name}_{c}": F.sum(c).over(w) for name, w in (("upto", within), ("whole", step)) for c in sums})
+    out = beside(out, F.broadcast(totals), [*by, "_step"], "left")
+    out = out.withColumns({f"upto_{c}": F.col(f"upto_{c}") + F.coalesce(f"_b_{c}", F.lit(0)) for c in sums} | {f"whole_{c}": F.coalesce(f"_w_{c}", f"whole_{c}") for c in sums})
+    return out.drop("_step", *(f"_{k}_{c}" for k in "bw" for c in sums))
 
 
 def ranks(df: DataFrame, by: list[str], x: str, rank: str = "rank", n: str = "n") -> DataFrame:

@@ -10,7 +10,7 @@ import statistics
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import auc, beside, melt, ranks, running
+from ..functions.stats import auc, beside, count_below, melt, ranks, running
 from . import evaluation
 
 
@@ -35,7 +35,7 @@ def quantile_normal(df: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
     """Each feature becomes the normal quantile of its place among the edges, ties in their middle; null becomes 0, the median."""
     def place(c: str) -> Column:
         e, x = F.array(*map(F.lit, edges[c])), F.col(c).cast("double")
-        below, upto = F.size(F.filter(e, lambda v: v < x)), F.size(F.filter(e, lambda v: v <= x))
+        below, upto = (count_below(e, x, len(edges[c]), equal) for equal in (False, True))
         return F.coalesce(normal_quantile(((below + upto) / 2 + 0.5) / F.lit(len(edges[c]) + 1.0)), F.lit(0.0))
 
     return df.withColumns({c: place(c) for c in edges})

@@ -165,3 +165,32 @@ def test_scores_against_out_of_fold_ranks_and_round_trip(spark, tmp_path):
     (tmp_path / "folder").mkdir()
     with pytest.raises(IsADirectoryError):
         tables.write_scores_csv(ranks_, f"{tmp_path}/folder", "o")
+
+
+def test_count_below_is_a_search_of_sorted_values(spark):
+    import bisect
+
+    for bounds in ([], [2.0], [float(i * i) for i in range(37)]):
+        rows = spark.createDataFrame([(x,) for x in (-1.0, 0.0, 2.0, 4.0, 100.5, 1296.0, 1e9, float("nan"))], "x double")
+        array = F.array(*map(F.lit, bounds)).cast("array<double>")
+        for r in rows.select("x", stats.count_below(array, F.col("x"), 40).alias("a"), stats.count_below(array, F.col("x"), 40, True).alias("b")).collect():
+            want = (len(bounds),) * 2 if r["x"] != r["x"] else (bisect.bisect_left(bounds, r["x"]), bisect.bisect_right(bounds, r["x"]))
+            assert (r["a"], r["b"]) == want
+
+
+def test_running_brings_no_group_to_one_task(spark, monkeypatch):
+    """Large groups are dealt by step; a group with few values needs none; no join is by the group alone, even where Spark wouldn't broadcast."""
+    import re
+
+    monkeypatch.setattr(stats, "ONE_STEP", 50)
+    rows = spark.createDataFrame([("a", float(i), 1) for i in range(300)] + [("b", 1.0, 2), ("b", None, 3), ("c", None, 4)], "g string, x double, n long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = stats.running(rows, ["g"], "x", ["n"], steps=8)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = {(r["g"], r["x"]): (r["upto_n"], r["whole_n"]) for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and re.search(r"hashpartitioning\(g#\d+, _step", plan)
+    assert got == {("a", float(i)): (i + 1, 300) for i in range(300)} | {("b", None): (3, 5), ("b", 1.0): (5, 5), ("c", None): (4, 4)}
