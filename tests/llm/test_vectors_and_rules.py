@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from alertloom.llm import op11_whitening, op12_vector_codes, op13_quality_rules, queries
 
@@ -224,3 +225,20 @@ def test_op13_keeps_good_texts_and_drops_junk(spark):
     kept = {r["quality"]: r["kept"] for r in found.groupBy("quality").agg({"kept": "count", "quality": "first"}).withColumnRenamed("count(kept)", "kept").collect()}
     share = {r["quality"]: r["share"] for r in found.selectExpr("quality", "cast(kept as int) as k").groupBy("quality").avg("k").withColumnRenamed("avg(k)", "share").collect()}
     assert kept[1] > 100 and share[1] > 0.9 and share[0] < 0.2
+
+
+def test_op13_takes_all_of_the_target(spark):
+    labels = spark.range(25_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    assert op13_quality_rules.target_ids(labels).count() == 25_000
+    for n, share in ((1, 0.01), (100, 0.01), (777, 0.1), (5000, 0.013)):
+        means = spark.range(n).select(((F.col("id") * 7919) % 4001 * 97 - 200_000).alias("mean"))
+        want = means.agg(F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY mean)")).first()[0]
+        assert op13_quality_rules.least_mean(means, share) == want
+    assert op13_quality_rules.least_mean(spark.range(0).select(F.col("id").alias("mean")), 0.1) is None
+
+
+def test_op13_beyond_the_broadcast_bound(spark, monkeypatch):
+    _, docs, labels, _ = labelled(spark, make_texts())
+    found = sorted(map(str, op13_quality_rules.quality_rules(docs, labels, bits=10).collect()))
+    monkeypatch.setattr(op13_quality_rules, "BROADCAST_IDS", 0)
+    assert sorted(map(str, op13_quality_rules.quality_rules(docs, labels, bits=10).collect())) == found
