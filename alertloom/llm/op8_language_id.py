@@ -2,8 +2,9 @@
 
 Each language has a probability for every piece of a fixed public vocabulary (and for every single byte, so that any text has one). The
 score of a word is the sum over all its segmentations into pieces of the product of their probabilities, found by the forward algorithm; a
-text's is the product over its words. Probabilities are learned with expectation-maximisation from a sample of about ``max_train_docs``
-distinct labelled texts. The forward algorithm runs over the distinct words of a batch, grouped by length; through words of over 64 bytes it
+text's is the product over its words. Probabilities are learned with expectation-maximisation from all distinct labelled texts (with
+``max_train_docs``, from a sample of about so many). A word's part in it depends on its counts in each language alone, so texts are read once, to count
+their words, and the rounds run over the distinct words. The forward algorithm runs over the distinct words of a batch, grouped by length; through words of over 64 bytes it
 runs one by one in blocks, carrying only the sums of the last positions, so a text without blanks is summed over all its segmentations too.
 Pieces with a mark of a word's start inside can't occur in a word and are left out.
 
@@ -21,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stats import quantiles
+from .storage import materialize
 from .textscan import any_in_rows, by_bytes, mix, row_ids, scan_words, text_buffer
 
 _U = np.uint64
@@ -233,38 +236,64 @@ def held_out(doc_id: str = "doc_id", modulus: int = 3, remainder: int = 1):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def training_texts(docs: DataFrame, max_train_docs: int = 6000, text: str = "text", lang: str = "lang") -> tuple[list[str], DataFrame | None]:
-    """The languages, sorted, and text and k (the language's number) of the texts to learn from. Every distinct labelled text may be drawn; the sample follows its hash."""
+def training_texts(docs: DataFrame, max_train_docs: int | None = None, text: str = "text", lang: str = "lang") -> tuple[list[str], DataFrame | None]:
+    """The languages, sorted, and text and k (the language's number) of the texts to learn from. All distinct labelled texts; with ``max_train_docs``, a sample that follows their hashes."""
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(text), F.lit(8)).alias("h"))
     counts = {r["lang"]: r for r in labelled.groupBy("lang").agg(F.count_distinct("h").alias("n"), F.min("h").alias("least")).collect()}  # a row a language
     languages = sorted(counts)
     if not languages:
         return [], None
+    number = (F.array_position(F.array(*map(F.lit, languages)), F.col("lang")) - 1).cast("int").alias("k")
+    if max_train_docs is None:
+        return languages, labelled.dropDuplicates(["lang", "h"]).select("text", number)
     each = max(1, max_train_docs // len(languages))
     of = lambda value: F.try_element_at(F.create_map(*(x for name, r in counts.items() for x in (F.lit(name), F.lit(value(r))))), F.col("lang"))
     drawn = (F.pmod("h", F.lit(1_000_000)) < of(lambda r: min(1.0, each / r["n"])) * 1_000_000) | (F.col("h") == of(lambda r: r["least"]))
-    sample = labelled.where(drawn).dropDuplicates(["lang", "h"]).select("text", (F.array_position(F.array(*map(F.lit, languages)), F.col("lang")) - 1).cast("int").alias("k"))
+    sample = labelled.where(drawn).dropDuplicates(["lang", "h"]).select("text", number)
     return languages, sample
 
 
-def learn(docs: DataFrame, vocabulary: str | None = None, max_train_docs: int = 6000, rounds: int = 3, prior: float = 0.01, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
+def word_counts(sample: DataFrame, n_languages: int) -> DataFrame:
+    """word (its bytes) and n0, n1, ...: how often each distinct word occurs in the texts of each language."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text", 4 << 20):
+            groups, long, inverse, rows, n = distinct_words(*text_buffer(batch.column(0)))
+            k = batch.column(1).to_numpy(zero_copy_only=False)
+            counts = np.bincount(inverse * n_languages + k[rows], minlength=n * n_languages).reshape(n, -1)
+            words = [b""] * n
+            for at, table in groups:
+                for i, word in zip(at.tolist(), table[:, 1:], strict=True):
+                    words[i] = word.tobytes()
+            for i, word in long:
+                words[i] = word[1:].tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *map(pa.array, counts.T.astype(np.int64))], names)
+
+    names = ["word", *(f"n{k}" for k in range(n_languages))]
+    schema = ", ".join(f"{c} {'binary' if c == 'word' else 'long'}" for c in names)
+    return sample.mapInArrow(count, schema).groupBy("word").agg(*(F.sum(c).alias(c) for c in names[1:]))
+
+
+def learn(docs: DataFrame, vocabulary: str | None = None, max_train_docs: int | None = None, rounds: int = 3, prior: float = 0.01, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
     """The languages, sorted, and the scaled piece probabilities."""
     vocabulary = vocabulary or default_vocabulary()
     pieces = _pieces(vocabulary)
     languages, sample = training_texts(docs, max_train_docs, text, lang)
     if sample is None:
         return [], np.zeros((len(pieces.texts), 0))
-    sample = sample.repartition(16).cache()
+    counted = materialize(word_counts(sample, len(languages)), "words")
+    # tasks of about 20,000 distinct words
+    counted = counted.repartition(max(16, counted.count() // 20_000))
     table = _scaled(np.ones((len(pieces.texts), len(languages))), pieces, prior)
     for _ in range(rounds):
-        shared = sample.sparkSession.sparkContext.broadcast(table)
+        shared = docs.sparkSession.sparkContext.broadcast(table)
 
         def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             pieces, total = _pieces(vocabulary), np.zeros_like(shared.value)
-            for batch in by_bytes(batches, "text"):
+            for batch in by_bytes(batches, "word", 64 << 10):
                 groups, long, inverse, rows, n = distinct_words(*text_buffer(batch.column(0)))
-                k = batch.column(1).to_numpy(zero_copy_only=False)
-                weights = np.bincount(inverse * total.shape[1] + k[rows], minlength=n * total.shape[1]).reshape(n, -1).astype(float)
+                weights = np.zeros((n, total.shape[1]))
+                np.add.at(weights, inverse, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]], 1)[rows])
                 for at, words in groups:
                     total += expected(words, weights[at], pieces, shared.value)
                 for i, word in long:
@@ -272,12 +301,11 @@ def learn(docs: DataFrame, vocabulary: str | None = None, max_train_docs: int =
             at = np.flatnonzero(total.any(1))
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(list(total[at]), pa.list_(pa.float64()))], ["piece", "n"])
 
-        sums = sample.mapInArrow(count, "piece long, n array<double>").groupBy("piece").agg(*(F.sum(F.get("n", k)).alias(f"n{k}") for k in range(len(languages)))).toArrow()
+        sums = counted.mapInArrow(count, "piece long, n array<double>").groupBy("piece").agg(*(F.sum(F.get("n", k)).alias(f"n{k}") for k in range(len(languages)))).toArrow()
         counts_now = np.zeros((len(pieces.texts), len(languages)))
         for k in range(len(languages)):
             counts_now[sums.column("piece").to_numpy(), k] = sums.column(f"n{k}").to_numpy()
         table = _scaled(counts_now, pieces, prior)
-    sample.unpersist()
     return languages, table
 
 
@@ -323,10 +351,14 @@ def identify(docs: DataFrame, languages: list[str], table: np.ndarray, vocabular
     return docs.mapInArrow(predict, schema)
 
 
-def least_fits(sample: DataFrame, languages: list[str], table: np.ndarray, share: float = 0.01, vocabulary: str | None = None) -> dict[str, float]:
-    """For each language the fit below which a text isn't taken to be in it: as far below the ``share`` quantile of its training texts as that is below their median."""
-    found = identify(sample.select("text"), languages, table, vocabulary).where(F.col("lang_pred") != "und")
-    fits = found.groupBy("lang_pred").agg(F.percentile("lang_fit", F.array(F.lit(share), F.lit(0.5))).alias("q")).collect()  # a row a language
+def least_fits(learned: DataFrame, languages: list[str], table: np.ndarray, share: float = 0.01, vocabulary: str | None = None) -> dict[str, float]:
+    """For each language the fit below which a text isn't taken to be in it: as far below the ``share`` quantile of its training texts as that is below their median.
+
+    ``learned``: text and lang of all training rows; each distinct text of a language counts once.
+    """
+    rows = learned.where("lang is not null and text is not null").select("text", F.col("lang").cast("string").alias("lang"), F.xxhash64("text", F.lit(8)).alias("h"))
+    found = identify(rows, languages, table, vocabulary).where(F.col("lang_pred") != "und").select("lang", "h", "lang_pred", "lang_fit").dropDuplicates(["lang", "h"])
+    fits = quantiles(found, ["lang_pred"], "lang_fit", [share, 0.5]).collect()  # a row a language
     return {r["lang_pred"]: 2 * r["q"][0] - r["q"][1] for r in fits}
 
 
@@ -335,10 +367,9 @@ def keep_identified(docs: DataFrame, least: float = 0.5, share: float = 0.01, do
 
     The posterior compares languages that were learned; the fit (see ``least_fits``) tells texts in none of them. Texts without a letter go.
     """
-    learned = docs.where(~held_out(doc_id))
-    languages, table = learn(learned, text=text, lang=lang, **options)
-    _, sample = training_texts(learned, text=text, lang=lang)
-    fits = least_fits(sample, languages, table, share) if sample is not None else {}
+    learned = docs.where(~held_out(doc_id)).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+    languages, table = learn(learned, **options)
+    fits = least_fits(learned, languages, table, share) if languages else {}
     rows = docs.select(F.col(f"`{text}`").alias("__text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))
     found = identify(rows, languages, table, text="__text")
     fit = F.try_element_at(F.create_map(*(x for name, low in fits.items() for x in (F.lit(name), F.lit(low)))), F.col("lang_pred")) if fits else F.lit(None)

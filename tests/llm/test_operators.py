@@ -509,3 +509,11 @@ def test_one_of_each_with_repeated_and_missing_ids(spark):
     found = sorted((r["class"] for r in kept.collect()))
     assert kept.columns == docs.columns and len(found) == 6
     assert found[0] in (1, 2) and found[1] in (4, 5) and found[2:] == [6, 7, 8, 9]
+
+
+def test_op8_learns_from_every_labelled_text(spark):
+    docs = spark.range(7000).select(F.col("id").alias("doc_id"), F.concat(F.lit("the river "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    languages, texts = op8_language_id.training_texts(docs)
+    assert languages == ["en"] and texts.count() == 7000
+    counts = {bytes(r["word"]).decode(): r["n0"] for r in op8_language_id.word_counts(texts, 1).collect()}
+    assert counts["the"] == counts["river"] == 7000 and counts["6999"] == 1 and len(counts) == 7002
