@@ -1,8 +1,8 @@
 """Shared steps of the similarity joins: from signatures to verified links to connected components.
 
 Keys that share a signature are candidates. Only links decide the components, so pairs whose keys are already connected are not tested.
-Round one tests each key against the most central member of its groups. What is still apart in large groups is then tested against further
-members of the group's largest component, a few times. The last round tests all pairs that are still apart: in small groups pair by pair;
+Groups of the same members are taken as one. Round one tests each key against the most central member of its groups. What is still apart
+in large groups is then tested against further members of the group's largest component, a few times; these turns carry large groups alone. The last round tests all pairs that are still apart: in small groups pair by pair;
 large groups that overlap are taken together, and what is outside their largest component is held against all of it in blocks of bounded
 size. Signatures are dealt into shards by their first bits, as packed columns; the shards' number follows from how many are expected, so a
 task holds a bounded part of them. Signatures that may be very common are spread over shards by key, counted with partial sums and joined.
@@ -133,13 +133,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _apart(members: DataFrame) -> DataFrame:
     """The members of groups that hold more than one component."""
+    members = materialize(members, "labelled")
     several = members.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sig")
     return materialize(members.join(several, "sig"), "apart")
 
 
 def _most_shared(pairs: DataFrame) -> DataFrame:
     """Of each key, the pivot with which it shares most groups, as a pair (a, b)."""
-    shared = pairs.groupBy("key", "pivot").agg(F.count(F.lit(1)).alias("n"))
+    shared = pairs.groupBy("key", "pivot").agg(F.sum("times").alias("n"))
     return materialize(shared.groupBy("key").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("a")).select("a", F.col("key").alias("b")), "pairs")
 
 
@@ -154,27 +155,35 @@ def linked(groups: DataFrame, held: DataFrame, verify: Callable[[DataFrame], Dat
     groups = materialize(groups, "members")
     # the member that shares most with the others comes first in its groups: most of a dense group links to it
     score = groups.groupBy("key").agg(F.sum("n").alias("score"))
-    centre = groups.join(score, "key").groupBy("sig").agg(F.max_by("key", F.struct("score", "key")).alias("pivot"))
-    groups = materialize(groups.join(centre, "sig"), "members")
+    whole = groups.join(score, "key").groupBy("sig", "n").agg(F.max_by("key", F.struct("score", "key")).alias("pivot"), F.min("key").alias("least"), F.bit_xor(F.xxhash64("key")).alias("mark"))
+    # groups of the same members ask the same: one of them stays, and counts for all
+    once = whole.groupBy("n", "pivot", "least", "mark").agg(F.min("sig").alias("sig"), F.count(F.lit(1)).alias("times"))
+    groups = materialize(groups.join(once.select("sig", "pivot", "times"), "sig"), "members")
     first = _most_shared(groups.where("key <> pivot"))
     tested = lambda pairs: _tested(pairs, held, verify)
     links, more = tested(first), False
     labels = components(links)
-    of = _apart(groups.join(labels.withColumnRenamed("node", "key"), "key", "left").select("sig", "key", "n", "pivot", F.coalesce("label", "key").alias("label")))
+    of = _apart(groups.join(labels.withColumnRenamed("node", "key"), "key", "left").select("sig", "key", "n", "pivot", "times", F.coalesce("label", "key").alias("label")))
+    few, many = of.where(F.col("n") <= small), of.where(F.col("n") > small)
+    # the turns carry large groups alone, and move keys; small groups follow once, after the last turn
+    name, later, moved = many.select("key", "label").distinct(), None, None
     for turn in range(turns):
-        many = of.where(F.col("n") > small)
         main = many.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("m"), F.max_by("key", F.xxhash64("key", F.lit(turn))).alias("other")).groupBy("sig").agg(F.max_by(F.struct("label", "other"), F.struct("m", "label")).alias("main"))
-        again = _most_shared(many.join(main, "sig").where("label <> main.label").select("key", F.col("main.other").alias("pivot")))
+        again = _most_shared(many.join(main, "sig").where("label <> main.label").select("key", F.col("main.other").alias("pivot"), "times"))
         # few that are outside make no more than one row of blocks
         found = tested(again) if again.count() > block_rows else None
         if found is None or not found.limit(1).count():
             break
-        links, more = links.unionByName(found), True
-        name = of.select("key", "label").distinct()
-        edges = found.join(name.select(F.col("key").alias("a"), F.col("label").alias("x")), "a").join(name.select(F.col("key").alias("b"), F.col("label").alias("y")), "b")
+        later = found if later is None else later.unionByName(found)
+        if moved is None:
+            name = materialize(name, "names")
+        edges = later.join(name.select(F.col("key").alias("a"), F.col("label").alias("x")), "a").join(name.select(F.col("key").alias("b"), F.col("label").alias("y")), "b")
         moved = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("to"))
-        of = _apart(of.join(moved, "label", "left").select("sig", "key", "n", "pivot", F.coalesce("to", "label").alias("label")))
-    few, many = of.where(F.col("n") <= small), of.where(F.col("n") > small)
+        at = name.join(moved, "label", "left").select("key", F.coalesce("to", "label").alias("label"))
+        many = _apart(many.drop("label").join(at, "key").select("sig", "key", "n", "pivot", "times", "label"))
+    if moved is not None:
+        links, more = links.unionByName(later), True
+        few = materialize(few.join(moved, "label", "left").select("sig", "key", F.coalesce("to", "label").alias("label")), "few")
     left, right = few.select("sig", F.col("key").alias("a"), F.col("label").alias("x")), few.select("sig", F.col("key").alias("b"), F.col("label").alias("y"))
     rest = left.join(right, "sig").where("a < b and x <> y").select("a", "b").distinct()
     rest = materialize(rest.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")

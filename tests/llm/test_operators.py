@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from alertloom.llm import encode, op1_warc_zip, op2_bloom_lm, op3_hilbert_ann, op4_packing, op5_decontaminate, op6_quality, op7_line_dedup, op8_language_id, op9_token_files, op10_jaccard, textscan
+from alertloom.llm import encode, op1_warc_zip, op2_bloom_lm, op3_hilbert_ann, op4_packing, op5_decontaminate, op6_quality, op7_line_dedup, op8_language_id, op9_token_files, op10_jaccard, simlink, textscan
 
 BLANKS = "[ \t-\r]+"
 
@@ -517,3 +517,17 @@ def test_op8_learns_from_every_labelled_text(spark):
     assert languages == ["en"] and texts.count() == 7000
     counts = {bytes(r["word"]).decode(): r["n0"] for r in op8_language_id.word_counts(texts, 1).collect()}
     assert counts["the"] == counts["river"] == 7000 and counts["6999"] == 1 and len(counts) == 7002
+
+
+def test_equal_groups_are_taken_once_and_turns_carry_large_groups_alone(spark, monkeypatch):
+    rows = [(sig, key, 60) for sig in range(21) for key in range(60)] + [(100 + k, key, 2) for k in range(200) for key in (1000 + 2 * k, 1001 + 2 * k)]
+    groups = spark.createDataFrame(rows, "sig long, key long, n long")
+    held = groups.select("key").distinct().select("key", F.lit("").alias("payload"), F.lit(1).cast("long").alias("weight"))
+    verify = lambda pairs: pairs.where("a < 1000 and abs(a - b) <= 30")
+    between = lambda one, two: [(a, b) for a in one.column("key").to_pylist() for b in two.column("key").to_pylist() if a != b and abs(a - b) <= 30]
+    written, write = [], simlink.materialize
+    monkeypatch.setattr(simlink, "materialize", lambda df, name: (out := write(df, name), written.append((name, out.count())))[0])
+    labels = simlink.linked(groups, held, verify, between, block_rows=5)
+    assert {(r["node"], r["label"]) for r in labels.collect()} == {(k, 0) for k in range(60)}
+    sizes = lambda name: [n for what, n in written if what == name]
+    assert sizes("members")[-1] == 60 + 400 and sizes("apart")[0] <= 460 and len(sizes("apart")) > 1 and max(sizes("apart")[1:]) <= 60
