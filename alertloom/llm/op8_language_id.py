@@ -4,7 +4,7 @@ Each language has a probability for every piece of a fixed public vocabulary (an
 score of a word is the sum over all its segmentations into pieces of the product of their probabilities, found by the forward algorithm; a
 text's is the product over its words. Probabilities are learned with expectation-maximisation from all distinct labelled texts (with
 ``max_train_docs``, from a sample of about so many). A word's part in it depends on its counts in each language alone, so texts are read once, to count
-their words, and the rounds run over the distinct words. The forward algorithm runs over the distinct words of a batch, grouped by length; through words of over 64 bytes it
+their words, and the rounds run over the distinct words. The forward algorithm runs over the distinct words of a batch, all of them at once place by place; through words of over 64 bytes it
 runs one by one in blocks, carrying only the sums of the last positions, so a text without blanks is summed over all its segmentations too.
 Pieces with a mark of a word's start inside can't occur in a word and are left out.
 
@@ -30,6 +30,10 @@ _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 #: Words of more bytes are summed in blocks with sums that are scaled again and again.
 LONGEST = 64
+#: Bytes of words in one lattice, about.
+LATTICE = 256 << 10
+#: Words that a task remembers with their scores.
+KNOWN = 500_000
 BLOCK = 1 << 15
 #: A factor for every byte, which keeps products of probabilities of 64 bytes within the range of floats.
 SCALE = 2.0**9
@@ -56,11 +60,16 @@ class Pieces:
                     found.add(text)
         self.texts = sorted(found)
         self.longest = max(map(len, self.texts))
-        keys = np.array([self._hash(t) for t in self.texts], _U)
-        self.order = np.argsort(keys)
-        self.keys = keys[self.order]
-        self.sieve = np.zeros(1 << 20, bool)
-        self.sieve[(self.keys >> _U(44)).astype(np.int64)] = True
+        # pieces and their beginnings: a start is followed no further than it can lead to a piece
+        number = {t: k for k, t in enumerate(self.texts)}
+        begun = sorted({t[:k] for t in self.texts for k in range(1, len(t) + 1)})
+        keys = np.array([self._hash(t) for t in begun], _U)
+        order = np.argsort(keys)
+        self.keys, self.number = keys[order], np.array([number.get(t, -1) for t in begun], np.int32)[order]
+        slots = (self.keys >> _U(44)).astype(np.int64)
+        self.first = np.full((1 << 20) + 1, self.keys.size - 1, np.int32)
+        self.first[: 1 << 20] = np.minimum(np.searchsorted(slots, np.arange(1 << 20)), self.keys.size - 1)
+        self.fullest = int(np.bincount(slots).max())
 
     @staticmethod
     def _hash(text: bytes) -> int:
@@ -69,76 +78,129 @@ class Pieces:
             h = h * _BASE + _U(b + 1)
         return int(mix(h)[0])
 
-    def find(self, words: np.ndarray) -> list[list[tuple[np.ndarray, np.ndarray]]]:
-        """For a matrix of words of one length: at [end][size - 1], the rows that have a piece of that size ending there, and the pieces."""
-        n = words.shape[1]
-        out: list[list] = [[None] * self.longest for _ in range(n + 1)]
-        for start in range(n):
-            h = np.zeros(words.shape[0], _U)
-            for size in range(1, min(self.longest, n - start) + 1):
-                h = h * _BASE + (words[:, start + size - 1].astype(_U) + _U(1))
-                m = mix(h)
-                rows = np.flatnonzero(self.sieve[(m >> _U(44)).astype(np.int64)])
-                if rows.size:
-                    at = np.minimum(np.searchsorted(self.keys, m[rows]), self.keys.size - 1)
-                    hit = self.keys[at] == m[rows]
-                    rows, at = rows[hit], at[hit]
-                out[start + size][size - 1] = (rows, self.order[at] if rows.size else rows)
-        return out
+    def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are those of a piece or of the beginning of one, and the pieces' numbers (-1: only a beginning)."""
+        m = mix(h)
+        at = self.first[(m >> _U(44)).astype(np.int64)]
+        hit = self.keys[at] == m
+        for k in range(1, self.fullest):
+            rest = np.flatnonzero(~hit)
+            there = np.minimum(at[rest] + k, self.keys.size - 1)
+            good = self.keys[there] == m[rest]
+            at[rest[good]], hit[rest[good]] = there[good], True
+        found = np.flatnonzero(hit)
+        return found, self.number[at[found]]
 
     def ending(self, word: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, end and number of the pieces in one word that end in (a, b], in the order of their ends."""
         low, found = max(0, a - self.longest + 1), []
-        h = np.zeros(b - low, _U)
+        start, h = np.arange(low, b), np.zeros(b - low, _U)
         for size in range(1, self.longest + 1):
-            h = h[: max(0, b - low - size + 1)]
-            if not h.size:
+            inside = start + size <= b
+            start, h = start[inside], h[inside]
+            if not start.size:
                 break
-            h = h * _BASE + (word[low + size - 1 : b].astype(_U) + _U(1))
-            m = mix(h)
-            at = np.minimum(np.searchsorted(self.keys, m), self.keys.size - 1)
-            start = np.flatnonzero(self.keys[at] == m)
-            found.append((low + start, low + start + size, self.order[at[start]]))
+            h = h * _BASE + (word[start + size - 1].astype(_U) + _U(1))
+            on, piece = self.lookup(h)
+            start, h, whole = start[on], h[on], piece >= 0
+            found.append((start[whole], start[whole] + size, piece[whole]))
         start, end, piece = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.flatnonzero(end > a)
         order = order[np.argsort(end[order], kind="stable")]
         return start[order], end[order], piece[order]
 
 
-def forward(words: np.ndarray, pieces: Pieces, table: np.ndarray, found=None) -> np.ndarray:
-    """Sums over all segmentations of prefixes: [end, word, language]. ``table``: probability of each piece in each language, times SCALE to the power of its size."""
-    found = found or pieces.find(words)
-    n = words.shape[1]
-    sums = np.zeros((n + 1, words.shape[0], table.shape[1]))
-    sums[0] = 1
-    for end in range(1, n + 1):
-        for size in range(1, min(end, pieces.longest) + 1):
-            rows, piece = found[end][size - 1]
-            if rows.size == words.shape[0]:
-                sums[end] += sums[end - size] * table[piece]
-            elif rows.size:
-                sums[end, rows] += sums[end - size, rows] * table[piece]
-    return sums
+class Lattice:
+    """All segmentations of many words of at most ``LONGEST`` bytes at once, as a graph.
+
+    Words go by falling length (``order``), and a place in them is a node: first all words' starts, then their ends of one byte, of two, and so on. Edges are
+    pieces. What leads to one place of all words is summed in one step, so a batch takes as many steps as its longest word has bytes.
+    """
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, pieces: Pieces, marked: bool = False):
+        """``marked``: the words' first byte is the mark of their start; otherwise it is put before them."""
+        self.order = np.argsort(-sizes, kind="stable")
+        starts, self.sizes = starts[self.order], sizes[self.order] + (not marked)
+        n = int(self.sizes[0])
+        #: words with a byte at each place, and the first node of each place
+        self.counts = np.searchsorted(-self.sizes, -np.arange(n), "left")
+        self.nodes = np.concatenate([[0, self.sizes.size], self.sizes.size + np.cumsum(self.counts)])
+        text = np.concatenate([np.ones(self.sizes.size, np.uint8) if not marked and k == 0 else data[starts[:c] + (k - (not marked))] for k, c in enumerate(self.counts.tolist())])
+        place, word = np.repeat(np.arange(n), self.counts), np.concatenate([np.arange(c) for c in self.counts])
+        h, found = np.zeros(text.size, _U), []
+        for size in range(1, pieces.longest + 1):
+            inside = place + size <= self.sizes[word]
+            place, word, h = place[inside], word[inside], h[inside]
+            if not h.size:
+                break
+            h = h * _BASE + (text[self.nodes[place + size] - self.sizes.size + word].astype(_U) + _U(1))
+            on, piece = pieces.lookup(h)
+            place, word, h, whole = place[on], word[on], h[on], piece >= 0
+            found.append((self.nodes[place[whole]] + word[whole], self.nodes[place[whole] + size] + word[whole], piece[whole]))
+        begin, end, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(end, kind="stable")
+        self.begin, self.end, self.piece = begin[order], end[order], piece[order]
+        #: every node but the starts is the end of a piece: single bytes are pieces
+        self.into = np.searchsorted(self.end, np.arange(self.sizes.size, self.nodes[-1] + 1))
+
+    def ahead(self, chance: np.ndarray) -> np.ndarray:
+        """Sums over all segmentations of what is before each node; ``chance``: of each edge, in one language."""
+        sums = np.ones(self.nodes[-1])
+        first = self.sizes.size
+        for a, b in zip(self.nodes[1:-1].tolist(), self.nodes[2:].tolist(), strict=True):
+            i, j = self.into[a - first], self.into[b - first]
+            sums[a:b] = np.add.reduceat(sums[self.begin[i:j]] * chance[i:j], self.into[a - first : b - first] - i)
+        return sums
+
+    def last(self) -> np.ndarray:
+        """The node of each word's end, in the order the words were given."""
+        out = np.empty(self.sizes.size, np.int64)
+        out[self.order] = self.nodes[self.sizes] + np.arange(self.sizes.size)
+        return out
+
+    def behind(self, chance: np.ndarray) -> np.ndarray:
+        """Sums over all segmentations of what is after each node."""
+        order = np.argsort(self.begin, kind="stable")
+        # nodes with an edge out of them: all but the words' ends
+        begin, end = self.begin[order], self.end[order]
+        out = np.flatnonzero(np.append(True, begin[1:] != begin[:-1]))
+        inner, out = begin[out], np.append(out, begin.size)
+        sums, chance = np.ones(self.nodes[-1]), chance[order]
+        bounds = np.searchsorted(inner, self.nodes)
+        for k in range(self.counts.size - 1, -1, -1):
+            a, b = bounds[k], bounds[k + 1]
+            i, j = out[a], out[b]
+            sums[inner[a:b]] = np.add.reduceat(sums[end[i:j]] * chance[i:j], out[a:b] - i)
+        return sums
+
+
+def forward(words: np.ndarray, pieces: Pieces, table: np.ndarray) -> np.ndarray:
+    """Sums over all segmentations of prefixes: [end, word, language], for a matrix of words of one length. ``table``: probability of each piece in each language, times SCALE to the power of its size."""
+    count, n = words.shape
+    graph = Lattice(np.ascontiguousarray(words).ravel(), np.arange(count) * n, np.full(count, n), pieces, marked=True)
+    return np.stack([graph.ahead(table[graph.piece, k]) for k in range(table.shape[1])], 1).reshape(n + 1, count, -1)
+
+
+def _add_expected(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, weights: np.ndarray, pieces: Pieces, table: np.ndarray, total: np.ndarray, marked: bool = False) -> None:
+    """Add expected counts of the pieces to ``total``. Most words occur in one language: each language has a lattice of its own words."""
+    for k in range(table.shape[1]):
+        on = np.flatnonzero(weights[:, k])
+        if not on.size:
+            continue
+        graph = Lattice(data, starts[on], sizes[on], pieces, marked)
+        chance = table[graph.piece, k]
+        ahead, behind = graph.ahead(chance), graph.behind(chance)
+        scale = (weights[on, k] / np.maximum(ahead[graph.last()], 1e-300))[graph.order]
+        # the word of an edge: its end's number less that of the first node of its place
+        word = graph.end - np.repeat(graph.nodes[:-1], np.diff(graph.nodes))[graph.end]
+        total[:, k] += np.bincount(graph.piece, ahead[graph.begin] * chance * behind[graph.end] * scale[word], total.shape[0])
 
 
 def expected(words: np.ndarray, weights: np.ndarray, pieces: Pieces, table: np.ndarray) -> np.ndarray:
-    """Expected counts of the pieces, by language, in words with the given counts in each language."""
-    found = pieces.find(words)
-    ahead, n = forward(words, pieces, table, found), words.shape[1]
-    back = np.zeros_like(ahead)
-    back[n] = 1
-    for start in range(n - 1, -1, -1):
-        for size in range(1, min(n - start, pieces.longest) + 1):
-            rows, piece = found[start + size][size - 1]
-            if rows.size:
-                back[start, rows] += back[start + size, rows] * table[piece]
+    """Expected counts of the pieces, by language, in words of one length with the given counts in each language."""
+    count, n = words.shape
     out = np.zeros_like(table)
-    scale = weights / np.maximum(ahead[n], 1e-300)
-    for end in range(1, n + 1):
-        for size in range(1, min(end, pieces.longest) + 1):
-            rows, piece = found[end][size - 1]
-            if rows.size:
-                np.add.at(out, piece, ahead[end - size, rows] * table[piece] * back[end, rows] * scale[rows])
+    _add_expected(np.ascontiguousarray(words).ravel(), np.arange(count) * n, np.full(count, n), weights, pieces, table, out, marked=True)
     return out
 
 
@@ -290,14 +352,15 @@ def learn(docs: DataFrame, vocabulary: str | None = None, max_train_docs: int |
 
         def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             pieces, total = _pieces(vocabulary), np.zeros_like(shared.value)
-            for batch in by_bytes(batches, "word", 64 << 10):
-                groups, long, inverse, rows, n = distinct_words(*text_buffer(batch.column(0)))
-                weights = np.zeros((n, total.shape[1]))
-                np.add.at(weights, inverse, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]], 1)[rows])
-                for at, words in groups:
-                    total += expected(words, weights[at], pieces, shared.value)
-                for i, word in long:
-                    long_word(word, pieces, shared.value, weights[i], total)
+            for batch in by_bytes(batches, "word", LATTICE):
+                data, offsets = text_buffer(batch.column(0))
+                weights = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]], 1).astype(float)
+                size = np.diff(offsets)
+                short = np.flatnonzero(size <= LONGEST)
+                if short.size:
+                    _add_expected(data, offsets[short], size[short], weights[short], pieces, shared.value, total)
+                for i in np.flatnonzero(size > LONGEST).tolist():
+                    long_word(np.append(np.uint8(1), data[offsets[i] : offsets[i + 1]]), pieces, shared.value, weights[i], total)
             at = np.flatnonzero(total.any(1))
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(list(total[at]), pa.list_(pa.float64()))], ["piece", "n"])
 
@@ -320,17 +383,37 @@ def identify(docs: DataFrame, languages: list[str], table: np.ndarray, vocabular
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(vocabulary)
+        known, values = np.zeros(0, _U), np.zeros((0, len(languages) + 2))
         for batch in by_bytes(batches, text, 4 << 20):
             data, offsets = text_buffer(batch.column(place))
-            groups, long, inverse, rows, n = distinct_words(data, offsets)
-            score, size, chars = np.zeros((n, len(languages))), np.zeros(n), np.zeros(n)
-            for at, words in groups:
-                size[at], chars[at] = words.shape[1], ((words & 0xC0) != 0x80).sum(1)
-                for k in range(0, at.size, 8192):
-                    part = slice(k, k + 8192)
-                    score[at[part]] = np.log(np.maximum(forward(words[part], pieces, shared.value)[-1], 1e-300))
-            for i, word in long:
-                score[i], size[i], chars[i] = long_word(word, pieces, shared.value), word.size, ((word & 0xC0) != 0x80).sum()
+            starts, lengths, hashes, bounds = scan_words(data, offsets, fold=False)
+            names, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+            rows, at = row_ids(bounds), np.minimum(np.searchsorted(known, names), max(known.size - 1, 0))
+            new = np.flatnonzero(known[at] != names) if known.size else np.arange(names.size)
+            fresh = np.zeros((new.size, len(languages) + 2))  # the score in each language, bytes and characters with the mark of the start
+            begin, length = starts[first[new]], lengths[first[new]]
+            heads = np.concatenate([[0], np.cumsum((data[offsets[0] : offsets[-1]] & 0xC0) != 0x80)])
+            fresh[:, -2], fresh[:, -1] = length + 1, heads[begin + length - offsets[0]] - heads[begin - offsets[0]] + 1
+            short = np.flatnonzero(length <= LONGEST)
+            for part in np.array_split(short, -(-int(length[short].sum() + short.size) // LATTICE)) if short.size else ():
+                graph = Lattice(data, begin[part], length[part], pieces)
+                last = graph.last()
+                for k in range(len(languages)):
+                    fresh[part, k] = np.log(np.maximum(graph.ahead(shared.value[graph.piece, k])[last], 1e-300))
+            for i in np.flatnonzero(length > LONGEST).tolist():
+                fresh[i, :-2] = long_word(np.append(np.uint8(1), data[begin[i] : begin[i] + length[i]]), pieces, shared.value)
+            # words of earlier batches aren't scored again
+            found = np.zeros((names.size, fresh.shape[1]))
+            found[new] = fresh
+            if known.size:
+                old = np.flatnonzero(known[at] == names)
+                found[old] = values[at[old]]
+            if known.size + new.size > KNOWN:
+                known, values = names[:KNOWN], found[:KNOWN]
+            else:
+                where = np.searchsorted(known, names[new])
+                known, values = np.insert(known, where, names[new]), np.insert(values, where, fresh, 0)
+            score, size, chars = found[:, :-2], found[:, -2], found[:, -1]
             whole = np.stack([np.bincount(rows, score[inverse, k], batch.num_rows) for k in range(len(languages))], 1)
             sizes = np.bincount(rows, size[inverse], batch.num_rows)
             fit = (whole.max(1) - sizes * np.log(SCALE)) / np.maximum(np.bincount(rows, chars[inverse], batch.num_rows), 1)
@@ -344,21 +427,20 @@ def identify(docs: DataFrame, languages: list[str], table: np.ndarray, vocabular
             maybe = any_in_rows(raw >= 0x80, local)
             for i in np.flatnonzero(maybe & ~letter).tolist():
                 letter[i] = any(c.isalpha() for c in raw[local[i] : local[i + 1]].tobytes().decode("utf-8", "replace"))
-            names = [languages[b] if ok else "und" for b, ok in zip(best.tolist(), letter.tolist(), strict=True)]
-            values = np.where(letter, chance[np.arange(best.size), best], 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names), pa.array(values), pa.array(fit, mask=sizes == 0)], [*batch.schema.names, "lang_pred", "lang_score", "lang_fit"])
+            named = [languages[b] if ok else "und" for b, ok in zip(best.tolist(), letter.tolist(), strict=True)]
+            posterior = np.where(letter, chance[np.arange(best.size), best], 0.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(named), pa.array(posterior), pa.array(fit, mask=sizes == 0)], [*batch.schema.names, "lang_pred", "lang_score", "lang_fit"])
 
     return docs.mapInArrow(predict, schema)
 
 
-def least_fits(learned: DataFrame, languages: list[str], table: np.ndarray, share: float = 0.01, vocabulary: str | None = None) -> dict[str, float]:
+def least_fits(found: DataFrame, share: float = 0.01) -> dict[str, float]:
     """For each language the fit below which a text isn't taken to be in it: as far below the ``share`` quantile of its training texts as that is below their median.
 
-    ``learned``: text and lang of all training rows; each distinct text of a language counts once.
+    ``found``: lang, h (the text's hash), lang_pred and lang_fit of all training rows; each distinct text of a language counts once.
     """
-    rows = learned.where("lang is not null and text is not null").select("text", F.col("lang").cast("string").alias("lang"), F.xxhash64("text", F.lit(8)).alias("h"))
-    found = identify(rows, languages, table, vocabulary).where(F.col("lang_pred") != "und").select("lang", "h", "lang_pred", "lang_fit").dropDuplicates(["lang", "h"])
-    fits = quantiles(found, ["lang_pred"], "lang_fit", [share, 0.5]).collect()  # a row a language
+    rows = found.where("lang_pred <> 'und'").select("lang", "h", "lang_pred", "lang_fit").dropDuplicates(["lang", "h"])
+    fits = quantiles(rows, ["lang_pred"], "lang_fit", [share, 0.5]).collect()  # a row a language
     return {r["lang_pred"]: 2 * r["q"][0] - r["q"][1] for r in fits}
 
 
@@ -369,9 +451,12 @@ def keep_identified(docs: DataFrame, least: float = 0.5, share: float = 0.01, do
     """
     learned = docs.where(~held_out(doc_id)).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     languages, table = learn(learned, **options)
-    fits = least_fits(learned, languages, table, share) if languages else {}
     rows = docs.select(F.col(f"`{text}`").alias("__text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))
-    found = identify(rows, languages, table, text="__text")
+    # texts are identified once, for the limits and for the result
+    found = materialize(identify(rows, languages, table, text="__text").drop("__text"), "identified")
+    own = lambda c: F.col(f"__row.`{c}`")
+    taught = found.where(own(lang).isNotNull() & own(text).isNotNull()).withColumn("__id", own(doc_id)).where(~held_out("__id"))
+    fits = least_fits(taught.select(own(lang).cast("string").alias("lang"), F.xxhash64(own(text), F.lit(8)).alias("h"), "lang_pred", "lang_fit"), share) if languages else {}
     fit = F.try_element_at(F.create_map(*(x for name, low in fits.items() for x in (F.lit(name), F.lit(low)))), F.col("lang_pred")) if fits else F.lit(None)
     good = (F.col("lang_pred") != "und") & (F.col("lang_score") >= least) & (F.coalesce(F.col("lang_fit"), F.lit(0.0)) >= F.coalesce(fit, F.lit(float("-inf"))))
     return found.where(good).select(*(F.col(f"__row.`{c}`") for c in docs.columns))

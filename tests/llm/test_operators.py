@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from alertloom.llm import encode, op1_warc_zip, op2_bloom_lm, op3_hilbert_ann, op4_packing, op5_decontaminate, op6_quality, op7_line_dedup, op8_language_id, op9_token_files, op10_jaccard, simlink, textscan
+from alertloom.llm import encode, op1_warc_zip, op2_bloom_lm, op3_hilbert_ann, op4_packing, op5_decontaminate, op6_quality, op7_line_dedup, op8_language_id, op9_token_files, op10_jaccard, simlink, storage, textscan
 
 BLANKS = "[ \t-\r]+"
 
@@ -531,3 +531,28 @@ def test_equal_groups_are_taken_once_and_turns_carry_large_groups_alone(spark, m
     assert {(r["node"], r["label"]) for r in labels.collect()} == {(k, 0) for k in range(60)}
     sizes = lambda name: [n for what, n in written if what == name]
     assert sizes("members")[-1] == 60 + 400 and sizes("apart")[0] <= 460 and len(sizes("apart")) > 1 and max(sizes("apart")[1:]) <= 60
+
+
+def test_words_of_all_lengths_are_summed_at_once():
+    pieces = op8_language_id._pieces(op8_language_id.default_vocabulary())
+    table = np.random.default_rng(4).random((len(pieces.texts), 2)) / 3
+    found = [w.encode() for w in ("garden", "a", "Straße", "internationalization", "the", "日本", "x" * 64, "gardens")]
+    data, sizes = np.frombuffer(b"".join(found), np.uint8), np.array([len(w) for w in found])
+    graph = op8_language_id.Lattice(data, np.cumsum(sizes) - sizes, sizes, pieces)
+    for k in range(2):
+        got = np.log(graph.ahead(table[graph.piece, k])[graph.last()])
+        assert got == pytest.approx([op8_language_id.long_word(np.frombuffer(b"\x01" + w, np.uint8), pieces, table)[k] for w in found], rel=1e-12)
+
+
+def test_op8_remembers_words_between_batches_and_identifies_texts_once(spark, monkeypatch):
+    rows = [(i, " ".join(f"{'river' if i % 2 else 'fluss'}{j % 7} stone" for j in range(i, i + 5)), "en" if i % 2 else "de") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    learned, calls, identify = op8_language_id.learn(docs), [], op8_language_id.identify
+    scores = lambda: {r["doc_id"]: (r["lang_pred"], r["lang_score"], r["lang_fit"]) for r in identify(docs, *learned).collect()}
+    whole = scores()
+    with storage.arrow_rows(spark, 1):
+        single = scores()
+    assert {k: v[0] for k, v in whole.items()} == {k: v[0] for k, v in single.items()}
+    assert all(single[k][1:] == pytest.approx(v[1:], rel=1e-12) for k, v in whole.items())
+    monkeypatch.setattr(op8_language_id, "identify", lambda *a, **k: (calls.append(1), identify(*a, **k))[1])
+    assert op8_language_id.keep_identified(docs).count() and len(calls) == 1
