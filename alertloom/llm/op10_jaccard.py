@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .simlink import DEALT, Parts, as_dealt, groups_of, linked, shard_bits
-from .storage import materialize
+from .storage import discard, materialize
 from .textscan import by_bytes, distinct, mix, scan_words, text_buffer
 
 _U = np.uint64
@@ -180,7 +180,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, sample_docs:
             row, sig, often = signatures([sets[k] for k in new.values()], percent, common.value)
             yield sig, np.array(list(new), np.int64)[row], often
 
-    groups = materialize(groups_of(docs.select("text").mapInArrow(lambda batches: as_dealt(sign(batches), bits), DEALT)), "candidates")
+    groups = groups_of(docs.select("text").mapInArrow(lambda batches: as_dealt(sign(batches), bits), DEALT))
     wanted = groups.select("key").distinct()
     holders = table.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     holders = materialize(holders.join(wanted, "key").select("doc_id", "key"), "holders")
@@ -229,6 +229,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, sample_docs:
         return links
 
     labels = linked(groups, held, verify, between)
+    discard(groups, holders, held)
     # only keys change hands here, no document meets another
     least = table.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
     named = least.join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("label", "key").alias("label"), "least")

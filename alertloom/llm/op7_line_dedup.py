@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .simlink import DEALT, SIGNATURES, Parts, as_dealt, as_rows, groups_of, linked, shard_bits
-from .storage import materialize
+from .storage import discard, materialize
 from .textscan import by_bytes, distinct, mix, text_buffer
 
 _U = np.uint64
@@ -213,7 +213,7 @@ def duplicate_lines(docs: DataFrame, tau: int = 2, min_chars: int = 24, sample_d
     often = _common(texts.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0), sign(None))
     # a line gives up to 21 signatures
     bits, signed = shard_bits((facts["bytes"] or 0) // 32), sign(often)
-    groups = materialize(groups_of(texts.mapInArrow(lambda batches: as_dealt(signed(batches), bits), DEALT)), "candidates")
+    groups = groups_of(texts.mapInArrow(lambda batches: as_dealt(signed(batches), bits), DEALT))
     wanted = materialize(groups.select("key").distinct(), "wanted")
     few = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
     held = docs.select(F.explode(F.split("text", "\n", -1)).alias("line")).withColumn("key", F.xxhash64("line")).join(few, "key").dropDuplicates(["key"])
@@ -247,12 +247,15 @@ def duplicate_lines(docs: DataFrame, tau: int = 2, min_chars: int = 24, sample_d
         return links
 
     labels = linked(groups, held, verify, between)
+    discard(groups, wanted, held)
     # only lines that occur again, or are linked, can go
     repeated = distinct.join(labels.withColumnRenamed("node", "key"), "key", "left").where("n > 1 or label is not null").select("key", F.coalesce("label", "key").alias("label"), "first", "n")
     leaders = repeated.groupBy("label").agg(F.min("first").alias("leader"), F.min_by("key", "first").alias("leading"))
     repeated = materialize(repeated.join(leaders, "label").select("key", "leader", "leading", "n"), "repeated-lines")
+    total = distinct.agg(F.sum("n")).first()[0] or 0
+    discard(distinct, labels)
     # keys with more than one in COMMON of the lines (fewer keys than that) are broadcast; their lines, and those without a word, are spread for the other join
-    common = F.col("n") * COMMON > (distinct.agg(F.sum("n")).first()[0] or 0)
+    common = F.col("n") * COMMON > total
     hot = repeated.where(common).select("key", F.col("leader").alias("hot_leader"), F.col("leading").alias("hot_leading"))
     met = lines.join(F.broadcast(hot), "key", "left").withColumn("rare", F.when(F.col("hot_leader").isNull(), F.col("key")))
     met = met.withColumn("spread", F.when(F.col("rare").isNull(), F.pmod(F.xxhash64(place), F.lit(1024))).otherwise(0))

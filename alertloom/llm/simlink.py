@@ -16,10 +16,10 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import arrow_rows, materialize
+from .storage import arrow_rows, discard, materialize
 from .textscan import give_back, mix
 
 _U = np.uint64
@@ -29,6 +29,8 @@ SIGNATURES = "sig long, key long, common boolean"
 DEALT = "shard long, common boolean, sigs binary, keys binary"
 #: Signatures expected in a shard; beyond ``SHARDS`` shards they get up to eight times as many.
 SHARD, SHARDS = 1_000_000, 4096
+#: Rows of keys and labels that a task holds at least, where a table has as many: small tables aren't cut into one file for each of the session's partitions.
+TASK_ROWS = 50_000
 Parts = Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
@@ -103,95 +105,122 @@ def groups_of(dealt: DataFrame) -> DataFrame:
     found = materialize(dealt.groupBy("shard").applyInArrow(group, "sig long, key long, n long, common boolean"), "groups")
     common = found.where("common")
     sizes = common.groupBy("sig").agg(F.sum(F.lit(1)).alias("n")).where("n > 1")
-    return found.where("not common").select("sig", "key", "n").unionByName(common.select("sig", "key").join(sizes, "sig").select("sig", "key", "n"))
+    groups = materialize(found.where("not common").select("sig", "key", "n").unionByName(common.select("sig", "key").join(sizes, "sig").select("sig", "key", "n")), "candidates")
+    discard(found)
+    return groups
+
+
+def _tasks(rows: DataFrame, most: int) -> DataFrame:
+    """The same rows, of which there are ``most`` at most, in no more tasks than they need."""
+    return rows.coalesce(max(1, -(-most // TASK_ROWS)))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, label (smallest node of its component), for all nodes of the edges (a, b).
 
-    Each round moves every node to its least neighbour, and on to that one's, and contracts the edges; few are left after the first.
+    Each round moves every node to its least neighbour, and on to that one's, and contracts the edges; few are left after the first. What
+    a round no longer needs is deleted.
     """
     ordered = lambda x: x.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left, labels = materialize(ordered(edges), "edges"), None
+    n = left.count()
     while True:
         ends = left.select("a", "b").unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = ends.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to"))
-        step = materialize(step, "steps")
-        onward = step.select(F.col("node").alias("to"), F.col("to").alias("far"))
-        step = materialize(step.join(onward, "to").select("node", "far"), "moves")
+        near = materialize(_tasks(step, 2 * n), "steps")
+        onward = near.select(F.col("node").alias("to"), F.col("to").alias("far"))
+        step = materialize(_tasks(near.join(onward, "to").select("node", "far"), 2 * n), "moves")
+        before, edges = labels, left
         if labels is None:
-            labels = step.select("node", F.col("far").alias("label"))
+            labels = materialize(step.select("node", F.col("far").alias("label")), "labels")
         else:
             moved = labels.join(step.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("far", "label").alias("label"))
             labels = materialize(moved, "labels")
         for end in ("a", "b"):
             left = left.join(step.withColumnsRenamed({"node": end, "far": "moved"}), end).drop(end).withColumnRenamed("moved", end)
-        left = materialize(ordered(left), "edges")
-        if not left.limit(1).count():
+        left = materialize(_tasks(ordered(left), n), "edges")
+        discard(near, step, edges, *([] if before is None else [before]))
+        n = left.count()
+        if not n:
+            discard(left)
             return labels
 
 
 def _apart(members: DataFrame) -> DataFrame:
     """The members of groups that hold more than one component."""
-    members = materialize(members, "labelled")
     several = members.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sig")
     return materialize(members.join(several, "sig"), "apart")
 
 
 def _most_shared(pairs: DataFrame) -> DataFrame:
     """Of each key, the pivot with which it shares most groups, as a pair (a, b)."""
-    shared = pairs.groupBy("key", "pivot").agg(F.sum("times").alias("n"))
+    shared = pairs.select("key", "pivot", "times").repartition("key").groupBy("key", "pivot").agg(F.sum("times").alias("n"))
     return materialize(shared.groupBy("key").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("a")).select("a", F.col("key").alias("b")), "pairs")
 
 
 def linked(groups: DataFrame, held: DataFrame, verify: Callable[[DataFrame], DataFrame], between: Callable[[pa.Table, pa.Table], list[tuple[int, int]]], small: int = 16, turns: int = 3, block_rows: int = 400, block_weight: int = 500_000) -> DataFrame:
-    """(node, label) of all linked keys.
+    """(node, label) of all linked keys. ``groups``: a table that ``groups_of`` has written, as it is read more than once.
 
     ``held``: key, payload, weight. ``verify`` takes pairs (a, b) and returns those that hold. ``between`` takes two tables (key, label,
     payload) and returns, for each row of the first and each other label of the second, one link that holds, if there is any.
     ``turns``: how often keys outside the largest component of a large group try another member of it. ``block_rows``, ``block_weight``:
     rows and weight of the payloads in one side of a task's block, about.
     """
-    groups = materialize(groups, "members")
     # the member that shares most with the others comes first in its groups: most of a dense group links to it
-    score = groups.groupBy("key").agg(F.sum("n").alias("score"))
-    whole = groups.join(score, "key").groupBy("sig", "n").agg(F.max_by("key", F.struct("score", "key")).alias("pivot"), F.min("key").alias("least"), F.bit_xor(F.xxhash64("key")).alias("mark"))
+    scored = groups.withColumn("score", F.sum("n").over(Window.partitionBy("key")))
+    whole = scored.groupBy("sig", "n").agg(F.max_by("key", F.struct("score", "key")).alias("pivot"), F.min("key").alias("least"), F.bit_xor(F.xxhash64("key")).alias("mark"))
     # groups of the same members ask the same: one of them stays, and counts for all
     once = whole.groupBy("n", "pivot", "least", "mark").agg(F.min("sig").alias("sig"), F.count(F.lit(1)).alias("times"))
-    groups = materialize(groups.join(once.select("sig", "pivot", "times"), "sig"), "members")
-    first = _most_shared(groups.where("key <> pivot"))
+    members = materialize(groups.join(once.select("sig", "pivot", "times"), "sig"), "members")
+    first = _most_shared(members.where("key <> pivot"))
     tested = lambda pairs: _tested(pairs, held, verify)
     links, more = tested(first), False
-    labels = components(links)
-    of = _apart(groups.join(labels.withColumnRenamed("node", "key"), "key", "left").select("sig", "key", "n", "pivot", "times", F.coalesce("label", "key").alias("label")))
+    labels, spent = components(links), [links, first]
+    of = materialize(members.join(labels.withColumnRenamed("node", "key"), "key", "left").select("sig", "key", "n", "pivot", "times", F.coalesce("label", "key").alias("label")), "labelled")
+    discard(members)
+    spent.append(of)
     few, many = of.where(F.col("n") <= small), of.where(F.col("n") > small)
     # the turns carry large groups alone, and move keys; small groups follow once, after the last turn
     name, later, moved = many.select("key", "label").distinct(), None, None
     for turn in range(turns):
-        main = many.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("m"), F.max_by("key", F.xxhash64("key", F.lit(turn))).alias("other")).groupBy("sig").agg(F.max_by(F.struct("label", "other"), F.struct("m", "label")).alias("main"))
-        again = _most_shared(many.join(main, "sig").where("label <> main.label").select("key", F.col("main.other").alias("pivot"), "times"))
+        main = many.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("m"), F.max_by("key", F.xxhash64("key", F.lit(turn))).alias("other")).groupBy("sig").agg(F.max_by(F.struct("label", "other"), F.struct("m", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
+        # groups of one component stay where they are: they meet nothing here
+        again = _most_shared(many.join(main.where("labels > 1").select("sig", "main"), "sig").where("label <> main.label").select("key", F.col("main.other").alias("pivot"), "times"))
+        spent.append(again)
         # few that are outside make no more than one row of blocks
         found = tested(again) if again.count() > block_rows else None
+        if found is not None:
+            spent.append(found)
         if found is None or not found.limit(1).count():
             break
         later = found if later is None else later.unionByName(found)
         if moved is None:
             name = materialize(name, "names")
+            spent.append(name)
         edges = later.join(name.select(F.col("key").alias("a"), F.col("label").alias("x")), "a").join(name.select(F.col("key").alias("b"), F.col("label").alias("y")), "b")
-        moved = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("to"))
+        ends = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        moved = ends.select(F.col("node").alias("label"), F.col("label").alias("to"))
         at = name.join(moved, "label", "left").select("key", F.coalesce("to", "label").alias("label"))
-        many = _apart(many.drop("label").join(at, "key").select("sig", "key", "n", "pivot", "times", "label"))
+        many = materialize(many.drop("label").join(at, "key").select("sig", "key", "n", "pivot", "times", "label"), "apart")
+        spent += [ends, many]
     if moved is not None:
         links, more = links.unionByName(later), True
         few = materialize(few.join(moved, "label", "left").select("sig", "key", F.coalesce("to", "label").alias("label")), "few")
+        spent.append(few)
     left, right = few.select("sig", F.col("key").alias("a"), F.col("label").alias("x")), few.select("sig", F.col("key").alias("b"), F.col("label").alias("y"))
     rest = left.join(right, "sig").where("a < b and x <> y").select("a", "b").distinct()
     rest = materialize(rest.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
-    if rest.limit(1).count():
-        links, more = links.unionByName(tested(rest)), True
-    if many.limit(1).count():
-        links, more = links.unionByName(_dense(many, held, between, block_rows, block_weight)), True
-    return components(links) if more else labels
+    many = _apart(many)
+    spent += [rest, many]
+    for found in (tested(rest) if rest.limit(1).count() else None, _dense(many, held, between, block_rows, block_weight) if many.limit(1).count() else None):
+        if found is not None:
+            spent.append(found)
+            links, more = links.unionByName(found), True
+    if more:
+        spent.append(labels)
+        labels = components(links)
+    discard(*spent)
+    return labels
 
 
 def _tested(pairs: DataFrame, held: DataFrame, verify) -> DataFrame:
@@ -201,9 +230,9 @@ def _tested(pairs: DataFrame, held: DataFrame, verify) -> DataFrame:
 
 def _dense(members: DataFrame, held: DataFrame, between, block_rows: int, block_weight: int) -> DataFrame:
     """Links between the components of large groups, in blocks: what is outside the largest component of a cluster of such groups against all of the cluster."""
-    clusters = components(members.where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct())
+    clusters = components(members.where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")))
     rows = members.select("key", "label").distinct().join(clusters.select(F.col("node").alias("key"), F.col("label").alias("cluster")), "key")
-    rows = materialize(rows.join(held, "key").select("cluster", "key", "label", "payload", "weight"), "clusters")
+    rows = table = materialize(rows.join(held, "key").select("cluster", "key", "label", "payload", "weight"), "clusters")
     sizes = rows.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
     sizes = sizes.groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("inside_n"), F.max_by("weight", F.struct("n", "label")).alias("inside"), F.sum("n").alias("n"), F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("labels"))
     blocks = lambda n, w: F.greatest(F.lit(1), F.ceil(n / F.lit(block_rows)), F.ceil(w / F.lit(block_weight))).cast("int")
@@ -223,4 +252,6 @@ def _dense(members: DataFrame, held: DataFrame, between, block_rows: int, block_
     both = reduce(DataFrame.unionByName, (x.select("cluster", "m", "o", "key", "label", "payload", F.lit(side).alias("outside")) for x, side in ((out, True), (everyone, False))))
     with arrow_rows(held.sparkSession, PAIRS):
         # without this a cluster's blocks would stay together where its rows were joined
-        return materialize(both.repartition("cluster", "m", "o").groupBy("cluster", "m", "o").applyInArrow(pairs, "a long, b long"), "links")
+        links = materialize(both.repartition("cluster", "m", "o").groupBy("cluster", "m", "o").applyInArrow(pairs, "a long, b long"), "links")
+    discard(clusters, table)
+    return links

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -11,6 +12,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+#: Where the tables are that ``materialize`` has written.
+_PLACES: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -32,7 +35,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again; this cuts the lineage and survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PLACES[table] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` has written, once nothing that is still to be computed reads them; others are left."""
+    for table in tables:
+        place = _PLACES.pop(table, None)
+        if place is not None:
+            spark = table.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @contextmanager

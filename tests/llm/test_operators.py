@@ -4,6 +4,7 @@ import base64
 import functools
 import hashlib
 import io
+import os
 import random
 import re
 import zipfile
@@ -533,6 +534,42 @@ def test_equal_groups_are_taken_once_and_turns_carry_large_groups_alone(spark, m
     assert sizes("members")[-1] == 60 + 400 and sizes("apart")[0] <= 460 and len(sizes("apart")) > 1 and max(sizes("apart")[1:]) <= 60
 
 
+def test_turns_join_groups_once_in_few_tasks_and_leave_only_labels(spark, monkeypatch):
+    groups = spark.createDataFrame([(sig, key, 60) for sig in range(3) for key in range(sig, 60)], "sig long, key long, n long")
+    held = groups.select("key").distinct().select("key", F.lit("").alias("payload"), F.lit(1).cast("long").alias("weight"))
+    verify = lambda pairs: pairs.where("abs(a - b) <= 20")
+    between = lambda one, two: [(a, b) for a in one.column("key").to_pylist() for b in two.column("key").to_pylist() if a != b and abs(a - b) <= 20]
+    files, joins, write, apart = [], [], simlink.materialize, simlink._apart
+    monkeypatch.setattr(simlink, "materialize", lambda df, name: (out := write(df, name), files.append((name, len(out.inputFiles()))))[0])
+    monkeypatch.setattr(simlink, "_apart", lambda members: (joins.append(1), apart(members))[1])
+    folder = f"{storage.work_dir(spark)}/alertloom"
+    there = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    names = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        labels = simlink.linked(groups, held, verify, between, block_rows=5)
+        assert {(r["node"], r["label"]) for r in labels.collect()} == {(k, 0) for k in range(60)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert any(name == "names" for name, _ in files), "no turn moved a key"
+    assert len(joins) == 1
+    assert max(n for name, n in files if name in ("steps", "moves")) == 1
+    assert {x.rpartition("-")[0] for x in set(os.listdir(folder)) - there} == {"labels"}
+
+
+def test_lines_and_classes_leave_no_tables_of_the_linking_behind(spark):
+    line = "a river walks through the quiet garden of stone number "
+    docs = spark.createDataFrame([(i, "\n".join(f"{line}{(i + j) % 9}" for j in range(4))) for i in range(30)], "doc_id long, text string")
+    folder = f"{storage.work_dir(spark)}/alertloom"
+    for run, kept in ((op7_line_dedup.duplicate_lines, {"lines", "repeated-lines"}), (op10_jaccard.jaccard_classes, {"sets", "labels"})):
+        there = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+        assert run(docs).count() == 30
+        assert {x.rpartition("-")[0] for x in set(os.listdir(folder)) - there} == kept
+
+
 def test_words_of_all_lengths_are_summed_at_once():
     pieces = op8_language_id._pieces(op8_language_id.default_vocabulary())
     table = np.random.default_rng(4).random((len(pieces.texts), 2)) / 3
