@@ -6,7 +6,8 @@ of three second-level parts. At most k/2 first-level parts hold two differences
 one, and there two of the three second-level parts agree: all subsets of two are enumerated as signatures. A set signs first-level parts in
 a fixed order until k/2 + 1 of them had no empty subset, so that two similar sets always share a signature that isn't empty. Sets with too
 few such parts (small ones) also sign their first k + 1 elements alone. Elements that a sample shows to be common come last in the order,
-which keeps passages that many documents share out of the signatures; it never changes the result. Every candidate is verified exactly.
+which keeps passages that many documents share out of the signatures; it never changes the result. Sketches of the sets, which come with
+their keys, rule out most candidates; all others are verified exactly, and the elements are read again only of sets in such pairs.
 
 Defined cases: a text with fewer than five words has its whole word sequence as one shingle; a null text or one without words has an empty
 set and no links; repeated rows fall in one class; rows without doc_id take part, and a class of only such rows has a null component; an
@@ -24,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .simlink import DEALT, Parts, as_dealt, groups_of, linked, shard_bits
+from .simlink import DEALT, Parts, as_dealt, groups_of, linked, near_pairs, shard_bits, sketched
 from .storage import discard, materialize
 from .textscan import by_bytes, distinct, mix, scan_words, text_buffer
 
@@ -58,6 +59,13 @@ def set_key(found: np.ndarray) -> int:
     return int(mix(np.array([mix(found ^ _U(0x5851F42D4C957F2D)).sum() + _U(found.size)], _U)).view(np.int64)[0])
 
 
+def set_sketches(sets: list[np.ndarray]) -> pa.Array:
+    """A sketch of each set with a bit for each element at least, none for an empty one."""
+    sizes = np.array([x.size for x in sets], np.int64)
+    bits = np.where(sizes > 0, np.maximum(64, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64)), 0)
+    return sketched(np.repeat(np.arange(sizes.size), sizes), np.concatenate([np.zeros(0, _U), *sets]), bits)
+
+
 def _bottom(size: np.ndarray) -> np.ndarray:
     """Lower end of the band of each size."""
     return (1 << np.floor(np.log2(size)).astype(np.int64)).astype(np.int64)
@@ -157,10 +165,10 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, sample_docs:
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text"):
             sets = shingles(*text_buffer(batch.column(1)), n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([set_key(x) if x.size else None for x in sets], pa.int64()), pa.array([x.size for x in sets], pa.int64())], ["doc_id", "text_key", "key", "n_shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([set_key(x) if x.size else None for x in sets], pa.int64()), pa.array([x.size for x in sets], pa.int64()), set_sketches(sets)], ["doc_id", "text_key", "key", "n_shingles", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    table = materialize(docs.mapInArrow(keys, f"doc_id {kind}, text_key long, key long, n_shingles long"), "sets")
+    table = materialize(docs.mapInArrow(keys, f"doc_id {kind}, text_key long, key long, n_shingles long, sketch binary"), "sets")
     facts = table.agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("elements")).first()
     common = spark.sparkContext.broadcast(_common_elements(docs, facts["n"], sample_docs))
     bits = shard_bits(facts["elements"] or 0)
@@ -182,8 +190,10 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, sample_docs:
 
     groups = groups_of(docs.select("text").mapInArrow(lambda batches: as_dealt(sign(batches), bits), DEALT))
     wanted = groups.select("key").distinct()
-    holders = table.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    holders = materialize(holders.join(wanted, "key").select("doc_id", "key"), "holders")
+    holders = table.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
+    # of two linked sets the larger one is in the same band or the next
+    band = F.floor(F.log("size") / F.log(F.lit(max(1.05, 1.0001 * 100 / percent)))).cast("long")
+    holders = materialize(holders.join(wanted, "key").select("doc_id", "key", "size", band.alias("band"), "sketch"), "holders")
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text"):
@@ -191,9 +201,29 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, sample_docs:
             kept = [k for k, x in enumerate(sets) if x.size and set_key(x) == names[k]]
             yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in kept], pa.int64()), pa.array([sets[k].view(np.int64) for k in kept], pa.list_(pa.int64()))], ["key", "payload"])
 
-    few = F.broadcast(holders) if holders.count() <= BROADCAST_KEYS else holders
-    held = docs.join(few.withColumnRenamed("doc_id", "holder"), F.col("doc_id").eqNullSafe(F.col("holder"))).select("text", "key")
-    held = materialize(held.mapInArrow(members, "key long, payload array<long>").dropDuplicates(["key"]).withColumn("weight", F.size("payload").cast("long")), "elements")
+    written: list[DataFrame] = []
+
+    def held(keys: DataFrame) -> DataFrame:
+        """key, payload, weight for distinct keys; what was read before goes."""
+        discard(*written)
+        asked = materialize(holders.join(keys, "key").select(F.col("doc_id").alias("holder"), "key"), "asked")
+        few = F.broadcast(asked) if asked.count() <= BROADCAST_KEYS else asked
+        found = docs.join(few, F.col("doc_id").eqNullSafe(F.col("holder"))).select("text", "key")
+        found = materialize(found.mapInArrow(members, "key long, payload array<long>").dropDuplicates(["key"]).withColumn("weight", F.size("payload").cast("long")), "elements")
+        written[:] = [asked, found]
+        return found
+
+    def limit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Elements that one of two linked sets has and the other lacks, at most."""
+        return (a + b) * (100 - percent) // (100 + percent)
+
+    def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [batch.column(c).to_numpy() for c in (2, 3)]
+            most = limit(*sizes)
+            near = np.abs(sizes[0] - sizes[1]) <= most
+            kept = pa.array(np.flatnonzero(near & near_pairs(batch.column(4), batch.column(5), most)))
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(kept) for c in (0, 1)], ["a", "b"])
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,8 +238,13 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, sample_docs:
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(kept, pa.int64())) for c in (0, 1)], ["a", "b"])
 
     def verify(pairs: DataFrame) -> DataFrame:
-        with_a = pairs.join(held.select(F.col("key").alias("a"), F.col("payload").alias("xs")), "a")
-        return with_a.join(held.select(F.col("key").alias("b"), F.col("payload").alias("ys")), "b").select("a", "b", "xs", "ys").mapInArrow(near, "a long, b long")
+        for c in ("a", "b"):
+            pairs = pairs.join(holders.select(F.col("key").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}")), c)
+        close = materialize(pairs.select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(may, "a long, b long"), "close")
+        elements = held(close.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+        written.append(close)
+        with_a = close.join(elements.select(F.col("key").alias("a"), F.col("payload").alias("xs")), "a")
+        return with_a.join(elements.select(F.col("key").alias("b"), F.col("payload").alias("ys")), "b").select("a", "b", "xs", "ys").mapInArrow(near, "a long, b long")
 
     def between(one: pa.Table, two: pa.Table) -> list[tuple[int, int]]:
         (xs, xo), (ys, yo) = (_lists(t.column("payload").combine_chunks()) for t in (one, two))
@@ -228,8 +263,8 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, sample_docs:
             links += [(key, y) for y in keys[near[first]].tolist()]
         return links
 
-    labels = linked(groups, held, verify, between)
-    discard(groups, holders, held)
+    labels = linked(groups, held, verify, between, sketches=holders.drop("doc_id"), limit=limit)
+    discard(groups, holders, *written)
     # only keys change hands here, no document meets another
     least = table.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
     named = least.join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("label", "key").alias("label"), "least")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .simlink import DEALT, SIGNATURES, Parts, as_dealt, as_rows, groups_of, linked, shard_bits
+from .simlink import DEALT, SIGNATURES, SKETCH, Parts, as_dealt, as_rows, groups_of, linked, shard_bits, sketched
 from .storage import discard, materialize
 from .textscan import by_bytes, distinct, mix, text_buffer
 
@@ -30,6 +30,8 @@ _BASE = _U(0x9E3779B97F4A7C15 | 1)
 BROADCAST_KEYS = 4_000_000
 #: A line is common if more than one line in so many equals it.
 COMMON = 1000
+#: Bits in the sketch of a line's pairs of neighbouring characters.
+SKETCH_BITS = 256
 
 
 def segments(n: int, tau: int) -> list[tuple[int, int]]:
@@ -175,6 +177,17 @@ def _points(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray,
     return points, begins, lengths, place
 
 
+def line_sketches(batch: pa.RecordBatch, tau: int) -> pa.RecordBatch:
+    """key, size, band and sketch for lines given as key, payload."""
+    lines = [_code_points(t).astype(_U) for t in batch.column(1).to_pylist()]
+    sizes = np.array([x.size for x in lines], np.int64)
+    points, rows = np.concatenate(lines), np.repeat(np.arange(sizes.size), sizes)
+    inside = rows[1:] == rows[:-1]
+    found = mix(points[:-1] * _BASE + points[1:])[inside]
+    sketch = sketched(rows[1:][inside], found, np.full(sizes.size, SKETCH_BITS))
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(sizes // (tau + 1)), sketch], ["key", "size", "band", "sketch"])
+
+
 def duplicate_lines(docs: DataFrame, tau: int = 2, min_chars: int = 24, sample_docs: int = 20_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text_key, lines: for each text, its lines in order as (at, keep, near): whether the line stays, and whether it goes for a line that isn't equal."""
     spark = docs.sparkSession
@@ -219,6 +232,12 @@ def duplicate_lines(docs: DataFrame, tau: int = 2, min_chars: int = 24, sample_d
     held = docs.select(F.explode(F.split("text", "\n", -1)).alias("line")).withColumn("key", F.xxhash64("line")).join(few, "key").dropDuplicates(["key"])
     held = materialize(held.select("key", F.col("line").alias("payload"), F.length("line").cast("long").alias("weight")), "wanted-lines")
 
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "payload"):
+            yield line_sketches(batch, tau)
+
+    sketches = materialize(held.select("key", "payload").mapInArrow(sketch, SKETCH), "sketches")
+
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "x", 8 << 20):
             texts = [[_code_points(t) for t in batch.column(c).to_pylist()] for c in (2, 3)]
@@ -246,8 +265,9 @@ def duplicate_lines(docs: DataFrame, tau: int = 2, min_chars: int = 24, sample_d
                 links.append((one.column("key")[k].as_py(), two.column("key")[j].as_py()))
         return links
 
-    labels = linked(groups, held, verify, between)
-    discard(groups, wanted, held)
+    # an edit takes two pairs of neighbours away and brings two at most
+    labels = linked(groups, held, verify, between, sketches=sketches, limit=lambda a, b: np.where(np.abs(a - b) <= tau, 4 * tau, -1))
+    discard(groups, wanted, held, sketches)
     # only lines that occur again, or are linked, can go
     repeated = distinct.join(labels.withColumnRenamed("node", "key"), "key", "left").where("n > 1 or label is not null").select("key", F.coalesce("label", "key").alias("label"), "first", "n")
     leaders = repeated.groupBy("label").agg(F.min("first").alias("leader"), F.min_by("key", "first").alias("leading"))

@@ -4,7 +4,9 @@ Keys that share a signature are candidates. Only links decide the components, so
 Groups of the same members are taken as one. Round one tests each key against the most central member of its groups. What is still apart
 in large groups is then tested against further members of the group's largest component, a few times; these turns carry large groups alone. The last round tests all pairs that are still apart: in small groups pair by pair;
 large groups that overlap are taken together, and what is outside their largest component is held against all of it in blocks of bounded
-size. Signatures are dealt into shards by their first bits, as packed columns; the shards' number follows from how many are expected, so a
+size, by short sketches first: keys of sizes too far apart don't meet, and payloads are read only of keys whose sketches are near enough.
+A sketch has a bit for each of a power of two of buckets: whether it holds an odd number of the key's elements. Each element that one of
+two keys has and the other lacks changes one bit at most, so sketches that differ in more bits than a link allows rule it out. Signatures are dealt into shards by their first bits, as packed columns; the shards' number follows from how many are expected, so a
 task holds a bounded part of them. Signatures that may be very common are spread over shards by key, counted with partial sums and joined.
 """
 
@@ -31,9 +33,66 @@ DEALT = "shard long, common boolean, sigs binary, keys binary"
 SHARD, SHARDS = 1_000_000, 4096
 #: Rows of keys and labels that a task holds at least, where a table has as many: small tables aren't cut into one file for each of the session's partitions.
 TASK_ROWS = 50_000
+#: A side of a block has so many times as many sketches as it may have payloads.
+WIDER = 10
+SKETCH = "key long, size long, band long, sketch binary"
 Parts = Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
+def sketched(rows: np.ndarray, elements: np.ndarray, bits: np.ndarray) -> pa.Array:
+    """The sketch of each row; ``rows``: the row of each element, ``bits``: the length of each row's sketch, a power of two and 64 at least, or 0."""
+    ends = np.cumsum(bits)
+    place = (ends - bits)[rows] + (elements & (bits[rows] - 1).astype(_U)).astype(np.int64)
+    odd = np.zeros(int(ends[-1]) if ends.size else 0, np.uint8)
+    np.bitwise_xor.at(odd, place, np.uint8(1))
+    offsets = np.concatenate([[0], ends // 8]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), bits.size, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.packbits(odd, bitorder="little").tobytes())]).cast(pa.binary())
+
+
+def _words(sketch: np.ndarray, to: int) -> np.ndarray:
+    """Sketches of one length, cut to ``to`` words by adding their halves."""
+    while sketch.shape[-1] > to:
+        half = sketch.shape[-1] // 2
+        sketch = sketch[..., :half] ^ sketch[..., half:]
+    return sketch
+
+
+def _by_length(column: pa.Array | pa.ChunkedArray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(words, rows, sketches as a matrix of words) for each length of sketches in a column."""
+    sketches = column.to_pylist()
+    words = np.array([len(x) // 8 for x in sketches], np.int64)
+    found = [(w, np.flatnonzero(words == w)) for w in np.unique(words).tolist()]
+    return [(w, at, np.frombuffer(b"".join(sketches[k] for k in at.tolist()), _U).reshape(at.size, w)) for w, at in found]
+
+
+def near_pairs(a: pa.Array, b: pa.Array, limits: np.ndarray) -> np.ndarray:
+    """Whether the sketches of each pair differ in at most so many bits."""
+    near = np.zeros(limits.size, bool)
+    for w, at, x in _by_length(a):
+        for v, to, y in _by_length(b.take(pa.array(at))):
+            w_least = min(w, v)
+            far = np.bitwise_count(_words(x[to], w_least) ^ _words(y, w_least)).sum(1, dtype=np.int64)
+            near[at[to]] = far <= limits[at[to]]
+    return near
+
+
+def near_matrix(one: list, two: list, limits: np.ndarray) -> np.ndarray:
+    """The same for all of one side against all of the other, given as ``_by_length`` has them."""
+    near = np.zeros(limits.shape, bool)
+    for w, at, x in one:
+        for v, to, y in two:
+            cell = np.ix_(at, to)
+            most, w_least = limits[cell], min(w, v)
+            xs, ys = _words(x, w_least), _words(y, w_least)
+            far = np.zeros(most.shape, np.int64)
+            for k in range(w_least):
+                if not (far <= most).any():
+                    break
+                far += np.bitwise_count(xs[:, k, None] ^ ys[None, :, k])
+            near[cell] = far <= most
+    return near
+
+
 def shard_bits(signatures: int) -> int:
     """The shards' number is 2 to this power."""
     n = -(-signatures // SHARD)
@@ -158,13 +217,15 @@ def _most_shared(pairs: DataFrame) -> DataFrame:
     return materialize(shared.groupBy("key").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("a")).select("a", F.col("key").alias("b")), "pairs")
 
 
-def linked(groups: DataFrame, held: DataFrame, verify: Callable[[DataFrame], DataFrame], between: Callable[[pa.Table, pa.Table], list[tuple[int, int]]], small: int = 16, turns: int = 3, block_rows: int = 400, block_weight: int = 500_000) -> DataFrame:
+def linked(groups: DataFrame, held: DataFrame | Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], between: Callable[[pa.Table, pa.Table], list[tuple[int, int]]], small: int = 16, turns: int = 3, block_rows: int = 400, block_weight: int = 500_000, sketches: DataFrame | None = None, limit: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """(node, label) of all linked keys. ``groups``: a table that ``groups_of`` has written, as it is read more than once.
 
-    ``held``: key, payload, weight. ``verify`` takes pairs (a, b) and returns those that hold. ``between`` takes two tables (key, label,
+    ``held``: key, payload, weight, or what gives these for a table of distinct keys. ``verify`` takes pairs (a, b) and returns those that hold. ``between`` takes two tables (key, label,
     payload) and returns, for each row of the first and each other label of the second, one link that holds, if there is any.
     ``turns``: how often keys outside the largest component of a large group try another member of it. ``block_rows``, ``block_weight``:
     rows and weight of the payloads in one side of a task's block, about.
+    ``sketches``: key, size, band, sketch; keys of which the bands differ by more than one have no link, and none of which sizes or the bits of
+    sketches differ by more than ``limit``, of two arrays of sizes. Without them ``held`` is a table.
     """
     # the member that shares most with the others comes first in its groups: most of a dense group links to it
     scored = groups.withColumn("score", F.sum("n").over(Window.partitionBy("key")))
@@ -173,7 +234,7 @@ def linked(groups: DataFrame, held: DataFrame, verify: Callable[[DataFrame], Dat
     once = whole.groupBy("n", "pivot", "least", "mark").agg(F.min("sig").alias("sig"), F.count(F.lit(1)).alias("times"))
     members = materialize(groups.join(once.select("sig", "pivot", "times"), "sig"), "members")
     first = _most_shared(members.where("key <> pivot"))
-    tested = lambda pairs: _tested(pairs, held, verify)
+    tested = lambda pairs: _tested(pairs, verify)
     links, more = tested(first), False
     labels, spent = components(links), [links, first]
     of = materialize(members.join(labels.withColumnRenamed("node", "key"), "key", "left").select("sig", "key", "n", "pivot", "times", F.coalesce("label", "key").alias("label")), "labelled")
@@ -212,7 +273,7 @@ def linked(groups: DataFrame, held: DataFrame, verify: Callable[[DataFrame], Dat
     rest = materialize(rest.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
     many = _apart(many)
     spent += [rest, many]
-    for found in (tested(rest) if rest.limit(1).count() else None, _dense(many, held, between, block_rows, block_weight) if many.limit(1).count() else None):
+    for found in (tested(rest) if rest.limit(1).count() else None, _dense(many, held, between, block_rows, block_weight, sketches, limit) if many.limit(1).count() else None):
         if found is not None:
             spent.append(found)
             links, more = links.unionByName(found), True
@@ -223,35 +284,76 @@ def linked(groups: DataFrame, held: DataFrame, verify: Callable[[DataFrame], Dat
     return labels
 
 
-def _tested(pairs: DataFrame, held: DataFrame, verify) -> DataFrame:
-    with arrow_rows(held.sparkSession, PAIRS):
+def _tested(pairs: DataFrame, verify) -> DataFrame:
+    with arrow_rows(pairs.sparkSession, PAIRS):
         return materialize(verify(pairs), "links")
 
 
-def _dense(members: DataFrame, held: DataFrame, between, block_rows: int, block_weight: int) -> DataFrame:
-    """Links between the components of large groups, in blocks: what is outside the largest component of a cluster of such groups against all of the cluster."""
+def _cuts(weights: np.ndarray, rows: int, weight: int) -> list[tuple[int, int]]:
+    """Runs of at most so many rows and, beyond one row, so much weight."""
+    ends, out, at = np.cumsum(weights), [], 0
+    while at < weights.size:
+        to = min(at + rows, max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + weight, "right"))))
+        out.append((at, min(to, weights.size)))
+        at = out[-1][1]
+    return out
+
+
+def _dense(members: DataFrame, held, between, block_rows: int, block_weight: int, sketches: DataFrame | None, limit) -> DataFrame:
+    """Links between the components of large groups, in blocks: what is outside the largest component of a cluster of such groups against all of the cluster in its band and the next ones."""
     clusters = components(members.where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")))
     rows = members.select("key", "label").distinct().join(clusters.select(F.col("node").alias("key"), F.col("label").alias("cluster")), "key")
-    rows = table = materialize(rows.join(held, "key").select("cluster", "key", "label", "payload", "weight"), "clusters")
-    sizes = rows.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
-    sizes = sizes.groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("inside_n"), F.max_by("weight", F.struct("n", "label")).alias("inside"), F.sum("n").alias("n"), F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("labels"))
-    blocks = lambda n, w: F.greatest(F.lit(1), F.ceil(n / F.lit(block_rows)), F.ceil(w / F.lit(block_weight))).cast("int")
-    c = F.col
-    sizes = sizes.where("labels > 1").select("cluster", "main", blocks(c("n"), c("weight")).alias("n_all"), blocks(c("n") - c("inside_n"), c("weight") - c("inside")).alias("n_out"))
-    rows = rows.join(sizes, "cluster")
+    facts = held.select("key", F.col("weight").alias("size"), F.lit(0).cast("long").alias("band"), F.lit(b"").alias("sketch")) if sketches is None else sketches
+    rows = table = materialize(rows.join(facts, "key").select("cluster", "key", "label", "size", "band", "sketch"), "clusters")
+    mains = rows.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
+    rows = rows.join(mains.where("labels > 1").select("cluster", "main"), "cluster").withColumn("outside", F.col("label") != F.col("main")).drop("main")
+    meets = rows.withColumn("band", F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1)))))
+    blocks = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(WIDER * block_rows)), F.ceil(F.sum("size") / F.lit(WIDER * block_weight))).cast("int")
+    shape = rows.where("outside").groupBy("cluster", "band").agg(blocks.alias("n_out")).join(meets.groupBy("cluster", "band").agg(blocks.alias("n_all")), ["cluster", "band"])
     part = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
-    out = rows.where(F.col("label") != F.col("main")).withColumn("o", part(F.col("n_out"))).withColumn("m", F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)))
-    everyone = rows.withColumn("m", part(F.col("n_all"))).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n_out") - 1)))
-
-    def pairs(table: pa.Table) -> pa.Table:
-        outside = table.column("outside")
-        one, two = table.filter(outside), table.filter(pc.invert(outside))
+    out = rows.where("outside").join(shape, ["cluster", "band"]).withColumn("o", part(F.col("n_out"))).withColumn("m", F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)))
+    everyone = meets.join(shape, ["cluster", "band"]).withColumn("m", part(F.col("n_all"))).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n_out") - 1)))
+
+    def screen(block: pa.Table) -> pa.Table:
+        sides, found = [], []
+        for side in (block.filter(block.column("outside")), block.filter(pc.invert(block.column("outside")))):
+            side = side.sort_by([("size", "ascending"), ("key", "ascending")]).combine_chunks()
+            size, label = (side.column(c).to_numpy() for c in ("size", "label"))
+            sides.append((side.column("key").to_numpy(), [(slice(*cut), size[slice(*cut)], label[slice(*cut)], _by_length(side.column("sketch").slice(cut[0], cut[1] - cut[0]))) for cut in _cuts(size, block_rows, block_weight)]))
+        (one, ones), (two, twos) = sides
+        for i, (a, size_a, label_a, x) in enumerate(ones):
+            for j, (b, size_b, label_b, y) in enumerate(twos):
+                near = label_a[:, None] != label_b[None, :]
+                if limit is not None:
+                    most = limit(size_a[:, None], size_b[None, :])
+                    near &= np.abs(size_a[:, None] - size_b[None, :]) <= most
+                    if near.any():
+                        near &= near_matrix(x, y, np.where(near, most, -1))
+                if near.any():
+                    found += [(i, j, True, one[a][near.any(1)], label_a[near.any(1)]), (i, j, False, two[b][near.any(0)], label_b[near.any(0)])]
+        first = lambda c, kind: pa.array([block.column(c)[0].as_py()] * n, kind)
+        n = sum(x[3].size for x in found)
+        column = lambda k, kind: pa.array(np.repeat([x[k] for x in found], [x[3].size for x in found]), kind)
+        named = {c: first(c, kind) for c, kind in (("cluster", pa.int64()), ("band", pa.int64()), ("m", pa.int32()), ("o", pa.int32()))}
+        named |= {"i": column(0, pa.int32()), "j": column(1, pa.int32()), "outside": column(2, pa.bool_())} if found else {"i": pa.array([], pa.int32()), "j": pa.array([], pa.int32()), "outside": pa.array([], pa.bool_())}
+        return pa.table(named | {c: pa.array(np.concatenate([np.zeros(0, np.int64), *(x[k] for x in found)]), pa.int64()) for c, k in (("key", 3), ("label", 4))})
+
+    def pairs(block: pa.Table) -> pa.Table:
+        outside = block.column("outside")
+        one, two = block.filter(outside), block.filter(pc.invert(outside))
         links = between(one, two) if one.num_rows and two.num_rows else []
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
-    both = reduce(DataFrame.unionByName, (x.select("cluster", "m", "o", "key", "label", "payload", F.lit(side).alias("outside")) for x, side in ((out, True), (everyone, False))))
-    with arrow_rows(held.sparkSession, PAIRS):
+    place = ["cluster", "band", "m", "o"]
+    both = reduce(DataFrame.unionByName, (x.select(*place, "key", "label", "size", "sketch", F.lit(side).alias("outside")) for x, side in ((out, True), (everyone, False))))
+    with arrow_rows(members.sparkSession, PAIRS):
         # without this a cluster's blocks would stay together where its rows were joined
-        links = materialize(both.repartition("cluster", "m", "o").groupBy("cluster", "m", "o").applyInArrow(pairs, "a long, b long"), "links")
-    discard(clusters, table)
+        near = both.repartition(*place).groupBy(*place).applyInArrow(screen, "cluster long, band long, m int, o int, i int, j int, outside boolean, key long, label long")
+        near = materialize(near, "near")
+        wanted = near.select("key").distinct()
+        payloads = held(wanted) if callable(held) else held
+        place += ["i", "j"]
+        links = near.join(payloads.select("key", "payload"), "key").repartition(*place).groupBy(*place).applyInArrow(pairs, "a long, b long")
+        links = materialize(links, "links")
+    discard(clusters, table, near)
     return links

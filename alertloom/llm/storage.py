@@ -6,7 +6,7 @@ import tempfile
 import uuid
 import weakref
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -31,10 +31,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/alertloom/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting by which a query's shuffle files go when it has ended; else they stay until the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again; this cuts the lineage and survives lost executors."""
+    """Write ``df`` as a table in the shared folder and read it again; this cuts the lineage, survives lost executors and frees the shuffle files that the rows took."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with setting(df.sparkSession, CLEANUP, "true"):
+        df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     _PLACES[table] = path
     return table
@@ -51,17 +56,21 @@ def discard(*tables: DataFrame) -> None:
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Jobs that run inside send at most so many rows to Python at once: for rows that are large."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """Jobs that run inside have this setting."""
     before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
+def arrow_rows(spark: SparkSession, rows: int) -> AbstractContextManager[None]:
+    """Jobs that run inside send at most so many rows to Python at once: for rows that are large."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     """The file system and the path on it, for use inside tasks."""
     if path.startswith("file:"):

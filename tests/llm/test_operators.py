@@ -7,6 +7,7 @@ import io
 import os
 import random
 import re
+import time
 import zipfile
 import zlib
 from collections import Counter
@@ -560,6 +561,61 @@ def test_turns_join_groups_once_in_few_tasks_and_leave_only_labels(spark, monkey
     assert {x.rpartition("-")[0] for x in set(os.listdir(folder)) - there} == {"labels"}
 
 
+def test_sketches_never_rule_out_a_link():
+    random.seed(12)
+    sets = [np.unique(np.random.default_rng(k).integers(0, 1 << 63, n).astype(np.uint64)) for k, n in enumerate((1, 3, 60, 64, 65, 130, 500, 700))]
+    sets += [np.concatenate([x[: x.size - x.size // 9], np.arange(k, k + 5, dtype=np.uint64) * np.uint64(977)]) for k, x in enumerate(sets)]
+    sketches = op10_jaccard.set_sketches(sets)
+    assert [len(x) * 8 >= max(64, s.size) for x, s in zip(sketches.to_pylist(), sets, strict=True)] == [True] * len(sets)
+    a, b = (np.array(x) for x in zip(*[(i, j) for i in range(len(sets)) for j in range(len(sets))], strict=True))
+    apart = np.array([np.setxor1d(sets[i], sets[j]).size for i, j in zip(a, b, strict=True)])
+    assert simlink.near_pairs(sketches.take(pa.array(a)), sketches.take(pa.array(b)), apart).all()
+    assert not simlink.near_pairs(sketches.take(pa.array([6, 7])), sketches.take(pa.array([7, 6])), np.array([133, 133])).any()
+    whole = simlink._by_length(sketches)
+    assert np.array_equal(simlink.near_matrix(whole, whole, apart.reshape(len(sets), -1)), np.ones((len(sets), len(sets)), bool))
+    lines, edited = ["a river walks by the old garden gate", "ab", "", "straße über den fluss und zurück"], []
+    for line in lines:
+        for _ in range(40):
+            x = list(line)
+            for _ in range(2):
+                k = random.randint(0, len(x))
+                x[k : k + random.randint(0, 1)] = random.choice(["", "q", "e"])
+            edited.append((line, "".join(x)))
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(len(edited))), pa.array([e[k] for e in edited])], ["key", "payload"]) for k in (0, 1)]
+    one, two = (op7_line_dedup.line_sketches(x, 2) for x in batches)
+    held = np.array([abs(len(x) - len(y)) <= 2 for x, y in edited])
+    assert (simlink.near_pairs(one.column(3), two.column(3), np.full(len(edited), 8)) & (abs(one.column(2).to_numpy() - two.column(2).to_numpy()) <= 1))[held].all()
+
+
+def test_blocks_ask_for_payloads_of_near_keys_alone(spark):
+    draw = np.random.default_rng(5)
+    sets = [draw.integers(0, 1 << 63, 40 + 3 * k).astype(np.uint64) for k in range(60)]
+    sets[31] = np.append(sets[30][:-2], np.uint64(7))
+    bands = [int(np.log(x.size) / np.log(1.26)) for x in sets]
+    sketches = spark.createDataFrame([(k, x.size, band, s) for k, (x, band, s) in enumerate(zip(sets, bands, op10_jaccard.set_sketches(sets).to_pylist(), strict=True))], simlink.SKETCH)
+    groups = spark.createDataFrame([(1, key, 60) for key in range(60)], "sig long, key long, n long")
+    asked = []
+
+    def held(keys):
+        asked.append(sorted(r["key"] for r in keys.collect()))
+        return keys.select("key", F.lit("").alias("payload"), F.lit(1).cast("long").alias("weight"))
+
+    links = lambda x, y: {x, y} == {30, 31}
+    between = lambda one, two: [(a, b) for a in one.column("key").to_pylist() for b in two.column("key").to_pylist() if links(a, b)]
+    labels = simlink.linked(groups, held, lambda pairs: pairs.where("false"), between, block_rows=5, sketches=sketches, limit=lambda a, b: (a + b) // 9)
+    assert asked == [[30, 31]] and sorted(map(tuple, labels.collect())) == [(30, 30), (31, 30)]
+
+
+def test_tables_free_the_shuffle_files_they_took(spark):
+    there = lambda: {x.getName() for x in map(lambda k: files.apply(k), range(files.size()))} if (files := spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) else set()
+    before = there()
+    table = storage.materialize(spark.range(5000).withColumn("k", F.col("id") % 100).groupBy("k").count(), "counts")
+    end = time.time() + 20
+    while (left := [x for x in there() - before if x.startswith("shuffle_") and x.endswith(".data")]) and time.time() < end:
+        time.sleep(0.2)
+    assert not left and table.count() == 100
+
+
 def test_lines_and_classes_leave_no_tables_of_the_linking_behind(spark):
     line = "a river walks through the quiet garden of stone number "
     docs = spark.createDataFrame([(i, "\n".join(f"{line}{(i + j) % 9}" for j in range(4))) for i in range(30)], "doc_id long, text string")
